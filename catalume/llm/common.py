@@ -2,39 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and U+0009..U+000D (Java and DuckDB regex).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for tables between steps.
-
-    It is ``spark.checkpoint.dir`` where the cluster sets it; only without one (tests on a
-    single machine) is a folder of our own made and set as the checkpoint folder.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="catalume-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
