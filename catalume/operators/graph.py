@@ -8,27 +8,29 @@ from pyspark.sql import functions as F
 from catalume.sources.scratch import stage_table
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """(node, component) for every node of an edge; the component is the least node in it.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of an edge that isn't a loop; the component is the least node in it.
 
-    Alternates large-star and small-star steps (Kiveris et al., SoCC 2014) until nothing
-    changes: O(log^2 n) rounds of joins on the node, each written to the shared folder.
-    Loops and repeated edges do no harm; edges with a null end are left out.
+    In each round every node points to the least of its neighbours and itself, in a random but
+    fixed order (a hash, so that no numbering of nodes makes long chains), and edges are drawn
+    between what their ends point to. Nodes that are left fall by a constant factor on average,
+    so there are O(log n) rounds; a star takes two or three. Each round is one aggregation and
+    two joins on nodes, written to the shared folder. Edges with a null end are left out.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    e = stage_table(e, "edges")
-    before = None
-    for _ in range(rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = stage_table(e, "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    own = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
+    e = stage_table(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    roots = None
+    while roots is None or not e.isEmpty():
+        both = e.select("u", place("v").alias("p")).union(e.select(F.col("v").alias("u"), place("u").alias("p")))
+        least = both.groupBy("u").agg(F.min("p").alias("p"))
+        to = stage_table(least.select("u", F.least(F.col("p"), place("u"))["n"].alias("to")), "hooks")
+        of_u, of_v = to.withColumnRenamed("to", "x"), to.select(F.col("u").alias("v"), F.col("to").alias("y"))
+        e = stage_table(e.join(of_u, "u").join(of_v, "v").filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+        if roots is None:
+            roots = to.select(F.col("u").alias("node"), F.col("to").alias("root"))
+        else:
+            on = to.select(F.col("u").alias("root"), "to")
+            roots = stage_table(roots.join(on, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return roots.join(least, "root").select("node", "component")
