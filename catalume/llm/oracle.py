@@ -1,2 +1,128 @@
-"""DuckDB SQL of the queries that SQL can express."""
-SQL: dict[str, str] = {}
+"""DuckDB SQL of the queries that SQL can express.
+
+op6 (a tree of a page), op7 (longest matches), op8 (its trained tree) and op10 (a trained
+network) have none; tests hold them against plain versions.
+"""
+
+from __future__ import annotations
+
+from catalume.llm import quality as Q
+
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+LOWER = f"translate(coalesce(text, ''), '{UP}', '{LOW}')"
+
+OP1 = f"""with recursive w as (select doc_id, {WORDS.format(LOWER)} as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+link as (select a, b from e union all select b, a from e),
+walk(node, top) as (select doc_id, doc_id from documents union select l.b, w.top from walk w join link l on l.a = w.node where w.top < l.b),
+comp as (select node, min(top) as top from walk group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, top as component_id, top = d.doc_id as kept from documents d join comp on node = d.doc_id left join n on n.doc_id = d.doc_id"""
+
+OP2 = """with l as (select conv_id, arg_max(struct_pack(turn := turn, text := text), struct_pack(turn := turn, text := text)) as own from conversations where role = 'assistant' group by 1),
+p as (select a.conv_id, a.own, b.own as other from l a join l b on b.conv_id = xor(a.conv_id, 1)),
+t as (select c.conv_id, row_number() over (partition by c.conv_id order by turn, role, text) as k, role, text as x, case when role = 'assistant' and turn = own.turn and text = own.text then other.text else text end as y from conversations c join p on p.conv_id = c.conv_id),
+m as (select conv_id, coalesce(min(k) filter (where x is distinct from y) - 1, count(*)) as n from t group by 1),
+r as (select t.*, n, '<|' || role || '|>' || chr(10) || x || chr(10) as rx, '<|' || role || '|>' || chr(10) || y || chr(10) as ry from t join m on m.conv_id = t.conv_id),
+o as (select *, sum(length(rx)) over w as ex, sum(length(ry)) over w as ey from r where k > n window w as (partition by conv_id order by k rows unbounded preceding)),
+q as (select conv_id, string_agg(rx, '' order by k) as chosen, string_agg(ry, '' order by k) as rejected,
+    string_agg((ex - length(x) - 1)::bigint || '-' || ex::bigint, ',' order by k) filter (where role = 'assistant') as chosen_mask,
+    string_agg((ey - length(y) - 1)::bigint || '-' || ey::bigint, ',' order by k) filter (where role = 'assistant') as rejected_mask from o group by 1),
+h as (select conv_id, string_agg(rx, '' order by k) as prompt from r where k <= n group by 1)
+select m.conv_id, n::int as n_common, coalesce(prompt, '') as prompt, coalesce(chosen, '') as chosen, coalesce(rejected, '') as rejected, coalesce(chosen_mask, '') as chosen_mask, coalesce(rejected_mask, '') as rejected_mask
+from m left join q on q.conv_id = m.conv_id left join h on h.conv_id = m.conv_id"""
+
+OP3 = f"""with d as (select doc_id, source, len({WORDS.format("coalesce(text, '')")})::bigint as size from documents),
+s0 as (select source, sum(size)::bigint as source_size from d group by 1),
+s1 as (select *, row_number() over (order by source nulls last) - 1 as k, source_size * 2.0::double as cap from s0),
+s2 as (select *, (case k % 3 when 0 then 3 when 1 then 1 else 2 end)::double as weight from s1),
+s3 as (select *, coalesce(sum(cap) over before, 0::double) as filled, coalesce(sum(weight) over before, 0::double) as taken_w, sum(source_size) over () * 1.5::double as every, sum(weight) over () as w
+    from s2 window before as (order by cap / weight, k rows between unbounded preceding and 1 preceding)),
+s4 as (select *, case when (every - filled) / (w - taken_w) * weight <= cap then (every - filled) / (w - taken_w) end as level from s3),
+s5 as (select *, first_value(level ignore nulls) over (order by cap / weight, k rows between unbounded preceding and current row) as lv from s4),
+t as (select source, source_size, least(cap, coalesce(lv * weight, cap)) as target, case when source_size > 0 then least(cap, coalesce(lv * weight, cap)) / source_size else 0 end as rate,
+    ('0x' || substr(md5('11:' || coalesce(source, '')), 1, 5))::bigint / 1048576::double as u from s5),
+r as (select d.*, t.source_size, t.target, t.rate, t.u, row_number() over (partition by d.source order by length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)::bigint) & 7), md5(coalesce(doc_id::varchar, 'null')), doc_id, size) - 1 as k
+    from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, ((floor(u + (k + 1) * rate) - floor(u + k * rate)) * size)::bigint as taken from r"""
+
+OP4 = """with recursive tab as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+d as (select doc_id, (coalesce(octet_length(encode(text)), 0) + 1)::bigint as size,
+    case when text is not null then xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) end as text_crc32 from documents, tab),
+jump(doc_id, n, b, j, key) as (select distinct doc_id, n, -1::bigint, 0::bigint, doc_id::hugeint from d, (values (8), (9)) v(n)
+    union all select doc_id, n, j, floor((j + 1) * (2147483648::double / ((key * 2862933555777941757::hugeint + 1) % 18446744073709551616::hugeint // 8589934592 + 1)::double))::bigint,
+        (key * 2862933555777941757::hugeint + 1) % 18446744073709551616::hugeint from jump where j < n),
+s as (select doc_id, max(b) filter (where n = 8) as shard, max(b) filter (where n = 9) as grown from jump where j >= n group by 1)
+select d.doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by (coalesce(d.doc_id % 1000003 * 31, 0) + coalesce(text_crc32, 0)) % 4096, d.doc_id, text_crc32, size) - 1 as slot, grown::int as grown_shard
+from d join s on s.doc_id = d.doc_id"""
+
+ITEM = r"regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(UP, LOW)
+OP5 = f"""with i as (select item_id, {ITEM} as w from benchmark), d as (select doc_id, {ITEM} as w from documents),
+iw as (select distinct item_id, k, array_to_string(w[p : p + k - 1], ' ') as g from (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from i where len(w) > 0)),
+dw as (select doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from iw))),
+m as (select dw.doc_id, dw.p, dw.k, iw.item_id from dw join iw on iw.k = dw.k and iw.g = dw.g),
+h as (select doc_id, count(distinct pos) as n from (select doc_id, unnest(range(p, p + k)) as pos from m) group by 1),
+f as (select doc_id, count(*) as n, sha256(string_agg(item_id::varchar, ',' order by item_id::varchar)) as s from (select distinct doc_id, item_id from m) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(h.n, 0) as n_hit, coalesce(f.n, 0) as n_items, coalesce(f.s, sha256('')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from d left join h on h.doc_id = d.doc_id left join f on f.doc_id = d.doc_id"""
+
+
+def _op9() -> str:
+    """The concentration steps as one common table after the other."""
+    x, p = [f"x_{i}" for i in range(Q.P)], range(Q.P)
+    unit = [f"round({Q.UNIT} * ({s.replace('as double', 'as double')}))::bigint as x_{i}" for i, s in enumerate(Q.STATISTICS)]
+    floor2 = [repr((s * Q.UNIT) ** 2) for s in Q.LEAST_SD]
+    middle = lambda c: f"list_sort(list({c}))[(count(*) + 1) // 2]"
+
+    def chain(name: str, source: str, columns: list[tuple[str, str]], keep: str) -> str:
+        out = source
+        for k, (c, sql) in enumerate(columns):
+            out = f"(select *, {sql} as {c} from {out} as q{k})"
+        return f"{name} as (select {keep} from {out})"
+
+    low = ", ".join(f"l_{i}{j}" for i, j in Q.PAIRS)
+    keep = f"gid, {', '.join(f'm_{i}' for i in p)}, {low}"
+    start = ", ".join([*(f"0::double as m_{i}" for i in p), *(f"pow(a_{i} * 1.4826::double, 2::double) + {floor2[i]}::double as s_{i}{j}" if i == j else f"0::double as s_{i}{j}" for i, j in Q.PAIRS)])
+    parts = [
+        f"w as (select doc_id, lang, source, {WORDS.format("coalesce(text, '')")} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) as l, coalesce(text, '') as t from documents)",
+        "g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) > 2))",
+        "r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, g) as k from g) where k > 1) group by 1)",
+        f"b as (select w.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(t, '{Q.SYMBOLS}'))::bigint as n_symbols, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0) as n_repeat_words from w left join r on r.doc_id = w.doc_id)",
+        "f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce('=' || lang, '-') as coarse, coalesce('=' || lang, '-') || chr(1) || coalesce('=' || source, '-') as fine from b)",
+        f"u as (select doc_id, fine, coarse, {', '.join(unit)} from f where not base_failed)",
+        f"pts as (select fine as gid, {', '.join(x)} from u union all select coarse, {', '.join(x)} from u)",
+        f"med as (select gid, count(*) as n, {', '.join(f'{middle(c)} as c_{i}' for i, c in enumerate(x))} from pts group by 1)",
+        f"near as (select gid, {', '.join(f'greatest(-{Q.FAR}, least({Q.FAR}, x_{i} - c_{i})) as x_{i}' for i in p)} from pts join med using (gid))",
+        f"mad as (select gid, {', '.join(f'{middle(f"abs({c})")} as a_{i}' for i, c in enumerate(x))} from near group by 1)",
+        chain("p0", f"(select gid, {start} from mad)", Q.cholesky(), keep),
+    ]
+    for k in range(Q.STEPS):
+        sums = ", ".join([*(f"sum(x_{i}) as a_{i}" for i in p), *(f"sum(x_{i} * x_{j}) as b_{i}{j}" for i, j in Q.PAIRS)])
+        again = ", ".join([*(f"sum(a_{i}) as a_{i}" for i in p), *(f"sum(b_{i}{j}) as b_{i}{j}" for i, j in Q.PAIRS)])
+        m = ", ".join(f"a_{i}::double / h::double as m_{i}" for i in p)
+        s = ", ".join(f"{Q.CONSISTENT!r}::double * (b_{i}{j}::double / h::double - (a_{i}::double / h::double) * (a_{j}::double / h::double))" + (f" + {floor2[i]}::double" if i == j else "") + f" as s_{i}{j}" for i, j in Q.PAIRS)
+        parts += [
+            chain(f"d{k}", f"(select * from near join p{k} using (gid))", Q.forward(), f"gid, {', '.join(x)}, floor(ln({Q.DISTANCE} + 1e-6) * {Q.BINS})::int as bin"),
+            f"e{k} as (select *, coalesce(sum(n) over (partition by gid order by bin rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over (partition by gid) as every from (select gid, bin, count(*) as n, {sums} from d{k} group by 1, 2))",
+            f"h{k} as (select gid, sum(n) as h, {again} from e{k} where before < {Q.SUPPORT}::double * every group by 1)",
+            chain(f"p{k + 1}", f"(select gid, {m}, {s} from h{k})", Q.cholesky(), keep),
+        ]
+    own = f"(select u.doc_id, g.*, {', '.join(f'greatest(-{Q.FAR}, least({Q.FAR}, u.x_{i} - c_{i})) as x_{i}' for i in p)} from u join good g on g.gid = case when u.fine in (select gid from good) then u.fine else u.coarse end)"
+    parts += [
+        f"good as (select * from p{Q.STEPS} join med using (gid) where n >= {Q.LEAST_GROUP})",
+        chain("v", own, Q.forward(), f"doc_id, {Q.DISTANCE} as distance2"),
+    ]
+    return f"with {', '.join(parts)} select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(distance2, 6) as distance2, not base_failed and not coalesce(distance2 > {Q.chi2_quantile(1 - Q.REJECT)!r}::double, false) as kept from f left join v on v.doc_id = f.doc_id"
+
+
+SQL: dict[str, str] = {
+    "op1_minhash_dedup": OP1,
+    "op2_chat_preferences": OP2,
+    "op3_mix_sources": OP3,
+    "op4_jump_sharding": OP4,
+    "op5_decontaminate": OP5,
+    "op9_quality_rules": _op9(),
+}

@@ -217,7 +217,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept."""
-    return judge(docs, carry=["doc_id"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
+    return judge(docs, carry=["doc_id"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("distance2", 6).alias("distance2"), "kept")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
