@@ -81,7 +81,7 @@ def burst_merge(items: DataFrame, groups: DataFrame, runs: DataFrame) -> DataFra
     atoms = items.join(groups, "id", "left").select("id", "ord", F.coalesce(F.concat(F.lit("g"), F.col("group").cast("string")), F.concat(F.lit("r"), F.col("id").cast("string"))).alias("atom"), F.col("group").isNotNull().alias("real"))
     on = runs.join(atoms, "id").select("run", "t", "ord", "atom", "real")
     first = on.groupBy("run").agg(F.min_by("atom", F.struct("t", "ord")).alias("head"), F.min("t").alias("start"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ties = on.join(first, "run").filter("atom != head").select("start", "t", "ord", "head", "atom")
+    ties = stage_table(on.join(first, "run").filter("atom != head").select("start", "t", "ord", "head", "atom"), "ties")
     key = lambda c: F.xxhash64(c)
     comp = connected_components(ties.select(key("head").alias("a"), key("atom").alias("b")))
     work = ties.join(comp, key("head") == comp["node"]).select("component", "start", "t", "ord", "head", "atom")
@@ -131,9 +131,9 @@ def assign_duplicates(df: DataFrame, t: int = 6, sim: float = 0.92, window: floa
     """
     comp = connected_components(duplicate_edges(df, t, sim, window), "i", "j").withColumnRenamed("node", "id")
     split = cohesion_split(df.join(comp, "id").withColumn("ord", F.col("id")).select("component", "id", "ord", "phash", "embedding"), floor, t)
-    groups = split.select("id", F.concat_ws(":", "component", "part").alias("group"))
-    runs = burst_runs(df, gap=burst_gap, span=burst_span, sim=burst_sim).join(df.select("id", F.col("capture_time").alias("t")), "id")
-    merged = burst_merge(df.select("id", F.col("id").alias("ord")), groups, runs)
+    groups = stage_table(split.select("id", F.concat_ws(":", "component", "part").alias("group")), "groups")
+    runs = stage_table(burst_runs(df, gap=burst_gap, span=burst_span, sim=burst_sim).join(df.select("id", F.col("capture_time").alias("t")), "id"), "runs")
+    merged = stage_table(burst_merge(df.select("id", F.col("id").alias("ord")), groups, runs), "merged")
     x = renumber(df.join(merged, "id"), "group", out="dup_group").select("id", "dup_group", "phash", "capture_time", "embedding")
     return x.select("id", "dup_group").join(group_centrality(x, "dup_group", "id", "embedding"), "id", "left").join(cull_safe(x, "dup_group", t=t), "id")
 

@@ -130,7 +130,7 @@ def unique_names(moves: DataFrame, existing: DataFrame) -> DataFrame:
     base = names.withColumn("_st", stem(F.col("name"))).withColumn("_su", suffix(F.col("name")))
     zero = base.filter("own = 0").select("dir", F.col("_st").alias("_stem"), F.col("_su").alias("_suf"), F.lit(0).alias("k"))
     nth = base.withColumn("k", F.regexp_extract("_st", r"_([1-9]\d{0,8})$", 1)).filter("k != ''")
-    nth = nth.select("dir", F.regexp_replace("_st", r"_[1-9]\d{0,8}$", "").alias("_stem"), F.col("_su").alias("_suf"), F.col("k").cast("int").alias("k"))
+    nth = nth.select("dir", F.regexp_replace("_st", r"_[1-9]\d{0,8}$", "").alias("_stem"), F.col("_su").alias("_suf"), F.col("k").try_cast("int").alias("k"))
     taken = zero.union(nth).groupBy("dir", "_stem", "_suf").agg(F.collect_set("k").alias("_taken"))
     w = Window.partitionBy("dir", "_stem", "_suf").orderBy("id")
     x = plain.withColumn("_r", F.row_number().over(w)).join(taken, ["dir", "_stem", "_suf"], "left")

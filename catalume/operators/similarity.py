@@ -63,16 +63,16 @@ def cosine_pairs(left: DataFrame, right: DataFrame, sim: float, block: int = 204
     nl, nr = _blocks(left.count(), block), _blocks(right.count(), block)
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     a = left.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("r")).select("id", "v", (own(nl) * nr + F.col("r")).alias("cell"))
-    b = right.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("l")).select("id", "v", (F.col("l") * nr + own(nr)).alias("cell"))
+    b = right.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("l")).select(F.col("id").alias("j"), F.col("v").alias("u"), (F.col("l") * nr + own(nr)).alias("cell_of"))
 
     def product(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
             return pd.DataFrame({"i": [], "j": [], "cos": []}).astype({"i": "int64", "j": "int64", "cos": "float64"})
-        c = np.stack(p["v"].to_numpy()).astype(np.float64) @ np.stack(q["v"].to_numpy()).astype(np.float64).T
+        c = np.stack(p["v"].to_numpy()).astype(np.float64) @ np.stack(q["u"].to_numpy()).astype(np.float64).T
         r, k = np.nonzero(c >= sim)
-        return pd.DataFrame({"i": p["id"].to_numpy()[r], "j": q["id"].to_numpy()[k], "cos": c[r, k]})
+        return pd.DataFrame({"i": p["id"].to_numpy()[r], "j": q["j"].to_numpy()[k], "cos": c[r, k]})
 
-    return a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(product, "i long, j long, cos double")
+    return a.groupBy("cell").cogroup(b.groupBy("cell_of")).applyInPandas(product, "i long, j long, cos double")
 
 
 def cosine_all_pairs(df: DataFrame, id_: str = "id", vec: str = "embedding", sim: float = 0.5, block: int = 2048) -> DataFrame:

@@ -64,7 +64,7 @@ TABLES: dict[str, tuple[str, dict[str, str], str]] = {
     "tags_b": ("photos", {"image_id": "id", "tag": "'t' || cast(id % 12 as string)"}, "id % 2 = 0"),
     "tags": ("image_tags", {"union": "tags_b"}, "true"),
     "faces": ("lineitem", {
-        "id": "l_orderkey * 10 + l_linenumber", "image_id": "l_orderkey",
+        "id": "(l_orderkey * 10 + l_linenumber) * 100000 + l_partkey % 100000", "image_id": "l_orderkey",
         "x1": "l_linenumber * 90.0e0", "y1": "l_quantity * 10", "x2": "l_linenumber * 90.0e0 + 50 + l_quantity * 4", "y2": "l_quantity * 10 + 60 + l_quantity * 3",
         "prob": "1 - l_discount", "cluster_id": "case when l_linenumber = 6 then null when l_suppkey % 11 = 0 then -1 else l_suppkey end",
         "sharp": "case when l_partkey % 13 <> 0 then l_tax * 10 end", "expr": "case when l_partkey % 7 <> 0 then (l_partkey % 100) / 100.0e0 end",

@@ -165,9 +165,9 @@ def o23_portrait_score(t: Tables) -> DataFrame:
     return t.faces.select("id", S.portrait_score(F.col("sharp"), F.col("expr")).alias("portrait"))
 
 
-@query("select id, round(0.55 * coalesce(sharp, 0.5) + 0.25 * least(1.0, (x2 - x1) / 4000 / 0.10) + 0.20 * coalesce(expr, 0.5), 4) as quality from faces")
+@query("select id, round(0.55 * coalesce(sharp, 0.5) + 0.25 * least(1.0, (x2 - x1) / 3700 / 0.10) + 0.20 * coalesce(expr, 0.5), 4) as quality from faces")
 def o24_face_quality(t: Tables) -> DataFrame:
-    return t.faces.select("id", S.face_quality(F.col("sharp"), F.col("expr"), (F.col("x2") - F.col("x1")) / 4000).alias("quality"))
+    return t.faces.select("id", S.face_quality(F.col("sharp"), F.col("expr"), (F.col("x2") - F.col("x1")) / 3700).alias("quality"))
 
 
 @query("select id, coalesce(para_aesthetic, clip_iqa) as aesthetic from photos")

@@ -376,9 +376,10 @@ def o131_reanchor(t: Tables) -> DataFrame:
     return E.reanchor(m.filter("id % 15 = 4").select("hash", *M.BOX, F.lit("old").alias("name")), m.filter("cluster_id = 3"), "Ann").select("hash", "x1", "y1", "name")
 
 
-@query("select id, case when id in (11, 12, 21) then 100000 when cluster_id = 4 then 5 else cluster_id end as cluster_id from faces")
+@query("select id, case when image_id <= 2 then 100000 when cluster_id = 4 then 5 else cluster_id end as cluster_id from faces")
 def o132_assign_merge(t: Tables) -> DataFrame:
-    f, _ = E.assign_faces(t.faces, [11, 12, 21], None)
+    ids = [r["id"] for r in t.faces.filter("image_id <= 2").select("id").collect()]  # a selection made by hand
+    f, _ = E.assign_faces(t.faces, ids, None)
     return E.merge_people(f, t.clusters, 4, 5)[0].select("id", "cluster_id")
 
 
