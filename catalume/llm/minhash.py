@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalume.llm.common import WORD, fresh
@@ -29,6 +29,8 @@ ROWS = 6
 MISS = 1e-8
 #: Shingles that are sketched together.
 BATCH = 400_000
+#: Mixed buckets of so many nodes give their pairs; larger ones are compared in tiles of about so many nodes, over pieces of so many shingles.
+LITTLE, TILE, PIECE = 8, 128, 16_384
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -117,33 +119,38 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), put(a), put(c), bands], names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands"])
                 start += len(sets)
 
-    narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), docs[text].alias("text"))
+    narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_key(docs, doc_id, text).alias("text_key"), docs[text].alias("text"))
     return narrow.mapInArrow(scan, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """node, n, shingles (binary) of the given nodes, from the text of one document each."""
+    """node, shingles (binary) of the given nodes, from the text of one document each."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [shingles(x.as_py(), k).tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
 
-    d = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), docs[text].alias("text"))
-    n = nodes.select("node", F.col("least_id").alias("of_id"), F.col("text_key").alias("of_key"))
-    rows = d.join(n, d["doc_id"].eqNullSafe(n["of_id"]) & (d["text_key"] == n["of_key"])).select("node", "text")
-    return rows.mapInArrow(scan, "node long, shingles binary")
+    d = docs.select(docs[doc_id].cast("long").alias("of_id"), text_key(docs, doc_id, text).alias("text_key"), docs[text].alias("text"))
+    rows = d.join(nodes.select("node", "least_id", "text_key"), "text_key").filter(F.col("of_id").eqNullSafe(F.col("least_id")))
+    return rows.dropDuplicates(["text_key"]).select("node", "text").mapInArrow(scan, "node long, shingles binary")
+
+
+def _common(u: np.ndarray, v: np.ndarray) -> int:
+    both = np.sort(np.concatenate((u, v)), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Of the pairs (a, b) those with 100 * |A and B| >= pct * |A or B|, on the full sets."""
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
-    """Of the pairs (a, b) those with 100 * |A and B| >= threshold * |A or B|, on the full sets."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((u, v)), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= threshold_pct * (len(both) - common))
+                common = _common(u, v)
+                good.append(100 * common >= pct * (len(u) + len(v) - common))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -151,57 +158,124 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(scan, "a long, b long")
 
 
+def _products(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of the two sides, by products of 0/1 matrices over pieces of the shingles."""
+    every, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left + right])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for a in range(0, len(every), PIECE):
+        i, j = np.searchsorted(at, [a, a + PIECE])
+        m = np.zeros((len(left) + len(right), min(PIECE, len(every) - a)), np.float32)
+        m[row[i:j], at[i:j] - a] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def cell_links(table: pa.Table, pct: int) -> pa.Table:
+    """Links between the two sides of a cell: nodes that share a band, are of different labels, and are similar enough."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    side = np.array(table.column("side"))
+    l, r = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2 is on both
+    if not len(l) or not len(r):
+        return none
+    node, label, size = (np.array(table.column(c)) for c in ("node", "label", "size"))
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("shingles").chunks for x in c]
+    able = label[l][:, None] != label[r][None]
+    small, large = np.minimum(size[l][:, None], size[r][None]), np.maximum(size[l][:, None], size[r][None])
+    able &= 100 * small >= pct * large
+    share = np.zeros_like(able)
+    for k in range(bands.shape[1]):
+        share |= bands[l, k][:, None] == bands[r, k][None]
+    i, j = np.nonzero(able & share)
+    if not len(i):
+        return none
+    if len(i) > 4 * len(side):
+        common = _products([sets[x] for x in l], [sets[x] for x in r])[i, j]
+    else:
+        common = np.array([_common(sets[l[x]], sets[r[y]]) for x, y in zip(i, j, strict=True)])
+    good = 100 * common >= pct * (size[l[i]] + size[r[j]] - common)
+    a, b = node[l[i[good]]], node[r[j[good]]]
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _family_links(large: DataFrame, nodes: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links across labels within large mixed buckets (key, node, label), in cells of two tiles of nodes.
+
+    Buckets that share nodes are one family, so that no pair is compared once for each band. In
+    a family only nodes outside its largest label need to be compared with the others: their
+    tiles meet all tiles, and those of the largest label never meet each other.
+    """
+    head = large.groupBy("key").agg(F.min("node").alias("head"))
+    family = connected_components(large.join(head, "key").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    member = large.select("node", "label").distinct().join(family, "node").withColumnRenamed("component", "family")
+    counts = member.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    core = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("core"), F.max("n").alias("n_core"), F.sum("n").alias("n_all"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    m = member.join(core, "family").withColumn("rest", F.col("label") != F.col("core"))
+    m = m.withColumns({"n_r": F.greatest(F.lit(1), tiles(F.col("n_all") - F.col("n_core"))), "n_c": tiles(F.col("n_core"))})
+    m = m.withColumn("tile", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("n_r")).otherwise(F.col("n_c"))).cast("int"))
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    t, zero = F.col("tile"), F.lit(0)
+    upto = lambda n: F.sequence(zero, n - 1)
+    with_core = F.transform(upto(F.col("n_c")), lambda j: cell(t, j, zero))
+    with_rest = F.transform(upto(F.col("n_r")), lambda j: cell(F.least(t, j), -F.greatest(t, j) - 1, F.when(j == t, 2).when(t < j, 0).otherwise(1)))
+    as_core = F.transform(upto(F.col("n_r")), lambda i: cell(i, t, F.lit(1)))
+    cells = m.select("family", "node", "label", F.explode(F.when(F.col("rest"), F.concat(with_core, with_rest)).otherwise(as_core)).alias("c")).select("family", "c.i", "c.j", "c.side", "node", "label")
+    full = cells.join(nodes.select("node", "size", "bands"), "node").join(sets, "node")
+    return full.groupBy("family", "i", "j").applyInArrow(lambda x: cell_links(x, pct), "a long, b long")
+
+
+def text_key(docs: DataFrame, doc_id: str, text: str) -> Column:
+    return F.xxhash64(docs[doc_id].cast("long"), docs[text])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id, group.
 
     Documents are linked if the Jaccard similarity of their sets of k-word shingles is the
-    threshold or more; component_id is the least doc_id that links lead to, group a number of the component (null
-    without shingles).
+    threshold or more; component_id is the least doc_id that links lead to, group a number of the
+    component (null without shingles).
 
     Documents with one and the same set are one node from the start, however many. Nodes that
     share a band are candidates. Not all pairs of a bucket are made: first each node is compared
-    with one pivot of its bucket, and what is linked becomes one component; then only pairs
-    across components are left, with 4, 32, 256, ... pivots, until a bucket is of one component
-    or all its nodes have been pivots. So no link between components is lost, a bucket of true
-    copies costs one comparison for each, and there is no cap on buckets. All comparisons are on
-    full sets.
+    with one pivot of its bucket, and what is linked becomes one component. Buckets of one
+    component, as those of true copies, are done. Of the others, small ones give their pairs
+    across components; large ones are compared in cells of two tiles of nodes inside tasks, where
+    only links come out. No link between components is lost, and there is no cap on buckets. All
+    comparisons are on full sets.
 
     Null and wordless texts have no shingles and are a component each. Repeated rows are copies.
     A null doc_id is no candidate for component_id: a component of only null ids has null.
     """
     pct = round(threshold * 100)
     docs_sets = stage_table(_sets(docs, doc_id, text, k, threshold), "sets")
-    own = docs_sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("size"), F.min_by(F.struct("text_key", "bands"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("r"))
-    nodes = stage_table(own.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "size", "least_id", "r.text_key", "r.bands"), "nodes")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    own = docs_sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.first("n_shingles").alias("size"), F.min_by(F.struct("doc_id", "text_key", "bands"), first).alias("r"))
+    nodes = stage_table(own.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "size", F.col("r.doc_id").alias("least_id"), "r.text_key", "r.bands"), "nodes")
 
     rows = nodes.select("node", "size", F.explode("bands").alias("key"))
     heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size")).alias("p")).filter("n > 1")
     buckets = stage_table(rows.join(heads, "key").select("key", "node", "size", "n", F.col("p.node").alias("pivot"), F.col("p.size").alias("its_size")), "buckets")
-    sets = stage_table(_full_sets(docs, nodes.join(buckets.select("node").distinct(), "node", "left_semi"), doc_id, text, k).dropDuplicates(["node"]), "full")
+    sets = stage_table(_full_sets(docs, nodes.join(buckets, "node", "left_semi"), doc_id, text, k), "full")
 
     # sets of too different sizes can't be linked
     able = F.least("size", "its_size") * 100 >= F.greatest("size", "its_size") * pct
     pair = lambda df: df.filter(able).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    tested = stage_table(pair(buckets.filter("node != pivot")), "pairs")
-    links = stage_table(_confirmed(tested, sets, pct), "links")
-    buckets = buckets.filter("n > 2").select("key", "node", "size", "n")
-    pivots = 4
-    while True:
-        label = connected_components(links)
-        open_ = buckets.join(label, "node", "left").select("key", "node", "size", "n", F.coalesce("component", "node").alias("label"))
-        mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        buckets = stage_table(open_.join(mixed, "key"), "buckets")
-        if buckets.isEmpty():
-            break
-        # about `pivots` of the n nodes, by hash; all of them in small buckets
-        chosen = buckets.filter((F.col("n") <= 2 * pivots) | (F.pmod(F.xxhash64("key", "node", F.lit(pivots)), F.col("n")) < pivots))
-        other = chosen.select("key", F.col("node").alias("pivot"), F.col("size").alias("its_size"), F.col("label").alias("its"))
-        new = pair(buckets.join(other, "key").filter("label != its")).join(tested, ["a", "b"], "left_anti")
-        new = stage_table(new, "pairs")
-        links = stage_table(links.union(_confirmed(new, sets, pct)), "links")
-        tested = tested.union(new)
-        buckets = buckets.filter(F.col("n") > 2 * pivots).select("key", "node", "size", "n")
-        pivots *= 8
+    links = stage_table(_confirmed(pair(buckets.filter("node != pivot")), sets, pct), "links")
+    label = connected_components(links)
+
+    open_ = buckets.filter("n > 2").join(label, "node", "left").select("key", "node", "size", "n", F.coalesce("component", "node").alias("label"))
+    mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    open_ = stage_table(open_.join(mixed, "key"), "mixed")
+    little = open_.filter(F.col("n") <= LITTLE)
+    other = little.select("key", F.col("node").alias("pivot"), F.col("size").alias("its_size"), F.col("label").alias("its"))
+    across = _confirmed(pair(little.join(other, "key").filter("node < pivot and label != its")), sets, pct)
+    inside = _family_links(open_.filter(F.col("n") > LITTLE).select("key", "node", "label"), nodes, sets, pct)
+    links = stage_table(links.union(across).union(inside), "links")
+    label = connected_components(links)
 
     named = nodes.join(label, "node", "left").select("set_a", "set_b", "least_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -224,10 +298,9 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id",
     key, nth = fresh(docs, "text_key_of_row", "nth_of_row")
     x = near_duplicates(docs, threshold, doc_id=doc_id, text=text).filter("n_shingles > 0")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    keep = x.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_key"), first).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_key").alias("_keep_key"))
+    keep = x.groupBy("group").agg(F.min_by("text_key", first).alias("_keep"))
     worded = F.coalesce(docs[text].rlike(WORD), F.lit(False))
-    rows = docs.filter(worded).withColumn(key, F.xxhash64(docs[text]))
-    kept = rows.join(keep, rows[doc_id].cast("long").eqNullSafe(keep["_keep_id"]) & (rows[key] == keep["_keep_key"]), "left_semi")
-    one = kept.withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, key).orderBy(key))).filter(F.col(nth) == 1)
+    rows = docs.filter(worded).withColumn(key, text_key(docs, doc_id, text))
+    kept = rows.join(keep, rows[key] == keep["_keep"], "left_semi")
+    one = kept.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(nth) == 1)
     return one.select(*docs.columns).unionByName(docs.filter(~worded))
