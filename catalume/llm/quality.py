@@ -27,8 +27,8 @@ POSITION = 30
 UNIT, FAR = 1024, 8192
 #: Bins of a squared distance for each power of e.
 BINS = 64
-#: Share of a group that estimates its centre and scatter.
-SUPPORT = 0.75
+#: Share of a group that estimates its centre and scatter; up to the other half may be outliers.
+SUPPORT = 0.5
 #: Standard deviations, in units of the statistics, below which no spread counts.
 LEAST_SD = (0.12, 0.12, 0.20, 0.18)
 #: A group of fewer documents is judged by its language; a language of fewer not at all.
