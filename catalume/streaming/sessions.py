@@ -15,5 +15,6 @@ def stream_sessions(events: DataFrame, gap_seconds: int = 120, late: str = "1 ho
     t = F.col(ts).cast("timestamp")
     x = events.withColumn("_ts", t).withWatermark("_ts", late) if events.isStreaming else events.withColumn("_ts", t)
     w = F.session_window("_ts", f"{gap_seconds} seconds 1 microsecond")
-    g = x.groupBy(*(keys or []), w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("_ts").alias("last"))
+    # streams need a key beside the session; without one all events are of one
+    g = x.withColumn("_all", F.lit(0)).groupBy("_all", *(keys or []), w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("_ts").alias("last"))
     return g.select(*(keys or []), F.col("w.start").alias("start"), "last", "n")
