@@ -44,7 +44,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words inside 3-word windows that are found twice or more count once each. The windows of a
     text are hashed, packed with their position and sorted as plain numbers; neighbours with the
-    same short hash are then compared by 64-bit hashes. Nothing is shuffled or exploded.
+    same short hash are then compared by 64-bit hashes. Nothing is shuffled or exploded. Write the
+    result before filtering on it, as :func:`judge` does.
     Null texts have none of anything. Existing columns of these names are replaced.
     """
     words, lines, packed, close, at, t = fresh(docs, "t_words", "t_lines", "t_packed", "t_close", "t_at", "t_text")
@@ -125,9 +126,8 @@ PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def _with(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
-    for name, sql in columns:
-        df = df.withColumn(name, F.expr(sql))
-    return df
+    """Adds columns, each of which may use those before it."""
+    return df.selectExpr("*", *[f"{sql} as {name}" for name, sql in columns])
 
 
 def _median(df: DataFrame, values: list[str]) -> DataFrame:
@@ -195,8 +195,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     inner = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs[lang].alias("of_lang"), docs[source].alias("of_source"), docs[text].alias("of_text"))
     stats = text_statistics(inner, "of_text")
     stats = stats.drop("of_text").withColumn("base_failed", base_failed())
-    if text not in own:
-        stats = stage_table(stats, "statistics")  # texts are read once
+    # written once: filters on these statistics would otherwise be pushed into, and repeat, their long expressions
+    stats = stage_table(stats, "statistics")
     units = [F.expr(f"cast(round({UNIT} * ({sql})) as bigint)") for sql in STATISTICS]
     point = stats.withColumns({f"x_{i}": F.when(F.col("n_words") > 0, u) for i, u in enumerate(units)})
     both = F.array(*group_ids())
@@ -221,5 +221,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, all columns. Texts aren't shuffled."""
+    """The rows of ``docs`` that :func:`judge` keeps, all columns. Texts are written once and not shuffled."""
     return judge(docs).filter("kept").select("row.*")
