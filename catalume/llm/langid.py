@@ -146,8 +146,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet | None:
     """Fit on a bounded sample of the labelled rows that aren't held out; None without any.
 
-    About PER_LANGUAGE documents of each language by hash of the id, and of each the first, the
-    middle and the last WINDOW bytes' worth of characters.
+    About PER_LANGUAGE documents of each language by hash of id and text, repeated ones once, and
+    of each the first, the middle and the last WINDOW bytes' worth of characters.
     """
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
@@ -156,8 +156,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     n = F.coalesce(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col("lang")], F.lit(0))
     piece = lambda at: F.substring("text", at.cast("int"), F.lit(WINDOW))
     size = F.length("text")
-    take = d.filter((n > 0) & (F.pmod(F.xxhash64("doc_id", F.lit("langid")), n) < PER_LANGUAGE))
-    rows = take.select("doc_id", "lang", F.array(piece(F.lit(1)), piece(F.greatest(F.lit(1), F.floor(size / 2) - WINDOW // 2)), piece(F.greatest(F.lit(1), size - WINDOW + 1))).alias("parts")).collect()
+    take = d.filter((n > 0) & (F.pmod(F.xxhash64("doc_id", "text"), n) < PER_LANGUAGE))
+    rows = take.select("doc_id", "lang", F.array(piece(F.lit(1)), piece(F.greatest(F.lit(1), F.floor(size / 2) - WINDOW // 2)), piece(F.greatest(F.lit(1), size - WINDOW + 1))).alias("parts")).distinct().collect()
     languages = sorted(counts)
     x, y = [], []
     for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["parts"])):
