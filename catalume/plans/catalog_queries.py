@@ -183,7 +183,7 @@ def o26_vector_functions(t: Tables) -> DataFrame:
     return x.select("i", "j", F.round(S.dot(F.col("v"), F.col("u")), 5).alias("dot"), F.round(S.dot(S.l2_normalize(F.col("v")), S.l2_normalize(F.col("u"))), 5).alias("cos"))
 
 
-@query("""select a.id as i, b.id as j, bit_count(xor(('0x' || substr(a.phash, 1, 8))::bigint, ('0x' || substr(b.phash, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(a.phash, 9, 8))::bigint, ('0x' || substr(b.phash, 9, 8))::bigint)) as d
+@query("""select a.id as i, b.id as j, bit_count(xor(('0x' || substr(a.phash, 1, 8))::bigint, ('0x' || substr(b.phash, 1, 8))::bigint)) + (bit_count(xor(('0x' || substr(a.phash, 9, 8))::bigint, ('0x' || substr(b.phash, 9, 8))::bigint)))::int as d
     from photos a join photos b on b.id = a.id + 1""")
 def o27_hamming(t: Tables) -> DataFrame:
     p = t.photos.select("id", "phash")
@@ -447,7 +447,7 @@ def o80_self_match(t: Tables) -> DataFrame:
     from photos p join tags t on p.id = t.image_id where scene_group is not null group by 1, 2) where r <= 6""")
 def o82_top_tags(t: Tables) -> DataFrame:
     x = t.tags.join(t.photos.filter("scene_group is not null").select("id", "scene_group"), F.col("id") == F.col("image_id"))
-    return A.top_tags(x, "scene_group")
+    return A.top_tags(x, "scene_group").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""select dup_group, count(*) filter (where trash_state is null) as active, count(*) filter (where trash_state = 'trashed') as trashed, count(*) filter (where trash_state in ('emptied', 'missing')) as unavailable,

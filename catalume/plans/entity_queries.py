@@ -291,7 +291,7 @@ def _cuts(t: Tables) -> DataFrame:
     return t.photos.filter("id % 90 = 40 and capture_time is not null and content_hash is not null").select(F.col("content_hash").alias("anchor_hash"), "capture_time")
 
 
-@query("""with pins as (select case when substr(hash, 1, 2) = '1c' then 2 else 1 end as group_id, hash from hashes where substr(hash, 1, 2) in ('0a', '0b', '1c')),
+@query("""with pins as (select (case when substr(hash, 1, 2) = '1c' then 2 else 1 end)::bigint as group_id, hash from hashes where substr(hash, 1, 2) in ('0a', '0b', '1c')),
     h as (select distinct content_hash as hash from photos where scene_group in (3, 4, 11) and content_hash is not null), tch as (select distinct group_id from pins where hash in (select hash from h)),
     rest as (select * from pins where group_id not in (select group_id from tch)), every as (select hash from h union select hash from pins where group_id in (select group_id from tch))
     select group_id, hash from rest union all select (select coalesce(max(group_id), 0) + 1 from rest), hash from every""")
@@ -299,7 +299,7 @@ def o124_merge_scenes(t: Tables) -> DataFrame:
     return E.merge_scenes(t.photos, _pins(t), _cuts(t), [3, 4, 11])[0].select("group_id", "hash")
 
 
-@query("""with pins as (select case when substr(hash, 1, 2) = '1c' then 2 else 1 end as group_id, hash from hashes where substr(hash, 1, 2) in ('0a', '0b', '1c'))
+@query("""with pins as (select (case when substr(hash, 1, 2) = '1c' then 2 else 1 end)::bigint as group_id, hash from hashes where substr(hash, 1, 2) in ('0a', '0b', '1c'))
     select group_id, hash from pins where group_id not in (select group_id from pins where hash in (select content_hash from photos where scene_group = 3 and content_hash is not null))""")
 def o125_unmerge_scene(t: Tables) -> DataFrame:
     return E.unmerge_scene(t.photos, _pins(t), 3)
