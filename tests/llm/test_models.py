@@ -45,7 +45,6 @@ def train_counts(rows):
 def test_base_score_is_exact_and_the_tree_predicts_better(frame, monkeypatch, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     monkeypatch.setattr(lm, "CONTEXTS", 30)
-    monkeypatch.setattr(lm, "NEXT", 20)
     rows = corpus()
     got = scored(frame, rows)
     c = train_counts(rows)
