@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:[^>"']+|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)""", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")

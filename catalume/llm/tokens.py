@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Largest vocabulary that is broadcast (pieces), and words whose counts a task remembers.
 MOST_PIECES, REMEMBERED = 2_000_000, 200_000
