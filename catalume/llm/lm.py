@@ -1,39 +1,51 @@
 """A probabilistic suffix tree over words: learning by counting jobs, scoring by longest suffix.
 
 The tree (Ron, Singer and Tishby, 1996) has a state for each retained context of up to ``DEPTH``
-words. Contexts are those that make up 1 / CONTEXTS of the corpus or more, so a level has at
-most CONTEXTS of them however large the corpus is; a context stays if its next-word distribution
-diverges from that of its longest proper suffix. A word has its own estimate in a state if the
-context with the word makes up 1 / FREQUENT of the corpus or more, at most FREQUENT of them on a
-level; the rest of the mass goes to the parent's distribution, at the root to that of single
-words with one added to each count. The tree that is broadcast is thus bounded by FREQUENT
-entries for each level; counting reads every word of every training text.
-
-Words that make up less than 1 / FREQUENT of the corpus can be neither contexts nor have their
-own estimates. They are not broadcast: their counts meet the documents in a join.
+words. Evidence is absolute, whatever the size of the corpus: a word has its own estimate in a
+state if it followed the context ``LEAST`` times or more; a context stays if its next-word
+distribution diverges from that of its longest proper suffix. The rest of the mass goes to the
+parent's distribution, at the root to that of single words with one added to each count.
+
+States and estimates grow with the corpus, so they are tables. In logarithms a word's probability
+is the sum of what the root says of the word, what each state on the way gives to its parent, and
+how far an own estimate is above what the parent says; a word that has none adds 0. Pairs and
+triples of words are known by 64-bit hashes. They are counted, and later met with the tables, in
+buckets of hashes: a task sends each bucket its hashes as packed arrays, equal ones counted
+before, so that no word, pair or document makes a hot task.
+
+``Tree`` is a cache of the tables that every task holds: words and estimates of 1 / FREQUENT of
+the corpus or more, two-word contexts of 1 / CONTEXTS or more. It has a bound, saves most of the
+meeting for common words, and changes no result. Other words meet their counts in a join.
 """
 
 from __future__ import annotations
 
-import math
+import gc
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalume.sources.scratch import stage_table
 
-#: Most contexts of a level, most words and most own estimates of a level, words of a context.
+#: Two-word contexts, and words and estimates of a level, that tasks hold at most; words of a context.
 CONTEXTS, FREQUENT, DEPTH = 8_192, 131_072, 2
+#: Times that a context and word must follow each other for an own estimate.
+LEAST = 2
 #: What is taken from each count with an own estimate and given to the parent.
 DISCOUNT = 0.5
 #: A context stays if its count times the divergence from its suffix (in nats) is this or more.
 DIVERGENCE = 20.0
 #: Counts that a task holds before it passes them on.
 HELD = 400_000
+#: Bytes of text for each bucket of hashes.
+BUCKET = 8_000_000
 
 END = b"\n"  # no word holds white space
 
@@ -67,6 +79,173 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(scan, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, the last ones kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+END_HASH = _Hashes()[END]
+
+
+def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Unsigned hash of each two hashes in this order."""
+    x = left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.view(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _pairs_and_triples(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """level, place of the last word, left, right and their hash. ``h`` are words of texts one after the other.
+
+    Left of a pair is a word, of a triple the pair of its first two words; right is the next word,
+    or the pair of the last two words. Nothing goes beyond the end of a text.
+    """
+    inside = h[:-1] != END_HASH
+    at = np.flatnonzero(inside) + 1
+    pair = _mix(h[:-1], h[1:]).view(np.int64)
+    yield 2, at, h[at - 1], h[at], pair[at - 1].view(np.uint64)
+    at = np.flatnonzero(inside[:-1] & inside[1:]) + 2
+    yield 3, at, pair[at - 2], pair[at - 1], _mix(pair[at - 2], pair[at - 1])
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted hashes, and where each starts."""
+    return np.unique((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), return_index=True)
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 40) * buckets, 24).cast("int")
+
+
+def _buckets(texts: DataFrame) -> int:
+    return 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET
+
+
+def _free(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables, and shuffle files of jobs that ended: Spark does so when their objects are collected."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for x in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in x.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.java.lang.System.gc()
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """First the lowest bytes of all, then the next: the high bytes of sorted numbers pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _gram_counts(train: DataFrame, of: int) -> DataFrame:
+    """key, left, right, c: of the pairs (2) or triples (3) with LEAST occurrences or more."""
+    buckets = _buckets(train)
+    names = ["bucket", "left", "right", "c"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, parts, held = _Hashes(), [], 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for level, _, left, right, key in _pairs_and_triples(np.concatenate(parts)):
+                if level != of:
+                    continue
+                key, first, c = np.unique(key, return_index=True, return_counts=True)
+                left, right, c = left[first], right[first], c.astype(np.int32)
+                number, start = _cuts(key, buckets)
+                cut = lambda x, start=start: pa.array([y.tobytes() for y in np.split(x, start[1:])] if len(start) else [], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), cut(left), cut(right), cut(c)], names=names)
+
+        for b in batches:
+            for t in b.column(0):
+                parts.append(hashes.of(tokens(t.as_py())))
+                held += len(parts[-1])
+                if held > 4 * HELD:
+                    yield from give()
+                    parts, held = [], 0
+        if parts:
+            yield from give()
+
+    def add_up(group: pa.Table) -> pa.Table:
+        left, right, c = (np.frombuffer(b"".join(group[k].to_pylist()), t) for k, t in (("left", np.int64), ("right", np.int64), ("c", np.int32)))
+        key, first, where = np.unique(_mix(left, right), return_index=True, return_inverse=True)
+        c = np.bincount(where, c, len(key)).astype(np.int64)
+        keep = c >= LEAST
+        first = first[keep]
+        return pa.table({"key": key[keep].view(np.int64), "left": left[first], "right": right[first], "c": c[keep]})
+
+    packed = train.mapInArrow(scan, "bucket int, left binary, right binary, c binary")
+    return packed.groupBy("bucket").applyInArrow(add_up, "key long, left long, right long, c long")
+
+
+def _estimates(grams: DataFrame) -> DataFrame:
+    """``grams`` (key, left, right, c, all: of the context, up: log10 of the parent's probability) with
+    give (log10 of what the state gives to its parent, null if it isn't retained) and log (log10 of
+    the probability in the longest retained suffix)."""
+    sums = grams.groupBy("left").agg(
+        F.first("all").alias("n"), F.sum("c").alias("own"), F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.lit(10.0), "up")).alias("said"),
+        F.sum(F.col("c") * (F.log(F.col("c") / F.col("all")) - F.col("up") * F.log(F.lit(10.0)))).alias("gain"),
+    )
+    other = 1 - F.col("own") / F.col("n")
+    # the rest of the mass is compared as one symbol
+    gain = F.col("gain") + F.when(F.col("own") < F.col("n"), F.col("n") * other * F.log(other / F.greatest(F.lit(1e-12), 1 - F.col("said")))).otherwise(0.0)
+    kept = sums.filter(gain >= DIVERGENCE).select("left", F.log10(other + DISCOUNT * F.col("kinds") / F.col("n")).alias("give"))
+    own = F.log10((F.col("c") - DISCOUNT) / F.col("all") + F.pow(F.lit(10.0), F.col("give") + F.col("up")))
+    return grams.join(kept, "left", "left").withColumn("log", F.when(F.col("give").isNull(), F.col("up")).otherwise(own))
+
+
+class Model:
+    """The tables of a corpus. words: word, h, c, root (log10), give. pairs, triples: as of ``_estimates``."""
+
+    def __init__(self, train: DataFrame, counts: DataFrame):
+        self.total, self.kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = _Hashes().of([w.as_py() for w in b.column(0)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h)], names=["word", "c", "h"])
+
+        spark = train.sparkSession
+        words = stage_table(counts.select("word", "c").mapInArrow(scan, "word binary, c long, h long").withColumn("root", F.log10((F.col("c") + 1) / F.lit(float(self.total + self.kinds + 1)))), "words")
+        _free(spark)
+        grams = stage_table(_gram_counts(train, 2), "grams")
+        _free(spark)
+        pairs = stage_table(grams.join(words.select(F.col("h").alias("left"), F.col("c").alias("all")), "left").join(words.select(F.col("h").alias("right"), F.col("root").alias("up")), "right"), "pairs")
+        _free(spark, grams)
+        self.pairs = stage_table(_estimates(pairs), "pairs")
+        _free(spark, pairs)
+        grams = stage_table(_gram_counts(train, 3), "grams")
+        _free(spark)
+        whole = self.pairs.select(F.col("key").alias("left"), F.col("c").alias("all"))
+        triples = stage_table(grams.join(whole, "left").join(self.pairs.select(F.col("key").alias("right"), F.col("log").alias("up")), "right"), "triples")
+        _free(spark, grams)
+        self.triples = stage_table(_estimates(triples), "triples")
+        _free(spark, triples)
+        gives = lambda x, name: x.filter(F.col("give").isNotNull()).groupBy("left").agg(F.first("give").alias("give")).withColumnRenamed("left", name)
+        self.words = stage_table(words.join(gives(self.pairs, "h"), "h", "left"), "words")
+        self.contexts = stage_table(self.pairs.select("key", "left", "right", "c").join(gives(self.triples, "key"), "key"), "contexts")
+        _free(spark, words)
+
+    def lookups(self) -> DataFrame:
+        """level, key, above (what an own estimate is above the parent's), give (of the pair as a context)."""
+        above = lambda x: F.when(F.col("give").isNotNull(), F.col("log") - F.col("give") - F.col("up")).otherwise(0.0).alias("above")
+        pairs = self.pairs.select("key", above(self.pairs)).join(self.contexts.select("key", "give"), "key", "left").filter("above != 0 or give is not null")
+        triples = self.triples.filter(F.col("give").isNotNull()).select(F.lit(3).alias("level"), "key", above(self.triples), F.lit(0.0).alias("give"))
+        return pairs.select(F.lit(2).alias("level"), "key", "above", F.coalesce("give", F.lit(0.0)).alias("give")).unionByName(triples)
+
+
 class Tree:
     """The part of the model that every task holds: frequent words, states and own estimates."""
 
@@ -75,15 +254,14 @@ class Tree:
         self.total, self.kinds = total, kinds
         self.log_root = np.log10((np.array([c for _, c in words] or [0]) + 1) / (total + kinds + 1))
         n = len(words)
-        #: 0 is the root. Contexts of two words have the code first[u] * words + v.
+        #: 0 is the root. Contexts of two words have the code u * words + v.
         self.depth_of = [0]
-        self.parent = [0]
-        self.first = np.zeros(n + 1, np.int64)  # word -> number of the one-word context, retained or not
         self.after_word = np.zeros(n + 1, np.int64)  # word -> state of the one-word context, if retained
         self.after_key = np.zeros(0, np.int64)  # code of a two-word context -> state, sorted
         self.after_state = np.zeros(0, np.int64)
         self.own_key = np.zeros(0, np.int64)  # (state, word) -> log10 of the probability, sorted
         self.own_log = np.zeros(0)
+        self.own_triple = np.zeros(0, bool)  # whether it is that of a triple, not the parent's times what the state gives
         self.rest_log = np.zeros(1)  # of a state: log10 of what it gives to the root for a word without own estimates on the way
 
     @property
@@ -99,142 +277,81 @@ class Tree:
         if len(ids) > 1:
             s[1:] = self.after_word[ids[:-1]]
         if len(self.after_key) and len(ids) > 2:
-            u, v = self.first[ids[:-2]], ids[1:-1]
-            code = np.where((u > 0) & (v >= 0), u * self.n + v, -1)
+            u, v = ids[:-2], ids[1:-1]
+            code = np.where((u >= 0) & (v >= 0), u * self.n + v, -1)
             at = np.minimum(np.searchsorted(self.after_key, code), len(self.after_key) - 1)
             s[2:] = np.where(self.after_key[at] == code, self.after_state[at], s[2:])
         return s
 
-    def score(self, ids: np.ndarray) -> tuple[float, float]:
-        """Sums of log10 over the words of a text: of the root over frequent words, and of the tree over all, without the root's part of rare words."""
-        known = ids >= 0
-        base = float(self.log_root[ids[known]].sum())
+    def look(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word log10 as far as the tree knows it; and whether it knows the pair, the triple, and the two words before as a state."""
         s = self.states(ids)
-        root = np.where(known, self.log_root[ids], 0.0)
-        log = root + self.rest_log[s]
+        known = ids >= 0
+        log = np.where(known, self.log_root[ids], 0.0) + self.rest_log[s]
+        pair = np.zeros(len(ids), bool)
+        triple = pair
         if len(self.own_key):
             code = np.where(known & (s > 0), s * self.n + ids, -1)
             at = np.minimum(np.searchsorted(self.own_key, code), len(self.own_key) - 1)
-            log = np.where(self.own_key[at] == code, self.own_log[at], log)
-        return base, float(log.sum())
-
-
-def _context_counts(train: DataFrame, shared, depth: int) -> DataFrame:
-    """code (state * words + next word; word -1 as the last), c: what follows each state of ``depth`` words."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
-        deep = np.array(tree.depth_of) == depth
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def give() -> pa.RecordBatch:
-            code, c = np.unique(np.concatenate(parts or [np.zeros(0, np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(c, pa.int64())], names=["code", "c"])
+            pair = self.own_key[at] == code
+            log = np.where(pair, self.own_log[at], log)
+            triple = pair & self.own_triple[at]
+        return log, pair, triple, np.array(self.depth_of)[s] == 2
 
-        for b in batches:
-            for t in b.column(0):
-                ids = tree.word_ids(tokens(t.as_py()))
-                s = tree.states(ids)
-                hit = deep[s] & (s > 0)
-                # rare next words count for the state only
-                code = s[hit] * (tree.n + 1) + np.where(ids[hit] < 0, tree.n, ids[hit])
-                parts.append(code)
-                held += len(code)
-                if held > 8 * HELD:
-                    yield give()
-                    parts, held = [], 0
-        yield give()
-
-    return train.mapInArrow(scan, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def _grow(tree: Tree, rows: list, depth: int) -> None:
-    """Keep the states of this depth that diverge from their parents, with their own estimates."""
-    by_state: dict[int, list[tuple[int, int]]] = {}
-    for r in rows:
-        by_state.setdefault(r["state"], []).append((r["word"], r["c"]))
-    totals = {r["state"]: r["all"] for r in rows}
-    own_key, own_log = list(tree.own_key), list(tree.own_log)
-    table = dict(zip(own_key, own_log, strict=True))
-    rest = list(tree.rest_log) + [0.0] * (len(tree.depth_of) - len(tree.rest_log))
-
-    def inherited(s: int, w: int) -> float:
-        """log10 P(w | s) through s's own estimates, else those of its suffixes, else the root."""
-        return table.get(s * tree.n + w, float(tree.log_root[w]) + rest[s])
-
-    of_parent: dict[int, list[int]] = {}
-    for key in own_key:
-        of_parent.setdefault(int(key // tree.n), []).append(int(key % tree.n))
-    dropped = set()
-    for s in range(len(tree.depth_of)):
-        if tree.depth_of[s] != depth or s == 0:
-            continue
-        parent, c_all = tree.parent[s], totals.get(s, 0)
-        next_ = by_state.get(s, [])
-        gain = sum(c * (math.log(c / c_all) - inherited(parent, w) * math.log(10)) for w, c in next_)
-        mass = sum(c for _, c in next_) / c_all if c_all else 0.0
-        # the rest of the mass is compared as one symbol
-        left = max(1e-12, 1 - sum(10 ** inherited(parent, w) for w, _ in next_))
-        if 0 < mass < 1:
-            gain += c_all * (1 - mass) * math.log((1 - mass) / left)
-        if c_all == 0 or gain < DIVERGENCE:
-            dropped.add(s)
-            continue
-        give = 1 - mass + DISCOUNT * len(next_) / c_all  # to the parent's distribution
-        for w, c in next_:
-            table[s * tree.n + w] = math.log10((c - DISCOUNT) / c_all + give * 10 ** inherited(parent, w))
-        # words with an own estimate only in the parent
-        for w in of_parent.get(parent, ()):
-            table.setdefault(s * tree.n + w, math.log10(give) + inherited(parent, w))
-        rest[s] = math.log10(give) + rest[parent]
-    for s in dropped:  # their texts are scored by the suffix
-        rest[s] = rest[tree.parent[s]]
-    tree.after_word[np.isin(tree.after_word, list(dropped))] = 0
-    keep = ~np.isin(tree.after_state, list(dropped))
-    tree.after_key, tree.after_state = tree.after_key[keep], tree.after_state[keep]
-    keys = np.array(sorted(table), np.int64)
-    tree.own_key, tree.own_log = keys, np.array([table[k] for k in keys.tolist()])
+    def score(self, ids: np.ndarray) -> tuple[float, float]:
+        """Sums of log10 over the words of a text: of the root over frequent words, and of the tree over all, without the root's part of rare words."""
+        return float(self.log_root[ids[ids >= 0]].sum()), float(self.look(ids)[0].sum())
+
+
+def _cache(model: Model) -> Tree:
+    """The tree of the frequent words, contexts and estimates of the tables."""
+    total = model.total
+    often = lambda x, share: x.filter(F.col("c") * share >= total).collect() if total else []
+    found = sorted(often(model.words.select("word", "c", "h", "give"), FREQUENT), key=lambda r: (-r["c"], bytes(r["word"])))
+    tree = Tree([(bytes(r["word"]), r["c"]) for r in found], total, model.kinds)
+    n, word = tree.n, {r["h"]: i for i, r in enumerate(found)}
+    rest = [0.0]
+    for i, r in enumerate(found):
+        if r["give"] is not None:
+            tree.after_word[i] = len(rest)
+            rest.append(r["give"])
+    tree.depth_of += [1] * (len(rest) - 1)
+    pairs = often(model.pairs.select("key", "left", "right", "c", "give", "log"), FREQUENT)
+    last = {r["key"]: word[r["right"]] for r in pairs}
+    own: dict[int, tuple[float, bool]] = {}
+    of_word: dict[int, list[tuple[int, float]]] = {}
+    for r in pairs:
+        if r["give"] is not None:
+            v, w = word[r["left"]], word[r["right"]]
+            own[int(tree.after_word[v]) * n + w] = (r["log"], False)
+            of_word.setdefault(v, []).append((w, r["log"]))
+    triples: dict[int, list] = {}
+    for r in often(model.triples.filter(F.col("give").isNotNull()).select("left", "right", "c", "log"), FREQUENT):
+        triples.setdefault(r["left"], []).append((last[r["right"]], r["log"]))
+    after = {}
+    for r in sorted(often(model.contexts, CONTEXTS), key=lambda r: (-r["c"], r["key"])):
+        u, v = word[r["left"]], word[r["right"]]
+        if len(own) + len(of_word.get(v, ())) > 8 * FREQUENT and len(own) > 8 * len(found):
+            continue  # it is met in the tables
+        s = after[u * n + v] = len(rest)
+        rest.append(r["give"] + rest[tree.after_word[v]])
+        for w, log in of_word.get(v, ()):
+            own[s * n + w] = (r["give"] + log, False)
+        for w, log in triples.get(r["key"], ()):
+            own[s * n + w] = (log, True)
+    tree.depth_of += [2] * len(after)
+    tree.after_key = np.array(sorted(after), np.int64)
+    tree.after_state = np.array([after[k] for k in sorted(after)], np.int64)
+    tree.own_key = np.array(sorted(own), np.int64)
+    tree.own_log = np.array([own[k][0] for k in sorted(own)], float)
+    tree.own_triple = np.array([own[k][1] for k in sorted(own)], bool)
     tree.rest_log = np.array(rest)
+    return tree
 
 
 def learn(train: DataFrame, counts: DataFrame) -> Tree:
-    """The tree of training texts (one column ``text``); ``counts`` are their word counts.
-
-    What comes to the driver: words, and contexts with the next word, of at least a FREQUENT-th of
-    the corpus, at most FREQUENT of them on each level.
-    """
-    spark = train.sparkSession
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.filter(F.col("c") * FREQUENT >= total).collect() if total else []
-    words = sorted(((bytes(r["word"]), r["c"]) for r in frequent), key=lambda x: (-x[1], x[0]))
-    tree = Tree(words, total, kinds)
-    contexts = [i for i, (w, c) in enumerate(words) if c * CONTEXTS >= total and w != END]
-    for i in contexts:
-        tree.first[i] = tree.after_word[i] = len(tree.depth_of)
-        tree.depth_of.append(1)
-        tree.parent.append(0)
-    for depth in range(1, DEPTH + 1):
-        if depth not in tree.depth_of:
-            break
-        shared = spark.sparkContext.broadcast(tree)
-        n = tree.n
-        pairs = stage_table(_context_counts(train, shared, depth).select(F.floor(F.col("code") / (n + 1)).cast("long").alias("state"), F.pmod("code", F.lit(n + 1)).alias("word"), "c"), "contexts")
-        sums = pairs.groupBy("state").agg(F.sum("c").alias("all"))
-        rows = pairs.filter(F.col("word") < n).join(sums, "state").filter(F.col("c") * FREQUENT >= total).collect()  # sums: a row for each context
-        deeper = pairs.filter(F.col("word") < n).filter(F.col("c") * CONTEXTS >= total).collect() if depth < DEPTH else []
-        shared.unpersist()
-        _grow(tree, rows, depth)
-        if depth < DEPTH:
-            # the parent of (u, v) is the state of v, or the root
-            found = sorted((r["state"] * n + r["word"], r["word"]) for r in deeper if words[r["word"]][0] != END)
-            tree.after_key = np.array([k for k, _ in found], np.int64)
-            tree.after_state = np.arange(len(found)) + len(tree.depth_of)
-            for _, w in found:
-                tree.depth_of.append(depth + 1)
-                tree.parent.append(int(tree.after_word[w]))
-            tree.rest_log = np.append(tree.rest_log, [tree.rest_log[p] for p in tree.parent[len(tree.rest_log) :]])
-    return tree
+    """The cached tree of training texts (one column ``text``); ``counts`` are their word counts."""
+    return _cache(Model(train, counts))
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,35 +368,102 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     train = narrow.filter(~held_out(F.col("doc_id"))).select("text")
     counts = stage_table(_word_counts(train), "words")
-    tree = learn(train, counts)
+    model = Model(train, counts)
+    tree = _cache(model)
+    _free(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
+    buckets = _buckets(narrow)
+    row = "chunk long, row int, doc_id long, n_tokens long, n_frequent long, base double, tree double, rare array<binary>, times array<int>"
+    whole = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+    asked = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("rows", pa.binary()), *whole])
+    said = pa.schema([("rows", pa.binary()), ("logs", pa.binary()), *whole])
+
+    def batch(schema: pa.Schema, have: dict) -> pa.Table:
+        n = len(next(iter(have.values())))
+        return pa.table([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tree = shared.value
+        hashes = _Hashes()
+        task = TaskContext.get().partitionId() << 32
+        chunk, held = 0, []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            """Rows as far as the tree knows, and what is asked of each bucket: rows are 4 * row + 2 * (its pair or triple) + (its context)."""
+            doc_ids, ids, h, rare = zip(*held, strict=True)
+            n = np.array([len(x) for x in ids])
+            of, ids, h = np.repeat(np.arange(len(n)), n), np.concatenate(ids), np.concatenate(h)
+            log, pair, triple, state = t.look(ids)
+            total = lambda x: np.bincount(of, x, len(n))
+            known = ids >= 0
+            full = {"chunk": [task + chunk] * len(n), "row": range(len(n)), "doc_id": doc_ids, "n_tokens": n, "n_frequent": total(known).astype(np.int64), "base": total(np.where(known, t.log_root[ids], 0.0)), "tree": total(log), "rare": [list(x) for x in rare], "times": [list(x.values()) for x in rare]}
+            yield from batch(asked, full | {"level": [0] * len(n), "bucket": [chunk % buckets] * len(n)}).to_batches()
+            if not t.total:
+                return
+            for level, at, _, _, key in _pairs_and_triples(h):
+                # a pair is also the context of the word after it
+                own = ~pair[at] if level == 2 else ~triple[at]
+                context = ~np.append(state, True)[at + 1] if level == 2 else np.zeros(len(at), bool)
+                ask = own | context
+                key, code = key[ask], (of[at] * 4 + own * 2 + context)[ask].astype(np.uint16 if len(n) <= 16_384 else np.int32)
+                order = np.argsort(key)
+                key, code = key[order], code[order]
+                number, start = _cuts(key, buckets)
+                cut = lambda x, start=start: [y.tobytes() for y in np.split(x, start[1:])] if len(start) else []
+                yield from batch(asked, {"level": [level] * len(number), "bucket": number.astype(np.int32), "chunk": [task + chunk] * len(number), "keys": [_planes(x) for x in np.split(key, start[1:])][: len(number)], "rows": cut(code)}).to_batches()
+
+        size = 0
         for b in batches:
-            n, known, base, score, rare, times = [], [], [], [], [], []
-            for x in b.column(1):
+            for d, x in zip(b.column(0), b.column(1), strict=True):
                 words = tokens(x.as_py())
                 ids = t.word_ids(words)
-                p, q = t.score(ids)
-                few = Counter(words[i] for i in np.flatnonzero(ids < 0).tolist())
-                n.append(len(words))
-                known.append(int((ids >= 0).sum()))
-                base.append(p)
-                score.append(q)
-                rare.append(list(few))
-                times.append(list(few.values()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "n_frequent", "base", "tree", "rare", "times"])
-
-    first = narrow.mapInArrow(scan, "doc_id long, n_tokens long, n_frequent long, base double, tree double, rare array<binary>, times array<int>")
+                held.append((d.as_py(), ids, hashes.of(words), Counter(words[i] for i in np.flatnonzero(ids < 0).tolist())))
+                size += len(words)
+                if size > 2 * HELD:
+                    yield from give()
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield from give()
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or left["level"][0].as_py() == 0:
+            return batch(said, {k: left[k].combine_chunks() for k in whole.names})
+        keys, above, gives = (right[k].to_numpy() for k in ("key", "above", "give"))
+        order = np.argsort(keys)
+        keys, above, gives = np.append(keys[order], 0), np.append(above[order], 0.0), np.append(gives[order], 0.0)
+        rows, logs = [], []
+        for k, c in zip(left["keys"], left["rows"], strict=True):
+            key = _from_planes(k.as_py())
+            code = np.frombuffer(c.as_py(), np.uint16 if len(c.as_py()) == 2 * len(key) else np.int32)
+            at = np.searchsorted(keys[:-1], key)
+            hit = (keys[at] == key) & (at < len(keys) - 1)
+            at, code = at[hit], code[hit]
+            row, where = np.unique(code >> 2, return_inverse=True)
+            rows.append(row.astype(np.int32).tobytes())
+            logs.append(np.bincount(where, above[at] * (code >> 1 & 1) + gives[at] * (code & 1), len(row)).astype(np.float64).tobytes())
+        return batch(said, {"chunk": left["chunk"].combine_chunks(), "rows": rows, "logs": logs})
+
+    def add_up(group: pa.Table) -> pa.Table:
+        full = group.filter(pa.compute.is_valid(group["row"]))
+        part = group.filter(pa.compute.is_valid(group["rows"]))
+        rows = np.frombuffer(b"".join(part["rows"].to_pylist()), np.int32)
+        more = np.bincount(rows, np.frombuffer(b"".join(part["logs"].to_pylist())), len(full))
+        return batch(whole, {k: full[k].combine_chunks() for k in whole.names} | {"tree": full["tree"].to_numpy() + more[full["row"].to_numpy()]})
+
+    asks = narrow.mapInArrow(scan, f"level int, bucket int, keys binary, rows binary, {row}")
+    table = model.lookups().withColumn("bucket", _bucket(F.col("key"), buckets))
+    answers = asks.groupBy("level", "bucket").cogroup(table.groupBy("level", "bucket")).applyInArrow(answer, f"rows binary, logs binary, {row}")
+    first = answers.groupBy("chunk").applyInArrow(add_up, row)
     rows = stage_table(first.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    few = counts.filter(F.col("c") * FREQUENT < tree.total)
+    few = model.words.filter(F.col("c") * FREQUENT < tree.total).select("word", "c", "give")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.total + tree.kinds + 1)))
-    part = rare.join(few, "word", "left").groupBy("row").agg(F.sum(log * F.col("times")).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
+    part = rare.join(few, "word", "left").groupBy("row").agg(
+        F.sum(log * F.col("times")).alias("log"), F.sum(F.coalesce("give", F.lit(0.0)) * F.col("times")).alias("give"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known")
+    )
     x = rows.drop("rare", "times").join(part, "row", "left")
     log = F.coalesce("log", F.lit(0.0))
     return x.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_frequent") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("tree") + log).alias("score"),
+        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("tree") + log + F.coalesce("give", F.lit(0.0))).alias("score"),
     )
