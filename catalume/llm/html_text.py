@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,8 +41,8 @@ IMPLIED_END = {
 }
 #: End tags don't reach out of these.
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "template"})
-#: Deeper elements are put beside their parent, so that no text is lost.
-DEEPEST = 150
+#: What may stand in a head; any other tag ends it.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 
 
 class Node:
@@ -68,18 +69,24 @@ def parse(source: str) -> Node:
     at = 0
     n = len(source)
 
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of a tag are in the stack
+
+    def place(tags: set[str] | frozenset[str]) -> int:
+        return max((places[x][-1] for x in tags if places.get(x)), default=0)
+
     def close(wanted: set[str] | frozenset[str], bound: set[str] | frozenset[str]) -> None:
         nonlocal hidden
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in wanted:
-                del stack[i:]
-                if hidden >= len(stack):
-                    hidden = 0
-                return
-            if stack[i].tag in bound:
-                return
+        i = place(wanted)
+        if i and i >= place(bound):
+            for x in stack[i:]:
+                places[x.tag].pop()
+            del stack[i:]
+            if hidden >= len(stack):
+                hidden = 0
 
     def add_text(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
+            close({"head"}, frozenset())
         if text and not hidden:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
@@ -97,9 +104,11 @@ def parse(source: str) -> Node:
             continue
         tag = name[1].lower()
         if token[1] == "/":
+            if tag in ("br", "body", "html") and stack[-1].tag == "head":
+                close({"head"}, frozenset())
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
+            elif tag == "p" and not places["p"]:
                 stack[-1].children.append(Node("p"))
             elif tag not in ("html", "body"):
                 close({tag}, SCOPE - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else {"table"} - {tag})
@@ -113,11 +122,9 @@ def parse(source: str) -> Node:
                 close(wanted, bound)
         elif tag == "a":
             close({"a"}, SCOPE)
-        if tag == "body" and any(x.tag == "head" for x in stack):
+        if tag == "body" or (tag not in IN_HEAD and stack[-1].tag == "head"):
             close({"head"}, frozenset())
-        elif tag in ENDS_P and len(stack) > 1 and stack[-1].tag == "head":
-            close({"head"}, frozenset())
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag == "html" or (tag == "body" and places["body"]):
             continue
         node = Node(tag, _number(attributes.get("colspan"), 1, 100), _number(attributes.get("start"), 0, 10**9))
         unseen = tag in UNSEEN or "hidden" in attributes or bool(_UNSEEN_STYLE.search(attributes.get("style", "")))
@@ -131,11 +138,9 @@ def parse(source: str) -> Node:
             continue
         if not hidden and not unseen:
             stack[-1].children.append(node)
-        if tag in VOID or (token.endswith("/>") and tag in ("svg", "math")) or len(stack) >= DEEPEST:
-            if len(stack) >= DEEPEST and tag in UNSEEN:
-                end = re.compile(f"</{tag}\\s*>", re.I).search(source, at)
-                at = end.end() if end else n
+        if tag in VOID or (token.endswith("/>") and tag in ("svg", "math")):
             continue
+        places[tag].append(len(stack))
         stack.append(node)
         if unseen and not hidden:
             hidden = len(stack) - 1
@@ -201,41 +206,53 @@ class Writer:
         return "\n".join(self.lines).strip("\n")
 
 
-def _cells(row: Node) -> list[tuple[str, int]]:
-    out = []
+def run(steps: Iterator) -> None:
+    """Run a generator and those it yields, each to its end before the next step: recursion of any depth."""
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _cells(row: Node, out: list[tuple[str, int]]) -> Iterator:
     for c in row.children:
         if isinstance(c, Node) and c.tag in ("td", "th"):
             w = Writer()
-            render(c, w, False)
+            yield render(c, w, False)
             out.append((" ".join(x.strip() for x in w.result().split("\n") if x.strip()), c.span))
-    return out
 
 
-def _table(node: Node, w: Writer) -> None:
+def _table(node: Node, w: Writer) -> Iterator:
     """Rows of cells, each column as wide as its widest cell."""
     rows: list[list[tuple[str, int]]] = []
     loose: list[Node | str] = []
-
-    def walk(x: Node) -> None:
-        for c in x.children:
+    open_ = [iter(node.children)]
+    while open_:
+        for c in open_[-1]:
             if isinstance(c, Node) and c.tag == "tr":
-                rows.append(_cells(c))
+                rows.append([])
+                yield _cells(c, rows[-1])
                 loose.extend(y for y in c.children if not (isinstance(y, Node) and y.tag in ("td", "th")))
             elif isinstance(c, Node) and c.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                walk(c)
+                open_.append(iter(c.children))
+                break
             elif isinstance(c, Node) and c.tag in ("td", "th"):  # a cell without a row
                 holder = Node("tr")
                 holder.children.append(c)
-                rows.append(_cells(holder))
+                rows.append([])
+                yield _cells(holder, rows[-1])
             else:
                 loose.append(c)
-
-    walk(node)
+        else:
+            open_.pop()
     for x in loose:  # captions, and what doesn't belong into a table, stand before it
         if isinstance(x, str):
             w.text(x)
         else:
-            render_one(x, w, False)
+            yield render_one(x, w, False)
     w.block(1)
     width: dict[int, int] = {}
     for row in rows:
@@ -257,7 +274,7 @@ def _table(node: Node, w: Writer) -> None:
             w.end()
 
 
-def render_one(c: Node, w: Writer, pre: bool) -> None:
+def render_one(c: Node, w: Writer, pre: bool) -> Iterator:
     tag = c.tag
     if tag == "br":
         if w.line:
@@ -271,7 +288,7 @@ def render_one(c: Node, w: Writer, pre: bool) -> None:
     if gap:
         w.block(gap)
     if tag == "table":
-        _table(c, w)
+        yield _table(c, w)
     elif tag in ("ul", "ol", "menu", "dir"):
         k = c.start
         for x in c.children:
@@ -281,29 +298,29 @@ def render_one(c: Node, w: Writer, pre: bool) -> None:
                 w.block(1)
                 w.indent += " " * len(bullet)
                 w.bullet = bullet
-                render(x, w, pre)
+                yield render(x, w, pre)
                 w.block(1)
                 w.bullet = None
                 w.indent = w.indent[: -len(bullet)]
             elif isinstance(x, Node):
-                render_one(x, w, pre)
+                yield render_one(x, w, pre)
             else:
                 w.text(x)
     elif tag in ("blockquote", "dd"):
         w.indent += "  "
-        render(c, w, pre)
+        yield render(c, w, pre)
         w.end()
         w.indent = w.indent[:-2]
     else:
-        render(c, w, pre or tag in ("pre", "textarea", "xmp"))
+        yield render(c, w, pre or tag in ("pre", "textarea", "xmp"))
     if gap:
         w.block(gap)
 
 
-def render(node: Node, w: Writer, pre: bool) -> None:
+def render(node: Node, w: Writer, pre: bool) -> Iterator:
     for c in node.children:
         if isinstance(c, Node):
-            render_one(c, w, pre)
+            yield render_one(c, w, pre)
         elif pre:
             w.verbatim(c)
         else:
@@ -315,7 +332,7 @@ def page_text(source: str | None) -> str | None:
     if source is None:
         return None
     w = Writer()
-    render(parse(source), w, False)
+    run(render(parse(source), w, False))
     return w.result()
 
 
@@ -323,7 +340,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", source: str = "html
     """page_id and the visible text of each row; nothing is shuffled.
 
     Null pages give null, empty ones and ones without visible text ''. Whole pages are read,
-    however long; elements nested deeper than DEEPEST are flattened with their text kept.
+    however long and deep.
     Repeated rows give repeated rows.
     """
     kind = pages.schema[page_id].dataType.simpleString()
