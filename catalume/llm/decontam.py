@@ -239,17 +239,19 @@ def cut_spans(text: str, spans: list) -> str:
     return "".join([*out, text[pos:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 9, max_coverage: float = 0.5, text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 9, max_coverage: float = 0.5, text: str = "text", least_item: int = 5) -> DataFrame:
     """Clean documents: hit spans of more than ``max_span`` words are cut out, and documents of which more than ``max_coverage`` of the words are hit are dropped.
 
-    Spans shorter than that (of short items) stay. Untouched documents are returned as they are.
+    A span shorter than ``window`` is made of whole short items; it is cut out too if it has
+    ``least_item`` words or more. Shorter ones, which plain language has by chance, stay, and
+    :func:`overlap_report` tells the documents with such hits. Untouched documents are returned as they are.
     Columns are those of ``docs``; n_chars, if there, follows the new text.
     """
     other = [c for c in docs.columns if c != text]
     row = F.struct(*[docs[c] for c in other]) if other else F.lit(None)
     x = find_overlaps(docs.select(row.alias("row"), docs[text].alias("text")), items, window)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    long_spans = F.filter("hit_spans", lambda s: s[1] - s[0] > max_span)
+    long_spans = F.filter("hit_spans", lambda s: (s[1] - s[0] > max_span) | ((s[1] - s[0] >= least_item) & (s[1] - s[0] < window)))
 
     @F.pandas_udf(T.StringType())
     def cut(t: pd.Series, s: pd.Series) -> pd.Series:
