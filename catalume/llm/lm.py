@@ -1,54 +1,63 @@
-"""A probabilistic suffix tree over words: learning by counting jobs, scoring by longest suffix.
-
-The tree (Ron, Singer and Tishby, 1996) has a state for each retained context of up to ``DEPTH``
-words. Evidence is absolute, whatever the size of the corpus: a word has its own estimate in a
-state if it followed the context ``LEAST`` times or more; a context stays if its next-word
-distribution diverges from that of its longest proper suffix. The rest of the mass goes to the
-parent's distribution, at the root to that of single words with one added to each count.
-
-States and estimates grow with the corpus, so they are tables. In logarithms a word's probability
-is the sum of what the root says of the word, what each state on the way gives to its parent, and
-how far an own estimate is above what the parent says; a word that has none adds 0. Pairs and
-triples of words are known by 64-bit hashes. They are counted, and later met with the tables, in
-buckets of hashes: a task sends each bucket its hashes as packed arrays, equal ones counted
-before, so that no word, pair or document makes a hot task.
-
-``Tree`` is a cache of the tables that every task holds: words and estimates of 1 / FREQUENT of
-the corpus or more, two-word contexts of 1 / CONTEXTS or more. It has a bound, saves most of the
-meeting for common words, and changes no result. Other words meet their counts in a join.
+"""A probabilistic suffix tree over words: counting, divergence tests and scoring by longest suffix.
+
+The tree (Ron, Singer and Tishby, 1996) has a state for each retained context of one to ``depth``
+words. Evidence is absolute, whatever the size of the corpus: a word has an own estimate in a
+state if it followed the context ``least`` times or more, and a context is retained if its count
+times the divergence of its next-word distribution from that of its longest retained suffix is
+``divergence`` nats or more. The rest of the mass of a state goes to the distribution of its
+longest retained suffix, at the root to that of single words with one added to each count.
+
+The tree grows with the corpus, so no task and no driver ever holds it. Texts are put into chunks
+of about ``chunk`` words, once, and meet the corpus level by level. In a meeting each chunk sends
+every distinct run of words once, as a 64-bit hash, with what it counts of it; the hashes are dealt
+to buckets by their leading bits, a bucket adds up the chunks and answers each of them. Runs of
+m words are counted only where both runs of m - 1 words in them occurred ``least`` times, which
+loses none that does. Words, pairs or documents that are everywhere thus cost one hash a chunk and
+make no hot task. Messages are sorted, as differences and by planes of bytes, and compressed.
+
+Meeting m counts runs of m words and tests the contexts of m - 2 words.
 """
 
 from __future__ import annotations
 
 import gc
-import hashlib
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.sources.scratch import stage_table
-
-#: Two-word contexts, and words and estimates of a level, that tasks hold at most; words of a context.
-CONTEXTS, FREQUENT, DEPTH = 8_192, 131_072, 2
-#: Times that a context and word must follow each other for an own estimate.
-LEAST = 2
-#: What is taken from each count with an own estimate and given to the parent.
-DISCOUNT = 0.5
-#: A context stays if its count times the divergence from its suffix (in nats) is this or more.
-DIVERGENCE = 20.0
-#: Counts that a task holds before it passes them on.
-HELD = 400_000
-#: Bytes of text for each bucket of hashes.
-BUCKET = 8_000_000
+from catalume.sources.scratch import scratch_dir, stage_table
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How a tree is learned (the first four), and how the work is cut up (no result depends on it)."""
+
+    #: Words of the longest contexts.
+    depth: int = 4
+    #: Times that a context and word must follow each other for an own estimate.
+    least: int = 2
+    #: What is taken from each count with an own estimate and given to the suffix; a multiple of 1/4.
+    discount: float = 0.75
+    #: A context is retained if its count times the divergence from its suffix (in nats) is this or more.
+    divergence: float = 6.0
+    #: Words of a chunk (one more text may end it), and bytes of text for each bucket of hashes and of chunks.
+    chunk: int = 1_250_000
+    bucket: int = 16_000_000
+
 
 END = b"\n"  # no word holds white space
 
+_MESSAGE = "what string, level int, bucket int, chunk long, keys binary, x binary, y binary, z binary"
+_ANSWER = "what string, level int, bucket int, chunk long, data binary, total long, kinds long"
+
 
 def tokens(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words and the end."""
@@ -62,72 +71,243 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _word_counts(train: DataFrame) -> DataFrame:
-    """word (binary), c: of all training tokens. Each task adds up its own before the shuffle."""
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers in the fewest bytes, first the lowest bytes of all, then the next, compressed."""
+    if x.dtype.kind in "iu":
+        top = int(x.max()) if len(x) else 0
+        x = x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+    return x.dtype.str.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: Counter = Counter()
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(have.keys(), pa.binary()), pa.array(have.values(), pa.int64())], names=["word", "c"])
-        for b in batches:
-            for t in b.column(0):
-                have.update(tokens(t.as_py()))
-                if len(have) > HELD:
-                    yield give()
-                    have = Counter()
-        yield give()
-
-    return train.mapInArrow(scan, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def _unpack(data: bytes) -> np.ndarray:
+    kind = np.dtype(data[:3].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[3:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
-class _Hashes(dict):
-    """64-bit hashes of words, the last ones kept."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return h
+def _sorted_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data).astype(np.uint64), dtype=np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
 
-END_HASH = _Hashes()[END]
 
+_CHUNK_ROW = "chunk long, doc_ids binary, no_id binary, held binary, lengths binary, hashes binary, ids binary"
 
-def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Unsigned hash of each two hashes in this order."""
-    x = left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.view(np.uint64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
 
+def _chunks(docs: DataFrame, most: int) -> DataFrame:
+    """Rows (doc_id, held, text) as chunks: their words as numbers into the hashes of the chunk's words."""
 
-def _pairs_and_triples(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """level, place of the last word, left, right and their hash. ``h`` are words of texts one after the other.
-
-    Left of a pair is a word, of a triple the pair of its first two words; right is the next word,
-    or the pair of the last two words. Nothing goes beyond the end of a text.
-    """
-    inside = h[:-1] != END_HASH
-    at = np.flatnonzero(inside) + 1
-    pair = _mix(h[:-1], h[1:]).view(np.int64)
-    yield 2, at, h[at - 1], h[at], pair[at - 1].view(np.uint64)
-    at = np.flatnonzero(inside[:-1] & inside[1:]) + 2
-    yield 3, at, pair[at - 2], pair[at - 1], _mix(pair[at - 2], pair[at - 1])
-
-
-def _cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of sorted hashes, and where each starts."""
-    return np.unique((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), return_index=True)
-
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 32
+        vocabulary: dict[bytes, int] = {}
+        ids, lengths, doc_ids, held = [], [], [], []
+        size = 0
 
-def _bucket(key: Column, buckets: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned(key, 40) * buckets, 24).cast("int")
+        def give() -> Iterator[pa.RecordBatch]:
+            row = {
+                "chunk": made, "doc_ids": _pack(np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)), "no_id": _pack(np.array([d is None for d in doc_ids], np.uint8)),
+                "held": _pack(np.array(held, np.uint8)), "lengths": _pack(np.array(lengths)),
+                "hashes": _pack(np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))), "ids": _pack(np.concatenate(ids)),
+            }
+            yield from _table(_CHUNK_ROW, [row]).to_batches()
 
+        for b in batches:
+            for d, h, t in zip(*b.columns, strict=True):
+                words = tokens(t.as_py())
+                for w in set(words).difference(vocabulary):
+                    vocabulary[w] = len(vocabulary)
+                ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)))
+                lengths.append(len(words))
+                doc_ids.append(d.as_py())
+                held.append(h.as_py())
+                size += len(words)
+                if size >= most:
+                    yield from give()
+                    made, size = made + 1, 0
+                    vocabulary = {}
+                    ids, lengths, doc_ids, held = [], [], [], []
+        if size:
+            yield from give()
 
-def _buckets(texts: DataFrame) -> int:
-    return 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET
+    return docs.mapInArrow(scan, _CHUNK_ROW)
+
+
+def _hashes(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+class _Chunk:
+    """A chunk, with what it knows so far: c[m] is the count of the run of m words that ends at a
+    place, b[k] the mass of own estimates of the context of k words before it (0: not retained)."""
+
+    def __init__(self, row: dict, how: Settings):
+        self.how = how
+        self.chunk = row["chunk"]
+        self.word_hash, self.ids, self.lengths = (_unpack(row[c]) for c in ("hashes", "ids", "lengths"))
+        self.word_hash = self.word_hash.astype(np.uint64)
+        self.ids, self.lengths = self.ids.astype(np.int64), self.lengths.astype(np.int64)
+        self.held = _unpack(row["held"]).astype(bool)
+        self.doc_ids, self.no_id = _unpack(row["doc_ids"]).astype(np.uint64).view(np.int64), _unpack(row["no_id"]).astype(bool)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        #: words of the text before a place
+        self.age = np.arange(len(self.ids)) - np.repeat(self.first, self.lengths)
+        self.train = np.repeat(~self.held, self.lengths)
+        self._run = [self.word_hash[self.ids]]
+        self.c: dict[int, np.ndarray] = {}
+        self.b: dict[int, np.ndarray] = {}
+
+    def run(self, m: int) -> np.ndarray:
+        """Hash of the m words that end at each place (of no use where fewer are there)."""
+        while len(self._run) < m:
+            x = self._run[-1].copy()
+            x[1:] = _hashes(self._run[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + self._run[0][1:])
+            self._run.append(x)
+        return self._run[m - 1]
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate((x[:1], x[:-1]))
+
+    def counted(self, m: int) -> np.ndarray:
+        """Places whose run of m words is counted."""
+        often = self.c[m - 1] >= self.how.least
+        return np.flatnonzero((self.age >= m - 1) & often & self.before(often))
+
+    def tested(self, k: int) -> np.ndarray:
+        """Places whose context of k words may be retained: not if the context has as many
+        occurrences as it takes, and this one isn't among those of an own estimate."""
+        n = self.before(self.c[k])
+        dead = self.train & (n == self.how.least) & (self.c[k + 1] < self.how.least)
+        return np.flatnonzero((self.age >= k) & (n >= self.how.least) & ~dead)
+
+    def distinct(self, what: str, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct sorted hashes that the chunk asks for; places; and the hash of each place."""
+        if what == "count" and m == 1:
+            u, at = np.unique(self.word_hash, return_inverse=True)
+            return u, np.arange(len(self.ids)), at[self.ids]
+        places = self.counted(m) if what == "count" else self.tested(m)
+        keys = self.run(m)[places] if what == "count" else self.run(m)[places - 1]
+        u, at = np.unique(keys, return_inverse=True)
+        return u, places, at
+
+    def take(self, what: str, m: int, answers: list[np.ndarray]) -> None:
+        """Put the answers, in the order of the hashes, to their places."""
+        _, places, at = self.distinct(what, m)
+        out = np.zeros(len(self.ids), np.int64)
+        if len(places):
+            out[places] = np.concatenate(answers).astype(np.int64)[at]
+        (self.c if what == "count" else self.b)[m] = out
+
+    def probability(self, root: np.ndarray, upto: int) -> np.ndarray:
+        """Of each word in the longest retained suffix of up to ``upto`` words."""
+        p = root
+        for k in range(1, upto + 1):
+            b = self.b[k] / 4
+            some = np.flatnonzero(b)
+            n = self.before(self.c[k])[some]
+            own = self.c[k + 1][some]
+            own = np.where(own >= self.how.least, own - self.how.discount, 0.0)
+            p = p.copy()
+            p[some] = own / n + (1 - b[some] / n) * p[some]
+        return p
+
+    def root(self, total: int, kinds: int) -> np.ndarray:
+        return (self.c[1] + 1) / float(total + kinds + 1)
+
+    def messages(self, what: str, m: int, buckets: int, total: int, kinds: int) -> Iterator[dict]:
+        keys, places, at = self.distinct(what, m)
+        if what == "count":
+            columns = [np.bincount(at, self.train[places], len(keys)).astype(np.int64)]
+        else:
+            n, own, p = self.before(self.c[m])[places], self.c[m + 1][places], self.probability(self.root(total, kinds), m - 1)[places]
+            share = np.where(self.train[places] & (own >= self.how.least), (own - self.how.discount) / np.maximum(own, 1), 0.0)
+            gain = share * np.log(np.where(share > 0, (own - self.how.discount) / (n * p), 1.0))
+            every = np.zeros(len(keys), np.int64)
+            every[at] = n
+            columns = [np.bincount(at, gain, len(keys)).astype(np.float32), np.bincount(at, share, len(keys)).astype(np.float32), every]
+        if not len(keys):
+            return
+        number, start = np.unique((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), return_index=True)
+        for k, (a, b) in enumerate(zip(start, np.append(start[1:], len(keys)), strict=True)):
+            yield {"what": what, "level": m, "bucket": int(number[k]), "chunk": self.chunk, "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0)))} | {name: _pack(x[a:b]) for name, x in zip("xyz", columns, strict=False)}
+
+
+def _known(row: pa.Table, came: pa.Table, meeting: int, how: Settings) -> _Chunk:
+    """The chunk before a meeting with all that came for it: what it kept, and answers of the last in the order of their buckets."""
+    x = _Chunk(row.to_pylist()[0], how)
+    rows = sorted(came.to_pylist(), key=lambda r: (r["level"], r["what"] != "count", r["bucket"]))
+    for r in rows:
+        if r["what"] in ("c", "b"):
+            getattr(x, r["what"])[r["level"]] = _unpack(r["data"]).astype(np.int64)
+    for what, m in _due(meeting - 1, how.depth):
+        x.take(what, m, [_unpack(r["data"]) for r in rows if (r["what"], r["level"]) == (what, m)])
+    return x
+
+
+def _due(meeting: int, depth: int) -> list[tuple[str, int]]:
+    """What a meeting asks."""
+    return [("count", meeting)] * (1 <= meeting <= depth + 1) + [("test", meeting - 2)] * (1 <= meeting - 2 <= depth)
+
+
+def _answerer(how: Settings) -> Callable[[pa.Table], pa.Table]:
+    def answer(group: pa.Table) -> pa.Table:
+        """Adds up what the chunks sent a bucket, and answers each of them; passes on what they keep."""
+        rows = group.to_pylist()
+        head = {k: rows[0][k] for k in ("what", "level", "bucket")}
+        if head["what"] in ("c", "b"):
+            return _table(_ANSWER, [{k: r[k] for k in ("what", "level", "bucket", "chunk")} | {"data": r["x"]} for r in rows])
+        sent = [_sorted_keys(r["keys"]) for r in rows]
+        keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+        column = lambda c: np.concatenate([_unpack(r[c]) for r in rows])
+        summed = lambda c: np.bincount(at, column(c), len(keys))
+        out = []
+        if head["what"] == "count":
+            c = summed("x").astype(np.int64)
+            if head["level"] == 1:
+                out.append(head | {"what": "total", "chunk": -1, "total": int(c.sum()), "kinds": int((c > 0).sum())})
+            else:
+                c[c < how.least] = 0
+            say = c
+        else:
+            n = np.zeros(len(keys))
+            n[at] = column("z")
+            mass = np.round(4 * summed("y")) / 4  # sums of counts less the discount
+            rest = n - mass
+            # the rest of the mass is compared as one symbol that the suffix gives 1 at most
+            gain = summed("x") + rest * np.log(np.maximum(rest, 1e-9) / n)
+            kept = (mass > 0) & (gain >= how.divergence)
+            say = np.where(kept, 4 * mass, 0).astype(np.int64)
+            out.append(head | {"what": "states", "chunk": -1, "data": _pack(np.stack([keys[kept], n[kept].astype(np.uint64), say[kept].astype(np.uint64)], 1).ravel()), "kinds": int(kept.sum())})
+        stop = np.cumsum([len(x) for x in sent])
+        for r, x, b in zip(rows, sent, stop, strict=True):
+            out.append(head | {"chunk": r["chunk"], "data": _pack(say[at[b - len(x) : b]])})
+        return _table(_ANSWER, out)
+
+    return answer
+
+
+def _asker(meeting: int, how: Settings, buckets: int, total: int, kinds: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What a chunk sends to a meeting: its questions, and to itself what it knows."""
+
+    def ask(row: pa.Table, came: pa.Table) -> pa.Table:
+        if not len(row):
+            return _table(_MESSAGE, [])
+        x = _known(row, came, meeting, how)
+        out = []
+        for what, values in (("c", x.c), ("b", x.b)):
+            out += [{"what": what, "level": m, "bucket": (x.chunk * 0x9E3779B97F4A7C15 >> 40) % buckets, "chunk": x.chunk, "x": _pack(v)} for m, v in values.items()]
+        for what, m in _due(meeting, how.depth):
+            out += x.messages(what, m, buckets, total, kinds)
+        return _table(_MESSAGE, out)
+
+    return ask
 
 
 def _free(spark: SparkSession, *tables: DataFrame) -> None:
@@ -141,217 +321,61 @@ def _free(spark: SparkSession, *tables: DataFrame) -> None:
     jvm.java.lang.System.gc()
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """First the lowest bytes of all, then the next: the high bytes of sorted numbers pack well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
+_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_STATE = "depth int, context long, n long, own double"
 
-def _from_planes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
+def _scores(x: _Chunk, total: int, kinds: int) -> pa.Table:
+    root = x.root(total, kinds)
+    by_text = lambda v: np.add.reduceat(v, x.first)
+    return pa.table({
+        "doc_id": pa.array(x.doc_ids, mask=x.no_id), "held_out": pa.array(x.held), "n_tokens": pa.array(x.lengths), "n_known": pa.array(by_text((x.c[1] > 0).astype(np.int64))),
+        "train_tokens": pa.array(np.full(len(x.first), total, np.int64)), "base_score": pa.array(by_text(np.log10(root))), "score": pa.array(by_text(np.log10(x.probability(root, x.how.depth)))),
+    })
 
-def _gram_counts(train: DataFrame, of: int) -> DataFrame:
-    """key, left, right, c: of the pairs (2) or triples (3) with LEAST occurrences or more."""
-    buckets = _buckets(train)
-    names = ["bucket", "left", "right", "c"]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held = _Hashes(), [], 0
-
-        def give() -> Iterator[pa.RecordBatch]:
-            for level, _, left, right, key in _pairs_and_triples(np.concatenate(parts)):
-                if level != of:
-                    continue
-                key, first, c = np.unique(key, return_index=True, return_counts=True)
-                left, right, c = left[first], right[first], c.astype(np.int32)
-                number, start = _cuts(key, buckets)
-                cut = lambda x, start=start: pa.array([y.tobytes() for y in np.split(x, start[1:])] if len(start) else [], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), cut(left), cut(right), cut(c)], names=names)
+def learn_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: Column | None = None, how: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Scores of all texts, and the states of the tree that was learned from those with ``learn``.
 
+    Scores: as of :func:`score_texts`. States: depth, context (hash of its words), n (its count),
+    own (mass of its own estimates, in counts); the rest of n goes to the longest retained suffix.
+    """
+    spark = docs.sparkSession
+    out_of = ~learn if learn is not None else held_out(docs[doc_id].cast("long"))
+    narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), out_of.alias("held"), docs[text].alias("text"))
+    buckets = 1 + (narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // how.bucket
+    # in buckets by chunk, so that later jobs read it by chunk without a shuffle
+    name, path = f"chunks_{uuid.uuid4().hex}", f"{scratch_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    _chunks(narrow, how.chunk).write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
+    chunks = spark.table(name)
+    total = kinds = 0
+    came, states = None, []
+    for meeting in range(1, how.depth + 3):
+        none = spark.createDataFrame([], _ANSWER)
+        asked = chunks.groupBy("chunk").cogroup((none if came is None else came.filter("chunk >= 0")).groupBy("chunk")).applyInArrow(_asker(meeting, how, buckets, total, kinds), _MESSAGE)
+        before, came = came, stage_table(asked.groupBy("what", "level", "bucket").applyInArrow(_answerer(how), _ANSWER), "answers")
+        _free(spark, *([before] if before is not None else []))
+        if meeting == 1:
+            total, kinds = came.filter("what = 'total'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+        if ("test", meeting - 2) in _due(meeting, how.depth):
+            states.append(stage_table(came.filter("what = 'states' and kinds > 0").select("level", "data"), "states"))
+
+    def score(row: pa.Table, came: pa.Table) -> pa.Table:
+        return _scores(_known(row, came, how.depth + 3, how), total, kinds) if len(row) else _table(_SCORE, [])
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
-                parts.append(hashes.of(tokens(t.as_py())))
-                held += len(parts[-1])
-                if held > 4 * HELD:
-                    yield from give()
-                    parts, held = [], 0
-        if parts:
-            yield from give()
+            for level, data in zip(*b.columns, strict=True):
+                key, n, own = _unpack(data.as_py()).astype(np.uint64).reshape(-1, 3).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level.as_py(), np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(own / 4)], names=["depth", "context", "n", "own"])
 
-    def add_up(group: pa.Table) -> pa.Table:
-        left, right, c = (np.frombuffer(b"".join(group[k].to_pylist()), t) for k, t in (("left", np.int64), ("right", np.int64), ("c", np.int32)))
-        key, first, where = np.unique(_mix(left, right), return_index=True, return_inverse=True)
-        c = np.bincount(where, c, len(key)).astype(np.int64)
-        keep = c >= LEAST
-        first = first[keep]
-        return pa.table({"key": key[keep].view(np.int64), "left": left[first], "right": right[first], "c": c[keep]})
-
-    packed = train.mapInArrow(scan, "bucket int, left binary, right binary, c binary")
-    return packed.groupBy("bucket").applyInArrow(add_up, "key long, left long, right long, c long")
-
-
-def _estimates(grams: DataFrame) -> DataFrame:
-    """``grams`` (key, left, right, c, all: of the context, up: log10 of the parent's probability) with
-    give (log10 of what the state gives to its parent, null if it isn't retained) and log (log10 of
-    the probability in the longest retained suffix)."""
-    sums = grams.groupBy("left").agg(
-        F.first("all").alias("n"), F.sum("c").alias("own"), F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.lit(10.0), "up")).alias("said"),
-        F.sum(F.col("c") * (F.log(F.col("c") / F.col("all")) - F.col("up") * F.log(F.lit(10.0)))).alias("gain"),
-    )
-    other = 1 - F.col("own") / F.col("n")
-    # the rest of the mass is compared as one symbol
-    gain = F.col("gain") + F.when(F.col("own") < F.col("n"), F.col("n") * other * F.log(other / F.greatest(F.lit(1e-12), 1 - F.col("said")))).otherwise(0.0)
-    kept = sums.filter(gain >= DIVERGENCE).select("left", F.log10(other + DISCOUNT * F.col("kinds") / F.col("n")).alias("give"))
-    own = F.log10((F.col("c") - DISCOUNT) / F.col("all") + F.pow(F.lit(10.0), F.col("give") + F.col("up")))
-    return grams.join(kept, "left", "left").withColumn("log", F.when(F.col("give").isNull(), F.col("up")).otherwise(own))
-
-
-class Model:
-    """The tables of a corpus. words: word, h, c, root (log10), give. pairs, triples: as of ``_estimates``."""
-
-    def __init__(self, train: DataFrame, counts: DataFrame):
-        self.total, self.kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h = _Hashes().of([w.as_py() for w in b.column(0)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h)], names=["word", "c", "h"])
-
-        spark = train.sparkSession
-        words = stage_table(counts.select("word", "c").mapInArrow(scan, "word binary, c long, h long").withColumn("root", F.log10((F.col("c") + 1) / F.lit(float(self.total + self.kinds + 1)))), "words")
-        _free(spark)
-        grams = stage_table(_gram_counts(train, 2), "grams")
-        _free(spark)
-        pairs = stage_table(grams.join(words.select(F.col("h").alias("left"), F.col("c").alias("all")), "left").join(words.select(F.col("h").alias("right"), F.col("root").alias("up")), "right"), "pairs")
-        _free(spark, grams)
-        self.pairs = stage_table(_estimates(pairs), "pairs")
-        _free(spark, pairs)
-        grams = stage_table(_gram_counts(train, 3), "grams")
-        _free(spark)
-        whole = self.pairs.select(F.col("key").alias("left"), F.col("c").alias("all"))
-        triples = stage_table(grams.join(whole, "left").join(self.pairs.select(F.col("key").alias("right"), F.col("log").alias("up")), "right"), "triples")
-        _free(spark, grams)
-        self.triples = stage_table(_estimates(triples), "triples")
-        _free(spark, triples)
-        gives = lambda x, name: x.filter(F.col("give").isNotNull()).groupBy("left").agg(F.first("give").alias("give")).withColumnRenamed("left", name)
-        self.words = stage_table(words.join(gives(self.pairs, "h"), "h", "left"), "words")
-        self.contexts = stage_table(self.pairs.select("key", "left", "right", "c").join(gives(self.triples, "key"), "key"), "contexts")
-        _free(spark, words)
-
-    def lookups(self) -> DataFrame:
-        """level, key, above (what an own estimate is above the parent's), give (of the pair as a context)."""
-        above = lambda x: F.when(F.col("give").isNotNull(), F.col("log") - F.col("give") - F.col("up")).otherwise(0.0).alias("above")
-        pairs = self.pairs.select("key", above(self.pairs)).join(self.contexts.select("key", "give"), "key", "left").filter("above != 0 or give is not null")
-        triples = self.triples.filter(F.col("give").isNotNull()).select(F.lit(3).alias("level"), "key", above(self.triples), F.lit(0.0).alias("give"))
-        return pairs.select(F.lit(2).alias("level"), "key", "above", F.coalesce("give", F.lit(0.0)).alias("give")).unionByName(triples)
-
-
-class Tree:
-    """The part of the model that every task holds: frequent words, states and own estimates."""
-
-    def __init__(self, words: list[tuple[bytes, int]], total: int, kinds: int):
-        self.ids = {w: i for i, (w, _) in enumerate(words)}
-        self.total, self.kinds = total, kinds
-        self.log_root = np.log10((np.array([c for _, c in words] or [0]) + 1) / (total + kinds + 1))
-        n = len(words)
-        #: 0 is the root. Contexts of two words have the code u * words + v.
-        self.depth_of = [0]
-        self.after_word = np.zeros(n + 1, np.int64)  # word -> state of the one-word context, if retained
-        self.after_key = np.zeros(0, np.int64)  # code of a two-word context -> state, sorted
-        self.after_state = np.zeros(0, np.int64)
-        self.own_key = np.zeros(0, np.int64)  # (state, word) -> log10 of the probability, sorted
-        self.own_log = np.zeros(0)
-        self.own_triple = np.zeros(0, bool)  # whether it is that of a triple, not the parent's times what the state gives
-        self.rest_log = np.zeros(1)  # of a state: log10 of what it gives to the root for a word without own estimates on the way
-
-    @property
-    def n(self) -> int:
-        return max(1, len(self.ids))
-
-    def word_ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.get, words, [-1] * len(words)), np.int64, len(words))
-
-    def states(self, ids: np.ndarray) -> np.ndarray:
-        """The state before each word: the longest retained suffix of the words so far."""
-        s = np.zeros(len(ids), np.int64)
-        if len(ids) > 1:
-            s[1:] = self.after_word[ids[:-1]]
-        if len(self.after_key) and len(ids) > 2:
-            u, v = ids[:-2], ids[1:-1]
-            code = np.where((u >= 0) & (v >= 0), u * self.n + v, -1)
-            at = np.minimum(np.searchsorted(self.after_key, code), len(self.after_key) - 1)
-            s[2:] = np.where(self.after_key[at] == code, self.after_state[at], s[2:])
-        return s
-
-    def look(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each word log10 as far as the tree knows it; and whether it knows the pair, the triple, and the two words before as a state."""
-        s = self.states(ids)
-        known = ids >= 0
-        log = np.where(known, self.log_root[ids], 0.0) + self.rest_log[s]
-        pair = np.zeros(len(ids), bool)
-        triple = pair
-        if len(self.own_key):
-            code = np.where(known & (s > 0), s * self.n + ids, -1)
-            at = np.minimum(np.searchsorted(self.own_key, code), len(self.own_key) - 1)
-            pair = self.own_key[at] == code
-            log = np.where(pair, self.own_log[at], log)
-            triple = pair & self.own_triple[at]
-        return log, pair, triple, np.array(self.depth_of)[s] == 2
-
-    def score(self, ids: np.ndarray) -> tuple[float, float]:
-        """Sums of log10 over the words of a text: of the root over frequent words, and of the tree over all, without the root's part of rare words."""
-        return float(self.log_root[ids[ids >= 0]].sum()), float(self.look(ids)[0].sum())
-
-
-def _cache(model: Model) -> Tree:
-    """The tree of the frequent words, contexts and estimates of the tables."""
-    total = model.total
-    often = lambda x, share: x.filter(F.col("c") * share >= total).collect() if total else []
-    found = sorted(often(model.words.select("word", "c", "h", "give"), FREQUENT), key=lambda r: (-r["c"], bytes(r["word"])))
-    tree = Tree([(bytes(r["word"]), r["c"]) for r in found], total, model.kinds)
-    n, word = tree.n, {r["h"]: i for i, r in enumerate(found)}
-    rest = [0.0]
-    for i, r in enumerate(found):
-        if r["give"] is not None:
-            tree.after_word[i] = len(rest)
-            rest.append(r["give"])
-    tree.depth_of += [1] * (len(rest) - 1)
-    pairs = often(model.pairs.select("key", "left", "right", "c", "give", "log"), FREQUENT)
-    last = {r["key"]: word[r["right"]] for r in pairs}
-    own: dict[int, tuple[float, bool]] = {}
-    of_word: dict[int, list[tuple[int, float]]] = {}
-    for r in pairs:
-        if r["give"] is not None:
-            v, w = word[r["left"]], word[r["right"]]
-            own[int(tree.after_word[v]) * n + w] = (r["log"], False)
-            of_word.setdefault(v, []).append((w, r["log"]))
-    triples: dict[int, list] = {}
-    for r in often(model.triples.filter(F.col("give").isNotNull()).select("left", "right", "c", "log"), FREQUENT):
-        triples.setdefault(r["left"], []).append((last[r["right"]], r["log"]))
-    after = {}
-    for r in sorted(often(model.contexts, CONTEXTS), key=lambda r: (-r["c"], r["key"])):
-        u, v = word[r["left"]], word[r["right"]]
-        if len(own) + len(of_word.get(v, ())) > 8 * FREQUENT and len(own) > 8 * len(found):
-            continue  # it is met in the tables
-        s = after[u * n + v] = len(rest)
-        rest.append(r["give"] + rest[tree.after_word[v]])
-        for w, log in of_word.get(v, ()):
-            own[s * n + w] = (r["give"] + log, False)
-        for w, log in triples.get(r["key"], ()):
-            own[s * n + w] = (log, True)
-    tree.depth_of += [2] * len(after)
-    tree.after_key = np.array(sorted(after), np.int64)
-    tree.after_state = np.array([after[k] for k in sorted(after)], np.int64)
-    tree.own_key = np.array(sorted(own), np.int64)
-    tree.own_log = np.array([own[k][0] for k in sorted(own)], float)
-    tree.own_triple = np.array([own[k][1] for k in sorted(own)], bool)
-    tree.rest_log = np.array(rest)
-    return tree
-
-
-def learn(train: DataFrame, counts: DataFrame) -> Tree:
-    """The cached tree of training texts (one column ``text``); ``counts`` are their word counts."""
-    return _cache(Model(train, counts))
+    scores = stage_table(chunks.groupBy("chunk").cogroup(came.filter("chunk >= 0").groupBy("chunk")).applyInArrow(score, _SCORE), "scored")
+    spark.sql(f"drop table {name}")
+    _free(spark, came, chunks)
+    every = states[0]
+    for s in states[1:]:
+        every = every.unionByName(s)
+    return scores, every.mapInArrow(unfold, _STATE)
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,111 +383,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Learns from the documents that aren't held out. base_score: sum over tokens of
     log10((c + 1) / (N + V + 1)). score: log10 probability of the text in the tree, in which a
-    word without its own estimate gets what the state leaves, times the root's probability.
+    word without an own estimate gets what the state leaves, times the suffix's probability.
 
-    A null text is the end alone. A null doc_id counts as the text '' for the split. Repeated
-    rows are counted and scored each on its own. An empty table gives an empty one; without
-    training texts all counts are 0.
+    A null text is the end alone; an empty one too. A very long text is a chunk of its own. A null
+    doc_id counts as the text '' for the split. Repeated rows are counted and scored each on its
+    own. Other columns, whatever their names, are not looked at. An empty table gives an empty
+    one; without training texts all counts are 0. Words and runs of words are known by 64-bit
+    hashes: two that fall together share their counts.
     """
-    narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    train = narrow.filter(~held_out(F.col("doc_id"))).select("text")
-    counts = stage_table(_word_counts(train), "words")
-    model = Model(train, counts)
-    tree = _cache(model)
-    _free(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    buckets = _buckets(narrow)
-    row = "chunk long, row int, doc_id long, n_tokens long, n_frequent long, base double, tree double, rare array<binary>, times array<int>"
-    whole = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
-    asked = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("rows", pa.binary()), *whole])
-    said = pa.schema([("rows", pa.binary()), ("logs", pa.binary()), *whole])
-
-    def batch(schema: pa.Schema, have: dict) -> pa.Table:
-        n = len(next(iter(have.values())))
-        return pa.table([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Tree = shared.value
-        hashes = _Hashes()
-        task = TaskContext.get().partitionId() << 32
-        chunk, held = 0, []
-
-        def give() -> Iterator[pa.RecordBatch]:
-            """Rows as far as the tree knows, and what is asked of each bucket: rows are 4 * row + 2 * (its pair or triple) + (its context)."""
-            doc_ids, ids, h, rare = zip(*held, strict=True)
-            n = np.array([len(x) for x in ids])
-            of, ids, h = np.repeat(np.arange(len(n)), n), np.concatenate(ids), np.concatenate(h)
-            log, pair, triple, state = t.look(ids)
-            total = lambda x: np.bincount(of, x, len(n))
-            known = ids >= 0
-            full = {"chunk": [task + chunk] * len(n), "row": range(len(n)), "doc_id": doc_ids, "n_tokens": n, "n_frequent": total(known).astype(np.int64), "base": total(np.where(known, t.log_root[ids], 0.0)), "tree": total(log), "rare": [list(x) for x in rare], "times": [list(x.values()) for x in rare]}
-            yield from batch(asked, full | {"level": [0] * len(n), "bucket": [chunk % buckets] * len(n)}).to_batches()
-            if not t.total:
-                return
-            for level, at, _, _, key in _pairs_and_triples(h):
-                # a pair is also the context of the word after it
-                own = ~pair[at] if level == 2 else ~triple[at]
-                context = ~np.append(state, True)[at + 1] if level == 2 else np.zeros(len(at), bool)
-                ask = own | context
-                key, code = key[ask], (of[at] * 4 + own * 2 + context)[ask].astype(np.uint16 if len(n) <= 16_384 else np.int32)
-                order = np.argsort(key)
-                key, code = key[order], code[order]
-                number, start = _cuts(key, buckets)
-                cut = lambda x, start=start: [y.tobytes() for y in np.split(x, start[1:])] if len(start) else []
-                yield from batch(asked, {"level": [level] * len(number), "bucket": number.astype(np.int32), "chunk": [task + chunk] * len(number), "keys": [_planes(x) for x in np.split(key, start[1:])][: len(number)], "rows": cut(code)}).to_batches()
-
-        size = 0
-        for b in batches:
-            for d, x in zip(b.column(0), b.column(1), strict=True):
-                words = tokens(x.as_py())
-                ids = t.word_ids(words)
-                held.append((d.as_py(), ids, hashes.of(words), Counter(words[i] for i in np.flatnonzero(ids < 0).tolist())))
-                size += len(words)
-                if size > 2 * HELD:
-                    yield from give()
-                    chunk, held, size = chunk + 1, [], 0
-        if held:
-            yield from give()
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or left["level"][0].as_py() == 0:
-            return batch(said, {k: left[k].combine_chunks() for k in whole.names})
-        keys, above, gives = (right[k].to_numpy() for k in ("key", "above", "give"))
-        order = np.argsort(keys)
-        keys, above, gives = np.append(keys[order], 0), np.append(above[order], 0.0), np.append(gives[order], 0.0)
-        rows, logs = [], []
-        for k, c in zip(left["keys"], left["rows"], strict=True):
-            key = _from_planes(k.as_py())
-            code = np.frombuffer(c.as_py(), np.uint16 if len(c.as_py()) == 2 * len(key) else np.int32)
-            at = np.searchsorted(keys[:-1], key)
-            hit = (keys[at] == key) & (at < len(keys) - 1)
-            at, code = at[hit], code[hit]
-            row, where = np.unique(code >> 2, return_inverse=True)
-            rows.append(row.astype(np.int32).tobytes())
-            logs.append(np.bincount(where, above[at] * (code >> 1 & 1) + gives[at] * (code & 1), len(row)).astype(np.float64).tobytes())
-        return batch(said, {"chunk": left["chunk"].combine_chunks(), "rows": rows, "logs": logs})
-
-    def add_up(group: pa.Table) -> pa.Table:
-        full = group.filter(pa.compute.is_valid(group["row"]))
-        part = group.filter(pa.compute.is_valid(group["rows"]))
-        rows = np.frombuffer(b"".join(part["rows"].to_pylist()), np.int32)
-        more = np.bincount(rows, np.frombuffer(b"".join(part["logs"].to_pylist())), len(full))
-        return batch(whole, {k: full[k].combine_chunks() for k in whole.names} | {"tree": full["tree"].to_numpy() + more[full["row"].to_numpy()]})
-
-    asks = narrow.mapInArrow(scan, f"level int, bucket int, keys binary, rows binary, {row}")
-    table = model.lookups().withColumn("bucket", _bucket(F.col("key"), buckets))
-    answers = asks.groupBy("level", "bucket").cogroup(table.groupBy("level", "bucket")).applyInArrow(answer, f"rows binary, logs binary, {row}")
-    first = answers.groupBy("chunk").applyInArrow(add_up, row)
-    rows = stage_table(first.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    few = model.words.filter(F.col("c") * FREQUENT < tree.total).select("word", "c", "give")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.total + tree.kinds + 1)))
-    part = rare.join(few, "word", "left").groupBy("row").agg(
-        F.sum(log * F.col("times")).alias("log"), F.sum(F.coalesce("give", F.lit(0.0)) * F.col("times")).alias("give"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known")
-    )
-    x = rows.drop("rare", "times").join(part, "row", "left")
-    log = F.coalesce("log", F.lit(0.0))
-    return x.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_frequent") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("tree") + log + F.coalesce("give", F.lit(0.0))).alias("score"),
-    )
+    return learn_and_score(docs, doc_id, text)[0]

@@ -1,56 +1,101 @@
-"""Scores of the suffix tree against a plain version, with caches of any size."""
+"""Scores and states of the suffix tree against a plain version with dictionaries."""
 
 import binascii
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from test_models import corpus, toks
 
 from catalume.llm import lm
 
 
-def plain_scores(rows):
-    """The tree with absolute evidence, as dictionaries."""
-    train = [toks(t) for i, t in rows if binascii.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    c = Counter(w for t in train for w in t)
-    n, v = sum(c.values()), len(c)
-    own, rest = {}, {}
+def learns(i):
+    return binascii.crc32(("" if i is None else str(i)).encode()) % 7 != 2
 
-    def p(context, w):
+
+class Plain:
+    """Every context of the training texts in dictionaries; retained ones in ``states``."""
+
+    def __init__(self, rows, how):
+        train = [toks(t) for i, t in rows if learns(i)]
+        self.how, self.c = how, Counter(w for t in train for w in t)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.states = {}
+        for depth in range(1, how.depth + 1):
+            followers = defaultdict(Counter)
+            for t in train:
+                for k in range(depth, len(t)):
+                    followers[tuple(t[k - depth : k])][t[k]] += 1
+            new = {}
+            for context, f in followers.items():
+                n = sum(f.values())
+                own = {w: k - how.discount for w, k in f.items() if k >= how.least}
+                if not own:
+                    continue
+                rest = n - sum(own.values())
+                gain = sum(x * math.log(x / n / self.p(context[1:], w)) for w, x in own.items()) + rest * math.log(rest / n)
+                if gain >= how.divergence:
+                    new[context] = (n, own)
+            self.states |= new
+
+    def p(self, context, w):
         if not context:
-            return (c[w] + 1) / (n + v + 1)
-        if context not in rest:
-            return p(context[1:], w)
-        return own.get((context, w), rest[context] * p(context[1:], w))
-
-    for depth in (1, 2):
-        followers = defaultdict(Counter)
-        for t in train:
-            for k in range(depth, len(t)):
-                followers[tuple(t[k - depth : k])][t[k]] += 1
-        for context, f in followers.items():
-            every, f = sum(f.values()), {w: k for w, k in f.items() if k >= 2}
-            if not f:
-                continue
-            up = {w: p(context[1:], w) for w in f}
-            mass = sum(f.values())
-            gain = sum(k * math.log(k / every / up[w]) for w, k in f.items())
-            if mass < every:
-                gain += (every - mass) * math.log((1 - mass / every) / max(1e-12, 1 - sum(up.values())))
-            if gain >= 20:
-                give = 1 - mass / every + 0.5 * len(f) / every
-                own |= {(context, w): (k - 0.5) / every + give * up[w] for w, k in f.items()}
-                rest[context] = give
-    return [sum(math.log10(p(tuple(t[max(0, k - 2) : k]), w)) for k, w in enumerate(t)) for t in (toks(t) for _, t in rows)]
-
-
-@pytest.mark.parametrize(("frequent", "contexts", "bucket"), [(lm.FREQUENT, lm.CONTEXTS, lm.BUCKET), (300, 40, 5_000), (20, 5, 900)])
-def test_scores_do_not_depend_on_the_cache(frame, monkeypatch, frequent, contexts, bucket):
-    for name, value in (("FREQUENT", frequent), ("CONTEXTS", contexts), ("BUCKET", bucket), ("HELD", 700)):
-        monkeypatch.setattr(lm, name, value)
-    rows = corpus(400, 3)
-    want = sorted((str(i), len(toks(t)), x) for (i, t), x in zip(rows, plain_scores(rows), strict=True))
-    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score_texts(frame(rows)).collect())
+            return (self.c[w] + 1) / (self.n + self.v + 1)
+        if context not in self.states:
+            return self.p(context[1:], w)
+        n, own = self.states[context]
+        return own.get(w, 0.0) / n + (1 - sum(own.values()) / n) * self.p(context[1:], w)
+
+    def score(self, t):
+        return sum(math.log10(self.p(tuple(t[max(0, k - self.how.depth) : k]), w)) for k, w in enumerate(t))
+
+
+def passages(n, seed):
+    """Random words with passages that come again, whole documents that occur twice, and one over and over."""
+    rng = random.Random(seed)
+    said = [" ".join(f"p{rng.randrange(300)}" for _ in range(30)) for _ in range(8)]
+    rows = [(i, " ".join(rng.choice(said) if rng.random() < 0.3 else " ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 6)))) for i in range(n)]
+    return rows + [(1000 + i, t) for i, t in rows[:40]] + [(2000 + i, rows[50][1]) for i in range(30)]
+
+
+@pytest.mark.parametrize("cut", [{}, {"chunk": 900, "bucket": 3_000}, {"chunk": 60, "bucket": 4_000}])
+@pytest.mark.parametrize("tree", [{}, {"depth": 2, "least": 3, "discount": 0.5, "divergence": 2.0}])
+def test_scores_and_states_are_those_of_the_plain_tree(frame, cut, tree):
+    rows = [*corpus(120, 3), *passages(200, 9)]
+    how = lm.Settings(**cut, **tree)
+    plain = Plain(rows, how)
+    scores, states = lm.learn_and_score(frame(rows), how=how)
+    want = sorted((str(i), len(toks(t)), plain.score(toks(t))) for i, t in rows)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in scores.collect())
     assert [x[:2] for x in got] == [x[:2] for x in want]
-    assert all(abs(x[2] - y[2]) < 1e-6 * max(1, x[1]) for x, y in zip(got, want, strict=True))
+    assert all(abs(x[2] - y[2]) < 1e-9 * max(1, x[1]) for x, y in zip(got, want, strict=True))
+    assert len({len(c) for c in plain.states}) == how.depth
+    assert sorted((r["depth"], r["n"], r["own"]) for r in states.collect()) == sorted((len(c), n, sum(own.values())) for c, (n, own) in plain.states.items())
+
+
+def test_distributions_sum_to_one(frame):
+    rows = passages(150, 4)
+    plain = Plain(rows, lm.Settings())
+    for context in [(), *list(plain.states)[::40]]:
+        assert abs(sum(plain.p(context, w) for w in plain.c) + plain.p(context, b"never seen") - 1) < 1e-9
+
+
+def test_documents_that_occur_twice_stand_out(frame):
+    """At any size: one copy elsewhere is evidence enough."""
+    rng = random.Random(2)
+    alone = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for i in range(800)]
+    twice = [(i + 1000, t) for i, t in alone[:40] if learns(i) and learns(i + 1000)]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score_texts(frame(alone + twice)).collect()}
+    copied = {i for i, _ in twice} | {i - 1000 for i, _ in twice}
+    assert min(got[i] for i in copied) > max(s for i, s in got.items() if i not in copied) + 1
+
+
+def test_other_columns_and_hard_rows(frame):
+    rows = [(1, "a b " * 300), (1, "a b " * 300), (None, None), (3, ""), (4, "x" * 100_000), (5, "a b c")]
+    docs = frame(rows).withColumn("chunk", F.lit("x")).withColumn("held", F.lit(1)).withColumn("level", F.lit(None).cast("int"))
+    plain = Plain(rows, lm.Settings())
+    got = sorted(((r["doc_id"] or 0, round(r["score"], 6)) for r in lm.score_texts(docs).collect()))
+    assert got == sorted((i or 0, round(plain.score(toks(t)), 6)) for i, t in rows)
