@@ -146,7 +146,8 @@ def _hashes(x: np.ndarray) -> np.ndarray:
 
 class _Chunk:
     """A chunk, with what it knows so far: c[m] is the count of the run of m words that ends at a
-    place, b[k] the mass of own estimates of the context of k words before it (0: not retained)."""
+    place, b[k] four times the mass of own estimates of the context of k words before it (0: not
+    retained). Of level 1 both are also kept by word (``of_word``), which takes less room."""
 
     def __init__(self, row: dict, how: Settings):
         self.how = how
@@ -163,6 +164,7 @@ class _Chunk:
         self._run = [self.word_hash[self.ids]]
         self.c: dict[int, np.ndarray] = {}
         self.b: dict[int, np.ndarray] = {}
+        self.of_word: dict[str, np.ndarray] = {}
 
     def run(self, m: int) -> np.ndarray:
         """Hash of the m words that end at each place (of no use where fewer are there)."""
@@ -203,7 +205,24 @@ class _Chunk:
         out = np.zeros(len(self.ids), np.int64)
         if len(places):
             out[places] = np.concatenate(answers).astype(np.int64)[at]
-        (self.c if what == "count" else self.b)[m] = out
+        if m > 1:
+            (self.c if what == "count" else self.b)[m] = out
+            return
+        of_word = np.zeros(len(self.word_hash), np.int64)
+        of_word[self.ids[places if what == "count" else places - 1]] = out[places]
+        self.put("c" if what == "count" else "b", 1, of_word)
+
+    def kept(self) -> Iterator[tuple[str, int, np.ndarray]]:
+        for what, values in (("c", self.c), ("b", self.b)):
+            for m, v in values.items():
+                yield what, m, self.of_word[what] if m == 1 else v
+
+    def put(self, what: str, m: int, values: np.ndarray) -> None:
+        """What was kept."""
+        if m == 1:
+            self.of_word[what] = values
+            values = values[self.ids] if what == "c" else np.where(self.age >= 1, self.before(values[self.ids]), 0)
+        (self.c if what == "c" else self.b)[m] = values
 
     def probability(self, root: np.ndarray, upto: int) -> np.ndarray:
         """Of each word in the longest retained suffix of up to ``upto`` words."""
@@ -245,7 +264,7 @@ def _known(row: pa.Table, came: pa.Table, meeting: int, how: Settings) -> _Chunk
     rows = sorted(came.to_pylist(), key=lambda r: (r["level"], r["what"] != "count", r["bucket"]))
     for r in rows:
         if r["what"] in ("c", "b"):
-            getattr(x, r["what"])[r["level"]] = _unpack(r["data"]).astype(np.int64)
+            x.put(r["what"], r["level"], _unpack(r["data"]).astype(np.int64))
     for what, m in _due(meeting - 1, how.depth):
         x.take(what, m, [_unpack(r["data"]) for r in rows if (r["what"], r["level"]) == (what, m)])
     return x
@@ -301,8 +320,8 @@ def _asker(meeting: int, how: Settings, buckets: int, total: int, kinds: int) ->
             return _table(_MESSAGE, [])
         x = _known(row, came, meeting, how)
         out = []
-        for what, values in (("c", x.c), ("b", x.b)):
-            out += [{"what": what, "level": m, "bucket": (x.chunk * 0x9E3779B97F4A7C15 >> 40) % buckets, "chunk": x.chunk, "x": _pack(v)} for m, v in values.items()]
+        for what, m, v in x.kept():
+            out.append({"what": what, "level": m, "bucket": (x.chunk * 0x9E3779B97F4A7C15 >> 40) % buckets, "chunk": x.chunk, "x": _pack(v)})
         for what, m in _due(meeting, how.depth):
             out += x.messages(what, m, buckets, total, kinds)
         return _table(_MESSAGE, out)
@@ -310,6 +329,12 @@ def _asker(meeting: int, how: Settings, buckets: int, total: int, kinds: int) ->
     return ask
 
 
+def _meet(chunks: DataFrame, came: DataFrame, meeting: int, how: Settings, buckets: int, total: int, kinds: int) -> DataFrame:
+    """What comes of a meeting: answers, and what chunks kept."""
+    asked = chunks.groupBy("chunk").cogroup(came.filter("chunk >= 0").groupBy("chunk")).applyInArrow(_asker(meeting, how, buckets, total, kinds), _MESSAGE)
+    return asked.groupBy("what", "level", "bucket").applyInArrow(_answerer(how), _ANSWER)
+
+
 def _free(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete staged tables, and shuffle files of jobs that ended: Spark does so when their objects are collected."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -318,6 +343,7 @@ def _free(spark: SparkSession, *tables: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
     gc.collect()
+    spark.range(1, numPartitions=1).count()  # the scheduler holds on to the last job
     jvm.java.lang.System.gc()
 
 
@@ -349,12 +375,10 @@ def learn_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     _chunks(narrow, how.chunk).write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
     chunks = spark.table(name)
     total = kinds = 0
-    came, states = None, []
+    came, states = spark.createDataFrame([], _ANSWER), []
     for meeting in range(1, how.depth + 3):
-        none = spark.createDataFrame([], _ANSWER)
-        asked = chunks.groupBy("chunk").cogroup((none if came is None else came.filter("chunk >= 0")).groupBy("chunk")).applyInArrow(_asker(meeting, how, buckets, total, kinds), _MESSAGE)
-        before, came = came, stage_table(asked.groupBy("what", "level", "bucket").applyInArrow(_answerer(how), _ANSWER), "answers")
-        _free(spark, *([before] if before is not None else []))
+        before, came = came, stage_table(_meet(chunks, came, meeting, how, buckets, total, kinds), "answers")
+        _free(spark, before)
         if meeting == 1:
             total, kinds = came.filter("what = 'total'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
         if ("test", meeting - 2) in _due(meeting, how.depth):
