@@ -12,7 +12,7 @@ of about ``chunk`` words, once, and meet the corpus level by level. In a meeting
 every distinct run of words once, as a 64-bit hash, with what it counts of it; the hashes are dealt
 to buckets by their leading bits, a bucket adds up the chunks and answers each of them. Runs of
 m words are counted only where both runs of m - 1 words in them occurred ``least`` times, which
-loses none that does. Words, pairs or documents that are everywhere thus cost one hash a chunk and
+loses none that does, and not where their count follows from that of a shorter run. Words, pairs or documents that are everywhere thus cost one hash a chunk and
 make no hot task. Messages are sorted, as differences and by planes of bytes, and compressed.
 
 Meeting m counts runs of m words and tests the contexts of m - 2 words.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -59,9 +60,9 @@ _MESSAGE = "what string, level int, bucket int, chunk long, keys binary, x binar
 _ANSWER = "what string, level int, bucket int, chunk long, data binary, total long, kinds long"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words and the end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def tokens(text: bytes | None) -> list[bytes]:
+    """Lower-cased (A-Z) words of a text in UTF-8 and the end."""
+    words = text.lower().split() if text else []
     words.append(END)
     return words
 
@@ -73,9 +74,9 @@ def held_out(doc_id: Column) -> Column:
 
 def _pack(x: np.ndarray) -> bytes:
     """Numbers in the fewest bytes, first the lowest bytes of all, then the next, compressed."""
-    if x.dtype.kind in "iu":
+    if x.dtype.kind in "iu" and x.dtype != np.uint8:
         top = int(x.max()) if len(x) else 0
-        x = x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+        x = x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max), copy=False)
     planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
     return x.dtype.str.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
@@ -104,7 +105,8 @@ def _chunks(docs: DataFrame, most: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 32
-        vocabulary: dict[bytes, int] = {}
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__  # a new word gets the next number
         ids, lengths, doc_ids, held = [], [], [], []
         size = 0
 
@@ -112,16 +114,14 @@ def _chunks(docs: DataFrame, most: int) -> DataFrame:
             row = {
                 "chunk": made, "doc_ids": _pack(np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)), "no_id": _pack(np.array([d is None for d in doc_ids], np.uint8)),
                 "held": _pack(np.array(held, np.uint8)), "lengths": _pack(np.array(lengths)),
-                "hashes": _pack(np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))), "ids": _pack(np.concatenate(ids)),
+                "hashes": _pack(np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))), "ids": _pack(np.concatenate(ids)),
             }
             yield from _table(_CHUNK_ROW, [row]).to_batches()
 
         for b in batches:
-            for d, h, t in zip(*b.columns, strict=True):
+            for d, h, t in zip(b.column(0), b.column(1), b.column(2).cast(pa.binary()), strict=True):
                 words = tokens(t.as_py())
-                for w in set(words).difference(vocabulary):
-                    vocabulary[w] = len(vocabulary)
-                ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)))
+                ids.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
                 lengths.append(len(words))
                 doc_ids.append(d.as_py())
                 held.append(h.as_py())
@@ -129,7 +129,7 @@ def _chunks(docs: DataFrame, most: int) -> DataFrame:
                 if size >= most:
                     yield from give()
                     made, size = made + 1, 0
-                    vocabulary = {}
+                    number.clear()
                     ids, lengths, doc_ids, held = [], [], [], []
         if size:
             yield from give()
@@ -137,80 +137,106 @@ def _chunks(docs: DataFrame, most: int) -> DataFrame:
     return docs.mapInArrow(scan, _CHUNK_ROW)
 
 
-def _hashes(x: np.ndarray) -> np.ndarray:
+def _stir(x: np.ndarray) -> None:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
-    return x
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    """What is at the place before."""
+    return np.concatenate((x[:1], x[:-1]))
 
 
 class _Chunk:
     """A chunk, with what it knows so far: c[m] is the count of the run of m words that ends at a
-    place, b[k] four times the mass of own estimates of the context of k words before it (0: not
-    retained). Of level 1 both are also kept by word (``of_word``), which takes less room."""
+    place (0 if it is less than ``least``), b[k] four times the mass of own estimates of the
+    context of k words before it (0: not retained). Of level 1 both are also kept by word
+    (``of_word``), which takes less room. Arrays have the smallest type that holds them.
+
+    A context is settled at a place if all its occurrences are followed by the word there. Longer
+    contexts then say the same on less evidence, are never retained, and need no test; and runs
+    that end with a settled context and this word are as many as those without the word.
+    """
 
     def __init__(self, row: dict, how: Settings):
         self.how = how
         self.chunk = row["chunk"]
         self.word_hash, self.ids, self.lengths = (_unpack(row[c]) for c in ("hashes", "ids", "lengths"))
         self.word_hash = self.word_hash.astype(np.uint64)
-        self.ids, self.lengths = self.ids.astype(np.int64), self.lengths.astype(np.int64)
+        self.lengths = self.lengths.astype(np.int64)
         self.held = _unpack(row["held"]).astype(bool)
         self.doc_ids, self.no_id = _unpack(row["doc_ids"]).astype(np.uint64).view(np.int64), _unpack(row["no_id"]).astype(bool)
         self.first = np.cumsum(self.lengths) - self.lengths
-        #: words of the text before a place
-        self.age = np.arange(len(self.ids)) - np.repeat(self.first, self.lengths)
         self.train = np.repeat(~self.held, self.lengths)
-        self._run = [self.word_hash[self.ids]]
         self.c: dict[int, np.ndarray] = {}
         self.b: dict[int, np.ndarray] = {}
         self.of_word: dict[str, np.ndarray] = {}
 
-    def run(self, m: int) -> np.ndarray:
-        """Hash of the m words that end at each place (of no use where fewer are there)."""
-        while len(self._run) < m:
-            x = self._run[-1].copy()
-            x[1:] = _hashes(self._run[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + self._run[0][1:])
-            self._run.append(x)
-        return self._run[m - 1]
-
-    def before(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate((x[:1], x[:-1]))
+    def inside(self, k: int) -> np.ndarray:
+        """Whether the text has k words before a place."""
+        out = np.ones(len(self.ids), bool)
+        for j in range(k):
+            out[np.minimum(self.first + j, len(out) - 1)] = False
+        if k:
+            out[self.first[self.lengths <= k] + self.lengths[self.lengths <= k] - 1] = False
+        return out
+
+    def runs(self, ends: np.ndarray, m: int) -> np.ndarray:
+        """Hashes of the m words that end at the given places."""
+        out = self.word_hash[self.ids[ends - (m - 1)]]
+        for j in range(m - 2, -1, -1):
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += self.word_hash[self.ids[ends - j]]
+            _stir(out)
+        return out
+
+    def settled(self, k: int) -> np.ndarray:
+        c = self.c[k + 1]
+        return (c >= self.how.least) & (c == _before(self.c[k])) & self.inside(k)
 
     def counted(self, m: int) -> np.ndarray:
         """Places whose run of m words is counted."""
         often = self.c[m - 1] >= self.how.least
-        return np.flatnonzero((self.age >= m - 1) & often & self.before(often))
+        ask = self.inside(m - 1) & often & _before(often)
+        return np.flatnonzero(ask & ~self.settled(m - 2) if m > 2 else ask)
 
     def tested(self, k: int) -> np.ndarray:
         """Places whose context of k words may be retained: not if the context has as many
         occurrences as it takes, and this one isn't among those of an own estimate."""
-        n = self.before(self.c[k])
+        n = _before(self.c[k])
         dead = self.train & (n == self.how.least) & (self.c[k + 1] < self.how.least)
-        return np.flatnonzero((self.age >= k) & (n >= self.how.least) & ~dead)
+        ask = self.inside(k) & (n >= self.how.least) & ~dead
+        return np.flatnonzero(ask & ~self.settled(k - 1) if k > 1 else ask)
 
     def distinct(self, what: str, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct sorted hashes that the chunk asks for; places; and the hash of each place."""
         if what == "count" and m == 1:
-            u, at = np.unique(self.word_hash, return_inverse=True)
-            return u, np.arange(len(self.ids)), at[self.ids]
-        places = self.counted(m) if what == "count" else self.tested(m)
-        keys = self.run(m)[places] if what == "count" else self.run(m)[places - 1]
-        u, at = np.unique(keys, return_inverse=True)
+            places = np.arange(len(self.ids))
+        else:
+            places = self.counted(m) if what == "count" else self.tested(m)
+        if m == 1:
+            words = self.ids[places if what == "count" else places - 1]
+            asked = np.zeros(len(self.word_hash), bool)
+            asked[words] = True
+            u, rank = np.unique(self.word_hash[asked], return_inverse=True)
+            return u, places, rank[np.cumsum(asked)[words] - 1]
+        u, at = np.unique(self.runs(places if what == "count" else places - 1, m), return_inverse=True)
         return u, places, at
 
     def take(self, what: str, m: int, answers: list[np.ndarray]) -> None:
         """Put the answers, in the order of the hashes, to their places."""
         _, places, at = self.distinct(what, m)
-        out = np.zeros(len(self.ids), np.int64)
-        if len(places):
-            out[places] = np.concatenate(answers).astype(np.int64)[at]
-        if m > 1:
-            (self.c if what == "count" else self.b)[m] = out
-            return
-        of_word = np.zeros(len(self.word_hash), np.int64)
-        of_word[self.ids[places if what == "count" else places - 1]] = out[places]
-        self.put("c" if what == "count" else "b", 1, of_word)
+        said = np.concatenate(answers) if answers else np.zeros(0, np.uint8)
+        if m == 1:
+            of_word = np.zeros(len(self.word_hash), said.dtype)
+            of_word[self.ids[places if what == "count" else places - 1]] = said[at]
+            return self.put("c" if what == "count" else "b", 1, of_word)
+        out = np.zeros(len(self.ids), said.dtype)
+        out[places] = said[at]
+        if what == "count" and m > 2:
+            out = np.where(self.settled(m - 2), _before(self.c[m - 1]), out)
+        return self.put("c" if what == "count" else "b", m, out)
 
     def kept(self) -> Iterator[tuple[str, int, np.ndarray]]:
         for what, values in (("c", self.c), ("b", self.b)):
@@ -218,44 +244,45 @@ class _Chunk:
                 yield what, m, self.of_word[what] if m == 1 else v
 
     def put(self, what: str, m: int, values: np.ndarray) -> None:
-        """What was kept."""
+        """What is known of a level."""
         if m == 1:
             self.of_word[what] = values
-            values = values[self.ids] if what == "c" else np.where(self.age >= 1, self.before(values[self.ids]), 0)
+            values = values[self.ids] if what == "c" else np.where(self.inside(1), _before(values[self.ids]), 0).astype(values.dtype)
         (self.c if what == "c" else self.b)[m] = values
 
-    def probability(self, root: np.ndarray, upto: int) -> np.ndarray:
+    def root(self, total: int, kinds: int) -> np.ndarray:
+        return ((self.of_word["c"].astype(np.float64) + 1) / (total + kinds + 1))[self.ids]
+
+    def probability(self, total: int, kinds: int, upto: int) -> np.ndarray:
         """Of each word in the longest retained suffix of up to ``upto`` words."""
-        p = root
+        p = self.root(total, kinds)
         for k in range(1, upto + 1):
-            b = self.b[k] / 4
-            some = np.flatnonzero(b)
-            n = self.before(self.c[k])[some]
-            own = self.c[k + 1][some]
-            own = np.where(own >= self.how.least, own - self.how.discount, 0.0)
-            p = p.copy()
-            p[some] = own / n + (1 - b[some] / n) * p[some]
+            some = np.flatnonzero(self.b[k])
+            b, n, own = (x[at].astype(np.float64) for x, at in ((self.b[k], some), (self.c[k], some - 1), (self.c[k + 1], some)))
+            p[some] = (np.where(own >= self.how.least, own - self.how.discount, 0.0) + (n - b / 4) * p[some]) / n
         return p
 
-    def root(self, total: int, kinds: int) -> np.ndarray:
-        return (self.c[1] + 1) / float(total + kinds + 1)
-
     def messages(self, what: str, m: int, buckets: int, total: int, kinds: int) -> Iterator[dict]:
         keys, places, at = self.distinct(what, m)
-        if what == "count":
-            columns = [np.bincount(at, self.train[places], len(keys)).astype(np.int64)]
-        else:
-            n, own, p = self.before(self.c[m])[places], self.c[m + 1][places], self.probability(self.root(total, kinds), m - 1)[places]
-            share = np.where(self.train[places] & (own >= self.how.least), (own - self.how.discount) / np.maximum(own, 1), 0.0)
-            gain = share * np.log(np.where(share > 0, (own - self.how.discount) / (n * p), 1.0))
-            every = np.zeros(len(keys), np.int64)
-            every[at] = n
-            columns = [np.bincount(at, gain, len(keys)).astype(np.float32), np.bincount(at, share, len(keys)).astype(np.float32), every]
         if not len(keys):
             return
-        number, start = np.unique((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), return_index=True)
-        for k, (a, b) in enumerate(zip(start, np.append(start[1:], len(keys)), strict=True)):
-            yield {"what": what, "level": m, "bucket": int(number[k]), "chunk": self.chunk, "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0)))} | {name: _pack(x[a:b]) for name, x in zip("xyz", columns, strict=False)}
+        train = self.train[places]
+        if what == "count":
+            columns = [np.bincount(at[train], minlength=len(keys))]
+        else:
+            every = np.zeros(len(keys), self.c[m].dtype)
+            every[at] = self.c[m][places - 1]
+            c = self.c[m + 1][places]
+            has = np.flatnonzero(train & (c >= self.how.least))
+            at, places, c = at[has], places[has], c[has].astype(np.float64)
+            own = c - self.how.discount
+            gain = np.log(own / (every[at] * self.probability(total, kinds, m - 1)[places]))
+            columns = [np.bincount(at, x, len(keys)).astype(np.float32) for x in (own / c * gain, own / c)] + [every]
+        number = (keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+        start = np.append(0, np.flatnonzero(np.diff(number)) + 1)
+        for a, b in zip(start, np.append(start[1:], len(keys)), strict=True):
+            sent = {name: _pack(x[a:b]) for name, x in zip("xyz", columns, strict=False)}
+            yield {"what": what, "level": m, "bucket": int(number[a]), "chunk": self.chunk, "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0)))} | sent
 
 
 def _known(row: pa.Table, came: pa.Table, meeting: int, how: Settings) -> _Chunk:
@@ -264,7 +291,7 @@ def _known(row: pa.Table, came: pa.Table, meeting: int, how: Settings) -> _Chunk
     rows = sorted(came.to_pylist(), key=lambda r: (r["level"], r["what"] != "count", r["bucket"]))
     for r in rows:
         if r["what"] in ("c", "b"):
-            x.put(r["what"], r["level"], _unpack(r["data"]).astype(np.int64))
+            x.put(r["what"], r["level"], _unpack(r["data"]))
     for what, m in _due(meeting - 1, how.depth):
         x.take(what, m, [_unpack(r["data"]) for r in rows if (r["what"], r["level"]) == (what, m)])
     return x
@@ -356,7 +383,7 @@ def _scores(x: _Chunk, total: int, kinds: int) -> pa.Table:
     by_text = lambda v: np.add.reduceat(v, x.first)
     return pa.table({
         "doc_id": pa.array(x.doc_ids, mask=x.no_id), "held_out": pa.array(x.held), "n_tokens": pa.array(x.lengths), "n_known": pa.array(by_text((x.c[1] > 0).astype(np.int64))),
-        "train_tokens": pa.array(np.full(len(x.first), total, np.int64)), "base_score": pa.array(by_text(np.log10(root))), "score": pa.array(by_text(np.log10(x.probability(root, x.how.depth)))),
+        "train_tokens": pa.array(np.full(len(x.first), total, np.int64)), "base_score": pa.array(by_text(np.log10(root))), "score": pa.array(by_text(np.log10(x.probability(total, kinds, x.how.depth)))),
     })
 
 
