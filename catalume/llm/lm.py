@@ -33,6 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from catalume.sources.scratch import scratch_dir, stage_table
 
@@ -97,7 +98,8 @@ def _table(schema: str, rows: list[dict]) -> pa.Table:
     return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
 
 
-_CHUNK_ROW = "chunk long, doc_ids binary, no_id binary, held binary, lengths binary, hashes binary, ids binary"
+#: A chunk has one row with its words, and one for each level of what it knows (c or b).
+_CHUNK_ROW = "chunk long, what string, level int, data binary, doc_ids binary, no_id binary, held binary, lengths binary, hashes binary, ids binary"
 
 
 def _chunks(docs: DataFrame, most: int) -> DataFrame:
@@ -112,7 +114,7 @@ def _chunks(docs: DataFrame, most: int) -> DataFrame:
 
         def give() -> Iterator[pa.RecordBatch]:
             row = {
-                "chunk": made, "doc_ids": _pack(np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)), "no_id": _pack(np.array([d is None for d in doc_ids], np.uint8)),
+                "chunk": made, "what": "words", "doc_ids": _pack(np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)), "no_id": _pack(np.array([d is None for d in doc_ids], np.uint8)),
                 "held": _pack(np.array(held, np.uint8)), "lengths": _pack(np.array(lengths)),
                 "hashes": _pack(np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))), "ids": _pack(np.concatenate(ids)),
             }
@@ -238,10 +240,10 @@ class _Chunk:
             out = np.where(self.settled(m - 2), _before(self.c[m - 1]), out)
         return self.put("c" if what == "count" else "b", m, out)
 
-    def kept(self) -> Iterator[tuple[str, int, np.ndarray]]:
-        for what, values in (("c", self.c), ("b", self.b)):
-            for m, v in values.items():
-                yield what, m, self.of_word[what] if m == 1 else v
+    def known(self, what: str, m: int) -> dict:
+        """The row of a level."""
+        v = self.c[m] if what == "c" else self.b[m]
+        return {"chunk": self.chunk, "what": what, "level": m, "data": _pack(self.of_word[what] if m == 1 else v)}
 
     def put(self, what: str, m: int, values: np.ndarray) -> None:
         """What is known of a level."""
@@ -285,18 +287,22 @@ class _Chunk:
             yield {"what": what, "level": m, "bucket": int(number[a]), "chunk": self.chunk, "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0)))} | sent
 
 
-def _known(row: pa.Table, came: pa.Table, meeting: int, how: Settings) -> _Chunk:
-    """The chunk before a meeting with all that came for it: what it kept, and answers of the last in the order of their buckets."""
-    x = _Chunk(row.to_pylist()[0], how)
-    rows = sorted(came.to_pylist(), key=lambda r: (r["level"], r["what"] != "count", r["bucket"]))
-    for r in rows:
-        if r["what"] in ("c", "b"):
+def _load(rows: pa.Table, how: Settings) -> _Chunk:
+    every = sorted(rows.to_pylist(), key=lambda r: r["level"] or 0)
+    x = _Chunk(next(r for r in every if r["what"] == "words"), how)
+    for r in every:
+        if r["what"] != "words":
             x.put(r["what"], r["level"], _unpack(r["data"]))
-    for what, m in _due(meeting - 1, how.depth):
-        x.take(what, m, [_unpack(r["data"]) for r in rows if (r["what"], r["level"]) == (what, m)])
     return x
 
 
+def _hear(x: _Chunk, came: pa.Table, meeting: int) -> None:
+    """Take the answers of a meeting, which come in the order of their buckets."""
+    rows = sorted(came.to_pylist(), key=lambda r: r["bucket"])
+    for what, m in _due(meeting, x.how.depth):
+        x.take(what, m, [_unpack(r["data"]) for r in rows if r["what"] == what])
+
+
 def _due(meeting: int, depth: int) -> list[tuple[str, int]]:
     """What a meeting asks."""
     return [("count", meeting)] * (1 <= meeting <= depth + 1) + [("test", meeting - 2)] * (1 <= meeting - 2 <= depth)
@@ -304,11 +310,9 @@ def _due(meeting: int, depth: int) -> list[tuple[str, int]]:
 
 def _answerer(how: Settings) -> Callable[[pa.Table], pa.Table]:
     def answer(group: pa.Table) -> pa.Table:
-        """Adds up what the chunks sent a bucket, and answers each of them; passes on what they keep."""
+        """Adds up what the chunks sent a bucket, and answers each of them."""
         rows = group.to_pylist()
         head = {k: rows[0][k] for k in ("what", "level", "bucket")}
-        if head["what"] in ("c", "b"):
-            return _table(_ANSWER, [{k: r[k] for k in ("what", "level", "bucket", "chunk")} | {"data": r["x"]} for r in rows])
         sent = [_sorted_keys(r["keys"]) for r in rows]
         keys, at = np.unique(np.concatenate(sent), return_inverse=True)
         column = lambda c: np.concatenate([_unpack(r[c]) for r in rows])
@@ -339,27 +343,27 @@ def _answerer(how: Settings) -> Callable[[pa.Table], pa.Table]:
     return answer
 
 
-def _asker(meeting: int, how: Settings, buckets: int, total: int, kinds: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """What a chunk sends to a meeting: its questions, and to itself what it knows."""
+def _asker(meeting: int, how: Settings, buckets: int, total: int, kinds: int) -> Callable[[pa.Table], pa.Table]:
+    """What a chunk sends to a meeting."""
 
-    def ask(row: pa.Table, came: pa.Table) -> pa.Table:
-        if not len(row):
-            return _table(_MESSAGE, [])
-        x = _known(row, came, meeting, how)
-        out = []
-        for what, m, v in x.kept():
-            out.append({"what": what, "level": m, "bucket": (x.chunk * 0x9E3779B97F4A7C15 >> 40) % buckets, "chunk": x.chunk, "x": _pack(v)})
-        for what, m in _due(meeting, how.depth):
-            out += x.messages(what, m, buckets, total, kinds)
-        return _table(_MESSAGE, out)
+    def ask(rows: pa.Table) -> pa.Table:
+        x = _load(rows, how)
+        return _table(_MESSAGE, [r for what, m in _due(meeting, how.depth) for r in x.messages(what, m, buckets, total, kinds)])
 
     return ask
 
 
-def _meet(chunks: DataFrame, came: DataFrame, meeting: int, how: Settings, buckets: int, total: int, kinds: int) -> DataFrame:
-    """What comes of a meeting: answers, and what chunks kept."""
-    asked = chunks.groupBy("chunk").cogroup(came.filter("chunk >= 0").groupBy("chunk")).applyInArrow(_asker(meeting, how, buckets, total, kinds), _MESSAGE)
-    return asked.groupBy("what", "level", "bucket").applyInArrow(_answerer(how), _ANSWER)
+def _hearer(meeting: int, how: Settings) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What a chunk knows from the answers of a meeting."""
+
+    def hear(rows: pa.Table, came: pa.Table) -> pa.Table:
+        if not len(rows):
+            return _table(_CHUNK_ROW, [])
+        x = _load(rows, how)
+        _hear(x, came, meeting)
+        return _table(_CHUNK_ROW, [x.known("c" if what == "count" else "b", m) for what, m in _due(meeting, how.depth)])
+
+    return hear
 
 
 def _free(spark: SparkSession, *tables: DataFrame) -> None:
@@ -397,22 +401,37 @@ def learn_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out_of = ~learn if learn is not None else held_out(docs[doc_id].cast("long"))
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), out_of.alias("held"), docs[text].alias("text"))
     buckets = 1 + (narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // how.bucket
-    # in buckets by chunk, so that later jobs read it by chunk without a shuffle
+    # in buckets by chunk: what chunks know is read, and added to, without a shuffle
     name, path = f"chunks_{uuid.uuid4().hex}", f"{scratch_dir(spark)}/chunks-{uuid.uuid4().hex}"
-    _chunks(narrow, how.chunk).write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
-    chunks = spark.table(name)
+
+    def save(rows: DataFrame) -> None:
+        rows.write.format("parquet").bucketBy(buckets, "chunk").option("path", path).mode("append").saveAsTable(name)
+
+    def by_chunk(answers: DataFrame) -> PandasCogroupedOps:
+        return spark.table(name).groupBy("chunk").cogroup(answers.filter("chunk >= 0").groupBy("chunk"))
+
+    save(_chunks(narrow, how.chunk))
     total = kinds = 0
-    came, states = spark.createDataFrame([], _ANSWER), []
+    states = []
     for meeting in range(1, how.depth + 3):
-        before, came = came, stage_table(_meet(chunks, came, meeting, how, buckets, total, kinds), "answers")
-        _free(spark, before)
+        asked = spark.table(name).groupBy("chunk").applyInArrow(_asker(meeting, how, buckets, total, kinds), _MESSAGE)
+        came = stage_table(asked.groupBy("what", "level", "bucket").applyInArrow(_answerer(how), _ANSWER), "answers")
         if meeting == 1:
             total, kinds = came.filter("what = 'total'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-        if ("test", meeting - 2) in _due(meeting, how.depth):
+        if meeting > 2:
             states.append(stage_table(came.filter("what = 'states' and kinds > 0").select("level", "data"), "states"))
-
-    def score(row: pa.Table, came: pa.Table) -> pa.Table:
-        return _scores(_known(row, came, how.depth + 3, how), total, kinds) if len(row) else _table(_SCORE, [])
+        del asked
+        _free(spark)
+        if meeting < how.depth + 2:
+            save(by_chunk(came).applyInArrow(_hearer(meeting, how), _CHUNK_ROW))
+            _free(spark, came)
+
+    def score(rows: pa.Table, came: pa.Table) -> pa.Table:
+        if not len(rows):
+            return _table(_SCORE, [])
+        x = _load(rows, how)
+        _hear(x, came, how.depth + 2)
+        return _scores(x, total, kinds)
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -420,7 +439,8 @@ def learn_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 key, n, own = _unpack(data.as_py()).astype(np.uint64).reshape(-1, 3).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level.as_py(), np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(own / 4)], names=["depth", "context", "n", "own"])
 
-    scores = stage_table(chunks.groupBy("chunk").cogroup(came.filter("chunk >= 0").groupBy("chunk")).applyInArrow(score, _SCORE), "scored")
+    scores = stage_table(by_chunk(came).applyInArrow(score, _SCORE), "scored")
+    chunks = spark.table(name)
     spark.sql(f"drop table {name}")
     _free(spark, came, chunks)
     every = states[0]
