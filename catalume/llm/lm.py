@@ -51,7 +51,7 @@ class Settings:
     #: A context is retained if its count times the divergence from its suffix (in nats) is this or more.
     divergence: float = 6.0
     #: Words of a chunk (one more text may end it), and bytes of text for each bucket of hashes and of chunks.
-    chunk: int = 1_250_000
+    chunk: int = 700_000
     bucket: int = 16_000_000
 
 
