@@ -6,6 +6,8 @@ network) have none; tests hold them against plain versions.
 
 from __future__ import annotations
 
+import re
+
 from catalume.llm import quality as Q
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,17 +25,21 @@ comp as (select node, min(top) as top from walk group by 1)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, top as component_id, top = d.doc_id as kept from documents d join comp on node = d.doc_id left join n on n.doc_id = d.doc_id"""
 
 OP2 = """with l as (select conv_id, arg_max(struct_pack(turn := turn, text := text), struct_pack(turn := turn, text := text)) as own from conversations where role = 'assistant' group by 1),
-p as (select a.conv_id, a.own, b.own as other from l a join l b on b.conv_id = xor(a.conv_id, 1)),
-t as (select c.conv_id, row_number() over (partition by c.conv_id order by turn, role, text) as k, role, text as x, case when role = 'assistant' and turn = own.turn and text = own.text then other.text else text end as y from conversations c join p on p.conv_id = c.conv_id),
-m as (select conv_id, coalesce(min(k) filter (where x is distinct from y) - 1, count(*)) as n from t group by 1),
-r as (select t.*, n, '<|' || role || '|>' || chr(10) || x || chr(10) as rx, '<|' || role || '|>' || chr(10) || y || chr(10) as ry from t join m on m.conv_id = t.conv_id),
-o as (select *, sum(length(rx)) over w as ex, sum(length(ry)) over w as ey from r where k > n window w as (partition by conv_id order by k rows unbounded preceding)),
+o as (select *, row_number() over (order by md5(coalesce(conv_id::varchar, '')), conv_id nulls first) - 1 as rank from l),
+p as (select a.conv_id, a.own, b.own as other from o a left join o b on b.rank = xor(a.rank, 1)),
+s as (select c.conv_id, turn, role, text, p.own is not null and coalesce(role = 'assistant' and turn is not distinct from own.turn and text is not distinct from own.text, false) as swap, other from conversations c left join p on p.conv_id is not distinct from c.conv_id),
+t as (select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.k, b.k) as k, a.role, a.text as x, b.role as role_y, b.text as y, a.k as kx, b.k as ky
+    from (select *, row_number() over (partition by conv_id order by turn, role, text) as k from s) a
+    full join (select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) as k from (select conv_id, turn, role, case when swap then other.text else text end as text from s where not (swap and other is null))) b on a.conv_id is not distinct from b.conv_id and a.k = b.k),
+m as (select conv_id, least(coalesce(min(k) filter (where kx is not null and ky is not null and (x is distinct from y or role is distinct from role_y)) - 1, max(k)), count(kx), count(ky)) as n from t group by 1),
+r as (select t.*, n, case when kx is not null then '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(x, '') || chr(10) end as rx, case when ky is not null then '<|' || coalesce(role_y, '') || '|>' || chr(10) || coalesce(y, '') || chr(10) end as ry from t join m on m.conv_id is not distinct from t.conv_id),
+z as (select *, sum(length(rx)) over w as ex, sum(length(ry)) over w as ey from r where k > n window w as (partition by conv_id order by k rows unbounded preceding)),
 q as (select conv_id, string_agg(rx, '' order by k) as chosen, string_agg(ry, '' order by k) as rejected,
-    string_agg((ex - length(x) - 1)::bigint || '-' || ex::bigint, ',' order by k) filter (where role = 'assistant') as chosen_mask,
-    string_agg((ey - length(y) - 1)::bigint || '-' || ey::bigint, ',' order by k) filter (where role = 'assistant') as rejected_mask from o group by 1),
+    string_agg((ex - length(coalesce(x, '')) - 1)::bigint || '-' || ex::bigint, ',' order by k) filter (where role = 'assistant') as chosen_mask,
+    string_agg((ey - length(coalesce(y, '')) - 1)::bigint || '-' || ey::bigint, ',' order by k) filter (where role_y = 'assistant') as rejected_mask from z group by 1),
 h as (select conv_id, string_agg(rx, '' order by k) as prompt from r where k <= n group by 1)
 select m.conv_id, n::int as n_common, coalesce(prompt, '') as prompt, coalesce(chosen, '') as chosen, coalesce(rejected, '') as rejected, coalesce(chosen_mask, '') as chosen_mask, coalesce(rejected_mask, '') as rejected_mask
-from m left join q on q.conv_id = m.conv_id left join h on h.conv_id = m.conv_id"""
+from m left join q on q.conv_id is not distinct from m.conv_id left join h on h.conv_id is not distinct from m.conv_id"""
 
 OP3 = f"""with d as (select doc_id, source, len({WORDS.format("coalesce(text, '')")})::bigint as size from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by 1),
@@ -73,49 +79,62 @@ from d left join h on h.doc_id = d.doc_id left join f on f.doc_id = d.doc_id"""
 def _op9() -> str:
     """The concentration steps as one common table after the other."""
     x, p = [f"x_{i}" for i in range(Q.P)], range(Q.P)
-    unit = [f"round({Q.UNIT} * ({s.replace('as double', 'as double')}))::bigint as x_{i}" for i, s in enumerate(Q.STATISTICS)]
-    floor2 = [repr((s * Q.UNIT) ** 2) for s in Q.LEAST_SD]
-    middle = lambda c: f"list_sort(list({c}))[(count(*) + 1) // 2]"
+    double = lambda sql: re.sub(r"(?<![\w.])(\d+\.\d+(?:e-?\d+)?|1e-\d+)", r"\1::double", sql)
+    unit = [f"round({Q.UNIT} * ({s}))::bigint as x_{i}" for i, s in enumerate(Q.STATISTICS)]
+    middle = lambda c: f"min({c}) filter (where 2 * upto_{c} >= every)"
+    moments = [(f"a_{i}", f"n * x_{i}") for i in p] + [(f"b_{i}{j}", f"n * x_{i} * x_{j}") for i, j in Q.PAIRS]
 
     def chain(name: str, source: str, columns: list[tuple[str, str]], keep: str) -> str:
         out = source
         for k, (c, sql) in enumerate(columns):
-            out = f"(select *, {sql} as {c} from {out} as q{k})"
-        return f"{name} as (select {keep} from {out})"
+            out = f"(select *, {double(sql)} as {c} from {out} as q{k})"
+        keep, _, only = keep.partition(" qualify ")
+        return f"{name} as (select {keep} from {out}{' qualify ' + only if only else ''})"
+
+    def medians(name: str, source: str, sql: list[str], out: str) -> str:
+        """Lower medians by counts."""
+        upto = ", ".join(f"sum(n) over (partition by gid order by {c} range unbounded preceding) as upto_{c}" for c in x)
+        return f"{name} as (select gid, any_value(every) as every, {', '.join(f'{middle(c)} as {out}_{i}' for i, c in enumerate(x))} from (select *, {upto}, sum(n) over (partition by gid) as every from (select gid, {', '.join(f'{q} as {c}' for q, c in zip(sql, x, strict=True))}, n from {source})) group by 1)"
 
-    low = ", ".join(f"l_{i}{j}" for i, j in Q.PAIRS)
-    keep = f"gid, {', '.join(f'm_{i}' for i in p)}, {low}"
-    start = ", ".join([*(f"0::double as m_{i}" for i in p), *(f"pow(a_{i} * 1.4826::double, 2::double) + {floor2[i]}::double as s_{i}{j}" if i == j else f"0::double as s_{i}{j}" for i, j in Q.PAIRS)])
+    keep = f"gid, start, {', '.join(f'm_{i}' for i in p)}, {', '.join(f'l_{i}{j}' for i, j in Q.PAIRS)}"
+    zero = ", ".join(f"0::double as m_{i}" for i in p)
+    mean = lambda t, i, j: f"round(sum(n * {t}_{i} * {t}_{j}) / sum(n), 6) as {t}{i}{j}"
+    entry = [lambda i, j: f"d_{i} * d_{j} * {int(i == j)}", lambda i, j: f"d_{i} * d_{j} * t{i}{j}", lambda i, j: f"d_{i} * d_{j} * u{i}{j} * {Q.P}"]
+    starts = " union all ".join(f"select gid, {k} as start, {zero}, {', '.join(f'{e(i, j)} as s_{i}{j}' for i, j in Q.PAIRS)} from st" for k, e in enumerate(entry))
     parts = [
         f"w as (select doc_id, lang, source, {WORDS.format("coalesce(text, '')")} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) as l, coalesce(text, '') as t from documents)",
         "g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) > 2))",
         "r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, g) as k from g) where k > 1) group by 1)",
         f"b as (select w.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(t, '{Q.SYMBOLS}'))::bigint as n_symbols, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0) as n_repeat_words from w left join r on r.doc_id = w.doc_id)",
-        "f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce('=' || lang, '-') as coarse, coalesce('=' || lang, '-') || chr(1) || coalesce('=' || source, '-') as fine from b)",
-        f"u as (select doc_id, fine, coarse, {', '.join(unit)} from f where not base_failed)",
-        f"pts as (select fine as gid, {', '.join(x)} from u union all select coarse, {', '.join(x)} from u)",
-        f"med as (select gid, count(*) as n, {', '.join(f'{middle(c)} as c_{i}' for i, c in enumerate(x))} from pts group by 1)",
-        f"near as (select gid, {', '.join(f'greatest(-{Q.FAR}, least({Q.FAR}, x_{i} - c_{i})) as x_{i}' for i in p)} from pts join med using (gid))",
-        f"mad as (select gid, {', '.join(f'{middle(f"abs({c})")} as a_{i}' for i, c in enumerate(x))} from near group by 1)",
-        chain("p0", f"(select gid, {start} from mad)", Q.cholesky(), keep),
+        "f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce('=' || lang, '-') as g1, coalesce('=' || lang, '-') || chr(1) || coalesce('=' || source, '-') as g0 from b)",
+        f"u as (select doc_id, g0, g1, '' as g2, {', '.join(unit)} from f where not base_failed)",
+        f"pts as (select gid, {', '.join(x)}, count(*) as n from (select g0 as gid, {', '.join(x)} from u union all select g1, {', '.join(x)} from u union all select g2, {', '.join(x)} from u) group by all)",
+        medians("med", "pts", x, "c"),
+        f"near as (select gid, {', '.join(f'greatest(-{Q.FAR}, least({Q.FAR}, x_{i} - c_{i})) as x_{i}' for i in p)}, n from pts join med using (gid))",
+        medians("mad", "near", [f"abs({c})" for c in x], "a"),
+        f"sd as (select gid, {', '.join(f'{double(e)} as d_{i}' for i, e in enumerate(Q.SCALE))} from mad)",
+        f"st as (select gid, {', '.join(f'd_{i}' for i in p)}, {', '.join(mean(t, i, j) for t in 'tu' for i, j in Q.PAIRS)} from (select gid, n, {', '.join(f'd_{i}' for i in p)}, {', '.join(f'{double(e)} as t_{i}' for i, e in enumerate(Q.BOUNDED))}, {', '.join(f'{double(e)} as u_{i}' for i, e in enumerate(Q.DIRECTION))} from near join sd using (gid)) group by gid, {', '.join(f'd_{i}' for i in p)})",
+        "kinds as (select gid, count(*) as kinds from near group by 1)",
+        f"dr as (select gid, start, {', '.join(f'avg(x_{i}) as m_{i}' for i in p)}, {', '.join(f'avg(x_{i} * x_{j}) as b_{i}{j}' for i, j in Q.PAIRS)} from near join kinds using (gid), range(3, {3 + Q.DRAWS}) t(start) where ('0x' || substr(md5(concat_ws(',', start, {', '.join(x)})), 1, 8))::bigint * kinds < {Q.DRAWN << 32} group by 1, 2)",
+        chain("p0", f"({starts} union all select gid, start, {', '.join(f'm_{i}' for i in p)}, {', '.join(f'b_{i}{j} - m_{i} * m_{j}' for i, j in Q.PAIRS)} from dr)", Q.cholesky(), keep),
     ]
+    spread = " + ".join(f"ln(l_{i}{i})" for i in p)
     for k in range(Q.STEPS):
-        sums = ", ".join([*(f"sum(x_{i}) as a_{i}" for i in p), *(f"sum(x_{i} * x_{j}) as b_{i}{j}" for i, j in Q.PAIRS)])
-        again = ", ".join([*(f"sum(a_{i}) as a_{i}" for i in p), *(f"sum(b_{i}{j}) as b_{i}{j}" for i, j in Q.PAIRS)])
-        m = ", ".join(f"a_{i}::double / h::double as m_{i}" for i in p)
-        s = ", ".join(f"{Q.CONSISTENT!r}::double * (b_{i}{j}::double / h::double - (a_{i}::double / h::double) * (a_{j}::double / h::double))" + (f" + {floor2[i]}::double" if i == j else "") + f" as s_{i}{j}" for i, j in Q.PAIRS)
+        again = ", ".join(f"(coalesce(sum({c}) filter (where share is null), 0)::double + coalesce(max(share * {c}), 0)) / h as {c}" for c, _ in moments)
+        s = ", ".join(f"{Q.CONSISTENT!r}::double * (b_{i}{j} - a_{i} * a_{j}) as s_{i}{j}" for i, j in Q.PAIRS)
         parts += [
-            chain(f"d{k}", f"(select * from near join p{k} using (gid))", Q.forward(), f"gid, {', '.join(x)}, floor(ln({Q.DISTANCE} + 1e-6) * {Q.BINS})::int as bin"),
-            f"e{k} as (select *, coalesce(sum(n) over (partition by gid order by bin rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over (partition by gid) as every from (select gid, bin, count(*) as n, {sums} from d{k} group by 1, 2))",
-            f"h{k} as (select gid, sum(n) as h, {again} from e{k} where before < {Q.SUPPORT}::double * every group by 1)",
-            chain(f"p{k + 1}", f"(select gid, {m}, {s} from h{k})", Q.cholesky(), keep),
+            chain(f"d{k}", f"(select * from near join p{k} using (gid))", Q.forward(), f"gid, start, {', '.join(x)}, n, floor(ln({Q.DISTANCE} + 1e-6) * {Q.BINS})::int as bin"),
+            f"e{k} as (select *, coalesce(sum(n) over (partition by gid, start order by bin rows between unbounded preceding and 1 preceding), 0) as before, {Q.SUPPORT}::double * sum(n) over (partition by gid, start) as h from (select gid, start, bin, sum(n) as n, {', '.join(f'sum({e}) as {c}' for c, e in moments)} from d{k} group by 1, 2, 3))",
+            f"h{k} as (select gid, start, h, {again} from (select *, case when before + n > h then (h - before) / n end as share from e{k} where before < h) group by 1, 2, 3)",
+            chain(f"p{k + 1}", f"(select gid, start, {', '.join(f'a_{i} as m_{i}' for i in p)}, {s} from h{k})", Q.cholesky(), keep + (f" qualify row_number() over (partition by gid order by {spread}, start) <= {Q.BEST}" if k == 1 else "")),
         ]
-    own = f"(select u.doc_id, g.*, {', '.join(f'greatest(-{Q.FAR}, least({Q.FAR}, u.x_{i} - c_{i})) as x_{i}' for i in p)} from u join good g on g.gid = case when u.fine in (select gid from good) then u.fine else u.coarse end)"
+    own = f"(select u.doc_id, g.*, {', '.join(f'greatest(-{Q.FAR}, least({Q.FAR}, u.x_{i} - c_{i})) as x_{i}' for i in p)} from u join good g on g.gid = case when u.g0 in (select gid from good) then u.g0 when u.g1 in (select gid from good) then u.g1 else u.g2 end)"
     parts += [
-        f"good as (select * from p{Q.STEPS} join med using (gid) where n >= {Q.LEAST_GROUP})",
+        f"best as (select * from p{Q.STEPS} qualify row_number() over (partition by gid order by {spread}, start) = 1)",
+        f"good as (select * from best join med using (gid) where every >= {Q.ESTIMABLE})",
         chain("v", own, Q.forward(), f"doc_id, {Q.DISTANCE} as distance2"),
     ]
-    return f"with {', '.join(parts)} select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(distance2, 6) as distance2, not base_failed and not coalesce(distance2 > {Q.chi2_quantile(1 - Q.REJECT)!r}::double, false) as kept from f left join v on v.doc_id = f.doc_id"
+    return f"with {', '.join(parts)} select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(distance2, 6) as distance2, not base_failed and not coalesce(distance2 > {Q.chi2_quantile(Q.WITHIN)!r}::double, false) as kept from f left join v on v.doc_id = f.doc_id"
 
 
 SQL: dict[str, str] = {

@@ -1,17 +1,23 @@
 """Quality rules: statistics of a text, and robust multivariate outliers per language and source.
 
 All of it is DataFrame and SQL functions. The minimum covariance determinant (Rousseeuw and Van
-Driessen, 1999) is found by concentration steps, each one aggregation over all documents: with
-the present centre and scatter every document falls into a bin of its squared distance; moments
-are summed by group and bin; the nearest bins that hold the share ``SUPPORT`` of a group give
-the next centre and scatter.
-
-Statistics are whole numbers (1/1024 steps), so that sums are exact and reruns agree.
+Driessen, 1999) is the half of a group whose scatter has the least determinant. It is looked for
+by concentration steps from many starts: three of the whole group (Hubert, Rousseeuw and Verdonck,
+2012) and ``DRAWS`` of a few vectors each, drawn by hash, of which the ``BEST`` go on after two
+steps. With the present centre and scatter every vector falls into a bin of its squared distance; moments
+are summed by group and bin; the nearest bins that hold the share ``SUPPORT`` of a group, the last
+one in part, give the next centre and scatter. Steps end when nothing moves any more, and the
+start with the least determinant is taken.
+
+Equal vectors of a group are one row with a count from the start, so the steps work on what is
+different, however large a group is. Statistics are whole numbers (1/1024 steps), so that sums
+are exact and reruns agree.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,14 +35,23 @@ UNIT, FAR = 1024, 8192
 BINS = 64
 #: Share of a group that estimates its centre and scatter; up to the other half may be outliers.
 SUPPORT = 0.5
-#: Standard deviations, in units of the statistics, below which no spread counts.
-LEAST_SD = (0.12, 0.12, 0.20, 0.18)
-#: A group of fewer documents is judged by its language; a language of fewer not at all.
-LEAST_GROUP = 40
-#: Chance with which a normal vector lies beyond the cutoff.
-REJECT = 1e-6
-STEPS = 6
+#: Least standard deviations, in units of the statistics. More than half of the good texts have no
+#: symbols and no repeated lines or words, so the best half of most groups lies in a plane and has
+#: no determinant; a deviation that is smaller is raised to this. Others stay as they are.
+LEAST_SD = (0.06, 0.10, 0.20, 0.14)
+#: Share of a variance that the other statistics can't tell, at least: halves may lie in a plane that
+#: isn't along the axes, too.
+ALONE = 0.1
+#: Share of a normal group that lies within the cutoff.
+WITHIN = 0.9999
+#: Concentration steps at most; they end before when nothing moves.
+STEPS = 15
 P = 4
+#: Documents that an estimate takes, five for each statistic (fewer have halves in a plane by chance). Smaller
+#: groups are judged by their language, smaller languages by all documents.
+ESTIMABLE = 5 * P
+#: Starts that are drawn, about how many vectors each has, and how many starts go on after two steps.
+DRAWS, DRAWN, BEST = 20, 6, 3
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -107,12 +122,12 @@ CONSISTENT = SUPPORT / chi2_cdf(chi2_quantile(SUPPORT), P + 2)
 
 
 def cholesky() -> list[tuple[str, str]]:
-    """SQL of the lower triangle l_ij of the matrix s_ij (i >= j), in the order to compute it in."""
-    out = []
+    """SQL of the lower triangle l_ij of the matrix s_ij (i >= j), variances raised to the least, in the order to compute it in."""
+    out = [(f"v_{i}", f"greatest(s_{i}{i}, {(sd * UNIT) ** 2!r})") for i, sd in enumerate(LEAST_SD)]
     for i in range(P):
         for j in range(i + 1):
             rest = "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j))
-            out.append((f"l_{i}{j}", f"sqrt(s_{i}{j}{rest})" if i == j else f"(s_{i}{j}{rest}) / l_{j}{j}"))
+            out.append((f"l_{i}{j}", f"sqrt(greatest(v_{i}{rest}, {ALONE} * v_{i}))" if i == j else f"(s_{i}{j}{rest}) / l_{j}{j}"))
     return out
 
 
@@ -131,65 +146,103 @@ def _with(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 
 
 def _median(df: DataFrame, values: list[str]) -> DataFrame:
-    """gid -> the lower median of each column of whole numbers, by counts of its values."""
-    long = df.select("gid", F.explode(F.map_from_arrays(F.array(*[F.lit(v) for v in values]), F.array(*values))).alias("what", "value"))
-    counts = long.groupBy("gid", "what", "value").agg(F.count(F.lit(1)).alias("n"))
+    """gid -> the lower median of each column of whole numbers with counts n, by counts of its values."""
+    long = df.select("gid", "n", F.explode(F.map_from_arrays(F.array(*[F.lit(v) for v in values]), F.array(*values))).alias("what", "value"))
+    counts = long.groupBy("gid", "what", "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("gid", "what")
     up = counts.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("all", F.sum("n").over(w))
     med = up.filter("2 * upto >= all").groupBy("gid", "what").agg(F.min("value").alias("m"))
     return med.groupBy("gid").agg(*[F.max(F.when(F.col("what") == v, F.col("m"))).alias(v) for v in values])
 
 
+#: The scatter of a group from which the concentration starts, in its own scales: none between the
+#: statistics; of bounded (tanh) statistics; of directions only.
+SCALE = [f"greatest(1.4826 * a_{i}, {sd * UNIT!r})" for i, sd in enumerate(LEAST_SD)]
+BOUNDED = [f"tanh(x_{i} / d_{i})" for i in range(P)]
+DIRECTION = [f"x_{i} / d_{i} / greatest(1e-9, sqrt({' + '.join(f'(x_{k} / d_{k}) * (x_{k} / d_{k})' for k in range(P))}))" for i in range(P)]
+
+
+def starting_scatters(near: DataFrame, mad: DataFrame) -> DataFrame:
+    """gid, start, m_i, s_ij. Rounded, so that the order of sums doesn't matter."""
+    d = mad.select("gid", *[F.expr(x).alias(f"d_{i}") for i, x in enumerate(SCALE)])
+    x = near.join(d, "gid")
+    y = x.select("gid", "n", *[f"d_{i}" for i in range(P)], *[F.expr(e).alias(f"t_{i}") for i, e in enumerate(BOUNDED)], *[F.expr(e).alias(f"u_{i}") for i, e in enumerate(DIRECTION)])
+    mean = lambda t, i, j: f"sum(n * t_{i} * t_{j}) / sum(n)".replace("t_", f"{t}_")
+    sums = y.groupBy("gid", *[f"d_{i}" for i in range(P)]).agg(*[F.expr(f"round({mean(t, i, j)}, 6)").alias(f"{t}{i}{j}") for t in "tu" for i, j in PAIRS])
+    entry = {0: lambda i, j: f"d_{i} * d_{j} * {float(i == j)}", 1: lambda i, j: f"d_{i} * d_{j} * t{i}{j}", 2: lambda i, j: f"d_{i} * d_{j} * u{i}{j} * {float(P)}"}
+    parts = [sums.select("gid", F.lit(k).alias("start"), *[F.lit(0.0).alias(f"m_{i}") for i in range(P)], *[F.expr(entry[k](i, j)).alias(f"s_{i}{j}") for i, j in PAIRS]) for k in entry]
+    kinds = near.groupBy("gid").agg(F.count(F.lit(1)).alias("kinds"))
+    each = near.join(kinds, "gid").select("gid", "kinds", *[f"x_{i}" for i in range(P)], F.explode(F.sequence(F.lit(len(entry)), F.lit(len(entry) + DRAWS - 1))).alias("start"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(",", "start", *[f"x_{i}" for i in range(P)])), 1, 8), 16, 10).cast("long")
+    drawn = each.filter(place * F.col("kinds") < DRAWN << 32).groupBy("gid", "start").agg(*[F.expr(f"avg(x_{i})").alias(f"m_{i}") for i in range(P)], *[F.expr(f"avg(x_{i} * x_{j})").alias(f"b_{i}{j}") for i, j in PAIRS])
+    parts.append(drawn.select("gid", "start", *[f"m_{i}" for i in range(P)], *[F.expr(f"b_{i}{j} - m_{i} * m_{j}").alias(f"s_{i}{j}") for i, j in PAIRS]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _scatter(params: DataFrame) -> DataFrame:
-    """gid, x-centres m_i and Cholesky factors from the columns m_i and s_ij."""
-    return _with(params, cholesky()).select("gid", *[f"m_{i}" for i in range(P)], *[f"l_{i}{j}" for i, j in PAIRS])
+    """gid, start, centres m_i and Cholesky factors from the columns m_i and s_ij."""
+    return _with(params, cholesky()).select("gid", "start", *[f"m_{i}" for i in range(P)], *[f"l_{i}{j}" for i, j in PAIRS])
 
 
 def group_ids() -> list[Column]:
-    """Names of the group of a document (language and source) and of its language."""
+    """Names of the groups of a document: language and source, language, all."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    return [F.concat(name(F.col("of_lang")), F.lit("\u0001"), name(F.col("of_source"))), name(F.col("of_lang"))]
+    return [F.concat(name(F.col("of_lang")), F.lit("\u0001"), name(F.col("of_source"))), name(F.col("of_lang")), F.lit("")]
 
 
 def minimum_covariance(points: DataFrame) -> DataFrame:
-    """points: gid, x_0 .. x_3 (long). Returns gid, n, c_i, m_i, l_ij: median, centre about it, and scatter of each group.
+    """points: gid, x_0 .. x_3, n (all long). Returns gid, n, c_i, m_i, l_ij: median, centre about it, and scatter of each group.
 
-    Starts at the medians and median deviations, then takes ``STEPS`` concentration steps. The
-    tables between the steps have a row for each group; whether they are broadcast is left to
-    Spark, by their size.
+    The tables between the steps have a row for each group and start; whether they are broadcast
+    is left to Spark, by their size.
     """
     x = [f"x_{i}" for i in range(P)]
-    med = _median(points, x).select("gid", *[F.col(c).alias(f"c_{i}") for i, c in enumerate(x)])
-    med = stage_table(med, "medians")
-    near = points.join(med, "gid").select("gid", *[F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col(f"x_{i}") - F.col(f"c_{i}"))).cast("long").alias(f"x_{i}") for i in range(P)])
+    med = stage_table(_median(points, x).select("gid", *[F.col(c).alias(f"c_{i}") for i, c in enumerate(x)]), "medians")
+    near = points.join(med, "gid").select("gid", *[F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col(f"x_{i}") - F.col(f"c_{i}"))).cast("long").alias(f"x_{i}") for i in range(P)], "n")
     near = stage_table(near, "points")
-    mad = _median(near.select("gid", *[F.abs(c).alias(c) for c in x]), x)
-    floor2 = [(s * UNIT) ** 2 for s in LEAST_SD]
-    start = [F.lit(0.0).alias(f"m_{i}") for i in range(P)] + [(F.pow(F.col(f"x_{i}") * 1.4826, F.lit(2.0)) + floor2[i] if i == j else F.lit(0.0)).alias(f"s_{i}{j}") for i, j in PAIRS]
-    params = stage_table(_scatter(mad.select("gid", *start)), "scatter")
-    for _ in range(STEPS):
+    mad = _median(near.select("gid", "n", *[F.abs(c).alias(c) for c in x]), x).select("gid", *[F.col(c).alias(f"a_{i}") for i, c in enumerate(x)])
+    params = stage_table(_scatter(starting_scatters(near, mad)), "scatter")
+    sums = [f"a_{i}" for i in range(P)] + [f"b_{i}{j}" for i, j in PAIRS]
+    own = [f"m_{i}" for i in range(P)] + [f"l_{i}{j}" for i, j in PAIRS]
+    spread = F.expr(" + ".join(f"ln(l_{i}{i})" for i in range(P)))
+    for step in range(STEPS):
         d = _with(near.join(params, "gid"), forward())
         binned = d.withColumn("bin", F.expr(f"cast(floor(ln({DISTANCE} + 1e-6) * {BINS}) as int)"))
-        sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"x_{i}").alias(f"a_{i}") for i in range(P)], *[F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"b_{i}{j}") for i, j in PAIRS]]
-        by_bin = binned.groupBy("gid", "bin").agg(*sums)
-        w = Window.partitionBy("gid")
-        by_bin = by_bin.withColumn("before", F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(w))
-        inner = by_bin.filter(f"before < {SUPPORT} * all").groupBy("gid").agg(F.sum("n").alias("h"), *[F.sum(c).alias(c) for c in (*[f"a_{i}" for i in range(P)], *[f"b_{i}{j}" for i, j in PAIRS])])
-        m = [F.expr(f"a_{i} / cast(h as double)").alias(f"m_{i}") for i in range(P)]
-        s = [F.expr(f"{CONSISTENT!r} * (b_{i}{j} / cast(h as double) - (a_{i} / cast(h as double)) * (a_{j} / cast(h as double)))" + (f" + {floor2[i]!r}" if i == j else "")).alias(f"s_{i}{j}") for i, j in PAIRS]
-        params = stage_table(_scatter(inner.select("gid", *m, *s)), "scatter")
-    size = near.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
-    return stage_table(params.join(med, "gid").join(size, "gid"), "groups")
+        of = [F.sum("n").alias("n"), *[F.sum(F.expr(f"n * x_{i}")).alias(f"a_{i}") for i in range(P)], *[F.sum(F.expr(f"n * x_{i} * x_{j}")).alias(f"b_{i}{j}") for i, j in PAIRS]]
+        by_bin = binned.groupBy("gid", "start", "bin").agg(*of)
+        w = Window.partitionBy("gid", "start")
+        by_bin = by_bin.withColumn("before", F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("h", SUPPORT * F.sum("n").over(w))
+        # whole bins, and of the last one the share that is still needed
+        part = by_bin.filter("before < h").withColumn("share", F.expr("case when before + n > h then (h - before) / n end"))
+        inner = part.groupBy("gid", "start", "h").agg(*[F.expr(f"(coalesce(sum({c}) filter (where share is null), 0) + coalesce(max(share * {c}), 0.0)) / h").alias(c) for c in sums])
+        m = [F.col(f"a_{i}").alias(f"m_{i}") for i in range(P)]
+        s = [F.expr(f"{CONSISTENT!r} * (b_{i}{j} - a_{i} * a_{j})").alias(f"s_{i}{j}") for i, j in PAIRS]
+        new = _scatter(inner.select("gid", "start", *m, *s))
+        old = params.select("gid", "start", *[F.col(c).alias(f"old_{c}") for c in own])
+        same = reduce(Column.__and__, [F.col(c) == F.col(f"old_{c}") for c in own])
+        new = new.join(old, ["gid", "start"]).select("gid", "start", *own, (~same).alias("moved"))
+        if step == 1:  # a row for each start
+            new = new.withColumn("place", F.row_number().over(Window.partitionBy("gid").orderBy(spread, "start"))).filter(F.col("place") <= BEST).drop("place")
+        new = stage_table(new, "scatter")
+        params = new.drop("moved")
+        if step > 1 and new.filter("moved").isEmpty():
+            break
+    best = params.groupBy("gid").agg(F.min_by(F.struct(*own), F.struct(spread, "start")).alias("p"))
+    size = near.groupBy("gid").agg(F.sum("n").alias("n"))
+    return stage_table(best.select("gid", "p.*").join(med, "gid").join(size, "gid"), "groups")
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (all by default) of each row, with its statistics, base_failed, distance2 and kept.
 
     A document fails the base rules, or is rejected if its squared robust distance from its group
-    (language and source; its language, if the group has fewer than 40 documents that pass the
-    base rules) is beyond the cutoff of the chi-square distribution. Documents of a language of
-    fewer than 40 are kept if they pass the base rules; their distance2 is null. Null languages
-    and sources are values of their own. Empty in, empty out.
+    (language and source) is beyond the cutoff of the chi-square distribution. An estimate takes
+    ``ESTIMABLE`` documents that pass the base rules: smaller groups are judged by their language,
+    smaller languages by all documents; if there are fewer in all, distance2 is null and documents
+    that pass the base rules are kept. Null languages and sources are values of their own. Null
+    and empty texts fail the base rules. Repeated rows count, and are judged, each on its own.
+    Very long texts are one row like others. Columns of ``docs`` may have any names. Empty in,
+    empty out.
     """
     own = docs.columns if carry is None else carry
     inner = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs[lang].alias("of_lang"), docs[source].alias("of_source"), docs[text].alias("of_text"))
@@ -199,18 +252,18 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     stats = stage_table(stats, "statistics")
     units = [F.expr(f"cast(round({UNIT} * ({sql})) as bigint)") for sql in STATISTICS]
     point = stats.withColumns({f"x_{i}": F.when(F.col("n_words") > 0, u) for i, u in enumerate(units)})
-    both = F.array(*group_ids())
-    points = point.filter(~F.col("base_failed")).select(F.explode(both).alias("gid"), *[f"x_{i}" for i in range(P)])
-    groups = minimum_covariance(stage_table(points, "vectors")).filter(F.col("n") >= LEAST_GROUP)
-    fine, coarse = group_ids()
-    rename = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
-    y = point.withColumn("g_fine", fine).withColumn("g_coarse", coarse)
-    y = y.join(rename(groups, "f_"), F.col("g_fine") == F.col("f_gid"), "left").join(rename(groups, "k_"), F.col("g_coarse") == F.col("k_gid"), "left")
-    pick = {c: F.when(F.col("f_gid").isNotNull(), F.col(f"f_{c}")).otherwise(F.col(f"k_{c}")) for c in groups.columns if c not in ("gid", "n")}
-    y = y.withColumns(pick)
+    x = [f"x_{i}" for i in range(P)]
+    points = point.filter(~F.col("base_failed")).select(F.explode(F.array(*group_ids())).alias("gid"), *x).groupBy("gid", *x).agg(F.count(F.lit(1)).alias("n"))
+    groups = minimum_covariance(stage_table(points, "vectors")).filter(F.col("n") >= ESTIMABLE).drop("n")
+    y = point
+    for k, g in enumerate(group_ids()):
+        own_names = [F.col(c).alias(f"g{k}_{c}") for c in groups.columns]
+        y = y.withColumn(f"of_{k}", g).join(groups.select(*own_names), F.col(f"of_{k}") == F.col(f"g{k}_gid"), "left")
+    first = lambda c: F.when(F.col("g0_gid").isNotNull(), F.col(f"g0_{c}")).when(F.col("g1_gid").isNotNull(), F.col(f"g1_{c}")).otherwise(F.col(f"g2_{c}"))
+    y = y.withColumns({c: first(c) for c in groups.columns if c != "gid"})
     y = y.withColumns({f"x_{i}": F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col(f"x_{i}") - F.col(f"c_{i}"))) for i in range(P)})
     y = _with(y, forward()).withColumn("distance2", F.when(~F.col("base_failed"), F.expr(DISTANCE)))
-    beyond = F.coalesce(F.col("distance2") > chi2_quantile(1 - REJECT), F.lit(False))
+    beyond = F.coalesce(F.col("distance2") > chi2_quantile(WITHIN), F.lit(False))
     y = y.withColumn("kept", ~F.col("base_failed") & ~beyond)
     return y.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from test_minhash import brute as brute_groups
-from test_models import prose, statistics
+from test_models import prose, scatter, squared, statistics
 from test_sampling import jump, water
 from test_text import brute as brute_hits
 
@@ -26,18 +26,6 @@ def vector(s, lines):
     return [half_up(v) for v in (math.log(chars / n), math.log(1 + 4 * (symbols / n)), math.sqrt(dup / lines), math.sqrt(repeat / n))]
 
 
-def scatter(x):
-    med = np.sort(x, 0)[(len(x) - 1) // 2]
-    y = np.clip(x - med, -quality.FAR, quality.FAR)
-    floor = np.diag([(s * quality.UNIT) ** 2 for s in quality.LEAST_SD])
-    m, s = np.zeros(4), np.diag((1.4826 * np.sort(np.abs(y), 0)[(len(y) - 1) // 2]) ** 2) + floor
-    for _ in range(quality.STEPS):
-        b = np.floor(np.log(np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(s), y - m) + 1e-6) * quality.BINS)
-        z = y[b <= np.sort(b)[math.ceil(quality.SUPPORT * len(b)) - 1]]
-        m, s = z.mean(0), quality.CONSISTENT * np.cov(z.T, bias=True) + floor
-    return med, m, s
-
-
 def plain_quality(rows):
     points, fine = {}, []
     for k, r in enumerate(rows):
@@ -50,14 +38,14 @@ def plain_quality(rows):
     for k in fine:
         groups[rows[k][2], rows[k][3]].append(points[k])
         groups[rows[k][2]].append(points[k])
-    fits = {g: scatter(np.array(v)) for g, v in groups.items() if len(v) >= quality.LEAST_GROUP}
-    cut = quality.chi2_quantile(1 - quality.REJECT)
+        groups[()].append(points[k])
+    fits = {g: scatter(np.array(v)) for g, v in groups.items() if len(v) >= 20}
+    cut = 23.512742  # 99.99 % of a chi-square distribution with 4 degrees of freedom
     out = []
     for k in fine:
-        fit = fits.get((rows[k][2], rows[k][3]), fits.get(rows[k][2]))
+        fit = fits.get((rows[k][2], rows[k][3]), fits.get(rows[k][2], fits.get(())))
         if fit:
-            d = np.clip(points[k] - fit[0], -quality.FAR, quality.FAR) - fit[1]
-            if d @ np.linalg.inv(fit[2]) @ d > cut:
+            if squared(np.clip(points[k] - fit[0], -8192, 8192)[None].astype(float), fit[1], fit[2])[0] > cut:
                 continue
         out.append(rows[k])
     return out
