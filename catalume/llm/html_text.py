@@ -10,9 +10,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:[^>"']+|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)""", re.S)
+#: An attribute: a name, and perhaps a value, which is quoted only if it starts with a quote.
+_ATTRIBUTE = r"""(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+"""
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^A-Za-z<][^>]*>|</>"""
+    r"""|</?[A-Za-z][^\s/>]*+(?:[\s/]++|""" + _ATTRIBUTE.replace("(=", "(?:=", 1).replace('("', '(?:"', 1) + r""")*+(?:>|\Z)""",
+    re.S,
+)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_ATTR = re.compile(_ATTRIBUTE)
 _UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
@@ -46,19 +52,28 @@ IN_HEAD = frozenset("html head title meta link base basefont bgsound script styl
 
 
 class Node:
-    __slots__ = ("tag", "children", "span", "start")
+    __slots__ = ("tag", "children", "span", "down", "start")
 
-    def __init__(self, tag: str, span: int = 1, start: int = 1):
-        self.tag, self.children, self.span, self.start = tag, [], span, start
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None):
+        get = (attributes or {}).get
+        self.tag, self.children = tag, []
+        self.span = _number(get("colspan"), 1, 100) or 1
+        down = _number(get("rowspan"), 0, 65_534)
+        self.down = 1 if down is None else down or 65_534  # 0: all rows that follow
+        #: of a list the number of its first item, of an item its own, if they say so
+        self.start = _number(get("value" if tag == "li" else "start"), 0, 10**9)
 
 
 def _attributes(token: str) -> dict[str, str]:
-    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(token[_NAME.match(token).end() : -1])}
+    out: dict[str, str] = {}
+    for k, v in _ATTR.findall(token[_NAME.match(token).end() :].removesuffix(">")):
+        out.setdefault(k.lower(), html.unescape(v.strip(v[0]) if v[:1] in ("'", '"') else v))
+    return out
 
 
-def _number(text: str | None, low: int, high: int) -> int:
+def _number(text: str | None, low: int, high: int) -> int | None:
     m = re.match(r"\s*(\d{1,9})", text or "")
-    return min(high, max(low, int(m[1]))) if m else 1
+    return min(high, max(low, int(m[1]))) if m else None
 
 
 def parse(source: str) -> Node:
@@ -126,8 +141,8 @@ def parse(source: str) -> Node:
             close({"head"}, frozenset())
         if tag == "html" or (tag == "body" and places["body"]):
             continue
-        node = Node(tag, _number(attributes.get("colspan"), 1, 100), _number(attributes.get("start"), 0, 10**9))
-        unseen = tag in UNSEEN or "hidden" in attributes or bool(_UNSEEN_STYLE.search(attributes.get("style", "")))
+        node = Node(tag, attributes)
+        unseen = tag in UNSEEN or (tag == "dialog" and "open" not in attributes) or "hidden" in attributes or bool(_UNSEEN_STYLE.search(attributes.get("style", "")))
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(source, at)
             body = source[at : end.start() if end else n]
@@ -217,17 +232,17 @@ def run(steps: Iterator) -> None:
             stack.append(inner)
 
 
-def _cells(row: Node, out: list[tuple[str, int]]) -> Iterator:
+def _cells(row: Node, out: list[tuple[str, int, int]]) -> Iterator:
     for c in row.children:
         if isinstance(c, Node) and c.tag in ("td", "th"):
             w = Writer()
             yield render(c, w, False)
-            out.append((" ".join(x.strip() for x in w.result().split("\n") if x.strip()), c.span))
+            out.append((" ".join(x.strip() for x in w.result().split("\n") if x.strip()), c.span, c.down))
 
 
 def _table(node: Node, w: Writer) -> Iterator:
-    """Rows of cells, each column as wide as its widest cell."""
-    rows: list[list[tuple[str, int]]] = []
+    """Rows of cells, each column as wide as its widest cell; a cell over several rows leaves room below it."""
+    rows: list[list[tuple[str, int, int]]] = []
     loose: list[Node | str] = []
     open_ = [iter(node.children)]
     while open_:
@@ -255,18 +270,27 @@ def _table(node: Node, w: Writer) -> Iterator:
             yield render_one(x, w, False)
     w.block(1)
     width: dict[int, int] = {}
+    grid: list[list[tuple[int, str, int]]] = []
+    below: dict[int, int] = {}  # column -> rows to come that a cell above reaches into
     for row in rows:
-        k = 0
-        for text, span in row:
+        k, new = 0, {}
+        grid.append([])
+        for text, span, down in row:
+            while below.get(k):
+                grid[-1].append((k, "", 1))
+                k += 1
+            grid[-1].append((k, text, span))
             if span == 1:
                 width[k] = max(width.get(k, 0), len(text))
+            if down > 1:
+                new |= dict.fromkeys(range(k, k + span), down - 1)
             k += span
-    for row in rows:
-        k, parts = 0, []
-        for text, span in row:
+        below = {c: n - 1 for c, n in below.items() if n > 1} | new
+    for row in grid:
+        parts = []
+        for k, text, span in row:
             room = sum(width.get(k + i, 0) for i in range(span)) + 3 * (span - 1)
             parts.append(text.ljust(room))
-            k += span
         line = " | ".join(parts).rstrip()
         if line.strip(" |"):
             w._open()
@@ -290,9 +314,10 @@ def render_one(c: Node, w: Writer, pre: bool) -> Iterator:
     if tag == "table":
         yield _table(c, w)
     elif tag in ("ul", "ol", "menu", "dir"):
-        k = c.start
+        k = 1 if c.start is None else c.start
         for x in c.children:
             if isinstance(x, Node) and x.tag == "li":
+                k = k if x.start is None else x.start
                 bullet = f"{k}. " if tag == "ol" else "- "
                 k += 1
                 w.block(1)
@@ -340,8 +365,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", source: str = "html
     """page_id and the visible text of each row; nothing is shuffled.
 
     Null pages give null, empty ones and ones without visible text ''. Whole pages are read,
-    however long and deep.
-    Repeated rows give repeated rows.
+    however long and deep; what is hidden stays hidden at any depth. Null ids stay null, repeated
+    rows give repeated rows, other columns aren't looked at, and an empty table gives an empty one.
     """
     kind = pages.schema[page_id].dataType.simpleString()
 
