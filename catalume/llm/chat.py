@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalume.llm.common import numbered
+
 
 def _conversation(turns: DataFrame, name: str) -> DataFrame:
     """pair_id and the turns in order; ties of a turn by role, then text, nulls first."""
@@ -48,8 +50,10 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, roles: tuple[str,
     Turns are equal if role and text are (null equals null; the number of the turn may differ).
     A side without turns has an empty completion and the prompt is then empty. If one side is a
     prefix of the other, its completion is empty. Null roles and texts are rendered as empty.
-    Repeated rows are repeated turns. Each side is grouped by pair once, so that its turns come
-    together; a pair is as large as its conversations.
+    Repeated rows are repeated turns. Null pair_ids are one pair. Very long texts are carried as
+    they are, other columns of either side are not looked at, and tables without rows give none.
+    Each side is grouped by pair once, so that its turns come together; a pair is as large as its
+    conversations.
     """
     c, r = _conversation(chosen, "c"), _conversation(rejected, "r")
     none = F.array().cast(c.schema["c"].dataType)
@@ -71,18 +75,24 @@ def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides from plain conversations (conv_id, turn, role, text).
 
     Chosen is a conversation as it is; in the rejected one the last answer of the assistant is
-    that of its neighbour (ids 2k and 2k + 1). Conversations without an answer, or with no such
-    neighbour, or whose id is null, make no pair.
+    that of another conversation. Conversations with an answer are numbered in the order of a hash
+    of their id, and 2k and 2k + 1 exchange answers; of an odd number the last one loses its
+    answer. A conversation without an answer is the same on both sides, so both its completions
+    are empty. Every conversation makes a pair; turns whose conv_id is null are one. Ids may be
+    of any type; other columns aren't looked at. Repeated rows of the last answer all change.
     """
-    t = turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    t = turns.select(turns["conv_id"].alias("pair_id"), "turn", "role", "text")
     said = F.struct("turn", "text")
     last = t.filter("role = 'assistant'").groupBy("pair_id").agg(F.max_by(said, said).alias("own"))
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("own").alias("other"))
-    both = last.join(other, "pair_id")
-    x = t.join(both, "pair_id")
-    swap = (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("own.turn")) & F.col("text").eqNullSafe(F.col("own.text"))
-    rejected = x.select("pair_id", "turn", "role", F.when(F.coalesce(swap, F.lit(False)), F.col("other.text")).otherwise(F.col("text")).alias("text"))
-    return x.select("pair_id", "turn", "role", "text"), rejected
+    spread = F.md5(F.coalesce(F.col("pair_id").cast("string"), F.lit("")).cast("binary"))
+    order = numbered(last.select("pair_id", spread.alias("spread"), F.substring(spread, 1, 3).alias("part")), [], ["part"], ["spread", "pair_id"], "rank")
+    ranked = last.join(order.select(F.col("pair_id").alias("of_id"), "rank"), F.col("pair_id").eqNullSafe(F.col("of_id"))).drop("of_id")
+    other = ranked.select(F.col("rank").bitwiseXOR(F.lit(1)).alias("rank"), F.col("own").alias("other"))
+    both = ranked.join(other, "rank", "left").select(F.col("pair_id").alias("of_id"), "own", "other")
+    x = t.join(both, F.col("pair_id").eqNullSafe(F.col("of_id")), "left")
+    swap = F.coalesce((F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("own.turn")) & F.col("text").eqNullSafe(F.col("own.text")) & F.col("own").isNotNull(), F.lit(False))
+    rejected = x.filter(~(swap & F.col("other").isNull())).select("pair_id", "turn", "role", F.when(swap, F.col("other.text")).otherwise(F.col("text")).alias("text"))
+    return t, rejected
 
 
 def preference_report(turns: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Decontamination, tokens, HTML and chat."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -158,8 +159,25 @@ def test_preferences(spark):
 
 
 def test_swapped_answers(spark):
-    t = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 2, "user", "c"), (0, 3, "assistant", "d"), (0, 4, "user", "e"), (1, 0, "user", "f"), (1, 1, "assistant", "g"), (2, 0, "user", "alone"), (3, 0, "assistant", "h"), (None, 0, "assistant", "i")]
-    got = {r["conv_id"]: r for r in chat.preference_report(spark.createDataFrame(t, "conv_id long, turn long, role string, text string")).collect()}
-    assert sorted(got) == [0, 1]
-    assert (got[0]["n_common"], got[0]["chosen"], got[0]["rejected"]) == (3, "<|assistant|>\nd\n<|user|>\ne\n", "<|assistant|>\ng\n<|user|>\ne\n")
-    assert got[0]["chosen_mask"] == "14-16"
+    t = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 2, "user", "c"), (0, 3, "assistant", "d"), (0, 4, "user", "e"), (14, 0, "user", "f"), (14, 1, "assistant", "g"), (2, 0, "user", "alone"), (None, 0, "assistant", "i"), (None, None, None, None)]
+    docs = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").withColumn("rank", F.lit("x")).withColumn("own", F.lit(1))
+    got = {r["conv_id"]: r for r in chat.preference_report(docs).collect()}
+    assert set(got) == {0, 14, 2, None}
+    own = {0: "d", 14: "g", None: "i"}
+    order = sorted(own, key=lambda i: hashlib.md5(("" if i is None else str(i)).encode()).hexdigest())
+    other = {order[0]: own[order[1]], order[1]: own[order[0]], order[2]: None}
+    say = lambda x: "" if x is None else f"<|assistant|>\n{x}\n"
+    after = {0: "<|user|>\ne\n", 14: "", None: ""}
+    for i in own:
+        if other[i] is not None:
+            assert (got[i]["chosen"], got[i]["rejected"]) == (say(own[i]) + after[i], say(other[i]) + after[i]), i
+            assert got[i]["chosen_mask"] == "14-16"
+    last = got[order[2]]
+    assert last["chosen"].startswith(say(own[order[2]])) and say(own[order[2]]) not in last["rejected"]
+    assert (got[2]["n_common"], got[2]["chosen"], got[2]["rejected"]) == (1, "", "")
+
+
+def test_every_conversation_makes_a_pair_also_with_long_and_repeated_turns(spark):
+    t = [(f"c{i}", k, "user" if k % 2 else "assistant", "long " * 20_000 if i == 3 else f"t{i}") for i in range(30) for k in range(3)]
+    got = chat.preference_report(spark.createDataFrame(t + t[:6], "conv_id string, turn long, role string, text string")).collect()
+    assert len(got) == 30 and all(r["rejected"] != "" for r in got)
