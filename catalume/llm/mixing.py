@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from catalume.llm.common import fresh, numbered, word_count
+from catalume.llm.common import numbered, word_count
 
 #: The random offset of a source has this many steps, so that sums with it are exact.
 STEPS = 1 << 20
@@ -83,20 +84,31 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return x.select("doc_id", "size", "source_size", "target", (own * F.col("size")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the plan takes it, same columns.
 
-    Texts are shuffled once, to meet the plan by document and row hash. Equal rows meet it as one.
+    A row travels as one struct, so its columns may have any names and types. Texts, however long,
+    are shuffled once, to meet the plan by document and row hash. Rows equal in id, text, source
+    and all else that can be hashed meet it as one and share its copies evenly, the first ones
+    taking what is left over; numbering them takes a task for each such row. Null texts, sources
+    and ids take part, see :func:`plan_mix`. Empty in, empty out.
     """
-    row, = fresh(docs, "row_key")
-    keyed = docs.withColumn(row, F.xxhash64(*[docs[c] for c in docs.columns]))
-    plan = plan_mix(keyed, doc_id=doc_id, source=source, rows=row, **options).filter("copies > 0")
-    p = plan.select(F.col("row_key").alias("_plan_row"), F.col("doc_id").alias("_plan_doc"), F.col("copies").alias("_copies"), F.col("n_rows").alias("_equal"))
-    x = keyed.join(p, (keyed[row] == p["_plan_row"]) & keyed[doc_id].eqNullSafe(p["_plan_doc"]))
-    # equal rows share their copies evenly; the first ones take what is left over
-    single = x.filter("_equal = 1").withColumn("_own", F.col("_copies"))
-    w = Window.partitionBy("_plan_row", "_plan_doc").orderBy(F.lit(1))
-    several = x.filter("_equal > 1").withColumn("_nth", F.row_number().over(w) - 1)
-    several = several.withColumn("_own", F.floor(F.col("_copies") / F.col("_equal")) + F.when(F.col("_nth") < F.col("_copies") % F.col("_equal"), 1).otherwise(0)).drop("_nth")
-    every = single.unionByName(several).filter("_own > 0")
-    return every.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own").cast("long")))).select(*docs.columns)
+    hashed = [docs[c] for c in docs.columns if not _has_map(docs.schema[c].dataType)]
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), docs[source].alias("source"), F.xxhash64(*hashed).alias("row_key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    plan = plan_mix(rows, rows="row_key", **options).filter("copies > 0")
+    p = plan.select(F.col("row_key").alias("of_key"), F.col("doc_id").alias("of_doc"), "copies", F.col("n_rows").alias("equal"))
+    x = rows.select("doc_id", "row_key", "row").join(p, (F.col("row_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
+    single = x.filter("equal = 1").select("row", F.col("copies").alias("own"))
+    w = Window.partitionBy("of_key", "of_doc").orderBy(F.lit(1))
+    several = x.filter("equal > 1").withColumn("nth", F.row_number().over(w) - 1)
+    more = F.when(F.col("nth") < F.col("copies") % F.col("equal"), 1).otherwise(0)
+    several = several.select("row", (F.floor(F.col("copies") / F.col("equal")) + more).alias("own"))
+    every = single.unionByName(several).filter("own > 0")
+    return every.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own").cast("long")))).select("row.*")
+
+
+def _has_map(kind: T.DataType) -> bool:
+    """Maps can't be hashed."""
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))

@@ -104,6 +104,20 @@ def test_mix_emits_what_is_planned(frame):
     assert sum(got.values()) == sum(plan.values()) and by_id == Counter({k: v for k, v in plan.items() if v})
 
 
+def test_mix_leaves_columns_of_any_name_and_type_alone(frame):
+    rows = [(i, "w " * (i % 7 + 1), "en", "ab"[i % 2]) for i in range(60)] + [(7, "same", "en", "a")] * 4 + [(99, "long " * 50_000, "en", "b")]
+    docs = frame(rows)
+    names = ["_own", "_i", "_nth", "_copies", "_equal", "_plan_doc", "row_key", "copies", "own", "row", "nth", "of_key", "size", "kind", "part", "target"]
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    docs = docs.withColumn("extras", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("parts", F.array(F.struct(F.col("text").alias("copies"))))
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    plan = mixing.plan_mix(frame(rows)).agg(F.sum("copies")).first()[0]
+    assert len(got) == plan and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names) and all(r["extras"] == {"k": r["doc_id"]} for r in got)
+
+
 def test_mix_of_nothing(frame):
     assert mixing.mix_report(frame([])).count() == 0 and mixing.mix(frame([])).count() == 0
     none = mixing.mix_report(frame([(1, None, "en", "a"), (2, "", "en", None)])).collect()
