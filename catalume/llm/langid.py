@@ -1,8 +1,10 @@
 """Language identification by a byte convolutional network, trained in numpy.
 
-Bytes are mapped to 64 classes; filters of several widths run over windows of fixed length,
-the largest response of each filter in a window goes to a softmax over languages. A text is cut
-into windows from its first to its last byte, and their log-probabilities are averaged.
+Filters of several widths run over windows of bytes of fixed length, the largest response of each
+filter in a window goes to a softmax over languages. All byte values are told apart but for case
+of A-Z, digits, and kinds of white space. A text is cut into windows from its first to its last
+byte, which overlap so that no filter misses a place; their log-probabilities are averaged, each
+by the bytes that it adds.
 """
 
 from __future__ import annotations
@@ -14,46 +16,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalume.sources.scratch import stage_table
+
 #: Bytes of a window, widths of the filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: The sample to fit on: about so many documents of each language, three windows of each; no more languages than this.
-PER_LANGUAGE, MOST_LANGUAGES = 300, 200
+#: The sample to fit on: about so many documents of each language, three windows of each, and fewer
+#: of each if there are so many languages that they would be more than this in all. All are learned.
+PER_LANGUAGE, MOST_DOCUMENTS = 300, 60_000
 EPOCHS, BATCH, RATE = 12, 64, 0.02
 #: Windows that are scored together.
 TOGETHER = 256
-CLASSES = 64
+CLASSES = 256
+#: Bytes from one window to the next.
+STRIDE = WINDOW - max(WIDTHS) + 1
 
 
 def _classes() -> bytes:
-    """0 pads; letters without case, space, digits, other ASCII; of the bytes beyond ASCII leads and 32 continuations."""
-    out = []
-    for b in range(256):
-        c = b | 32 if 65 <= b <= 90 else b
-        if 97 <= c <= 122:
-            out.append(c - 96)
-        elif c in (32, 9, 10, 11, 12, 13):
-            out.append(27)
-        elif 48 <= c <= 57:
-            out.append(28)
-        elif c < 128:
-            out.append(29)
-        elif c < 192:
-            out.append(32 + c % 32)
-        else:
-            out.append(30 if c == 0xC3 else 31)
-    return bytes(out)
+    """A-Z as a-z, digits as 0, white space as a space; other bytes are themselves. 0 pads."""
+    table = bytearray(range(256))
+    for b in range(26):
+        table[65 + b] = 97 + b
+    for b in range(10):
+        table[48 + b] = 48
+    for b in range(9, 14):
+        table[b] = 32
+    return bytes(table)
 
 
 TABLE = _classes()
 
 
 def windows(text: str) -> np.ndarray:
-    """The whole text as rows of WINDOW byte classes; the last is padded."""
+    """The whole text as rows of WINDOW byte classes, STRIDE apart; the last is padded."""
     x = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(TABLE), np.uint8)
-    n = max(1, -(-len(x) // WINDOW))
-    out = np.zeros(n * WINDOW, np.uint8)
+    n = 1 + max(0, -(-(len(x) - WINDOW) // STRIDE))
+    out = np.zeros((n - 1) * STRIDE + WINDOW, np.uint8)
     out[: len(x)] = x
-    return out.reshape(n, WINDOW)
+    return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[::STRIDE]
+
+
+def weights(n_bytes: int, n: int) -> np.ndarray:
+    """Bytes that each window of a text adds: the first all, others what doesn't overlap."""
+    out = np.full(n, STRIDE)
+    out[0] = min(n_bytes, WINDOW)
+    if n > 1:
+        out[-1] = n_bytes - WINDOW - (n - 2) * STRIDE
+    return out
 
 
 class ByteNet:
@@ -146,19 +154,21 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet | None:
     """Fit on a bounded sample of the labelled rows that aren't held out; None without any.
 
-    About PER_LANGUAGE documents of each language by hash of id and text, repeated ones once, and
-    of each the first, the middle and the last WINDOW bytes' worth of characters.
+    About PER_LANGUAGE documents of each language (fewer if that would be more than
+    MOST_DOCUMENTS in all) by hash of id and text, repeated ones once, and of each the first, the
+    middle and the last WINDOW characters.
     """
-    d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang"))
+    d = d.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    counts = stage_table(d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not languages:
         return None
-    n = F.coalesce(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col("lang")], F.lit(0))
+    per = max(1, min(PER_LANGUAGE, MOST_DOCUMENTS // len(languages)))
     piece = lambda at: F.substring("text", at.cast("int"), F.lit(WINDOW))
     size = F.length("text")
-    take = d.filter((n > 0) & (F.pmod(F.xxhash64("doc_id", "text"), n) < PER_LANGUAGE))
+    take = d.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.col("n")) < per)
     rows = take.select("doc_id", "lang", F.array(piece(F.lit(1)), piece(F.greatest(F.lit(1), F.floor(size / 2) - WINDOW // 2)), piece(F.greatest(F.lit(1), size - WINDOW + 1))).alias("parts")).distinct().collect()
-    languages = sorted(counts)
     x, y = [], []
     for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["parts"])):
         for part in set(r["parts"]):
@@ -174,34 +184,38 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, net: ByteNet | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (0 to 1): one row per row of ``docs``; only the text is looked at.
 
-    Null texts, texts without a letter, and all texts if nothing could be learned are 'und' with
-    score 0. The broadcast network has a few thousand weights.
+    Null and empty texts, texts without a letter, and all texts if nothing could be learned are
+    'und' with score 0. Very long texts are scored window by window, all of them; repeated rows
+    each on its own; other columns aren't looked at. The broadcast network has some 40,000 weights
+    and 49 for each language.
     """
     spark = docs.sparkSession
     lettered = F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False))
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.when(lettered, docs[text]).alias("text"))
-    shared = spark.sparkContext.broadcast((net, net.tables() if net else None))
+    shared = spark.sparkContext.broadcast(net)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, tables = shared.value
+        n = shared.value
+        tables = n.tables() if n else None
         for b in batches:
             pred, score = ["und"] * b.num_rows, [0.0] * b.num_rows
             texts = b.column(1)
             start = 0
             while n is not None and start < b.num_rows:
-                parts, rows, total = [], [], 0
+                parts, rows, total, sizes = [], [], 0, []
                 while start < b.num_rows and total < 16 * TOGETHER:
                     t = texts[start].as_py()
                     if t:
                         parts.append(windows(t))
                         rows.append(start)
+                        sizes.append(len(t.encode("utf-8", "surrogatepass")))
                         total += len(parts[-1])
                     start += 1
                 if not rows:
                     continue
                 log = n.log_probabilities(np.concatenate(parts), tables)
-                sizes = np.array([len(p) for p in parts])
-                mean = np.add.reduceat(log, np.concatenate(([0], np.cumsum(sizes)[:-1])), 0) / sizes[:, None]
+                log *= np.concatenate([weights(k, len(p)) for k, p in zip(sizes, parts, strict=True)])[:, None]
+                mean = np.add.reduceat(log, np.cumsum([0] + [len(p) for p in parts[:-1]]), 0) / np.array(sizes)[:, None]
                 p = np.exp(mean - mean.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 for r, k, s in zip(rows, p.argmax(1), p.max(1), strict=True):
