@@ -153,7 +153,8 @@ def _before(x: np.ndarray) -> np.ndarray:
 class _Chunk:
     """A chunk, with what it knows so far: c[m] is the count of the run of m words that ends at a
     place (0 if it is less than ``least``), b[k] four times the mass of own estimates of the
-    context of k words before it (0: not retained). Of level 1 both are also kept by word
+    context of k words before it (1: it has some but isn't retained; 0: it has none, so longer
+    contexts have none either and need no test). Of level 1 both are also kept by word
     (``of_word``), which takes less room. Arrays have the smallest type that holds them.
 
     A context is settled at a place if all its occurrences are followed by the word there. Longer
@@ -209,7 +210,7 @@ class _Chunk:
         n = _before(self.c[k])
         dead = self.train & (n == self.how.least) & (self.c[k + 1] < self.how.least)
         ask = self.inside(k) & (n >= self.how.least) & ~dead
-        return np.flatnonzero(ask & ~self.settled(k - 1) if k > 1 else ask)
+        return np.flatnonzero(ask & (self.b[k - 1] != 0) & ~self.settled(k - 1) if k > 1 else ask)
 
     def distinct(self, what: str, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct sorted hashes that the chunk asks for; places; and the hash of each place."""
@@ -259,7 +260,7 @@ class _Chunk:
         """Of each word in the longest retained suffix of up to ``upto`` words."""
         p = self.root(total, kinds)
         for k in range(1, upto + 1):
-            some = np.flatnonzero(self.b[k])
+            some = np.flatnonzero(self.b[k] > 1)
             b, n, own = (x[at].astype(np.float64) for x, at in ((self.b[k], some), (self.c[k], some - 1), (self.c[k + 1], some)))
             p[some] = (np.where(own >= self.how.least, own - self.how.discount, 0.0) + (n - b / 4) * p[some]) / n
         return p
@@ -333,7 +334,7 @@ def _answerer(how: Settings) -> Callable[[pa.Table], pa.Table]:
             # the rest of the mass is compared as one symbol that the suffix gives 1 at most
             gain = summed("x") + rest * np.log(np.maximum(rest, 1e-9) / n)
             kept = (mass > 0) & (gain >= how.divergence)
-            say = np.where(kept, 4 * mass, 0).astype(np.int64)
+            say = np.where(kept, 4 * mass, mass > 0).astype(np.int64)
             out.append(head | {"what": "states", "chunk": -1, "data": _pack(np.stack([keys[kept], n[kept].astype(np.uint64), say[kept].astype(np.uint64)], 1).ravel()), "kinds": int(kept.sum())})
         stop = np.cumsum([len(x) for x in sent])
         for r, x, b in zip(rows, sent, stop, strict=True):
