@@ -144,24 +144,25 @@ def migrate_path_decisions(path_decisions: DataFrame, images: DataFrame) -> Data
     return x.groupBy("hash").agg(F.max("decision").alias("decision"))
 
 
-def trash_plan(images: DataFrame, existing: DataFrame, trash_dir: str = "_trash", ids: DataFrame | None = None) -> DataFrame:
+def trash_plan(images: DataFrame, existing: DataFrame, root: str, ids: DataFrame | None = None, trash_dir: str = "_trash") -> DataFrame:
     """id, hash, from_path, trash_path of what is marked del (or of ``ids``), active, and not inside the trash folder (images has decision and trash_state).
 
-    Names are unique among ``existing`` (dir, name) and the moves themselves.
+    There is one trash folder, at the root of the library, so names of different folders collide
+    there. Names are unique among ``existing`` (dir, name) and the moves themselves.
     """
+    trash = f"{root.rstrip('/')}/{trash_dir}"
     pick = images.filter("decision = 'del'") if ids is None else images.join(ids.select("id"), "id", "left_semi")
-    inside = F.array_contains(F.split("path", "/"), trash_dir)
-    x = pick.filter(F.col("trash_state").isNull() & ~inside)
-    moves = x.select("id", F.concat(dirname(F.col("path")), F.lit(f"/{trash_dir}")).alias("dir"), basename(F.col("path")).alias("name"), F.col("content_hash").alias("hash"), F.col("path").alias("from_path"))
+    x = pick.filter(F.col("trash_state").isNull() & ~F.col("path").startswith(f"{trash}/"))
+    moves = x.select("id", F.lit(trash).alias("dir"), basename(F.col("path")).alias("name"), F.col("content_hash").alias("hash"), F.col("path").alias("from_path"))
     named = unique_names(moves, existing)
     return named.select("id", "hash", "from_path", F.concat_ws("/", "dir", "dest").alias("trash_path"))
 
 
 def apply_trash(plan: DataFrame, images: DataFrame, copies: DataFrame, ledger: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items and overrides with their new paths, and the ledger with the new rows (ids after the largest)."""
-    p = plan.select(F.col("id").alias("_i"), F.col("from_path").alias("_f"), F.col("trash_path").alias("_t"))
+    """Items and overrides (by path and hash) with their new paths, and the ledger with the new rows (ids after the largest)."""
+    p = plan.select(F.col("id").alias("_i"), F.col("from_path").alias("_f"), F.col("hash").alias("_h"), F.col("trash_path").alias("_t"))
     moved = images.join(p, images["id"] == p["_i"], "left").withColumn("path", F.coalesce("_t", "path")).select(*images.columns)
-    over = copies.join(p, copies["path"] == p["_f"], "left").withColumn("path", F.coalesce("_t", "path")).select(*copies.columns)
+    over = copies.join(p, (copies["path"] == p["_f"]) & (copies["hash"] == p["_h"]), "left").withColumn("path", F.coalesce("_t", "path")).select(*copies.columns)
     top = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     w = Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(64)))  # numbered in 64 parts
     n = plan.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(64)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalume.functions.scores import iou
 from catalume.functions.text import bbox_key, parse_bbox, upright_box
-from catalume.operators.decisions import upsert
+from catalume.operators.decisions import insert_new, upsert
 from catalume.operators.facets import reaggregate
 from catalume.operators.graph import connected_components
 from catalume.operators.groups import coarsen
@@ -164,34 +164,64 @@ def reanchor(anchors: DataFrame, members: DataFrame, name: str | None) -> DataFr
     return kept.unionByName(new) if name and name.strip() else kept
 
 
-def assign_faces(faces: DataFrame, face_ids: list[int], cluster_id: int | None) -> tuple[DataFrame, DataFrame]:
-    """Faces with the new person (None: the next one made by hand), and the ids that don't exist; nothing changes if there are any."""
-    spark = faces.sparkSession
-    wanted = spark.createDataFrame([(int(i),) for i in face_ids], "w long")
-    unknown = wanted.join(faces.select(F.col("id").alias("w")), "w", "left_anti")
+def _unknown(faces: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids (id) that don't exist, and one row: whether there are any."""
+    unknown = wanted.select("id").distinct().join(faces.select(F.col("id").alias("_f")), F.col("id") == F.col("_f"), "left_anti")
+    return unknown, unknown.agg((F.count(F.lit(1)) > 0).alias("_bad"))
+
+
+def assign_faces(faces: DataFrame, wanted: DataFrame, cluster_id: int | None) -> tuple[DataFrame, DataFrame]:
+    """Faces with the new person (None: the next one made by hand) for the ids in ``wanted`` (id), and the ids that don't exist; nothing changes if there are any."""
+    unknown, bad = _unknown(faces, wanted)
     top = faces.agg(F.greatest(F.lit(MANUAL), F.coalesce(F.max("cluster_id"), F.lit(0)) + 1).alias("_new"))
-    bad = unknown.agg((F.count(F.lit(1)) > 0).alias("_bad"))
-    x = faces.crossJoin(top).crossJoin(bad)  # one row each
+    w = wanted.select(F.col("id").alias("_w")).distinct()
+    x = faces.join(w, faces["id"] == w["_w"], "left").crossJoin(top).crossJoin(bad)  # one row each
     to = F.col("_new") if cluster_id is None else F.lit(cluster_id)
-    ok = F.col("id").isin([int(i) for i in face_ids]) & ~F.col("_bad")
+    ok = F.col("_w").isNotNull() & ~F.col("_bad")
     return x.withColumn("cluster_id", F.when(ok, to.cast("long")).otherwise(F.col("cluster_id"))).select(*faces.columns), unknown
 
 
-def delete_faces(faces: DataFrame, images: DataFrame, face_ids: list[int]) -> tuple[DataFrame, DataFrame]:
-    gone = faces.filter(F.col("id").isin([int(i) for i in face_ids]))
-    left = faces.filter(~F.col("id").isin([int(i) for i in face_ids]))
-    return left, reaggregate(images, left, gone.select(F.col("image_id").alias("id")))
+def delete_faces(faces: DataFrame, images: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Faces without those in ``wanted`` (id), items with their figures done again, and the ids that don't exist; nothing changes if there are any."""
+    unknown, bad = _unknown(faces, wanted)
+    w = wanted.select(F.col("id").alias("_w")).distinct().crossJoin(bad).filter("not _bad").drop("_bad")  # one row
+    gone = faces.join(w, faces["id"] == w["_w"], "left_semi")
+    left = faces.join(w, faces["id"] == w["_w"], "left_anti")
+    return left, reaggregate(images, left, gone.select(F.col("image_id").alias("id"))), unknown
 
 
-def merge_people(faces: DataFrame, clusters: DataFrame, source: int, target: int) -> tuple[DataFrame, DataFrame]:
-    """All faces of one person go to another; the name of the target stays, else that of the source."""
-    f = faces.withColumn("cluster_id", F.when(F.col("cluster_id") == source, F.lit(target).cast("long")).otherwise(F.col("cluster_id")))
-    names = clusters.filter(F.col("cluster_id").isin(source, target)).agg(F.max(F.when(F.col("cluster_id") == target, F.col("name"))).alias("t"), F.max(F.when(F.col("cluster_id") == source, F.col("name"))).alias("s"))
-    new = names.select(F.lit(target).cast("long").alias("cluster_id"), F.coalesce("t", "s").alias("name"))
-    return f, clusters.filter(~F.col("cluster_id").isin(source, target)).unionByName(new)
+def _with_hash(faces: DataFrame, images: DataFrame) -> DataFrame:
+    i = images.filter("content_hash is not null").select(F.col("id").alias("_i"), F.col("content_hash").alias("hash"))
+    return faces.join(i, faces["image_id"] == i["_i"]).drop("_i")
 
 
-def rename_person(clusters: DataFrame, cluster_id: int, name: str) -> DataFrame:
+def merge_people(
+    faces: DataFrame, images: DataFrame, clusters: DataFrame, overrides: DataFrame, anchors: DataFrame, sources: list[int], target: int
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Faces, people, overrides and name anchors after all faces of ``sources`` went to ``target``.
+
+    Each moved face is an override, pinned to the surest detected face of the target, so that the
+    merge survives new numbers. Rows of the sources go; the target keeps its own name, or none.
+    All its faces are anchored to that name anew, which clears what the moved ones were called.
+    """
+    sources = [int(c) for c in sources if int(c) != int(target)]
+    moves = F.col("cluster_id").isin(sources)
+    ref = reference_face(faces.filter(F.col("cluster_id") == target), images, overrides)
+    ref = ref.select(F.col("hash").alias("target_hash"), F.col("bbox").alias("target_bbox"))  # one row at most
+    none = faces.sparkSession.range(1).drop("id")
+    edits = _with_hash(faces.filter(moves), images).crossJoin(none.join(ref, F.lit(True), "left"))
+    edit = {"bbox": bbox_key(*[F.col(c) for c in BOX]), "action": F.lit("assign"), "cluster_id": F.lit(target).cast("long")}
+    edits = edits.withColumns(edit).select("hash", "bbox", "action", "cluster_id", "target_hash", "target_bbox")
+    after = faces.withColumn("cluster_id", F.when(moves, F.lit(target).cast("long")).otherwise(F.col("cluster_id")))
+    own = faces.sparkSession.createDataFrame([(int(target), None)], "cluster_id long, name string")
+    people = insert_new(clusters.filter(~F.col("cluster_id").isin(sources)), own, ["cluster_id"])
+    name = people.filter(F.col("cluster_id") == target).select("name").first()["name"]
+    members = _with_hash(after.filter(F.col("cluster_id") == target), images)
+    return after, people, record_override(overrides, edits), reanchor(anchors, members, name)
+
+
+def rename_person(clusters: DataFrame, cluster_id: int, name: str | None) -> DataFrame:
+    """People with the new name; anchor it with :func:`reanchor`, so that it survives new numbers."""
     row = clusters.sparkSession.createDataFrame([(cluster_id, name)], "cluster_id long, name string")
     return upsert(clusters, row, ["cluster_id"])
 
@@ -203,13 +233,3 @@ def migrate_boxes(overrides: DataFrame, orientation: DataFrame) -> DataFrame:
     b = upright_box(tuple(F.col(c) for c in BOX), F.col("w"), F.col("h"), F.col("orientation"))
     key = F.when(F.col("_h").isNotNull(), bbox_key(*[b[c] for c in BOX])).otherwise(F.col("bbox"))
     return x.withColumn("bbox", key).select(*overrides.columns)
-
-
-def fold_pins(merges: DataFrame) -> DataFrame:
-    """Pin groups that share a hash made one, by the least group id."""
-    head = merges.groupBy("hash").agg(F.min("group_id").alias("a"))
-    comp = connected_components(merges.join(head, "hash").select("a", F.col("group_id").alias("b")))
-    x = merges.join(comp, merges["group_id"] == comp["node"], "left")
-    return x.select(F.coalesce("component", "group_id").alias("group_id"), "hash").distinct()
-
-

@@ -20,6 +20,33 @@ from catalume.sources import ingest as I
 KEEPER = "coalesce(round(combined + 0.05 * (portrait - 0.5), 6), combined)"
 
 
+@query("""with f as (select id, case id % 4 when 0 then '/lib/_Trash' when 1 then folder || '/_rejected/x' else folder end || '/' || id || case id % 5 when 0 then '.JPG' when 1 then '.cr3' when 2 then '.txt' when 3 then '.bmp' else '' end as path from photos)
+    select id, path from f where id % 4 > 1 and id % 5 in (0, 1, 3)""")
+def o1_discover(t: Tables) -> DataFrame:
+    ends = F.array(*[F.lit(x) for x in (".JPG", ".cr3", ".txt", ".bmp", "")])
+    dirs = F.when(F.col("id") % 4 == 0, "/lib/_Trash").when(F.col("id") % 4 == 1, F.concat("folder", F.lit("/_rejected/x"))).otherwise(F.col("folder"))
+    files = t.photos.select("id", F.concat(dirs, F.lit("/"), F.col("id").cast("string"), F.get(ends, (F.col("id") % 5).cast("int"))).alias("path"))
+    return I.in_library(files, "/lib")
+
+
+@query("""select f.image_id, f.x1, f.y2, f.prob, f.cluster_id, f.sharp from faces f join photos p on p.id = f.image_id""")
+def o3_report_star(t: Tables) -> DataFrame:
+    return I._star(I.nested_report(t.photos, t.faces, t.tags))[1].select("image_id", "x1", "y2", "prob", "cluster_id", "sharp")
+
+
+@query("""select count(*) as total_images, count(distinct dup_group) as duplicate_groups, count(distinct scene_group) as scene_groups,
+    (select count(distinct image_id) from faces where image_id in (select id from photos)) as faces_images, (select count(distinct cluster_id) from faces where cluster_id >= 0 and image_id in (select id from photos)) as face_clusters from photos""")
+def o13_report_totals(t: Tables) -> DataFrame:
+    return I.report_totals(t.photos, t.faces)
+
+
+@query("""with g as (select image_id, count(*) as n_faces, max(cluster_id) as top from faces group by 1), k as (select image_id, string_agg(tag, ',' order by tag) as tags from tags group by 1)
+    select id, path, combined, coalesce(g.n_faces, 0)::int as n, g.top, coalesce(k.tags, '') as tags from photos p left join g on g.image_id = p.id left join k on k.image_id = p.id""")
+def o13_report_rows(t: Tables) -> DataFrame:
+    x = I.nested_report(t.photos, t.faces, t.tags)
+    return x.select("id", "path", "combined", F.size("faces").alias("n"), F.array_max(F.transform("faces", lambda f: f["cluster_id"])).alias("top"), F.array_join("tags", ",").alias("tags"))
+
+
 @query("""select id, path, combined, decision, trash_state from seen where combined between 0.3 and 0.9 and decision is null and trash_state is null
     order by combined desc nulls last, id limit 300 offset 20""")
 def flagship_page(t: Tables) -> DataFrame:
@@ -425,14 +452,14 @@ def o78_list_people(t: Tables) -> DataFrame:
 
 @query("""with d as (select label, i, avg(embedding[i]::double) as m from vectors, range(1, 65) r(i) group by 1, 2), c as (select label, list(m order by i) as v from d group by 1)
     select cluster_id, other, round(s, 4) as similarity from (select a.label as cluster_id, b.label as other, list_cosine_similarity(a.v, b.v) as s,
-    row_number() over (partition by a.label order by list_cosine_similarity(a.v, b.v) desc) as r from c a join c b on a.label <> b.label) where s >= 0.05 and r <= 6""")
+    row_number() over (partition by a.label order by list_cosine_similarity(a.v, b.v) desc, b.label) as r from c a join c b on a.label <> b.label) where s >= 0.05 and r <= 6""")
 def o79_similar_people(t: Tables) -> DataFrame:
     c = A.centroids(t.vectors, "label", "embedding")
     o = c.select(F.col("label").alias("other"), F.col("centroid").alias("u"))
     x = c.crossJoin(o).filter("label != other").withColumn("s", S.dot(F.col("centroid"), F.col("u")))  # centroids of people
     from pyspark.sql import Window
 
-    x = x.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("s")))).filter("s >= 0.05 and r <= 6")
+    x = x.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("s"), "other"))).filter("s >= 0.05 and r <= 6")
     return x.select(F.col("label").alias("cluster_id"), "other", F.round("s", 4).alias("similarity"))
 
 

@@ -269,11 +269,28 @@ def o121_cull_apply(t: Tables) -> DataFrame:
     return D.cull_apply(plan, review, im, t.decisions, t.copies)[2]
 
 
-@query("""select id, content_hash as hash, path as from_path, folder || '/_trash/' || case when id % 2 = 0 then filename else id || '_1.jpg' end as trash_path from seen where decision = 'del' and trash_state is null""")
+#: Every second name is taken in the trash folder of the library.
+_MOVES = "mv as (select id, content_hash as hash, path as from_path, '/lib/_trash/' || case when id % 2 = 0 then filename else id || '_1.jpg' end as trash_path from seen where decision = 'del' and trash_state is null)"
+
+
+def _moves(t: Tables) -> DataFrame:
+    there = t.photos.filter("id % 2 = 1").select(F.lit("/lib/_trash").alias("dir"), F.col("filename").alias("name"))
+    return D.trash_plan(t.seen, there, "/lib")
+
+
+@query(f"with {_MOVES} select * from mv")
 def o122_trash_plan(t: Tables) -> DataFrame:
-    s = t.seen
-    there = s.filter("id % 2 = 1").select(F.concat("folder", F.lit("/_trash")).alias("dir"), F.col("filename").alias("name"))
-    return D.trash_plan(s, there)
+    return _moves(t)
+
+
+@query(f"""with {_MOVES} select 'item' as what, p.id::varchar as of, coalesce(trash_path, p.path) as path from photos p left join mv on mv.id = p.id
+    union all select 'override', c.hash, coalesce(trash_path, c.path) from copies c left join mv on mv.from_path = c.path and mv.hash = c.hash
+    union all select 'ledger', state || ' ' || image_id, trash_path from ledger union all select 'ledger', 'trashed ' || id, trash_path from mv""")
+def o122_apply_trash(t: Tables) -> DataFrame:
+    moved, over, led = D.apply_trash(_moves(t), t.photos, t.copies, t.ledger, 5000.0)
+    items = moved.select(F.lit("item").alias("what"), F.col("id").cast("string").alias("of"), "path")
+    ledger = led.select(F.lit("ledger").alias("what"), F.concat_ws(" ", "state", F.col("image_id").cast("string")).alias("of"), F.col("trash_path").alias("path"))
+    return items.unionByName(over.select(F.lit("override").alias("what"), F.col("hash").alias("of"), "path")).unionByName(ledger)
 
 
 @query("""select id, case when state = 'trashed' then case when image_id % 3 = 0 then 'restored' else 'missing' end else state end as restored, case when state = 'trashed' and image_id % 2 = 0 then 'emptied' else state end as emptied from ledger""")
@@ -376,11 +393,43 @@ def o131_reanchor(t: Tables) -> DataFrame:
     return E.reanchor(m.filter("id % 15 = 4").select("hash", *M.BOX, F.lit("old").alias("name")), m.filter("cluster_id = 3"), "Ann").select("hash", "x1", "y1", "name")
 
 
-@query("select id, case when image_id <= 2 then 100000 when cluster_id = 4 then 5 else cluster_id end as cluster_id from faces")
-def o132_assign_merge(t: Tables) -> DataFrame:
-    ids = [r["id"] for r in t.faces.filter("image_id <= 2").select("id").collect()]  # a selection made by hand
-    f, _ = E.assign_faces(t.faces, ids, None)
-    return E.merge_people(f, t.clusters, 4, 5)[0].select("id", "cluster_id")
+def _merged(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    m = _members(t)
+    anchors = m.filter("id % 15 = 4").select("hash", *M.BOX, F.lit("old").alias("name"))
+    return E.merge_people(t.faces, t.photos, t.clusters, _overrides(t, 5).drop("ord"), anchors, [4, 5], 6)
+
+
+@query("select id, case when image_id <= 2 then 100000 else cluster_id end as cluster_id from faces")
+def o132_assign(t: Tables) -> DataFrame:
+    return E.assign_faces(t.faces, t.faces.filter("image_id <= 2").select("id"), None)[0].select("id", "cluster_id")
+
+
+@query("select id, case when cluster_id in (4, 5) then 6 else cluster_id end as cluster_id from faces")
+def o132_merge(t: Tables) -> DataFrame:
+    return _merged(t)[0].select("id", "cluster_id")
+
+
+@query(f"""with o as {_ov_sql(5)}, {MEMBERS}, mv as (select * from mem where cluster_id in (4, 5)),
+    ref as (select hash, x1 || ',' || y1 || ',' || x2 || ',' || y2 as bbox from (select a.*, row_number() over (order by prob desc, a.id) as r from mem a join faces f on f.id = a.id where a.cluster_id = 6 and not exists (select 1 from o b where b.hash = a.hash and {IOU} >= 0.5)) where r = 1)
+    select mv.hash, x1 || ',' || y1 || ',' || x2 || ',' || y2 as bbox, 'assign' as action, 6::bigint as cluster_id, ref.hash as target_hash, ref.bbox as target_bbox from mv left join ref on true
+    union all select hash, x1 || ',' || y1 || ',' || x2 || ',' || y2, action, 7, null, null from o a where not exists (select 1 from mv b where a.hash = b.hash and {IOU} >= 0.5)""")
+def o132_merge_overrides(t: Tables) -> DataFrame:
+    return _merged(t)[2]
+
+
+@query(f"""with {MEMBERS}, old as (select * from mem where id % 15 = 4), m as (select * from mem where cluster_id in (4, 5, 6)), n as (select name from clusters where cluster_id = 6)
+    select hash, x1, y1, 'old' as name from old a where not exists (select 1 from m b where a.hash = b.hash and {IOU} >= 0.5)
+    union all select hash, x1, y1, n.name from m, n where n.name is not null
+    union all select null, null, cluster_id, name from clusters where cluster_id not in (4, 5)""")
+def o132_merge_names(t: Tables) -> DataFrame:
+    _, people, _, anchors = _merged(t)
+    nothing = [F.lit(None).cast("string").alias("hash"), F.lit(None).cast("double").alias("x1")]
+    return anchors.select("hash", "x1", "y1", "name").union(people.select(*nothing, F.col("cluster_id").cast("double").alias("y1"), "name"))
+
+
+@query("select id, image_id from faces where id not in (select id from faces where prob < 0.93)")
+def o132_delete_faces(t: Tables) -> DataFrame:
+    return E.delete_faces(t.faces, t.photos, t.faces.filter("prob < 0.93").select("id"))[0].select("id", "image_id")
 
 
 @query("select cluster_id, case when cluster_id = 7 then 'Zoe' else name end as name from clusters")

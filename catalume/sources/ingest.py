@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from catalume.functions.text import basename
 
-IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".heic", ".tif", ".tiff", ".dng", ".cr2", ".nef", ".arw", ".raf")
+# fixed values
+RAW_SUFFIXES = (".nef", ".raf", ".cr2", ".cr3", ".arw", ".dng", ".orf", ".rw2")
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tiff", ".tif", *RAW_SUFFIXES)
 HIDDEN_DIRS = ("_trash", "_rejected")
 
 FACE = "struct<bbox:array<double>,prob:double,cluster_id:bigint,name:string,sharp:double,expr:double>"
@@ -18,15 +20,25 @@ REPORT = f"""folder string, backend string, total_images bigint, duplicate_group
     mtime:double,fsize:bigint,imgw:bigint,imgh:bigint,caption:string,tags:array<string>,faces:array<{FACE}>>>"""
 
 
+def in_library(files: DataFrame, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES, recurse: bool = True) -> DataFrame:
+    """Files (path) with the suffixes, whatever the case, not below a hidden folder of the root; without ``recurse`` only its own."""
+    below = F.substring_index("path", root.rstrip("/") + "/", -1)
+    folders = F.split(F.lower(below), "/")
+    hidden = F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*[F.lit(d) for d in HIDDEN_DIRS]))
+    name = F.lower(basename(F.col("path")))
+    # a name that only starts with a dot has no suffix
+    suffix = F.when(F.locate(".", F.substring(name, 2, 1 << 20)) > 0, F.concat(F.lit("."), F.substring_index(name, ".", -1)))
+    ok = F.coalesce(suffix.isin(list(suffixes)), F.lit(False)) & ~hidden
+    return files.filter(ok if recurse else ok & (F.size(folders) == 1))
+
+
 def discover(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...] = IMAGE_SUFFIXES, recurse: bool = False) -> DataFrame:
-    """root_ord, path, mtime, fsize of the files with the suffixes, whatever the case, and not below a hidden folder of their root."""
+    """root_ord, path, mtime, fsize of the files of each root, as :func:`in_library` picks them."""
     out = None
     for k, root in enumerate(roots):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recurse).lower()).load(root)
         f = files.select(F.lit(k).alias("root_ord"), "path", F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("fsize"))
-        below = F.substring_index("path", root.rstrip("/") + "/", -1)
-        hidden = F.arrays_overlap(F.split(below, "/"), F.array(*[F.lit(d) for d in HIDDEN_DIRS]))
-        f = f.filter(F.concat(F.lit("."), F.lower(F.substring_index(basename(F.col("path")), ".", -1))).isin(list(suffixes)) & ~hidden)
+        f = in_library(f, root, suffixes)
         out = f if out is None else out.unionByName(f)
     return out
 
@@ -41,21 +53,57 @@ def union_roots(dfs: list[DataFrame]) -> DataFrame:
     return out.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def _star(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, faces, image_tags of items with nested faces and tags."""
+    faces = rows.select(F.col("id").alias("image_id"), F.posexplode("faces").alias("k", "f"))
+    box = [F.get("f.bbox", i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    faces = faces.select((F.col("image_id") * 100000 + F.col("k")).alias("id"), "image_id", *box, "f.prob", "f.cluster_id", "f.name", "f.sharp", "f.expr")
+    return rows.drop("faces", "tags"), faces, rows.select(F.col("id").alias("image_id"), F.explode("tags").alias("tag"))
+
+
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """header, images, faces, image_tags of a report document; ids count from 1 in the order of the document."""
     doc = spark.read.schema(REPORT).option("multiLine", True).json(path)
     rows = doc.select(F.posexplode("images").alias("pos", "i")).select((F.col("pos") + 1).cast("long").alias("id"), "i.*")
-    faces = rows.select(F.col("id").alias("image_id"), F.posexplode("faces").alias("k", "f"))
-    faces = faces.select((F.col("image_id") * 100000 + F.col("k")).alias("id"), "image_id", *[F.get("f.bbox", i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], "f.prob", "f.cluster_id", "f.name", "f.sharp", "f.expr")
-    tags = rows.select(F.col("id").alias("image_id"), F.explode("tags").alias("tag"))
-    return doc.drop("images"), rows.drop("faces", "tags"), faces, tags
+    return doc.drop("images"), *_star(rows)
+
+
+def nested_report(images: DataFrame, faces: DataFrame, tags: DataFrame) -> DataFrame:
+    """Items with their faces (in order of id) and tags (in order) nested, as a report has them."""
+    box = F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox")
+    optional = [F.col(c) if c in faces.columns else F.lit(None).cast("string").alias(c) for c in ("name",)]
+    face = F.struct(box, "prob", F.col("cluster_id").cast("long").alias("cluster_id"), *optional, "sharp", "expr")
+    f = faces.select(F.col("image_id").alias("_f"), F.struct(F.col("id"), face.alias("face")).alias("_x")).groupBy("_f").agg(F.sort_array(F.collect_list("_x")).alias("_faces"))
+    t = tags.groupBy(F.col("image_id").alias("_t")).agg(F.sort_array(F.collect_list("tag")).alias("_tags"))
+    x = images.join(f, images["id"] == f["_f"], "left").join(t, images["id"] == t["_t"], "left")
+    empty = F.array().cast("array<string>")
+    faces_of = F.coalesce(F.transform("_faces", lambda v: v["face"]), F.array().cast(f"array<{FACE}>"))
+    return x.select(*images.columns, faces_of.alias("faces"), F.coalesce("_tags", empty).alias("tags"))
+
+
+def report_totals(images: DataFrame, faces: DataFrame) -> DataFrame:
+    """One row: items, groups and scenes of a report, items with a face, and people (without nobody's faces)."""
+    n = images.agg(F.count(F.lit(1)).alias("total_images"), F.count_distinct("dup_group").alias("duplicate_groups"), F.count_distinct("scene_group").alias("scene_groups"))
+    known = faces.join(images.select(F.col("id").alias("_i")), F.col("image_id") == F.col("_i"), "left_semi")
+    f = known.agg(F.count_distinct("image_id").alias("faces_images"), F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("face_clusters"))
+    return n.crossJoin(f)  # one row each
+
+
+def write_report(images: DataFrame, faces: DataFrame, tags: DataFrame, header: dict, path: str) -> None:
+    """Nested items worst first as JSON lines under images, and one row of header and totals beside them.
+
+    A report of any size is a folder of files, not one document; :func:`read_report_folder` reads it.
+    """
+    nested_report(images, faces, tags).orderBy("combined", "path").write.mode("overwrite").json(f"{path}/images")
+    head = report_totals(images, faces).select(*[F.lit(v).alias(k) for k, v in header.items()], "*")
+    head.write.mode("overwrite").json(f"{path}/header")
 
 
-def write_report(images: DataFrame, header: dict, path: str) -> None:
-    """Rows worst first as JSON lines under images, and one row of header and totals beside them."""
-    images.orderBy("combined", "path").write.mode("overwrite").json(f"{path}/images")
-    head = images.agg(F.count(F.lit(1)).alias("total_images"), F.count_distinct("dup_group").alias("duplicate_groups"), F.count_distinct("scene_group").alias("scene_groups"))
-    head.select(*[F.lit(v).alias(k) for k, v in header.items()], "*").write.mode("overwrite").json(f"{path}/header")
+def read_report_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """header, images, faces, image_tags of a written report; items keep the ids they were written with."""
+    fields = T.StructType([T.StructField("id", T.LongType()), *T._parse_datatype_string(REPORT)["images"].dataType.elementType.fields])
+    rows = spark.read.schema(fields).json(f"{path}/images")
+    return spark.read.json(f"{path}/header"), *_star(rows)
 
 
 def with_content_hash(df: DataFrame, content: str, path: str, out: str = "content_hash") -> DataFrame:

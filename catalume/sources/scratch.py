@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for tables between steps.
 
-    It is ``spark.checkpoint.dir`` where the cluster sets it; only without one (tests on a
-    single machine) is a folder of our own made and set as the checkpoint folder.
+    It is ``spark.checkpoint.dir`` where the cluster sets it; only without one, and on a single
+    machine, is a folder of our own made and set as the checkpoint folder. A cluster without one
+    is refused: a folder of one machine isn't seen by the others.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="catalume-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)

@@ -226,16 +226,21 @@ def test_report_round_trip(spark, tmp_path):
     header, images, faces, tags = I.read_report(spark, str(tmp_path / "r.json"))
     assert header.first()["folder"] == "/x" and [r["id"] for r in images.orderBy("id").collect()] == [1, 2]
     assert [(r["image_id"], r["x2"]) for r in faces.collect()] == [(1, 3.0)] and [tuple(r) for r in tags.collect()] == [(1, "t")]
-    I.write_report(images, {"folder": "/x"}, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/header")).first()["total_images"] == 2
+    out = str(tmp_path / "out")
+    I.write_report(images, faces, tags, {"folder": "/x"}, out)
+    assert spark.read.json(f"{out}/header").first().asDict() == {"folder": "/x", "total_images": 2, "duplicate_groups": 0, "scene_groups": 0, "faces_images": 1, "face_clusters": 1}
+    again = I.read_report_folder(spark, out)
+    for before, after in zip((images, faces, tags), again[1:], strict=True):
+        rows = lambda d, cols=before.columns: sorted(map(str, d.select(*cols).collect()))
+        assert rows(before) == rows(after)
 
 
 def test_discover(spark, tmp_path):
-    for p in ("a.JPG", "b.txt", "sub/c.png", "_trash/d.jpg", "sub/_rejected/e.jpg"):
+    for p in ("a.JPG", "b.txt", "sub/c.png", "_trash/d.jpg", "sub/_rejected/e.jpg", "_Trash/f.cr3", "g.ORF", "h.bmp", ".jpg"):
         (tmp_path / p).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / p).write_bytes(b"x")
     names = lambda r: sorted(x["path"].rsplit("/", 1)[1] for x in I.discover(spark, [str(tmp_path)], recurse=r).collect())
-    assert names(True) == ["a.JPG", "c.png"] and names(False) == ["a.JPG"]
+    assert names(True) == ["a.JPG", "c.png", "g.ORF", "h.bmp"] and names(False) == ["a.JPG", "g.ORF", "h.bmp"]
 
 
 def test_rescue_needs_another_photo(spark):
@@ -246,6 +251,27 @@ def test_rescue_needs_another_photo(spark):
     assert got == {1: 1, 4: 1, 2: 2}
 
 
+def test_merge_people_survives_and_keeps_the_name_of_the_target(spark):
+    schema = "id long, image_id long, x1 double, y1 double, x2 double, y2 double, prob double, cluster_id long, sharp double, expr double"
+    faces = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9, 3, 0.5, 0.5), (2, 2, 0.0, 0.0, 10.0, 10.0, 0.8, 4, 0.5, 0.5), (3, 2, 50.0, 0.0, 60.0, 10.0, 0.7, 5, 0.5, 0.5)], schema)
+    images = spark.createDataFrame([(1, "h1", 1, None, None, None), (2, "h2", 2, None, None, None)], "id long, content_hash string, n_faces long, face_sharp double, face_expr double, portrait double")
+    clusters = spark.createDataFrame([(3, None), (4, "Ann"), (5, "Bob")], "cluster_id long, name string")
+    none = spark.createDataFrame([], "hash string, bbox string, action string, cluster_id long, target_hash string, target_bbox string")
+    anchors = spark.createDataFrame([("h2", 0.0, 0.0, 10.0, 10.0, "Ann"), ("h2", 50.0, 0.0, 60.0, 10.0, "Bob")], "hash string, x1 double, y1 double, x2 double, y2 double, name string")
+    f, people, over, anc = E.merge_people(faces, images, clusters, none, anchors, [4], 3)
+    assert {r["id"]: r["cluster_id"] for r in f.collect()} == {1: 3, 2: 3, 3: 5}
+    assert {r["cluster_id"]: r["name"] for r in people.collect()} == {3: None, 5: "Bob"}
+    assert [tuple(r) for r in over.collect()] == [("h2", "0.0,0.0,10.0,10.0", "assign", 3, "h1", "0.0,0.0,10.0,10.0")]
+    assert [r["name"] for r in anc.collect()] == ["Bob"]
+    new = faces.withColumn("cluster_id", F.col("cluster_id") + 10)  # another run of the detector
+    after, _ = E.replay_overrides(new, images, over.withColumn("ord", F.lit(1).cast("long")))
+    assert {r["id"]: r["cluster_id"] for r in after.collect()} == {1: 13, 2: 13, 3: 15}
+    left, items, unknown = E.delete_faces(faces, images, spark.createDataFrame([(2,), (99,)], "id long"))
+    assert left.count() == 3 and [r["id"] for r in unknown.collect()] == [99]
+    left, items, _ = E.delete_faces(faces, images, spark.createDataFrame([(2,)], "id long"))
+    assert sorted(r["id"] for r in left.collect()) == [1, 3] and {r["id"]: r["n_faces"] for r in items.collect()} == {1: 1, 2: 1}
+
+
 def test_override_replay_reads_untouched_detections(spark):
     faces = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9, 3, 0.5, 0.5), (2, 2, 0.0, 0.0, 10.0, 10.0, 0.9, 4, 0.5, 0.5)], "id long, image_id long, x1 double, y1 double, x2 double, y2 double, prob double, cluster_id long, sharp double, expr double")
     images = spark.createDataFrame([(1, "h1", 1, None, None, None), (2, "h2", 1, None, None, None)], "id long, content_hash string, n_faces long, face_sharp double, face_expr double, portrait double")
