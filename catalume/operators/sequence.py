@@ -134,8 +134,8 @@ def unique_names(moves: DataFrame, existing: DataFrame) -> DataFrame:
     taken = zero.union(nth).groupBy("dir", "_stem", "_suf").agg(F.collect_set("k").alias("_taken"))
     w = Window.partitionBy("dir", "_stem", "_suf").orderBy("id")
     x = plain.withColumn("_r", F.row_number().over(w)).join(taken, ["dir", "_stem", "_suf"], "left")
-    used = F.coalesce("_taken", F.array().cast("array<int>"))
-    free = F.array_except(F.sequence(F.lit(0), F.col("_r") + F.size(used)), used)
-    k = F.element_at(free, F.col("_r"))
+    # the r-th free number: one more for each taken one on the way to it
+    used = F.sort_array(F.coalesce("_taken", F.array().cast("array<int>")))
+    k = F.aggregate(used, F.col("_r") - 1, lambda at, taken: at + F.when(taken <= at, 1).otherwise(0))
     dest = F.when(k == 0, F.col("name")).otherwise(F.concat("_stem", F.lit("_"), k.cast("string"), "_suf"))
     return x.withColumn("dest", dest).select(*moves.columns, "dest")

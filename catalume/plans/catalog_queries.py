@@ -144,11 +144,11 @@ def o15_export_decisions(t: Tables) -> DataFrame:
 
 
 def _entries(t: Tables) -> DataFrame:
-    p = t.photos.filter("id % 19 = 0")
+    p = t.photos
     return p.select(F.expr("case id % 3 when 0 then 'kept' when 1 then 'deleted' else 'unmarked' end").alias("bucket"), F.expr("case when id % 4 <> 0 then md5(cast(id as string)) end").alias("hash"), "path", (F.col("id") % 5 == 0).alias("copy_specific"))
 
 
-@query("""with e as (select case id % 3 when 0 then 'keep' when 1 then 'del' end as decision, case when id % 4 <> 0 then md5(cast(id as string)) else content_hash end as h, content_hash, id % 5 = 0 as special from photos where id % 19 = 0),
+@query("""with e as (select case id % 3 when 0 then 'keep' when 1 then 'del' end as decision, case when id % 4 <> 0 then md5(cast(id as string)) else content_hash end as h, content_hash, id % 5 = 0 as special from photos),
     f as (select *, case when special then h = content_hash and h is not null else h is not null and decision is not null end as ok from e)
     select count(*) filter (where coalesce(ok, false)) as applied, count(*) filter (where not coalesce(ok, false)) as unmatched from f where special or decision is not null""")
 def o16_import_decisions(t: Tables) -> DataFrame:
@@ -522,9 +522,9 @@ def o94_renumber(t: Tables) -> DataFrame:
     return Q.renumber(t.photos, "dup_group").select("id", F.col("number").cast("long").alias("number"), F.col("place").cast("long").alias("place"))
 
 
-@query("""select id, 'u' || id % 5 as dir, case when k = 1 then 'p.jpg' else 'p_' || (k - 1) || '.jpg' end as dest from (select id, row_number() over (partition by id % 5 order by id) + case when id % 5 = 0 then 1 else 0 end as k from photos where id % 10 < 5)""")
+@query("""select id, 'u' || id % 5 as dir, case when k = 1 then 'p.jpg' else 'p_' || (k - 1) || '.jpg' end as dest from (select id, row_number() over (partition by id % 5 order by id) + case when id % 5 = 0 then 1 else 0 end as k from photos)""")
 def o95_unique_names(t: Tables) -> DataFrame:
-    moves = t.photos.filter("id % 10 < 5").select("id", F.concat(F.lit("u"), (F.col("id") % 5).cast("string")).alias("dir"), F.lit("p.jpg").alias("name"))
+    moves = t.photos.select("id", F.concat(F.lit("u"), (F.col("id") % 5).cast("string")).alias("dir"), F.lit("p.jpg").alias("name"))
     existing = moves.filter("dir = 'u0'").select("dir", "name").distinct()
     return Q.unique_names(moves, existing).select("id", "dir", "dest")
 

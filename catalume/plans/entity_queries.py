@@ -207,18 +207,18 @@ def o116_zero_shot(t: Tables) -> DataFrame:
 
 
 def _updates(t: Tables) -> DataFrame:
-    p = t.photos.filter("id % 29 = 0 and content_hash is not null")
+    p = t.photos.filter("content_hash is not null")
     return p.select("id", F.col("content_hash").alias("hash"), "path", F.expr("case id % 3 when 0 then 'keep' when 1 then 'del' end").alias("decision"))
 
 
 @query("""with n as (select content_hash as h, count(distinct path) as n from photos group by 1)
-    select p.id, n.n > 1 or exists (select 1 from copies c where c.hash = p.content_hash and c.path = p.path) as routed from photos p join n on n.h = p.content_hash where p.id % 29 = 0""")
+    select p.id, n.n > 1 or exists (select 1 from copies c where c.hash = p.content_hash and c.path = p.path) as routed from photos p join n on n.h = p.content_hash""")
 def o101_other_copy(t: Tables) -> DataFrame:
     return D.has_other_copy(_updates(t), t.photos, t.copies).select("id", "routed")
 
 
 @query("""with n as (select content_hash as h, count(distinct path) as n from photos group by 1),
-    u as (select p.content_hash as hash, p.path, case p.id % 3 when 0 then 'keep' when 1 then 'del' end as decision, n.n > 1 or exists (select 1 from copies c where c.hash = p.content_hash and c.path = p.path) as routed from photos p join n on n.h = p.content_hash where p.id % 29 = 0),
+    u as (select p.content_hash as hash, p.path, case p.id % 3 when 0 then 'keep' when 1 then 'del' end as decision, n.n > 1 or exists (select 1 from copies c where c.hash = p.content_hash and c.path = p.path) as routed from photos p join n on n.h = p.content_hash),
     d as (select hash, max(decision) as decision from u where not routed group by 1)
     select 'd' as kind, hash, null as path, decision from d where decision is not null union all select 'd', hash, null, decision from decisions where hash not in (select hash from d)
     union all select 'c', hash, path, decision from u where routed union all select 'c', hash, path, decision from copies where (hash, path) not in (select (hash, path) from u where routed)""")
@@ -227,13 +227,13 @@ def o117_write_decisions(t: Tables) -> DataFrame:
     return d.select(F.lit("d").alias("kind"), "hash", F.lit(None).cast("string").alias("path"), "decision").union(c.select(F.lit("c"), "hash", "path", "decision"))
 
 
-@query("""with u as (select case when id % 10 = 1 then -id else id end as id, case when id % 10 = 2 then 'x' else content_hash end as hash, case when id % 10 = 3 then 'y' else path end as path, case when id % 10 = 4 then 'keep' else decision end as expected from seen where id % 3 = 0),
+@query("""with u as (select case when id % 10 = 1 then -id else id end as id, case when id % 10 = 2 then 'x' else content_hash end as hash, case when id % 10 = 3 then 'y' else path end as path, case when id % 10 = 4 then 'keep' else decision end as expected from seen),
     x as (select u.id, case when s.id is null then 'unknown' when u.hash is distinct from s.content_hash then 'hash' when u.path is distinct from s.path then 'path' when s.trash_state is not null then 'trashed' when u.expected is distinct from s.decision then 'decision' end as why from u left join seen s on s.id = u.id)
     select id, why from x where why is not null""")
 def o118_check_guard(t: Tables) -> DataFrame:
     s = t.seen
     k = F.col("id") % 10
-    u = s.filter("id % 3 = 0").select(F.when(k == 1, -F.col("id")).otherwise(F.col("id")).alias("id"), F.when(k == 2, "x").otherwise(F.col("content_hash")).alias("hash"), F.when(k == 3, "y").otherwise(F.col("path")).alias("path"), F.when(k == 4, "keep").otherwise(F.col("decision")).alias("expected"))
+    u = s.select(F.when(k == 1, -F.col("id")).otherwise(F.col("id")).alias("id"), F.when(k == 2, "x").otherwise(F.col("content_hash")).alias("hash"), F.when(k == 3, "y").otherwise(F.col("path")).alias("path"), F.when(k == 4, "keep").otherwise(F.col("decision")).alias("expected"))
     return D.check_guard(u, s)
 
 
