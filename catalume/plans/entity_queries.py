@@ -353,7 +353,12 @@ def o128_reference_face(t: Tables) -> DataFrame:
     return E.reference_face(t.faces, t.photos, _overrides(t, 5))
 
 
-@query()
+@query(f"""with o as (select *, ord % 120 = 5 and action <> 'delete' as aimed from {_ov_sql(5)}), h as (select content_hash as hash, max(id) as image_id from photos where content_hash is not null group by 1),
+    m as (select ord, face_id from (select a.ord, b.id as face_id, row_number() over (partition by a.ord order by {IOU} desc, b.id desc) as r from o a join h on h.hash = a.hash join faces b on b.image_id = h.image_id where {IOU} >= 0.5) where r = 1),
+    t as (select m.ord, f.cluster_id as person from m join faces f on f.id = m.face_id),
+    p as (select o.ord, m.face_id, o.action, case when aimed then t.person else 7 end as c from o join m on m.ord = o.ord left join t on t.ord = o.ord where not aimed or coalesce(t.person, -1) >= 0),
+    l as (select face_id, arg_max(c, ord) as c, bool_or(action = 'delete') as gone from p group by 1)
+    select f.id, f.image_id, case when l.face_id is not null then l.c else f.cluster_id end as cluster_id from faces f left join l on l.face_id = f.id where l.gone is null or not l.gone""")
 def o129_replay_overrides(t: Tables) -> DataFrame:
     o = _overrides(t, 5).withColumn("target_hash", F.when(F.col("ord") % 120 == 5, F.col("hash"))).withColumn("target_bbox", F.when(F.col("target_hash").isNotNull(), F.col("bbox")))
     return E.replay_overrides(t.faces, t.photos, o)[0].select("id", "image_id", "cluster_id")

@@ -287,6 +287,6 @@ def test_optional_part_is_not_needed():
     import subprocess
     import sys
 
-    code = "import sys, importlib.abc\nclass No(importlib.abc.MetaPathFinder):\n    def find_spec(self, n, p=None, t=None):\n        if n.startswith('catalume.llm') or n == 'corpus_pipeline': raise ModuleNotFoundError(n)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert e.queries() and e.oracle_sql() and not any(k.startswith('op') for k in e.queries())"
+    code = "import sys, importlib.abc\nclass No(importlib.abc.MetaPathFinder):\n    def find_spec(self, n, p=None, t=None):\n        if n.startswith('catalume.llm') or n == 'corpus_pipeline': raise ModuleNotFoundError(n, name=n)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert e.queries() and e.oracle_sql() and not any(k.startswith('op') for k in e.queries())"
     root = __file__.rsplit("/", 2)[0]
     assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0
