@@ -55,6 +55,10 @@ r as (select d.*, t.source_size, t.target, t.rate, t.u, row_number() over (parti
     from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, ((floor(u + (k + 1) * rate) - floor(u + k * rate)) * size)::bigint as taken from r"""
 
+#: crc32 of a BLOB, by a table of bytes (needs the table tab).
+CRC_TABLE = "tab as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t)"
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex({0}), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
 OP4 = """with recursive tab as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
 d as (select doc_id, (coalesce(octet_length(encode(text)), 0) + 1)::bigint as size,
     case when text is not null then xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) end as text_crc32 from documents, tab),
@@ -137,6 +141,36 @@ def _op9() -> str:
     return f"with {', '.join(parts)} select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(distance2, 6) as distance2, not base_failed and not coalesce(distance2 > {Q.chi2_quantile(Q.WITHIN)!r}::double, false) as kept from f left join v on v.doc_id = f.doc_id"
 
 
+def _merkle(levels: int = 13, levels_of_sources: int = 6) -> str:
+    """Level by level: nodes (t), runs of three (r), and for each row its place, folded digest and siblings so far (w). Enough for 3 ** levels rows of a source."""
+    part = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = CRC.format("encode(coalesce(doc_id::varchar, ''))")
+    steps = [
+        f"""with recursive {CRC_TABLE}, d as (select row_number() over () as row, doc_id, source, {leaf("text")} as leaf, case when {crc} % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end as seen,
+            dense_rank() over (order by source nulls first) - 1 as g from documents, tab)""",
+        "w0 as (select row, g, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, seen as own, '' as proof from d)",
+        "t0 as (select w0.g, i, count(*) over (partition by w0.g) as n, leaf as h from w0 join d using (row))",
+    ]
+
+    def climb(a: int, b: int) -> None:
+        for k in range(a, b):
+            steps.extend([
+                f"r{k} as (select g, i, any_value(n) as n, list(h order by p) as hs from (select g, i as p, i // 3 as i, n, h from t{k}) group by g, i)",
+                f"t{k + 1} as (select g, i, (n + 2) // 3 as n, case when n = 1 then hs[1] else sha256(array_to_string(hs, '')) end as h from r{k})",
+                f"""w{k + 1} as (select w.row, w.g, r.i, case when n = 1 then own else sha256(array_to_string(hs[:w.i % 3], '') || own || array_to_string(hs[w.i % 3 + 2:], '')) end as own,
+                    case when n = 1 then proof else proof || array_to_string(hs[:w.i % 3], '') || array_to_string(hs[w.i % 3 + 2:], '') end as proof from w{k} w join r{k} r on r.g = w.g and r.i = w.i // 3)""",
+            ])
+
+    climb(0, levels)
+    steps.append(f"t{levels + 1} as (select 0 as g, g as i, count(*) over () as n, h from t{levels})")
+    steps.append(f"w{levels + 1} as (select row, 0 as g, g as i, own, proof from w{levels})")
+    climb(levels + 1, levels + 1 + levels_of_sources)
+    last = levels + 1 + levels_of_sources
+    return ", ".join(steps) + f""" select doc_id, leaf, s.h as subroot, z.h as root, sha256(proof) as proof_sha256, own as folded_root, own = z.h as verified, source
+        from d join w{last} w using (row) join t{levels} s on s.g = d.g cross join t{last} z"""
+
+
 SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1,
     "op2_chat_preferences": OP2,
@@ -144,4 +178,5 @@ SQL: dict[str, str] = {
     "op4_jump_sharding": OP4,
     "op5_decontaminate": OP5,
     "op9_quality_rules": _op9(),
+    "op13_merkle_manifest": _merkle(),
 }
