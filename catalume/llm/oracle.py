@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express.
 
-op6 (a tree of a page), op7 (longest matches), op8 (its trained tree) and op10 (a trained
-network) have none; tests hold them against plain versions.
+op6 (a tree of a page), op7 (longest matches), op8 (its trained tree), op10 (a trained network)
+and op11 (a tokenizer's ids) have none; tests hold them against plain versions.
 """
 
 from __future__ import annotations
@@ -171,6 +171,21 @@ def _merkle(levels: int = 13, levels_of_sources: int = 6) -> str:
         from d join w{last} w using (row) join t{levels} s on s.g = d.g cross join t{last} z"""
 
 
+#: Every pair of equal words of a text gives a period; neighbouring pairs of one period make a run.
+OP12 = f"""with recursive {CRC_TABLE}, b as (select row_number() over () as row, doc_id, {WORDS.format("coalesce(text, '')")} as w, {CRC.format("encode(coalesce(doc_id::varchar, ''))")} as h from documents, tab),
+c as (select *, len(w) as n, h // 10 as g, (h // 10) % greatest(len(w), 1) as a from b),
+d as (select *, 1 + (n - a) // (3 + g % 8) as p from c),
+t as (select row, doc_id, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[1 + case when i >= a then a + (i - a) % p else i end]) else w end as w from d),
+x as (select row, unnest(range(len(w))) as i, unnest(w) as word from t),
+e as (select l.row, l.i, r.i - l.i as q from x l join x r on l.row = r.row and l.word = r.word and l.i < r.i),
+s as (select row, q, min(i) as start, count(*) as k from (select *, i - row_number() over (partition by row, q order by i) as part from e) group by row, q, part),
+r as (select row, start, k + q as length, min(q) as period from s where k >= q and k + q >= 12 group by row, start, k + q),
+f as (select row, count(*) as n_runs, arg_max(struct_pack(start := start, length := length, period := period), (length, -start, -period)) as best, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from r group by row),
+k as (select row, string_agg(word, ' ' order by i) as kept from x where not exists (select 1 from r where r.row = x.row and x.i >= r.start + r.period and x.i < r.start + r.length) group by row)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period, 1000 * best.length // best.period as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from t left join f using (row) left join k using (row)"""
+
+
 SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1,
     "op2_chat_preferences": OP2,
@@ -178,5 +193,6 @@ SQL: dict[str, str] = {
     "op4_jump_sharding": OP4,
     "op5_decontaminate": OP5,
     "op9_quality_rules": _op9(),
+    "op12_periodic_runs": OP12,
     "op13_merkle_manifest": _merkle(),
 }

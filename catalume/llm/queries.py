@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalume.llm import chat, decontam, html_text, langid, lm, merkle, minhash, mixing, quality, sharding, tokens
+from catalume.llm import chat, decontam, html_text, langid, lm, merkle, minhash, mixing, packing, periodic, quality, sharding, tokens
 from catalume.llm.oracle import SQL
 
 #: Tokenizer files; a parameter, and no file is copied.
@@ -57,12 +57,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packing_report(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(_read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_dedup, op2_chat_preferences, op3_mix_sources, op4_jump_sharding, op5_decontaminate, op6_html_text, op7_token_counts, op8_suffix_tree_lm, op9_quality_rules, op10_language_id, op13_merkle_manifest)
+    found = (op1_minhash_dedup, op2_chat_preferences, op3_mix_sources, op4_jump_sharding, op5_decontaminate, op6_html_text, op7_token_counts, op8_suffix_tree_lm, op9_quality_rules, op10_language_id, op11_best_fit_packing, op12_periodic_runs, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
