@@ -34,3 +34,48 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             roots = stage_table(roots.join(on, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
     return roots.join(least, "root").select("node", "component")
+
+
+def minimum_forest(edges: DataFrame, order: list[str], a: str, b: str, root: str | None = None) -> DataFrame:
+    """The edges of the minimum spanning forest: those that joining in the order would keep, when an edge within what is joined already is left out.
+
+    edges: a, b and order, whose columns and ends tell edges apart. ``root``: a node that may have any
+    number of edges. In each round every part takes its least edge, parts that hang together become one,
+    and of several edges between two parts the least is left; the root takes none. Parts
+    fall by half a round at least.
+    """
+    weight = F.struct(*[F.col(c) for c in dict.fromkeys([*order, a, b])])
+    x = edges.select(F.col(a).alias("u"), F.col(b).alias("v"), weight.alias("w")).filter("u != v")
+    at_root = F.lit(False) if root is None else (F.col("u") == root) | (F.col("v") == root)
+    other = F.col("u") if root is None else F.when(F.col("u") == root, F.col("v")).otherwise(F.col("u"))
+    hung = stage_table(x.filter(at_root).select(other.alias("u"), "w").groupBy("u").agg(F.min("w").alias("w")), "hung")
+    inner = stage_table(x.filter(~at_root).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").groupBy("u", "v").agg(F.min("w").alias("w")), "inner")
+    kept = []
+    while True:
+        none = F.lit(None).cast(inner.schema["u"].dataType)
+        ends = inner.select("u", F.col("v").alias("y"), "w").union(inner.select("v", "u", "w")).union(hung.select("u", none, "w"))
+        least = stage_table(ends.groupBy("u").agg(F.min_by(F.struct("y", "w"), "w").alias("m")).select("u", "m.y", "m.w"), "least")
+        if least.isEmpty():
+            break
+        kept.append(least.select("w.*").distinct())
+        of_y = least.select(F.col("u").alias("y"), F.col("y").alias("back"))
+        # two that take each other: the lesser stays; with null: at the root
+        to = least.join(of_y, "y", "left").select("u", F.when(F.col("y").isNotNull() & (F.coalesce(F.col("back") == F.col("u"), F.lit(False))) & (F.col("u") < F.col("y")), F.col("u")).otherwise(F.col("y")).alias("to"))
+        to = stage_table(to, "to")
+        while True:  # to the end of the chain
+            nxt = to.select(F.col("u").alias("to"), F.col("to").alias("on"), F.lit(True).alias("known"))
+            x = stage_table(to.join(nxt, "to", "left").select("u", F.when(F.col("known"), F.col("on")).otherwise(F.col("to")).alias("to"), (F.col("known") & ~F.col("on").eqNullSafe(F.col("to"))).alias("moved")), "to")
+            to = x.select("u", "to")
+            if x.filter("moved").isEmpty():
+                break
+        named = lambda df, c: df.join(to.select(F.col("u").alias(c), F.col("to").alias(f"{c}_to")), c)
+        moved = stage_table(named(named(inner, "u"), "v").select(F.col("u_to").alias("u"), F.col("v_to").alias("v"), "w").filter("not u <=> v"), "moved")
+        out = moved.filter("u is null or v is null").select(F.coalesce("u", "v").alias("u"), "w").union(named(hung, "u").filter("u_to is not null").select("u_to", "w"))
+        hung = stage_table(out.groupBy("u").agg(F.min("w").alias("w")), "hung")
+        inner = stage_table(moved.filter("u is not null and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").groupBy("u", "v").agg(F.min("w").alias("w")), "inner")
+    if not kept:
+        return x.select("w.*").limit(0)
+    every = kept[0]
+    for k in kept[1:]:
+        every = every.union(k)
+    return every.distinct()

@@ -2,109 +2,37 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalume.functions.scores import dot, hamming64, l2_normalize
+from catalume.functions.scores import hamming64
 from catalume.operators.facets import group_centrality
-from catalume.operators.graph import connected_components
+from catalume.operators.graph import connected_components, minimum_forest
+from catalume.operators.linkage import average_linkage, cohesion_split  # noqa: F401  also of this module's interface
 from catalume.operators.sequence import burst_runs, renumber
 from catalume.operators.similarity import cosine_all_pairs, duplicate_edges, hamming_join
 from catalume.sources.scratch import stage_table
 
-#: A component of more members isn't split by average linkage, whose cost is cubic; it stays whole.
-MOST_LINKED = 2000
-
-
-def average_linkage(sim: np.ndarray, floor: float) -> list[list[int]]:
-    """Merge the most alike clusters (the first of equal ones) while their average similarity is ``floor`` or more."""
-    n = len(sim)
-    total = sim.astype(float).copy()
-    np.fill_diagonal(total, -np.inf)
-    size = np.ones(n)
-    alive = list(range(n))
-    members = {i: [i] for i in alive}
-    while len(alive) > 1:
-        k = np.array(alive)
-        mean = total[np.ix_(k, k)] / np.outer(size[k], size[k])
-        mean[np.tril_indices(len(k))] = -np.inf
-        a, b = divmod(int(mean.argmax()), len(k))
-        if mean[a, b] < floor:
-            break
-        p, q = alive[a], alive[b]
-        total[p] += total[q]
-        total[:, p] += total[:, q]
-        total[p, p] = -np.inf
-        size[p] += size[q]
-        members[p] += members.pop(q)
-        alive.remove(q)
-    return [members[i] for i in alive]
-
-
-def cohesion_split(members: DataFrame, floor: float = 0.90, t: int = 6, most: int = MOST_LINKED) -> DataFrame:
-    """(id, component, part): components of more than two are clustered by average linkage; parts of one drop out.
-
-    members: component, id, ord, phash, embedding. Pairs of near hashes count as 1, missing
-    vectors as 0. Components of two, and those of more than ``most``, stay as they are.
-    """
-    n = Window.partitionBy("component")
-    x = members.withColumn("_n", F.count(F.lit(1)).over(n))
-    whole = x.filter((F.col("_n") == 2) | (F.col("_n") > most)).select("id", "component", F.lit(0).cast("long").alias("part"))
-
-    def split(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ord").reset_index(drop=True)
-        vecs = [None if v is None else np.asarray(v, float) for v in g["embedding"]]
-        dim = next((len(v) for v in vecs if v is not None), 1)
-        v = np.array([np.zeros(dim) if x is None else x for x in vecs])
-        sim = v @ v.T
-        bits = np.array([int(h, 16) for h in g["phash"].fillna("0")], np.uint64)
-        have = g["phash"].notna().to_numpy()
-        near = np.bitwise_count(bits[:, None] ^ bits[None]) <= t
-        sim[near & have[:, None] & have[None]] = 1.0
-        out = [(int(g["id"][i]), int(g["component"][0]), k) for k, c in enumerate(average_linkage(sim, floor)) if len(c) > 1 for i in c]
-        return pd.DataFrame(out, columns=["id", "component", "part"])
-
-    some = x.filter((F.col("_n") > 2) & (F.col("_n") <= most)).select("id", "component", "ord", "phash", "embedding")
-    parts = some.groupBy("component").applyInPandas(split, "id long, component long, part long")
-    return whole.union(parts)
-
-
 def burst_merge(items: DataFrame, groups: DataFrame, runs: DataFrame) -> DataFrame:
     """(id, group): loose rows join a group, or each other, through the bursts they share; groups never fuse.
 
     items: id, ord; groups: id, group; runs: id, run, t. Runs are tied to atoms (groups and loose
-    rows); atoms that are connected through runs are worked through in order of time, each run
-    joining its later atoms to its first one, unless both sides hold a group already.
+    rows), by an edge from a run's first atom to each later one. In order of time an edge joins what isn't
+    joined yet, unless both sides hold a group already. That is a minimum spanning forest in
+    which all groups are one node, so it takes a few rounds of joins, and no task works through a component.
     """
-    atoms = items.join(groups, "id", "left").select("id", "ord", F.coalesce(F.concat(F.lit("g"), F.col("group").cast("string")), F.concat(F.lit("r"), F.col("id").cast("string"))).alias("atom"), F.col("group").isNotNull().alias("real"))
-    on = runs.join(atoms, "id").select("run", "t", "ord", "atom", "real")
+    atoms = items.join(groups, "id", "left").select("id", "ord", F.coalesce(F.concat(F.lit("g"), F.col("group").cast("string")), F.concat(F.lit("r"), F.col("id").cast("string"))).alias("atom"))
+    on = runs.join(atoms, "id").select("run", "t", "ord", "atom")
     first = on.groupBy("run").agg(F.min_by("atom", F.struct("t", "ord")).alias("head"), F.min("t").alias("start"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ties = stage_table(on.join(first, "run").filter("atom != head").select("start", "t", "ord", "head", "atom"), "ties")
-    key = lambda c: F.xxhash64(c)
-    comp = connected_components(ties.select(key("head").alias("a"), key("atom").alias("b")))
-    work = ties.join(comp, key("head") == comp["node"]).select("component", "start", "t", "ord", "head", "atom")
-
-    def join(g: pd.DataFrame) -> pd.DataFrame:
-        up: dict[str, str] = {}
-
-        def top(a: str) -> str:
-            while up.get(a, a) != a:
-                a = up[a]
-            return a
-
-        real = {a: a[0] == "g" for a in {*g["head"], *g["atom"]}}
-        for r in g.sort_values(["start", "t", "ord"]).itertuples():
-            a, b = top(r.head), top(r.atom)
-            if a != b and not (real[a] and real[b]):
-                up[b] = a
-                real[a] = real[a] or real[b]
-        names = sorted(real)
-        return pd.DataFrame({"atom": names, "top": [top(a) for a in names]})
-
-    tops = work.groupBy("component").applyInPandas(join, "atom string, top string")
-    x = atoms.join(tops, "atom", "left").select("id", F.coalesce("top", "atom").alias("group"))
+    end = lambda c: F.when(F.col(c).startswith("g"), F.lit("")).otherwise(F.col(c))
+    ties = on.join(first, "run").filter("atom != head").select("start", "t", "ord", "head", "atom", end("head").alias("a"), end("atom").alias("b"))
+    forest = stage_table(minimum_forest(ties, ["start", "t", "ord", "head", "atom"], "a", "b", root="").select("head", "atom"), "forest")
+    comp = connected_components(forest, "head", "atom")
+    x = atoms.join(comp, atoms["atom"] == comp["node"], "left").select("id", F.coalesce("component", "atom").alias("group"))
     size = x.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return x.join(size, "group").select("id", "group")
 
@@ -138,35 +66,47 @@ def assign_duplicates(df: DataFrame, t: int = 6, sim: float = 0.92, window: floa
     return x.select("id", "dup_group").join(group_centrality(x, "dup_group", "id", "embedding"), "id", "left").join(cull_safe(x, "dup_group", t=t), "id")
 
 
-def leader_groups(edges: DataFrame, items: DataFrame) -> DataFrame:
+#: Edges that are left when leaders are found in one task instead of further rounds.
+FEW_EDGES = 100_000
+
+
+def _out_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of few edges (oa, a, ob, b) that are taken, in order."""
+    edges = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    later: dict[tuple, list[tuple]] = {}
+    for oa, a, ob, b in edges:
+        later.setdefault((oa, a), []).append((ob, b))
+    taken: set[tuple] = set()
+    for node in sorted(later):
+        if node not in taken:
+            taken.update(later[node])
+    yield pa.RecordBatch.from_arrays([pa.array([n for _, n in taken], pa.int64())], names=["b"])
+
+
+def leader_groups(edges: DataFrame, items: DataFrame, in_task: int = FEW_EDGES) -> DataFrame:
     """(id, leader): in input order, each row not yet taken takes all later free rows within reach; groups of one are left out.
 
-    edges: i, j; items: id, ord. Rows that aren't connected can't influence each other, so each
-    component is worked through on its own.
+    edges: i, j; items: id, ord. Rounds: a row of which no earlier neighbour is free leads, and
+    its neighbours are out. The last ``in_task`` edges are worked through in one task, so a long
+    chain doesn't make a round for each of its rows. Every row that is out goes to its earliest leader.
     """
-    comp = connected_components(edges, "i", "j")
-    e = edges.join(comp, F.col("i") == F.col("node")).select("component", "i", "j")
     o1, o2 = items.select(F.col("id").alias("i"), F.col("ord").alias("oi")), items.select(F.col("id").alias("j"), F.col("ord").alias("oj"))
-    e = e.join(o1, "i").join(o2, "j")
-
-    def lead(g: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        place = dict(zip(g["i"], g["oi"], strict=True)) | dict(zip(g["j"], g["oj"], strict=True))
-        for a, b in zip(g["i"], g["j"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        taken: set[int] = set()
-        out = []
-        for a in sorted(place, key=lambda x: (place[x], x)):
-            if a in taken:
-                continue
-            own = [b for b in near.get(a, ()) if b not in taken and (place[b], b) > (place[a], a)]
-            taken.update((a, *own))
-            if own:
-                out += [(b, a) for b in (a, *own)]
-        return pd.DataFrame(out, columns=["id", "leader"])
-
-    return e.groupBy("component").applyInPandas(lead, "id long, leader long")
+    e = edges.filter("i != j").join(o1, "i").join(o2, "j")
+    x, y = F.struct(F.col("oi").alias("o"), F.col("i").alias("n")), F.struct(F.col("oj").alias("o"), F.col("j").alias("n"))
+    e = stage_table(e.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).select(F.col("x.o").alias("oa"), F.col("x.n").cast("long").alias("a"), F.col("y.o").alias("ob"), F.col("y.n").cast("long").alias("b")).distinct(), "links")
+    left, outs = e, []
+    while (n := left.count()) > 0:
+        if n <= in_task:
+            outs.append(left.coalesce(1).mapInArrow(_out_in_task, "b long"))
+            break
+        free = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        out = stage_table(left.join(free, "a", "left_semi").select("b").distinct(), "out")
+        outs.append(out)
+        left = stage_table(left.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("oa", "a", "ob", "b"), "links")
+    # whoever was never out leads
+    lead = e.join(reduce(DataFrame.union, outs).select(F.col("b").alias("a")), "a", "left_anti") if outs else e
+    taken = lead.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("oa", "a")).alias("m")).select("id", F.col("m.a").alias("leader"))
+    return taken.union(taken.select(F.col("leader").alias("id"), "leader").distinct())
 
 
 def coarsen(scene_of: DataFrame, extra: DataFrame) -> DataFrame:
@@ -194,20 +134,6 @@ def cluster_identities(df: DataFrame, vec: str = "embedding", id_: str = "id", e
     return n.select("id", "cluster_id")
 
 
-def zero_shot(items: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
-    """(id, best_label, best_category, top): the nearest label, and the k best categories by their best label (0 at least).
-
-    labels: label, category, v; they are few, and every item is compared with all of them.
-    """
-    x = items.select("id", l2_normalize(F.col("v"), 1e-8).alias("v")).crossJoin(labels.select("label", "category", l2_normalize(F.col("v"), 1e-8).alias("u")))
-    x = x.select("id", "label", "category", dot(F.col("v"), F.col("u")).alias("s"))
-    best = x.groupBy("id").agg(F.min_by(F.struct("label", "category"), F.struct(-F.col("s"), "label")).alias("b"))
-    cats = x.groupBy("id", "category").agg(F.greatest(F.lit(0.0), F.max("s")).alias("s"))
-    w = Window.partitionBy("id").orderBy(F.desc("s"), "category")
-    top = cats.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("r", "category"))).alias("a"))
-    return best.join(top, "id").select("id", F.col("b.label").alias("best_label"), F.col("b.category").alias("best_category"), F.transform("a", lambda c: c["category"]).alias("top"))
-
-
 def hash_leaders(df: DataFrame, t: int = 6, id_: str = "id", hash_: str = "phash") -> DataFrame:
     """Leader groups of near hashes. Rows of one hash go where the first of them goes, so only different hashes are worked through."""
     e = stage_table(hamming_join(df, id_, hash_, t), "near")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalume.functions.scores import dot, hamming64, keeper_score
 from catalume.functions.text import stem, suffix
+from catalume.sources.scratch import stage_table
 
 #: Rows are ordered within buckets of so many seconds.
 BUCKET = 86400.0
@@ -66,25 +67,49 @@ def segment_scenes(df: DataFrame, time: str = "capture_time", id_: str = "id", p
     return _numbered_segments(x, cut, id_, "scene_group")
 
 
+def _beyond(x: DataFrame, span: float, width: float) -> DataFrame:
+    """(id, next): for each row the first one of its segment that is more than ``span`` seconds later; none: not in the table.
+
+    x: seg, t, path, id. No gap in a segment is wider than ``width``, so the row is in the stretch of ``width``
+    seconds that the end of the span is in, or is the first of the stretch after it.
+    """
+    part = lambda c: F.floor(c / width).cast("long").alias("part")
+    me = F.struct("t", "path", "id")
+    rows = x.select("seg", part(F.col("t")), F.col("t").alias("at"), F.lit(0).alias("asks"), me.alias("row"), F.lit(None).cast("long").alias("of"))
+    asks = x.select("seg", part(F.col("t") + span), (F.col("t") + span).alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col("id").alias("of"))
+    w = Window.partitionBy("seg", "part").orderBy(F.desc("at"), F.desc("asks"), F.desc("row"))
+    found = rows.union(asks).withColumn("found", F.last("row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("asks = 1")
+    first = rows.groupBy("seg", (F.col("part") - 1).alias("part")).agg(F.min("row").alias("later"))
+    y = found.join(first, ["seg", "part"], "left").withColumn("found", F.coalesce("found", "later")).filter("found is not null")
+    return y.select(F.col("of").alias("id"), F.col("found.id").alias("next"))
+
+
 def burst_runs(df: DataFrame, id_: str = "id", time: str = "capture_time", vec: str = "embedding", path: str = "path", gap: float = 8.0, span: float = 30.0, sim: float = 0.80) -> DataFrame:
     """(id, run): neighbours at most ``gap`` seconds apart and alike, a run no longer than ``span`` seconds from its start.
 
-    Gaps and looks cut first; the cap on the span is a fold over each of those short runs.
+    Gaps and looks cut the rows, in the order of time, path and id, into segments. In a segment a run
+    starts at its first row and then at the first row beyond the span of each start. Where a start leads
+    is a table of (row, next); which rows are reached from the first ones is found by
+    doubling: log n joins for n runs in a segment, and no segment is in one task or row. Rows
+    without time or vector are in no run.
     """
     t = F.col(time).cast("double")
-    x = df.filter(t.isNotNull() & F.col(vec).isNotNull()).select(F.col(id_).alias("id"), t.alias("t"), F.col(path).alias("path"), F.col(vec).alias("vec")).withColumn("bucket", F.floor(F.col("t") / BUCKET))
-    x = with_previous(x, "bucket", ["t", "path"], ["t", "vec"])
+    order = ["t", "path", "id"]
+    x = df.filter(t.isNotNull() & F.col(vec).isNotNull()).select(F.col(id_).cast("long").alias("id"), t.alias("t"), F.col(path).alias("path"), F.col(vec).alias("vec")).withColumn("bucket", F.floor(F.col("t") / BUCKET))
+    x = with_previous(x, "bucket", order, ["t", "vec"])
     cut = F.coalesce((F.col("t") - F.col("prev_t") > gap) | (dot(F.col("vec"), F.col("prev_vec")) < sim), F.lit(True))
-    x = prefix_sum(x, "bucket", ["t", "path"], cut.cast("long"), "seg")
-    runs = x.groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("t", "path", "id"))).alias("a"))
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast("array<struct<id:bigint,s:double>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        s = F.when(acc["s"].isNull() | (r["t"] - acc["s"] > span), r["t"]).otherwise(acc["s"])
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(r["id"].cast("long").alias("id"), s.alias("s")))).alias("out"))
-
-    y = runs.select("seg", F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("o")).select("seg", "o.id", "o.s")
-    return y.select("id", F.dense_rank().over(Window.partitionBy("seg").orderBy("s")).alias("part"), "seg").select("id", F.struct("seg", "part").alias("run"))
+    x = x.select("id", "t", "path", "bucket", cut.alias("cut"))
+    x = stage_table(prefix_sum(x, "bucket", order, F.col("cut").cast("long"), "seg"), "segments")
+    wide = x.groupBy("seg").agg((F.max("t") - F.min("t")).alias("wide")).filter(F.col("wide") > span).select("seg")
+    jump = stage_table(_beyond(x.join(wide, "seg", "left_semi"), span, max(gap, span, 1.0)), "jumps")
+    # heads, and what is reached from them in 1, 2, 4 ... jumps
+    starts = x.filter("cut").join(wide, "seg", "left_semi").select("id")
+    while not jump.isEmpty():
+        starts = stage_table(starts.union(starts.join(jump, "id").select("next")), "starts")
+        jump = stage_table(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("beyond")), "next").select("id", F.col("beyond").alias("next")), "jumps")
+    marked = x.join(starts.distinct().withColumn("start", F.lit(True)), "id", "left")
+    new = (F.col("cut") | F.coalesce("start", F.lit(False))).cast("long")
+    return prefix_sum(marked, "bucket", order, new, "run").select("id", "run")
 
 
 def representative(df: DataFrame, group: str) -> DataFrame:

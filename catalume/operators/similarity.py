@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalume.functions.scores import dot, hamming64, iou, l2_normalize
+from catalume.functions.scores import dot, iou, l2_normalize
 from catalume.sources.scratch import stage_table
 
 
@@ -22,22 +23,60 @@ def missing_vectors(images: DataFrame, store: DataFrame, hash_: str = "content_h
     return images.filter(F.col(hash_).isNotNull()).join(store.select(F.col(key).alias("_k")), F.col(hash_) == F.col("_k"), "left_anti")
 
 
-def hamming_join(df: DataFrame, id_: str = "id", hash_: str = "phash", t: int = 6) -> DataFrame:
-    """(i, j, d): hashes at most ``t`` bits apart, exactly, by t + 1 bands of bits.
+#: Pairs of keys that may meet for one key that is written, when the number of blocks is chosen.
+PAIRS_FOR_A_KEY = 4
+
+
+def _blocks_of_bits(b: int) -> list[int]:
+    """64 bits cut into b blocks, as masks."""
+    edges = [64 * k // b for k in range(b + 1)]
+    return [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+
 
-    Two hashes at most t apart are equal in one band at least. Equal hashes are one point,
-    the least id, so a flood of them makes no quadratic number of rows: the others come as star
-    edges (least id, id, 0), and pairs of different hashes are between least ids.
+def _code(n: int, t: int) -> tuple[int, list[tuple[int, int]]]:
+    """Into how many blocks 64 bits are best cut for n hashes, and which sets of blocks are keys: (bits of the set, mask of its blocks).
+
+    With b blocks, two hashes at most t bits apart agree in b - t blocks at least, so sets of that
+    size are keys. More blocks make more keys a hash, and far fewer pairs that meet by chance.
+    """
+    cost = lambda b: math.comb(b, t) * (n + n * n / PAIRS_FOR_A_KEY / 2 ** (64 * (b - t) / b))
+    b = min(range(t + 1, t + 5), key=cost)
+    bits = _blocks_of_bits(b)
+    return b, [(sum(bits[k] for k in some), sum(1 << k for k in some)) for some in combinations(range(b), b - t)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hash_bits(hex16: Column) -> Column:
+    """A hash of 16 hex digits as one long."""
+    half = lambda k: F.conv(F.substring(hex16, k, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def hamming_join(df: DataFrame, id_: str = "id", hash_: str = "phash", t: int = 6) -> DataFrame:
+    """(i, j, d): hashes at most ``t`` bits apart, exactly, by a covering code of blocks of bits.
+
+    The bits are cut into b blocks; every set of b - t of them, with the bits in it, is a key, and
+    a pair is taken only at the first set of blocks in which it agrees, so none comes twice. For
+    t = 6 and ten blocks there are 210 keys a hash, and n * n / 240,000 pairs meet by chance; small
+    tables take fewer blocks. Equal hashes are one point, the least id, so a flood of them makes
+    no quadratic number of rows: the others come as star edges (least id, id, 0), and pairs of
+    different hashes are between least ids. Null hashes are near nothing.
     """
     rows = df.filter(F.col(hash_).isNotNull()).select(F.col(id_).alias("i"), F.lower(hash_).alias("h"))
     points = rows.groupBy("h").agg(F.min("i").alias("i"))
-    bits = F.concat(*[F.lpad(F.bin(F.conv(F.substring("h", k, 8), 16, 10).cast("long")), 32, "0") for k in (1, 9)])
-    edges = [64 * k // (t + 1) for k in range(t + 2)]
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.substring(bits, edges[k] + 1, edges[k + 1] - edges[k]).alias("part")) for k in range(t + 1)])
-    x = points.select("i", "h", F.explode(bands).alias("b")).select("i", "h", "b.band", "b.part")
-    y = x.select(F.col("i").alias("j"), F.col("h").alias("g"), "band", "part")
-    d = hamming64(F.col("h"), F.col("g"))
-    near = x.join(y, ["band", "part"]).filter("i < j").withColumn("d", d).filter(F.col("d") <= t).select("i", "j", "d").distinct()
+    b, keys = _code(points.count(), t)
+    # below: the blocks up to the last one of the set
+    sets = F.array(*[F.struct(F.lit(_signed(bits)).alias("bits"), F.lit(mask).alias("mask"), F.lit((1 << mask.bit_length()) - 1).alias("below")) for bits, mask in keys])
+    x = points.select("i", hash_bits(F.col("h")).alias("x"), F.explode(sets).alias("s")).select("i", "x", "s.mask", "s.below", F.col("x").bitwiseAND(F.col("s.bits")).alias("key"))
+    y = x.select(F.col("i").alias("j"), F.col("x").alias("y"), "mask", "key")
+    both = F.col("x").bitwiseXOR(F.col("y"))
+    agree = reduce(lambda c, k: c + F.when(both.bitwiseAND(F.lit(_signed(_blocks_of_bits(b)[k]))) == 0, 1 << k).otherwise(0), range(b), F.lit(0))
+    near = x.join(y, ["mask", "key"]).filter("i < j").withColumn("d", F.bit_count(both)).filter(F.col("d") <= t)
+    # the first set: of the blocks up to its last one it has all in which they agree
+    near = near.filter(agree.bitwiseAND(F.col("below")) == F.col("mask")).select("i", "j", F.col("d").cast("int").alias("d"))
     star = rows.withColumnRenamed("i", "j").join(points, "h").filter("i < j").select("i", "j", F.lit(0).alias("d"))
     return near.union(star)
 
@@ -125,14 +164,6 @@ def drop_overlapping(boxes: DataFrame, known: DataFrame, max_iou: float = 0.25,
     return boxes.join(k, (boxes[key] == k["_k"]) & (iou(_box(), _box("k_"), clamp=False) >= max_iou), "left_anti")
 
 
-def nearest_centroid(refs: DataFrame, centroids: DataFrame, max_dist: float = 0.40) -> DataFrame:
-    """ref, cluster_id, dist: the nearest centroid below the cutoff. References are few; all are compared with all centroids."""
-    d = 1 - dot(F.col("v"), F.col("centroid"))
-    x = refs.crossJoin(centroids.select("cluster_id", "centroid")).withColumn("dist", d)
-    best = x.groupBy("ref").agg(F.min_by(F.struct("cluster_id", "dist"), F.struct("dist", "cluster_id")).alias("b"))
-    return best.select("ref", "b.cluster_id", "b.dist").filter(F.col("dist") < max_dist)
-
-
 def rescue_faces(candidates: DataFrame, anchors: DataFrame, rounds: int = 3, min_prob: float = 0.95, window: float = 600.0, near: float = 0.50, anywhere: float = 0.60, overlap: float = 0.25) -> DataFrame:
     """Candidates that match a face accepted in another photo; each one accepted is an anchor of the next round.
 

@@ -11,6 +11,7 @@ from catalume.functions import text as X
 from catalume.operators import decisions as D
 from catalume.operators import facets as A
 from catalume.operators import filters as C
+from catalume.operators import nearest as N
 from catalume.operators import pages as P
 from catalume.operators import sequence as Q
 from catalume.operators import similarity as M
@@ -454,13 +455,9 @@ def o78_list_people(t: Tables) -> DataFrame:
     select cluster_id, other, round(s, 4) as similarity from (select a.label as cluster_id, b.label as other, list_cosine_similarity(a.v, b.v) as s,
     row_number() over (partition by a.label order by list_cosine_similarity(a.v, b.v) desc, b.label) as r from c a join c b on a.label <> b.label) where s >= 0.05 and r <= 6""")
 def o79_similar_people(t: Tables) -> DataFrame:
-    c = A.centroids(t.vectors, "label", "embedding")
-    o = c.select(F.col("label").alias("other"), F.col("centroid").alias("u"))
-    x = c.crossJoin(o).filter("label != other").withColumn("s", S.dot(F.col("centroid"), F.col("u")))  # centroids of people
-    from pyspark.sql import Window
-
-    x = x.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("s"), "other"))).filter("s >= 0.05 and r <= 6")
-    return x.select(F.col("label").alias("cluster_id"), "other", F.round("s", 4).alias("similarity"))
+    kind = t.vectors.schema["label"].dataType
+    x = N.similar_people(A.centroids(t.vectors, "label", "embedding").withColumnRenamed("label", "cluster_id"), floor=0.05)
+    return x.select(F.col("cluster_id").cast(kind).alias("cluster_id"), F.col("other").cast(kind).alias("other"), F.round("cos", 4).alias("similarity"))
 
 
 @query("""with d as (select label, i, avg(embedding[i]::double) as m from vectors, range(1, 65) r(i) group by 1, 2), c as (select label, list(m order by i) as v from d group by 1)

@@ -10,6 +10,7 @@ from catalume.operators import decisions as D
 from catalume.operators import edits as E
 from catalume.operators import facets as A
 from catalume.operators import groups as G
+from catalume.operators import nearest as N
 from catalume.operators import sequence as Q
 from catalume.operators import similarity as M
 from catalume.operators.graph import connected_components
@@ -25,11 +26,10 @@ SIM, NEAR = 0.38, 3
 
 
 @query(f"""with p as (select min(id) as id, phash from photos group by phash)
-    select a.id as i, b.id as j, {HAMMING} as d from p a join p b on substr(a.phash, 1, 4) = substr(b.phash, 1, 4) and a.id < b.id where {HAMMING} <= 3
+    select a.id as i, b.id as j, {HAMMING} as d from p a join p b on a.id < b.id where {HAMMING} <= 6
     union all select p.id, q.id, 0 from photos q join p on p.phash = q.phash and p.id < q.id""")
 def o54_hamming_join(t: Tables) -> DataFrame:
-    """The comparison takes only pairs with equal first 16 bits: on these hashes there are no others."""
-    return M.hamming_join(t.photos, t=NEAR).select("i", "j", F.col("d").cast("int").alias("d"))
+    return M.hamming_join(t.photos, t=6).select("i", "j", F.col("d").cast("int").alias("d"))
 
 
 @query(f"select a.id as i, b.id as j, round({DOT}, 5) as cos from vectors a join vectors b on a.id < b.id and b.capture_time - a.capture_time <= 600 where {DOT} >= {SIM}")
@@ -97,7 +97,7 @@ def o65_drop_overlapping(t: Tables) -> DataFrame:
     select ref, cluster_id, round(dist, 5) as dist from (select *, row_number() over (partition by ref order by dist, cluster_id) as r from x) where r = 1 and dist < 0.97""")
 def o66_nearest_centroid(t: Tables) -> DataFrame:
     c = A.centroids(t.vectors.filter("id % 5 <> 0"), "label", "embedding", normalize=False).withColumnRenamed("label", "cluster_id")
-    x = M.nearest_centroid(t.vectors.filter("id % 5 = 0").select(F.col("id").alias("ref"), F.col("embedding").alias("v")), c, 0.97)
+    x = N.nearest_centroid(t.vectors.filter("id % 5 = 0").select(F.col("id").alias("ref"), F.col("embedding").alias("v")), c, 0.97)
     return x.select("ref", "cluster_id", F.round("dist", 5).alias("dist"))
 
 
@@ -133,7 +133,14 @@ def o89_stream_sessions(t: Tables) -> DataFrame:
     return stream_sessions(t.events, 120).select(F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n")
 
 
-@query()
+#: Each row after the one before, with the number and the time of its run's first row.
+RUNS = """r as (select id, capture_time as t, embedding::double[] as v, row_number() over (order by capture_time, path, id) as k from vectors),
+    walk(k, id, t, v, start, head) as (select k, id, t, v, t, k from r where k = 1
+        union all select r.k, r.id, r.t, r.v, case when cut then r.t else start end, case when cut then r.k else head end
+        from (select r.*, w.start, w.head, r.t - w.t > 8 or list_dot_product(w.v, r.v) < -0.1 or r.t - w.start > 30 as cut from walk w join r on r.k = w.k + 1) r)"""
+
+
+@query(f"with recursive {RUNS} select id, min(id) over (partition by head) as first, count(*) over (partition by head) as n from walk")
 def o90_burst_runs(t: Tables) -> DataFrame:
     x = Q.burst_runs(t.vectors, gap=8.0, span=30.0, sim=-0.1)
     w = x.groupBy("run").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -156,7 +163,16 @@ def o110_cohesion_split(t: Tables) -> DataFrame:
     return G.cohesion_split(t.vectors.join(comp, "id").withColumn("ord", F.col("id")).select("component", "id", "ord", "phash", "embedding"), 0.25, NEAR)
 
 
-@query()
+@query(f"""with recursive {RUNS},
+    atoms as (select id, dense_rank() over (order by name) as a, real from (select id, case when id % 7 in (1, 2) then 'g' || (id // 7) else 'r' || id end as name, id % 7 in (1, 2) as real from vectors)),
+    w as (select walk.id, head, start, t, a from walk join atoms using (id)),
+    h as (select head, arg_min(a, (t, id)) as x from w group by 1),
+    ties as (select x, a as y, row_number() over (order by start, t, id) as step from w join h using (head) where a <> x),
+    state(step, of, real) as (select 0::bigint, list(a order by a), list(real order by a) from (select distinct a, real from atoms)
+        union all select n.step, case when skip then of else list_transform(of, lambda c: case when c = of[y] then of[x] else c end) end, case when skip then real else list_transform(real, lambda f, i: f or (i = of[x] and real[of[y]])) end
+        from (select t.step, t.x, t.y, s.of, s.real, s.of[t.x] = s.of[t.y] or (s.real[s.of[t.x]] and s.real[s.of[t.y]]) as skip from state s join ties t on t.step = s.step + 1) n),
+    ends as (select id, of[a] as part from atoms, (select arg_max(of, step) as of from state))
+    select id, min(id) over (partition by part) as first, n from (select id, part, count(*) over (partition by part) as n from ends) where n > 1""")
 def o111_burst_merge(t: Tables) -> DataFrame:
     v = t.vectors
     groups = v.filter("id % 7 in (1, 2)").select("id", F.floor(F.col("id") / 7).alias("group"))
@@ -171,7 +187,16 @@ def o112_assign_duplicates(t: Tables) -> DataFrame:
     return G.assign_duplicates(t.vectors, NEAR, 0.3, 600.0, floor=0.2, burst_sim=0.25).select("id", F.col("dup_group").cast("long").alias("dup_group"), "dup_central", "dup_cull_safe")
 
 
-@query()
+@query(f"""with recursive near as (select a.id as i, b.id as j from photos a join photos b on a.id < b.id where {HAMMING} <= {NEAR}),
+    link as (select i, j from near union all select j, i from near union all select i, i from near union all select j, j from near),
+    walk(node, component) as (select i, min(j) from link group by 1 union select l.i, w.component from walk w join link l on l.j = w.node where w.component < l.i),
+    comp as (select node, min(component) as component from walk group by 1),
+    later as (select node, component, row_number() over (partition by component order by node) as step, list(j) filter (where j is not null) as near from comp left join near on i = node group by 1, 2),
+    state(component, step, taken, found) as (select distinct component, 0::bigint, []::bigint[], []::struct(id bigint, leader bigint)[] from comp
+        union all select component, step, list_concat(taken, own), list_concat(found, list_transform(case when len(own) > 0 then list_append(own, node) else [] end, lambda x: struct_pack(id := x, leader := node)))
+        from (select s.component, l.step, l.node, s.taken, s.found, case when list_contains(s.taken, l.node) then [] else list_filter(coalesce(l.near, []), lambda x: not list_contains(s.taken, x)) end as own
+            from state s join later l on l.component = s.component and l.step = s.step + 1))
+    select f.id as id, f.leader as leader from (select unnest(found) as f from (select arg_max(found, step) as found from state group by component))""")
 def o113_leader_groups(t: Tables) -> DataFrame:
     return G.hash_leaders(t.photos, NEAR)
 
@@ -203,7 +228,7 @@ def o115_cluster_identities(t: Tables) -> DataFrame:
 def o116_zero_shot(t: Tables) -> DataFrame:
     v = t.vectors.select("id", F.col("embedding").alias("v"))
     labels = v.filter("id < 12").select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("label"), F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("category"), "v")
-    return G.zero_shot(v.filter("id >= 12"), labels).select("id", "best_label", "best_category", F.array_join("top", ",").alias("top"))
+    return N.zero_shot(v.filter("id >= 12"), labels).select("id", "best_label", "best_category", F.array_join("top", ",").alias("top"))
 
 
 def _updates(t: Tables) -> DataFrame:
