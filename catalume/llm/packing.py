@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +25,31 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from catalume.llm.common import fresh
+from catalume.llm.tokens import byte_symbols
 from catalume.sources.scratch import stage_table
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
 #: Words of a block of texts, words that are encoded at once, and words that a worker remembers.
-BLOCK, AT_ONCE, REMEMBERED = 200_000, 2_000, 600_000
+BLOCK, AT_ONCE, REMEMBERED = 200_000, 2_000, 1_000_000
 
-_LOOSE = re.compile(r"\s ")
+_LOOSE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<!\s)(?= )")
+_STOPS = ".,;:!?"
+#: Letters by any version of Unicode; the characters by which byte-level vocabularies write bytes, and a blank.
+_LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+_SYMBOLS = {b: c for c, b in byte_symbols().items()}
+BLANK = _SYMBOLS[32]
 
 
 class WordIds:
     """Token ids of texts by a tokenizer file, word by word.
 
-    Byte-level pre-tokenizers always cut between a character that isn't white space and white space, so
-    a text may be cut before each blank that follows no white space. Words are
-    encoded many at once when they are first met; the lengths of tokens tell them apart. A
-    tokenizer of another kind encodes whole texts.
+    Byte-level pre-tokenizers always cut before white space that follows something else, after a single line break,
+    and between a letter and a full stop, comma or the like. So a text is a row of words, each
+    with the blank before it (strings here), and of starts of lines and stops, without one (bytes). Words are encoded
+    many at once when they are first met; the lengths of tokens tell them apart. A tokenizer
+    of another kind encodes whole texts.
     """
 
     def __init__(self, file: str, end: int):
@@ -58,78 +66,114 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str | bytes | None, int] = {None: 0}
-        self.first, self.many = [np.zeros(1, np.int64)], [np.ones(1, np.int64)]
-        self.flat = [np.array([self.end], np.uint32)]
-        self.known = self.size = 1
+        self.number: defaultdict[str | bytes | None, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # a new word gets the next number
+        self.number[None]  # the end
+        self.first, self.many, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end], np.uint32)
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, one after the other, and how many there are up to each."""
+        n = self.many[at]
+        upto = np.cumsum(n)
+        return self.flat[np.repeat(self.first[at] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)], upto
 
-    def _add(self, ids: np.ndarray, many: np.ndarray) -> None:
-        self.first.append(self.size + np.cumsum(many) - many)
-        self.many.append(many)
-        self.flat.append(ids.astype(np.uint32))
-        self.size += len(ids)
+    def _know(self, at: list[int], ids: np.ndarray, many: np.ndarray) -> None:
+        self.first[at] = len(self.flat) + np.cumsum(many) - many
+        self.many[at] = many
+        self.flat = np.concatenate((self.flat, ids.astype(np.uint32)))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _alone(self, texts: list[str]) -> None:
+    def _alone(self, at: list[int], texts: list[str]) -> None:
         ids = self._encode(texts)
-        self._add(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+        self._know(at, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def _together(self, at: list[int], words: list[str], before: str) -> None:
+        """Encode words as one text, each after a blank that is its own, or a line break that is not."""
+        ids = np.array(self._encode([before + before.join(words)])[0], np.int64)
+        ends = np.cumsum(np.array([len(w.encode()) + 1 for w in words]))
+        read = np.cumsum(self.bytes_of[ids])
+        stop = np.searchsorted(read, ends)
+        fits = stop[-1] == len(ids) - 1 and np.array_equal(read[stop], ends)
+        many = np.diff(stop, prepend=-1)
+        if before == "\n" and fits:
+            breaks = stop + 1 - many
+            fits = bool((self.bytes_of[ids[breaks]] == 1).all())
+            ids, many = np.delete(ids, breaks), many - 1
+        if fits:
+            self._know(at, ids, many)
+        else:  # tokens that aren't as long as they say
+            self._alone(at, [f"{before if before == ' ' else ''}{w}" for w in words])
+
+    def _letters(self, at: list[int], words: list[str]) -> None:
+        """Words of letters only, in the characters that stand for bytes, go to the merges as they are."""
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[t.id for t in tokenize(w)] for w in words]
+        self._know(at, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _learn(self) -> None:
-        """Encode the words that are new, in the order of their numbers: bytes start a text, strings follow a blank."""
-        new = list(islice(self.number, self.known, None))
-        self.known = len(self.number)
-        at = 0
-        while at < len(new):
-            b = at
-            while b < len(new) and b - at < AT_ONCE and isinstance(new[b], str) and new[b] and not new[b][-1].isspace():
-                b += 1
-            if b == at:
-                b = at + 1
-                while b < len(new) and not (isinstance(new[b], str) and new[b] and not new[b][-1].isspace()):
-                    b += 1
-                self._alone([w.decode() if isinstance(w, bytes) else f" {w}" for w in new[at:b]])
+        """Encode the words that are new."""
+        number, known = self.number, len(self.first)
+        new = list(islice(number, known, None))
+        letters, spaced, starts, alone = ([], []), ([], []), ([], []), ([], [])
+        stopped: list[tuple[int, int, int]] = []
+        letter, k = _LETTERS.fullmatch, known - 1
+        for w in new:  # grows while stems and stops are new
+            k += 1
+            blank = w.__class__ is str
+            text = w if blank else w.decode()
+            if not self.by_word or not text or text[-1].isspace() or (not blank and text[0].isspace()):
+                kind, text = alone, f" {text}" if blank else text
+            elif letter(text):
+                kind, text = letters, f"{BLANK if blank else ''}{text if text.isascii() else text.encode().decode('latin-1').translate(_SYMBOLS)}"
+            elif blank and text[-1] in _STOPS and letter(stem := text.rstrip(_STOPS)):
+                parts = (stem, text[len(stem) :].encode())
+                new += [x for x in parts if x not in number]
+                stopped.append((k, *(number[x] for x in parts)))
+                continue
             else:
-                ids = np.array(self._encode([" " + " ".join(new[at:b])])[0], np.int64)
-                ends = np.cumsum(np.array([len(w.encode()) + 1 for w in new[at:b]]))
-                read = np.cumsum(self.bytes_of[ids])
-                stop = np.searchsorted(read, ends)
-                if stop[-1] == len(ids) - 1 and np.array_equal(read[stop], ends):
-                    self._add(ids, np.diff(stop, prepend=-1))
-                else:  # tokens that aren't as long as they say
-                    self._alone([f" {w}" for w in new[at:b]])
-            at = b
-
-    def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+                kind = spaced if blank else starts
+            kind[0].append(k)
+            kind[1].append(text)
+        self.first, self.many = (np.append(x, np.zeros(len(number) - known, np.int64)) for x in (self.first, self.many))
+        if letters[0]:
+            self._letters(*letters)
+        for (at, words), before in ((spaced, " "), (starts, "\n")):
+            for a in range(0, len(words), AT_ONCE):
+                self._together(at[a : a + AT_ONCE], words[a : a + AT_ONCE], before)
+        if alone[0]:
+            self._alone(*alone)
+        if stopped:
+            both = np.array(stopped, np.int64)
+            ids, upto = self._ids(both[:, 1:].ravel())
+            self._know(both[:, 0].tolist(), ids, np.diff(upto[1::2], prepend=0))
+
+    def of(self, texts: list[list[str | bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, given as words, each with the end, one after the other; and how many each has."""
-        if self.known > REMEMBERED:
+        if len(self.number) > REMEMBERED:
             self._forget()
-        number, words, lengths = self.number, [], []
-        for w in texts:
-            k = len(words)
-            words.append(number.setdefault(w[0].encode(), len(number)))
-            words.extend([number.setdefault(x, len(number)) for x in islice(w, 1, None)])
-            words.append(0)
-            lengths.append(len(words) - k)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(chain(w, (None,)) for w in texts)), np.int64)
         self._learn()
-        first, many, flat = (np.concatenate(x) for x in (self.first, self.many, self.flat))
-        self.first, self.many, self.flat = [first], [many], [flat]
-        at = np.array(words, np.int64)
-        n = many[at]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-        stop = np.cumsum(np.array(lengths, np.int64))
+        ids, upto = self._ids(at)
+        stop = np.cumsum(np.array([len(w) + 1 for w in texts], np.int64))
         return ids, np.diff(upto[stop - 1], prepend=0)
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text: the first as it is, the others without the blank before them."""
+    def words(self, text: str) -> list[str | bytes]:
+        """The words of a text: strings without the blank before them, bytes where there is none."""
         if not self.by_word:
-            return [text]
-        if _LOOSE.search(text) is None:
-            return text.split(" ")
-        first, *rest = _CUT.split(text)
-        return [first, *(w[1:] for w in rest)]
+            return [text.encode()]
+        if _LOOSE.search(text) is not None:
+            first, *rest = _CUT.split(text)
+            return [first.encode(), *(w[1:] for w in rest)]
+        out: list[str | bytes] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(first.encode())
+            out += rest
+            out.append(b"\n")
+        out.pop()
+        return out
 
 
 _BUILT: dict[str, WordIds] = {}
