@@ -144,25 +144,36 @@ def migrate_path_decisions(path_decisions: DataFrame, images: DataFrame) -> Data
     return x.groupBy("hash").agg(F.max("decision").alias("decision"))
 
 
-def trash_plan(images: DataFrame, existing: DataFrame, root: str, ids: DataFrame | None = None, trash_dir: str = "_trash") -> DataFrame:
+def trash_plan(images: DataFrame, existing: DataFrame, root: str, ids: DataFrame | None = None, trash_dir: str = "_trash", files: DataFrame | None = None) -> DataFrame:
     """id, hash, from_path, trash_path of what is marked del (or of ``ids``), active, and not inside the trash folder (images has decision and trash_state).
 
     There is one trash folder, at the root of the library, so names of different folders collide
-    there. Names are unique among ``existing`` (dir, name) and the moves themselves.
+    there. Names are unique among ``existing`` (dir, name) and the moves themselves. ``files``
+    (path): what is there; items whose file is gone aren't moved.
     """
     trash = f"{root.rstrip('/')}/{trash_dir}"
     pick = images.filter("decision = 'del'") if ids is None else images.join(ids.select("id"), "id", "left_semi")
     x = pick.filter(F.col("trash_state").isNull() & ~F.col("path").startswith(f"{trash}/"))
+    if files is not None:
+        x = x.join(files.select("path"), "path", "left_semi")
     moves = x.select("id", F.lit(trash).alias("dir"), basename(F.col("path")).alias("name"), F.col("content_hash").alias("hash"), F.col("path").alias("from_path"))
     named = unique_names(moves, existing)
     return named.select("id", "hash", "from_path", F.concat_ws("/", "dir", "dest").alias("trash_path"))
 
 
+def _moved_overrides(copies: DataFrame, moves: DataFrame) -> DataFrame:
+    """Overrides (path, hash) with their new paths; one that is at the new place already is replaced. moves: from_path, hash, to_path."""
+    m = moves.filter("hash is not null").select(F.col("from_path").alias("_f"), F.col("hash").alias("_h"), F.col("to_path").alias("_t"))
+    here = (copies["path"] == m["_f"]) & (copies["hash"] == m["_h"])
+    went = copies.join(m, here).withColumn("path", F.col("_t")).select(*copies.columns)
+    return delete_keys(copies.join(m, here, "left_anti"), went.select("path", "hash"), ["path", "hash"]).unionByName(went)
+
+
 def apply_trash(plan: DataFrame, images: DataFrame, copies: DataFrame, ledger: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items and overrides (by path and hash) with their new paths, and the ledger with the new rows (ids after the largest)."""
     p = plan.select(F.col("id").alias("_i"), F.col("from_path").alias("_f"), F.col("hash").alias("_h"), F.col("trash_path").alias("_t"))
     moved = images.join(p, images["id"] == p["_i"], "left").withColumn("path", F.coalesce("_t", "path")).select(*images.columns)
-    over = copies.join(p, (copies["path"] == p["_f"]) & (copies["hash"] == p["_h"]), "left").withColumn("path", F.coalesce("_t", "path")).select(*copies.columns)
+    over = _moved_overrides(copies, plan.select("from_path", "hash", F.col("trash_path").alias("to_path")))
     top = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     w = Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(64)))  # numbered in 64 parts
     n = plan.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(64)))
@@ -180,10 +191,34 @@ def restore_plan(ledger: DataFrame, existing: DataFrame) -> DataFrame:
     return x.withColumn("state", state).drop("_p")
 
 
-def empty_plan(ledger: DataFrame, trash_dir: str = "_trash") -> DataFrame:
-    """Ledger with trashed rows emptied whose folder is the trash folder itself."""
+def restore_moves(ledger: DataFrame, files: DataFrame) -> DataFrame:
+    """id, hash, trash_path, to_path of the trashed rows whose file is there: back to where it was, or to a free name beside it.
+
+    files: path of all that is there. The newest rows come first, so of several from one place the newest gets it.
+    """
+    there = ledger.filter("state = 'trashed'").join(files.select(F.col("path").alias("trash_path")), "trash_path", "left_semi")
+    moves = there.select((-F.col("id")).alias("id"), dirname(F.col("from_path")).alias("dir"), basename(F.col("from_path")).alias("name"), "hash", "trash_path")
+    existing = files.select(dirname(F.col("path")).alias("dir"), basename(F.col("path")).alias("name"))
+    return unique_names(moves, existing).select((-F.col("id")).alias("id"), "hash", "trash_path", F.concat_ws("/", "dir", "dest").alias("to_path"))
+
+
+def apply_restore(ledger: DataFrame, files: DataFrame, images: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items and overrides with the paths of restored files, and the ledger: restored, or missing if the file is gone."""
+    moves = restore_moves(ledger, files)
+    m = moves.select(F.col("trash_path").alias("_f"), F.col("to_path").alias("_t"))
+    back = images.join(m, images["path"] == m["_f"], "left").withColumn("path", F.coalesce("_t", "path")).select(*images.columns)
+    over = _moved_overrides(copies, moves.select(F.col("trash_path").alias("from_path"), "hash", "to_path"))
+    return back, over, restore_plan(ledger, files)
+
+
+def empty_plan(ledger: DataFrame, trash_dir: str = "_trash", files: DataFrame | None = None) -> DataFrame:
+    """Ledger with trashed rows emptied whose folder is the trash folder itself; with ``files`` (path of all that is there) those whose file is gone are missing."""
     ok = (F.col("state") == "trashed") & (basename(dirname(F.col("trash_path"))) == trash_dir)
-    return ledger.withColumn("state", F.when(ok, "emptied").otherwise(F.col("state")))
+    if files is None:
+        return ledger.withColumn("state", F.when(ok, "emptied").otherwise(F.col("state")))
+    there = files.select(F.col("path").alias("_p")).distinct()
+    x = ledger.join(there, ledger["trash_path"] == there["_p"], "left")
+    return x.withColumn("state", F.when(ok, F.when(F.col("_p").isNotNull(), "emptied").otherwise("missing")).otherwise(F.col("state"))).drop("_p")
 
 
 def keep_one_preview(pool: DataFrame, keep_id: int, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:

@@ -98,10 +98,19 @@ def _overlapping(rows: DataFrame, others: DataFrame, least: float = 0.5) -> Data
     return rows.join(o, (rows["hash"] == o["_h"]) & (iou(box, tuple(F.col(f"o_{c}") for c in BOX)) >= least), "left_anti")
 
 
-def record_override(overrides: DataFrame, edits: DataFrame) -> DataFrame:
-    """Overrides (hash, bbox, action, cluster_id, target_hash, target_bbox) with the edits; an edit replaces overlapping ones of its photo."""
-    kept = _overlapping(_boxed(overrides), _boxed(edits)).select(*overrides.columns)
-    return kept.unionByName(edits.select(*overrides.columns))
+def record_override(overrides: DataFrame, edits: DataFrame, order: str | None = None) -> DataFrame:
+    """Overrides (hash, bbox, action, cluster_id, target_hash, target_bbox) with the edits; an edit replaces overlapping ones of its photo.
+
+    ``order``: a column of the edits by which they were made; of edits that overlap the last one counts.
+    Edits without a hash can't be bound to a photo and are left out.
+    """
+    new = _boxed(edits.filter("hash is not null and hash != ''"))
+    kept = _overlapping(_boxed(overrides), new).select(*overrides.columns)
+    if order:
+        later = new.select(F.col("hash").alias("_h"), F.col(order).alias("_o"), *[F.col(c).alias(f"o_{c}") for c in BOX])
+        same = iou(tuple(F.col(c) for c in BOX), tuple(F.col(f"o_{c}") for c in BOX)) >= 0.5
+        new = new.join(later, (new["hash"] == later["_h"]) & (later["_o"] > new[order]) & same, "left_anti")
+    return kept.unionByName(new.select(*overrides.columns))
 
 
 def reference_face(faces: DataFrame, images: DataFrame, overrides: DataFrame, exclude: list[int] = ()) -> DataFrame:
@@ -195,6 +204,54 @@ def _with_hash(faces: DataFrame, images: DataFrame) -> DataFrame:
     return faces.join(i, faces["image_id"] == i["_i"]).drop("_i")
 
 
+def _assignments(faces: DataFrame, moved: DataFrame, images: DataFrame, overrides: DataFrame, target: int) -> DataFrame:
+    """An edit (with the face's id) for each moved face, pinned to the surest detected face that the target had before."""
+    before = faces.filter(F.col("cluster_id") == target).join(moved.select("id"), "id", "left_anti")
+    ref = reference_face(before, images, overrides).select(F.col("hash").alias("target_hash"), F.col("bbox").alias("target_bbox"))  # one row at most
+    none = faces.sparkSession.range(1).drop("id")
+    edits = _with_hash(moved, images).crossJoin(none.join(ref, F.lit(True), "left"))
+    edit = {"bbox": bbox_key(*[F.col(c) for c in BOX]), "action": F.lit("assign"), "cluster_id": F.lit(target).cast("long")}
+    return edits.withColumns(edit).select("id", "hash", "bbox", "action", "cluster_id", "target_hash", "target_bbox")
+
+
+def assign_to_person(
+    faces: DataFrame, images: DataFrame, clusters: DataFrame, overrides: DataFrame, anchors: DataFrame, wanted: DataFrame, cluster_id: int | None = None, name: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Faces, people, overrides and name anchors after the faces in ``wanted`` (id) went to a person, and the ids that don't exist; nothing changes if there are any.
+
+    ``cluster_id`` None: a new person, with the next number made by hand and the name. Each moved
+    face is an override, so the edit survives new numbers; all faces of the person are anchored to its name anew.
+    """
+    unknown, _ = _unknown(faces, wanted)
+    if not unknown.isEmpty():
+        return faces, clusters, overrides, anchors, unknown
+    spark = faces.sparkSession
+    if cluster_id is None:
+        target = int(clusters.filter(F.col("cluster_id") >= MANUAL).agg(F.coalesce(F.max("cluster_id") + 1, F.lit(MANUAL))).first()[0])  # one number
+        people = upsert(clusters, spark.createDataFrame([(target, name or None)], "cluster_id long, name string"), ["cluster_id"])
+    else:
+        target = int(cluster_id)
+        people = insert_new(clusters, spark.createDataFrame([(target, None)], "cluster_id long, name string"), ["cluster_id"])
+    moved = faces.join(wanted.select("id").distinct(), "id", "left_semi")
+    after = assign_faces(faces, wanted, target)[0]
+    edits = _assignments(faces, moved, images, overrides, target)
+    own = people.filter(F.col("cluster_id") == target).select("name").first()["name"]
+    members = _with_hash(after.filter(F.col("cluster_id") == target), images)
+    return after, people, record_override(overrides, edits, "id"), reanchor(anchors, members, own), unknown
+
+
+def remove_faces(faces: DataFrame, images: DataFrame, overrides: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Faces without those in ``wanted`` (id), items with their figures done again, overrides that keep them away, and the ids that don't exist; nothing changes if there are any."""
+    unknown, _ = _unknown(faces, wanted)
+    if not unknown.isEmpty():
+        return faces, images, overrides, unknown
+    gone = _with_hash(faces.join(wanted.select("id").distinct(), "id", "left_semi"), images)
+    none = {c: F.lit(None).cast(overrides.schema[c].dataType) for c in ("cluster_id", "target_hash", "target_bbox")}
+    edits = gone.withColumns({"bbox": bbox_key(*[F.col(c) for c in BOX]), "action": F.lit("delete"), **none})
+    left, items, _ = delete_faces(faces, images, wanted)
+    return left, items, record_override(overrides, edits, "id"), unknown
+
+
 def merge_people(
     faces: DataFrame, images: DataFrame, clusters: DataFrame, overrides: DataFrame, anchors: DataFrame, sources: list[int], target: int
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -205,27 +262,30 @@ def merge_people(
     All its faces are anchored to that name anew, which clears what the moved ones were called.
     """
     sources = [int(c) for c in sources if int(c) != int(target)]
+    if not sources:
+        return faces, clusters, overrides, anchors
     moves = F.col("cluster_id").isin(sources)
-    ref = reference_face(faces.filter(F.col("cluster_id") == target), images, overrides)
-    ref = ref.select(F.col("hash").alias("target_hash"), F.col("bbox").alias("target_bbox"))  # one row at most
-    none = faces.sparkSession.range(1).drop("id")
-    edits = _with_hash(faces.filter(moves), images).crossJoin(none.join(ref, F.lit(True), "left"))
-    edit = {"bbox": bbox_key(*[F.col(c) for c in BOX]), "action": F.lit("assign"), "cluster_id": F.lit(target).cast("long")}
-    edits = edits.withColumns(edit).select("hash", "bbox", "action", "cluster_id", "target_hash", "target_bbox")
+    edits = _assignments(faces, faces.filter(moves), images, overrides, target)
     after = faces.withColumn("cluster_id", F.when(moves, F.lit(target).cast("long")).otherwise(F.col("cluster_id")))
     own = faces.sparkSession.createDataFrame([(int(target), None)], "cluster_id long, name string")
     people = insert_new(clusters.filter(~F.col("cluster_id").isin(sources)), own, ["cluster_id"])
     name = people.filter(F.col("cluster_id") == target).select("name").first()["name"]
     members = _with_hash(after.filter(F.col("cluster_id") == target), images)
-    return after, people, record_override(overrides, edits), reanchor(anchors, members, name)
+    return after, people, record_override(overrides, edits, "id"), reanchor(anchors, members, name)
 
 
 def rename_person(clusters: DataFrame, cluster_id: int, name: str | None) -> DataFrame:
-    """People with the new name; anchor it with :func:`reanchor`, so that it survives new numbers."""
+    """People with the new name; :func:`name_person` anchors it, too."""
     row = clusters.sparkSession.createDataFrame([(cluster_id, name)], "cluster_id long, name string")
     return upsert(clusters, row, ["cluster_id"])
 
 
+def name_person(clusters: DataFrame, faces: DataFrame, images: DataFrame, anchors: DataFrame, cluster_id: int, name: str | None) -> tuple[DataFrame, DataFrame]:
+    """People with the new name (blank: none), and anchors of it on all faces of the person, so that it survives new numbers."""
+    members = _with_hash(faces.filter(F.col("cluster_id") == cluster_id), images)
+    return rename_person(clusters, cluster_id, name or None), reanchor(anchors, members, name)
+
+
 def migrate_boxes(overrides: DataFrame, orientation: DataFrame) -> DataFrame:
     """Boxes recorded on stored pixels, as they are seen; orientation: hash, w, h, orientation."""
     o = orientation.select(F.col("hash").alias("_h"), "w", "h", "orientation")

@@ -135,9 +135,10 @@ def group_activity(df: DataFrame, group: str) -> DataFrame:
     return x.withColumn("needs_review", (F.col("active") > 1) & (F.col("_open") > 0)).drop("_open")
 
 
-def trash_counts(images: DataFrame, ledger: DataFrame, trash_dir: str = "_trash") -> DataFrame:
-    """pending: marked del, active and not inside the trash folder; trashed and emptied ledger rows. images has decision and trash_state."""
-    inside = F.array_contains(F.split("path", "/"), trash_dir)
+def trash_counts(images: DataFrame, ledger: DataFrame, root: str, trash_dir: str = "_trash") -> DataFrame:
+    """pending: marked del, active and not inside the trash folder, which is the one at the root; trashed and emptied ledger rows. images has decision and trash_state."""
+    trash = f"{root.rstrip('/')}/{trash_dir}"
+    inside = (F.col("path") == trash) | F.col("path").startswith(f"{trash}/")
     p = images.agg(F.count_if(F.coalesce((F.col("decision") == "del") & F.col("trash_state").isNull() & ~inside, F.lit(False))).alias("pending"))
     s = ledger.agg(F.count_if(F.col("state") == "trashed").alias("trashed"), F.count_if(F.col("state") == "emptied").alias("emptied"))
     return p.crossJoin(s)  # one row each

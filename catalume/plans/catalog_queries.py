@@ -30,6 +30,17 @@ def o1_discover(t: Tables) -> DataFrame:
     return I.in_library(files, "/lib")
 
 
+@query("""with f as (select id, case id % 5 when 0 then '/lib/_trash/lib' when 1 then folder || '/lib' when 2 then '/lib' when 3 then '/other/lib' else '/lib/x/lib/_rejected/y' end || '/' || filename as path from photos)
+    select id, path, id % 5 = 2 as own from f where id % 5 in (1, 2)""")
+def o1_nested_root(t: Tables) -> DataFrame:
+    """The name of the root comes again further down, and outside of it."""
+    path = F.expr("concat(case id % 5 when 0 then '/lib/_trash/lib' when 1 then concat(folder, '/lib') when 2 then '/lib' when 3 then '/other/lib' else '/lib/x/lib/_rejected/y' end, '/', filename)")
+    files = t.photos.select("id", path.alias("path"))
+    own = I.in_library(files, "/lib/", recurse=False).select(F.col("id").alias("_i"))
+    x = I.in_library(files, "/lib")
+    return x.join(own, x["id"] == own["_i"], "left").select("id", "path", F.col("_i").isNotNull().alias("own"))
+
+
 @query("""select f.image_id, f.x1, f.y2, f.prob, f.cluster_id, f.sharp from faces f join photos p on p.id = f.image_id""")
 def o3_report_star(t: Tables) -> DataFrame:
     return I._star(I.nested_report(t.photos, t.faces, t.tags))[1].select("image_id", "x1", "y2", "prob", "cluster_id", "sharp")
@@ -482,7 +493,15 @@ def o83_group_activity(t: Tables) -> DataFrame:
 
 @query("""select count(*) filter (where decision = 'del' and trash_state is null) as pending, (select count(*) from ledger where state = 'trashed') as trashed, (select count(*) from ledger where state = 'emptied') as emptied from seen""")
 def o84_trash_counts(t: Tables) -> DataFrame:
-    return A.trash_counts(t.seen, t.ledger)
+    return A.trash_counts(t.seen, t.ledger, "/lib")
+
+
+@query("""with p as (select *, case id % 4 when 0 then '/lib/_trash/' when 1 then folder || '/_trash/' when 2 then '/lib/_trash_old/' else '/other/lib/_trash/' end || filename as spot from seen)
+    select count(*) filter (where decision = 'del' and trash_state is null and not starts_with(spot, '/lib/_trash/')) as pending, (select count(*) from ledger where state = 'trashed') as trashed, (select count(*) from ledger where state = 'emptied') as emptied from p""")
+def o84_trash_inside(t: Tables) -> DataFrame:
+    """Only the folder at the root is the trash folder."""
+    at = F.expr("concat(case id % 4 when 0 then '/lib/_trash/' when 1 then concat(folder, '/_trash/') when 2 then '/lib/_trash_old/' else '/other/lib/_trash/' end, filename)")
+    return A.trash_counts(t.seen.withColumn("path", at), t.ledger, "/lib")
 
 
 @query("""select case when r < 0.02 then 0 when r < 0.04 then 1 when r < 0.06 then 2 when r < 0.10 then 3 when r < 0.20 then 4 else 5 end as bucket, count(*) as n

@@ -318,6 +318,50 @@ def o122_apply_trash(t: Tables) -> DataFrame:
     return items.unionByName(over.select(F.lit("override").alias("what"), F.col("hash").alias("of"), "path")).unionByName(ledger)
 
 
+@query(f"""with mv as (select id, content_hash as hash, path as from_path, '/lib/_trash/' || filename as trash_path from seen where decision = 'del' and trash_state is null and id % 3 <> 0),
+    c2 as (select path, hash, decision from copies union all select trash_path, hash, null from mv where id % 5 = 0), w as (select mv.trash_path as path, c2.hash, c2.decision from c2 join mv on mv.from_path = c2.path and mv.hash = c2.hash)
+    select * from w union all select c2.* from c2 where not exists (select 1 from mv where mv.from_path = c2.path and mv.hash = c2.hash) and not exists (select 1 from w where w.path = c2.path and w.hash = c2.hash)""")
+def o122_missing_and_replaced(t: Tables) -> DataFrame:
+    """Files with id % 3 = 0 are gone; overrides are at some of the new places already."""
+    nothing = t.photos.select(F.lit("/lib/_trash").alias("dir"), "filename").limit(0).toDF("dir", "name")
+    plan = D.trash_plan(t.seen, nothing, "/lib", files=t.photos.filter("id % 3 <> 0").select("path"))
+    there = plan.filter("id % 5 = 0").select(F.col("trash_path").alias("path"), "hash", F.lit(None).cast("string").alias("decision"))
+    return D.apply_trash(plan, t.photos, t.copies.select("path", "hash", "decision").unionByName(there), t.ledger, 5000.0)[1]
+
+
+#: Trashed rows of one place, by threes; files of every second row are there, and every fifth place is taken.
+_BACK = """led as (select id, image_id, content_hash as hash, folder || '/n' || (image_id // 30) || '.jpg' as from_path, '/lib/_trash/' || id || '.jpg' as trash_path, state from (select l.id, l.image_id, l.state, p.content_hash, p.folder from ledger l join photos p on p.id = l.image_id)),
+    here as (select trash_path as path from led where image_id % 2 = 0 union select from_path from led where (image_id // 30) % 5 = 0),
+    go as (select *, row_number() over (partition by from_path order by id desc) - case when exists (select 1 from here h where h.path = from_path) then 0 else 1 end as k from led where state = 'trashed' and trash_path in (select path from here)),
+    mv as (select id, hash, trash_path, case when k = 0 then from_path else left(from_path, length(from_path) - 4) || '_' || k || '.jpg' end as to_path from go)"""
+
+
+def _back(t: Tables) -> tuple[DataFrame, DataFrame]:
+    p = t.photos.select(F.col("id").alias("_i"), "content_hash", "folder")
+    led = t.ledger.join(p, F.col("image_id") == F.col("_i"))
+    place = F.concat("folder", F.lit("/n"), F.floor(F.col("image_id") / 30).cast("string"), F.lit(".jpg"))
+    led = led.select("id", "image_id", F.col("content_hash").alias("hash"), place.alias("from_path"), F.concat(F.lit("/lib/_trash/"), F.col("id").cast("string"), F.lit(".jpg")).alias("trash_path"), "state")
+    here = led.filter("image_id % 2 = 0").select(F.col("trash_path").alias("path")).union(led.filter("floor(image_id / 30) % 5 = 0").select("from_path")).distinct()
+    return led, here
+
+
+@query(f"""with {_BACK}, im as (select id, trash_path as path from led where id % 10 = 0), c as (select trash_path as path, hash, 'keep' as decision from led where hash is not null and id % 20 = 0)
+    select 'item' as what, im.id::varchar as of, coalesce(mv.to_path, im.path) as path from im left join mv on mv.trash_path = im.path
+    union all select 'override', c.hash, coalesce(mv.to_path, c.path) from c left join mv on mv.trash_path = c.path and mv.hash = c.hash
+    union all select 'ledger', id::varchar, case when state = 'trashed' then case when trash_path in (select path from here) then 'restored' else 'missing' end else state end from led""")
+def o123_apply_restore(t: Tables) -> DataFrame:
+    led, here = _back(t)
+    items, over, after = D.apply_restore(led, here, led.filter("id % 10 = 0").select("id", F.col("trash_path").alias("path")), led.filter("hash is not null and id % 20 = 0").select(F.col("trash_path").alias("path"), "hash", F.lit("keep").alias("decision")))
+    one = lambda df, what, of, path: df.select(F.lit(what).alias("what"), F.col(of).cast("string").alias("of"), F.col(path).alias("path"))
+    return one(items, "item", "id", "path").union(one(over, "override", "hash", "path")).union(one(after, "ledger", "id", "state"))
+
+
+@query(f"with {_BACK} select id, case when state = 'trashed' then case when trash_path in (select path from here) then 'emptied' else 'missing' end else state end as state from led")
+def o123_empty_missing(t: Tables) -> DataFrame:
+    led, here = _back(t)
+    return D.empty_plan(led, files=here).select("id", "state")
+
+
 @query("""select id, case when state = 'trashed' then case when image_id % 3 = 0 then 'restored' else 'missing' end else state end as restored, case when state = 'trashed' and image_id % 2 = 0 then 'emptied' else state end as emptied from ledger""")
 def o123_restore_empty(t: Tables) -> DataFrame:
     led = t.ledger.withColumn("trash_path", F.when(F.col("image_id") % 2 == 0, F.concat(F.lit("/lib/_trash/"), F.col("image_id").cast("string"))).otherwise(F.col("trash_path")))
@@ -372,6 +416,16 @@ def o127_record_override(t: Tables) -> DataFrame:
     return E.record_override(_overrides(t, 5), edits).select("hash", "action", "ord")
 
 
+@query(f"""with a as {_ov_sql(5)}, b0 as (select hash, x1, y1, x2, y2, action, ord, 0 as k from {_ov_sql(5, 6.0)} union all select hash, x1 + 3, y1, x2 + 3, y2, 'delete', ord, 1 from {_ov_sql(5, 6.0)} where ord % 3 = 0),
+    b as (select * from b0 a where not exists (select 1 from b0 b where a.hash = b.hash and b.ord * 2 + b.k > a.ord * 2 + a.k and {IOU} >= 0.5))
+    select hash, action, ord from b union all select hash, action, ord from a where not exists (select 1 from b0 b where a.hash = b.hash and {IOU} >= 0.5)""")
+def o127_batch_of_edits(t: Tables) -> DataFrame:
+    """Some faces are edited twice in a batch: the last edit counts."""
+    twice = _overrides(t, 5, 9.0).filter("ord % 3 = 0").withColumn("action", F.lit("delete")).withColumn("k", F.lit(1))
+    edits = _overrides(t, 5, 6.0).withColumn("k", F.lit(0)).unionByName(twice).withColumn("made", F.col("ord") * 2 + F.col("k"))
+    return E.record_override(_overrides(t, 5), edits, "made").select("hash", "action", "ord")
+
+
 @query(f"""with o as {_ov_sql(5)}, a as (select f.*, q.content_hash as hash from faces f join photos q on q.id = f.image_id where q.content_hash is not null and cluster_id between 0 and 99999)
     select cluster_id, hash, x1 || ',' || y1 || ',' || x2 || ',' || y2 as bbox from (select *, row_number() over (partition by cluster_id order by prob desc, id) as r from a where not exists (select 1 from o b where b.hash = a.hash and {IOU} >= 0.5)) where r = 1""")
 def o128_reference_face(t: Tables) -> DataFrame:
@@ -441,7 +495,8 @@ def o132_merge(t: Tables) -> DataFrame:
 
 @query(f"""with o as {_ov_sql(5)}, {MEMBERS}, mv as (select * from mem where cluster_id in (4, 5)),
     ref as (select hash, x1 || ',' || y1 || ',' || x2 || ',' || y2 as bbox from (select a.*, row_number() over (order by prob desc, a.id) as r from mem a join faces f on f.id = a.id where a.cluster_id = 6 and not exists (select 1 from o b where b.hash = a.hash and {IOU} >= 0.5)) where r = 1)
-    select mv.hash, x1 || ',' || y1 || ',' || x2 || ',' || y2 as bbox, 'assign' as action, 6::bigint as cluster_id, ref.hash as target_hash, ref.bbox as target_bbox from mv left join ref on true
+    select a.hash, x1 || ',' || y1 || ',' || x2 || ',' || y2 as bbox, 'assign' as action, 6::bigint as cluster_id, ref.hash as target_hash, ref.bbox as target_bbox
+    from (select * from mv a where not exists (select 1 from mv b where a.hash = b.hash and b.id > a.id and {IOU} >= 0.5)) a left join ref on true
     union all select hash, x1 || ',' || y1 || ',' || x2 || ',' || y2, action, 7, null, null from o a where not exists (select 1 from mv b where a.hash = b.hash and {IOU} >= 0.5)""")
 def o132_merge_overrides(t: Tables) -> DataFrame:
     return _merged(t)[2]
@@ -462,6 +517,61 @@ def o132_delete_faces(t: Tables) -> DataFrame:
     return E.delete_faces(t.faces, t.photos, t.faces.filter("prob < 0.93").select("id"))[0].select("id", "image_id")
 
 
+#: What is moved, and what is there before.
+_EDIT = f"""with o as {_ov_sql(5)}, {MEMBERS}, w as (select id from faces where cluster_id in (4, 9) and prob >= 0.93), mv as (select * from mem where id in (select id from w)),
+    e as (select * from mv a where not exists (select 1 from mv b where a.hash = b.hash and b.id > a.id and {IOU} >= 0.5)), old as (select * from mem where id % 15 = 4),
+    o2 as (select * from o a where not exists (select 1 from mv b where a.hash = b.hash and {IOU} >= 0.5))"""
+_KEY = "x1 || ',' || y1 || ',' || x2 || ',' || y2"
+
+
+def _edit(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Overrides, anchors, and the faces that are edited."""
+    old = _members(t).filter("id % 15 = 4").select("hash", *M.BOX, F.lit("old").alias("name"))
+    return _overrides(t, 5).drop("ord"), old, t.faces.filter("cluster_id in (4, 9) and prob >= 0.93").select("id")
+
+
+@query(f"""{_EDIT}, ref as (select hash, {_KEY} as bbox from (select a.*, row_number() over (order by prob desc, a.id) as r from mem a join faces f on f.id = a.id where a.cluster_id = 6 and not exists (select 1 from o b where b.hash = a.hash and {IOU} >= 0.5)) where r = 1),
+    m as (select * from mem where cluster_id = 6 or id in (select id from w)), n as (select name from clusters where cluster_id = 6)
+    select 'override' as what, e.hash, {_KEY} as bbox, 'assign 6 ' || coalesce(ref.hash || ' ' || ref.bbox, '') as who from e left join ref on true union all select 'override', hash, {_KEY}, action || ' 7 ' from o2
+    union all select 'face', null, id::varchar, case when id in (select id from w) then 6 else cluster_id end::varchar from faces union all select 'person', null, cluster_id::varchar, coalesce(name, '') from clusters
+    union all select 'anchor', hash, {_KEY}, 'old' from old a where not exists (select 1 from m b where a.hash = b.hash and {IOU} >= 0.5) union all select 'anchor', hash, {_KEY}, n.name from m, n where n.name is not null""".replace("e.hash, x1", "e.hash, e.x1"))
+def o132_assign_to_person(t: Tables) -> DataFrame:
+    overrides, anchors, wanted = _edit(t)
+    return _told(*E.assign_to_person(t.faces, t.photos, t.clusters, overrides, anchors, wanted, 6)[:4])
+
+
+@query(f"""{_EDIT}, m as (select * from mem where id in (select id from w)), top as (select coalesce(max(cluster_id) + 1, 100000) as k from clusters where cluster_id >= 100000)
+    select 'override' as what, e.hash, {_KEY} as bbox, 'assign ' || k || ' ' as who from e, top union all select 'override', hash, {_KEY}, action || ' 7 ' from o2
+    union all select 'face', null, id::varchar, case when id in (select id from w) then k else cluster_id end::varchar from faces, top union all select 'person', null, cluster_id::varchar, coalesce(name, '') from clusters union all select 'person', null, k::varchar, 'Eve' from top
+    union all select 'anchor', hash, {_KEY}, 'old' from old a where not exists (select 1 from m b where a.hash = b.hash and {IOU} >= 0.5) union all select 'anchor', hash, {_KEY}, 'Eve' from m""")
+def o132_new_person(t: Tables) -> DataFrame:
+    overrides, anchors, wanted = _edit(t)
+    return _told(*E.assign_to_person(t.faces, t.photos, t.clusters, overrides, anchors, wanted, None, "Eve")[:4])
+
+
+def _told(faces: DataFrame, people: DataFrame, overrides: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The four tables as rows of text."""
+    row = lambda df, what, hash_, bbox, who: df.select(F.lit(what).alias("what"), hash_.cast("string").alias("hash"), bbox.cast("string").alias("bbox"), who.cast("string").alias("who"))
+    none, target = F.lit(None), F.coalesce(F.concat_ws(" ", "target_hash", "target_bbox"), F.lit(""))
+    out = row(overrides, "override", F.col("hash"), F.col("bbox"), F.concat_ws(" ", "action", F.col("cluster_id").cast("string"), target))
+    out = out.union(row(faces, "face", none, F.col("id"), F.col("cluster_id"))).union(row(people, "person", none, F.col("cluster_id"), F.coalesce("name", F.lit(""))))
+    return out.union(row(anchors, "anchor", F.col("hash"), bbox_key(*[F.col(c) for c in M.BOX]), F.col("name")))
+
+
+@query(f"""{_EDIT} select hash, {_KEY} as bbox, 'delete' as action, null::bigint as cluster_id from e union all select hash, {_KEY}, action, 7 from o2""")
+def o132_remove_faces(t: Tables) -> DataFrame:
+    overrides, _, wanted = _edit(t)
+    return E.remove_faces(t.faces, t.photos, overrides, wanted)[2].select("hash", "bbox", "action", "cluster_id")
+
+
+@query(f"""with {MEMBERS}, old as (select * from mem where id % 15 = 4), m as (select * from mem where cluster_id = 7)
+    select hash, {_KEY} as bbox, 'old' as name from old a where not exists (select 1 from m b where a.hash = b.hash and {IOU} >= 0.5) union all select hash, {_KEY}, 'Zoe' from m
+    union all select null, cluster_id::varchar, case when cluster_id = 7 then 'Zoe' else name end from clusters""")
+def o132_name_person(t: Tables) -> DataFrame:
+    people, anchors = E.name_person(t.clusters, t.faces, t.photos, _edit(t)[1], 7, "Zoe")
+    return anchors.select("hash", bbox_key(*[F.col(c) for c in M.BOX]).alias("bbox"), "name").union(people.select(F.lit(None).cast("string"), F.col("cluster_id").cast("string"), "name"))
+
+
 @query("select cluster_id, case when cluster_id = 7 then 'Zoe' else name end as name from clusters")
 def o132_rename_person(t: Tables) -> DataFrame:
     return E.rename_person(t.clusters, 7, "Zoe")

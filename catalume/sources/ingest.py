@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +23,19 @@ REPORT = f"""folder string, backend string, total_images bigint, duplicate_group
 
 
 def in_library(files: DataFrame, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES, recurse: bool = True) -> DataFrame:
-    """Files (path) with the suffixes, whatever the case, not below a hidden folder of the root; without ``recurse`` only its own."""
-    below = F.substring_index("path", root.rstrip("/") + "/", -1)
+    """Files (path) below the root with the suffixes, whatever the case, not below a hidden folder of it; without ``recurse`` only its own.
+
+    The root is the start of a path, whatever comes again further down. A scheme (``file:``) may stand before either.
+    """
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
+    path, top = F.regexp_replace("path", scheme, ""), re.sub(scheme, "", root).rstrip("/") + "/"
+    below = F.when(path.startswith(top), F.substring(path, len(top) + 1, 1 << 30))
     folders = F.split(F.lower(below), "/")
     hidden = F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*[F.lit(d) for d in HIDDEN_DIRS]))
     name = F.lower(basename(F.col("path")))
     # a name that only starts with a dot has no suffix
     suffix = F.when(F.locate(".", F.substring(name, 2, 1 << 20)) > 0, F.concat(F.lit("."), F.substring_index(name, ".", -1)))
-    ok = F.coalesce(suffix.isin(list(suffixes)), F.lit(False)) & ~hidden
+    ok = below.isNotNull() & F.coalesce(suffix.isin(list(suffixes)), F.lit(False)) & ~hidden
     return files.filter(ok if recurse else ok & (F.size(folders) == 1))
 
 
