@@ -24,6 +24,24 @@ def prefix_sum(df: DataFrame, bucket: str, order: list, value: Column, out: str)
     return x.join(starts, x[bucket] == starts["_b"]).withColumn(out, F.col("_in") + F.col("_o")).drop("_v", "_in", "_b", "_o")
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the number of each row in its group, from 0 in the order (which tells rows apart).
+
+    Rows are cut into ranges by samples of (group, order), so a hot group is many tasks; a table of a row for
+    each range, and one for each group more, tells where a range starts.
+    """
+    keys = [*groups, *order]
+    x = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in keys])
+    x = stage_table(x.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_at", 33))
+    parts = x.groupBy(*groups, "_part").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_some"))
+    before = F.coalesce(F.sum("_some").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(groups)], F.col("_part").alias("_p"), (before - F.col("_low")).alias("_shift"))
+    on = x["_part"] == parts["_p"]
+    for k, c in enumerate(groups):
+        on &= x[c].eqNullSafe(parts[f"_g{k}"])
+    return x.join(parts, on).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out))
+
+
 def with_previous(df: DataFrame, bucket: str, order: list[str], columns: list[str]) -> DataFrame:
     """Adds prev_<c>: the values of the row before, in the order (bucket, order), over all buckets."""
     row = F.struct(*[F.col(c) for c in columns])
@@ -139,8 +157,8 @@ def renumber(df: DataFrame, group: str, time: str = "capture_time", path: str =
     """Groups numbered from 0 by least time (missing: 0), then least path; adds the number and the place in the group."""
     t = F.coalesce(F.col(time).cast("double"), F.lit(0.0))
     x = df.filter(F.col(group).isNotNull()).withColumn("_t", t)
-    g = x.groupBy(group).agg(F.min("_t").alias("t0"), F.min(path).alias("p0")).withColumn("bucket", F.floor(F.col("t0") / BUCKET))
-    g = prefix_sum(g, "bucket", ["t0", "p0", group], F.lit(1).cast("long"), "k").select(F.col(group).alias("_g"), (F.col("k") - 1).alias(out))
+    g = x.groupBy(group).agg(F.min("_t").alias("t0"), F.min(path).alias("p0"))
+    g = numbered(g, [], ["t0", "p0", group], "k").select(F.col(group).alias("_g"), F.col("k").alias(out))
     w = Window.partitionBy(group).orderBy("_t", path)
     return x.withColumn("place", F.row_number().over(w)).join(g, F.col(group) == F.col("_g")).drop("_t", "_g")
 
@@ -148,7 +166,9 @@ def renumber(df: DataFrame, group: str, time: str = "capture_time", path: str =
 def unique_names(moves: DataFrame, existing: DataFrame) -> DataFrame:
     """moves (id, dir, name) with dest: the name, or stem_k.suffix with the least free k.
 
-    Taken are the names in ``existing`` (dir, name) and the names that moves have themselves.
+    Taken are the names in ``existing`` (dir, name) and the names that moves have themselves; moves of
+    one name get numbers in the order of their ids (each its own). Nothing is gathered by name or folder: ranks
+    of moves and of taken numbers are put in one order, in which a move's place is its number.
     """
     plain = moves.withColumn("_stem", stem(F.col("name"))).withColumn("_suf", suffix(F.col("name")))
     names = existing.select("dir", "name", F.lit(0).alias("own")).union(moves.select("dir", "name", F.lit(1).alias("own")).distinct())
@@ -156,11 +176,12 @@ def unique_names(moves: DataFrame, existing: DataFrame) -> DataFrame:
     zero = base.filter("own = 0").select("dir", F.col("_st").alias("_stem"), F.col("_su").alias("_suf"), F.lit(0).alias("k"))
     nth = base.withColumn("k", F.regexp_extract("_st", r"_([1-9]\d{0,8})$", 1)).filter("k != ''")
     nth = nth.select("dir", F.regexp_replace("_st", r"_[1-9]\d{0,8}$", "").alias("_stem"), F.col("_su").alias("_suf"), F.col("k").try_cast("int").alias("k"))
-    taken = zero.union(nth).groupBy("dir", "_stem", "_suf").agg(F.collect_set("k").alias("_taken"))
-    w = Window.partitionBy("dir", "_stem", "_suf").orderBy("id")
-    x = plain.withColumn("_r", F.row_number().over(w)).join(taken, ["dir", "_stem", "_suf"], "left")
-    # the r-th free number: one more for each taken one on the way to it
-    used = F.sort_array(F.coalesce("_taken", F.array().cast("array<int>")))
-    k = F.aggregate(used, F.col("_r") - 1, lambda at, taken: at + F.when(taken <= at, 1).otherwise(0))
-    dest = F.when(k == 0, F.col("name")).otherwise(F.concat("_stem", F.lit("_"), k.cast("string"), "_suf"))
+    place = ["dir", "_stem", "_suf"]
+    # i of the taken numbers are less than the i-th, so it comes after k - i free ones
+    taken = numbered(zero.union(nth).distinct(), place, ["k"], "_i").select(*place, (F.col("k") - F.col("_i")).alias("_r"), F.lit(0).alias("_kind"), F.lit(None).cast(moves.schema["id"].dataType).alias("id"), F.col("k").alias("_k"))
+    own = numbered(plain.select(*place, "id"), place, ["id"], "_r").select(*place, "_r", F.lit(1).alias("_kind"), "id", F.lit(None).cast("int").alias("_k"))
+    # the r-th free number: one more for each taken one that comes after r free ones at most
+    both = numbered(taken.unionByName(own), place, ["_r", "_kind", "_k", "id"], "_n").filter("_kind = 1").select(F.col("id").alias("_id"), F.col("_n").alias("k"))
+    x = plain.join(both, plain["id"] == both["_id"])
+    dest = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("_stem", F.lit("_"), F.col("k").cast("string"), "_suf"))
     return x.withColumn("dest", dest).select(*moves.columns, "dest")

@@ -8,10 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalume.functions.scores import dot, iou, l2_normalize
+from catalume.operators.nearest import matrix
 from catalume.sources.scratch import stage_table
 
 
@@ -81,13 +83,62 @@ def hamming_join(df: DataFrame, id_: str = "id", hash_: str = "phash", t: int =
     return near.union(star)
 
 
-def cosine_window_join(df: DataFrame, id_: str = "id", vec: str = "embedding", time: str = "capture_time", sim: float = 0.92, window: float = 600.0) -> DataFrame:
-    """(i, j, cos): unit vectors at least ``sim`` alike and at most ``window`` seconds apart; a missing time is 0."""
+def _product(rows: pa.Table, sim: float, window: float | None) -> pa.Table:
+    """Pairs of a cell: of its two sides (0 and 1), or of the one that is both (2)."""
+    side = rows.column("side").to_numpy()
+    ids, v, t = rows.column("id").to_numpy(), matrix(rows.column("v")), rows.column("t").to_numpy()
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(left), 512):
+        one = left[a : a + 512]
+        c = v[one] @ v[right].T
+        ok = c >= sim
+        if window is not None:
+            ok &= np.abs(t[one, None] - t[right][None]) <= window
+        r, k = np.nonzero(ok)
+        i, j = one[r], right[k]
+        if (side == 2).any():  # each pair once
+            r, k, i, j = (x[i < j] for x in (r, k, i, j))
+        found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), c[r, k]))
+    i, j, c = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "cos": pa.array(c, pa.float64())})
+
+
+def _pairs_in_cells(x: DataFrame, sim: float, window: float | None, block: int) -> DataFrame:
+    """(i, j, cos), i < j, of rows of one group, and with ``window`` of neighbouring groups: x has id, v, t, grp.
+
+    A group is cut into blocks, and a task multiplies two of them, each two once: a hot group is many
+    tasks, and no pair becomes a row before it is known to be alike.
+    """
+    n = x.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("n"))
+    after = n.select((F.col("grp") - 1).alias("grp"), F.col("n").alias("n_after"))
+    before = n.select((F.col("grp") + 1).alias("grp"), F.col("n").alias("n_before"))
+    n = n.join(after, "grp", "left").join(before, "grp", "left")
+    own = F.pmod(F.xxhash64("id"), F.col("n")).cast("long")
+    x = x.join(n, "grp").withColumn("b", own)
+    cell = lambda grp, l, r, side, nxt: F.struct(grp.alias("grp"), F.lit(nxt).alias("nxt"), l.alias("l"), r.alias("r"), F.lit(side).alias("side"))
+    many = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    side = lambda k: F.when(k == F.col("b"), 2).when(k > F.col("b"), 0).otherwise(1)
+    inner = F.transform(many("n"), lambda k: cell(F.col("grp"), F.least("b", k), F.greatest("b", k), 0, 0).withField("side", side(k)))
+    cells = inner
+    if window is not None:
+        none = F.array().cast(x.select(inner.alias("c")).schema["c"].dataType)
+        to = F.when(F.col("n_after").isNotNull(), F.transform(many("n_after"), lambda k: cell(F.col("grp"), F.col("b"), k, 0, 1))).otherwise(none)
+        of = F.when(F.col("n_before").isNotNull(), F.transform(many("n_before"), lambda k: cell(F.col("grp") - 1, k, F.col("b"), 1, 1))).otherwise(none)
+        cells = F.concat(inner, to, of)
+    y = x.select("id", "v", "t", F.explode(cells).alias("c")).select("id", "v", "t", "c.*")
+    return y.groupBy("grp", "nxt", "l", "r").applyInArrow(lambda rows: _product(rows, sim, window), "i long, j long, cos double")
+
+
+def cosine_window_join(df: DataFrame, id_: str = "id", vec: str = "embedding", time: str = "capture_time", sim: float = 0.92, window: float = 600.0, block: int = 2048) -> DataFrame:
+    """(i, j, cos), i < j: unit vectors at least ``sim`` alike and at most ``window`` seconds apart; a missing time is 0.
+
+    Rows meet in buckets of the window's length and their neighbours. A hot bucket, as that of all rows without
+    time, is cut into blocks. Rows without a vector are in no pair.
+    """
     t = F.coalesce(F.col(time).cast("double"), F.lit(0.0))
-    x = df.filter(F.col(vec).isNotNull()).select(F.col(id_).alias("i"), F.col(vec).alias("v"), t.alias("t"), F.floor(t / window).alias("b"))
-    y = x.select(F.col("i").alias("j"), F.col("v").alias("u"), F.col("t").alias("s"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    near = x.join(y, "b").filter((F.col("i") < F.col("j")) & (F.abs(F.col("t") - F.col("s")) <= window))
-    return near.withColumn("cos", dot(F.col("v"), F.col("u"))).filter(F.col("cos") >= sim).select("i", "j", "cos")
+    x = df.filter(F.col(vec).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), t.alias("t"), F.floor(t / window).cast("long").alias("grp"))
+    return _pairs_in_cells(x, sim, window, block)
 
 
 def _blocks(n: int, block: int) -> int:
@@ -115,9 +166,12 @@ def cosine_pairs(left: DataFrame, right: DataFrame, sim: float, block: int = 204
 
 
 def cosine_all_pairs(df: DataFrame, id_: str = "id", vec: str = "embedding", sim: float = 0.5, block: int = 2048) -> DataFrame:
-    """(i, j, cos), i < j, of all pairs of vectors at least ``sim`` alike."""
-    x = df.filter(F.col(vec).isNotNull()).select(F.col(id_).cast("long").alias("id"), l2_normalize(F.col(vec), 1e-8).alias("v"))
-    return cosine_pairs(x, x, sim, block).filter("i < j")
+    """(i, j, cos), i < j, of all pairs of vectors at least ``sim`` alike.
+
+    The work is quadratic by definition; two blocks meet once, in one task, and only what is alike comes out.
+    """
+    x = df.filter(F.col(vec).isNotNull()).select(F.col(id_).cast("long").alias("id"), l2_normalize(F.col(vec), 1e-8).alias("v"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("grp"))
+    return _pairs_in_cells(x, sim, None, block)
 
 
 def duplicate_edges(df: DataFrame, t: int = 6, sim: float = 0.92, window: float = 600.0, id_: str = "id", hash_: str = "phash", vec: str = "embedding", time: str = "capture_time") -> DataFrame:

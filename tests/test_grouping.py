@@ -275,3 +275,50 @@ def test_nearest_vectors(spark, broadcast):
     dots = {(i, j): sum(x * y for x, y in zip(v, u, strict=True)) for i, v in left for j, u in left}
     want = [(i, 1, min((-dots[i, j], j) for j, _ in left if j != i and j % 3 == i % 3)[1]) for i, _ in left]
     assert [w[:3] for w in rows(N.nearest_vectors(own, own, 1, group="g", apart=True, block=4))] == want
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_cosine_joins_are_all_pairs(spark, block):
+    """Rows without time are one hot bucket; times before 0 and at the edges of buckets, too."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    t = [None if k % 3 == 0 else float(x) for k, x in enumerate(rng.choice([-700, -600, -1, 0, 5, 600, 601, 1200, 1800, 9000], 60))]
+    rows = [(i, v[i].tolist(), t[i]) for i in range(60)] + [(60, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, capture_time double")
+    alike = {(i, j): float(v[i] @ v[j]) for i, j in itertools.combinations(range(60), 2) if v[i] @ v[j] >= 0.6}
+    near = {(i, j) for i, j in alike if abs((t[i] or 0.0) - (t[j] or 0.0)) <= 600}
+    got = [tuple(r) for r in M.cosine_window_join(df, sim=0.6, block=block).collect()]
+    assert sorted((i, j) for i, j, _ in got) == sorted(near) and all(abs(c - alike[i, j]) < 1e-9 for i, j, c in got)
+    assert sorted((r["i"], r["j"]) for r in M.cosine_all_pairs(df, sim=0.6, block=block).collect()) == sorted(alike)
+    assert M.cosine_window_join(df.limit(0)).collect() == []
+
+
+def test_free_names_are_those_of_one_after_the_other(spark):
+    rng = random.Random(3)
+    names = ["a.jpg", "a_1.jpg", "a_2.jpg", "a_7.jpg", "b", "b_1", "c_x.png", "a_01.jpg", ".hid"]
+    existing = sorted({(f"/d{rng.randrange(2)}", rng.choice(names)) for _ in range(9)})
+    moves = [(i, f"/d{rng.randrange(2)}", rng.choice(["a.jpg", "b", "c_x.png", ".hid"])) for i in rng.sample(range(1000), 60)]
+    got = {r["id"]: r["dest"] for r in Q.unique_names(spark.createDataFrame(moves, "id long, dir string, name string"), spark.createDataFrame(existing, "dir string, name string")).collect()}
+    taken, want = set(existing), {}
+    own = {(d, n) for _, d, n in moves}
+    for i, d, n in sorted(moves):
+        stem, dot, suf = n.rpartition(".") if "." in n[1:] else (n, "", "")
+        k, name = 0, n
+        while (d, name) in taken or (k and (d, name) in own):
+            k += 1
+            name = f"{stem}_{k}{dot}{suf}"
+        taken.add((d, name))
+        want[i] = name
+    assert got == want
+
+
+def test_many_files_of_one_name(spark):
+    n = 100_000
+    moves = spark.range(n).select("id", F.lit("/d").alias("dir"), F.lit("x.jpg").alias("name"))
+    existing = spark.range(0, n, 2).select(F.lit("/d").alias("dir"), F.concat(F.lit("x_"), (F.col("id") + 1).cast("string"), F.lit(".jpg")).alias("name"))
+    got = Q.unique_names(moves, existing)
+    k = F.coalesce(F.regexp_extract("dest", r"_(\d+)", 1).try_cast("long"), F.lit(0))
+    row = got.agg(F.count_distinct("dest").alias("n"), F.sum((k % 2).cast("long")).alias("odd"), F.max(k).alias("top"), F.min(k).alias("low")).first()
+    # odd numbers below n are taken: even ones first, then all
+    assert (row["n"], row["low"], row["odd"], row["top"]) == (n, 0, n // 4, n + n // 2 - 1)
