@@ -67,10 +67,10 @@ def flagship_page(t: Tables) -> DataFrame:
     return P.page(C.image_filter(t.seen, spec), offset=20, limit=300)[0].select("id", "path", "combined", "decision", "trash_state")
 
 
-@query("select path, min(k) as root_ord, arg_min(id, k) as id from (select path, 0 as k, id from photos where id % 2 = 0 union all select path, 1 as k, -id from photos where id % 3 = 0) group by path")
+@query("select path, min(k) as root_ord, arg_min(id, k) as id from (select path, 0 as k, id from photos where id % 2 = 0 union all select path, 1 as k, -id from photos where id % 3 = 0 union all select path, 2, id + 1000000 from photos) group by path")
 def o2_union_roots(t: Tables) -> DataFrame:
     p = t.photos.select("path", "id")
-    return I.union_roots([p.filter("id % 2 = 0"), p.filter("id % 3 = 0").withColumn("id", -F.col("id"))]).select("path", "root_ord", "id")
+    return I.union_roots([p.filter("id % 2 = 0"), p.filter("id % 3 = 0").withColumn("id", -F.col("id")), p.withColumn("id", F.col("id") + 1000000)]).select("path", "root_ord", "id")
 
 
 @query("select doc_id, sha256(coalesce(text, cast(doc_id as string))) as content_hash from documents")

@@ -67,11 +67,6 @@ def _rescue(t: Tables) -> tuple[DataFrame, DataFrame]:
     return v.filter("id % 3 <> 0"), v.filter("id % 3 = 0")
 
 
-@query()
-def o59_rescue_faces(t: Tables) -> DataFrame:
-    return M.rescue_faces(*_rescue(t), near=0.3, anywhere=0.36)
-
-
 O60_IOU = "greatest(0, least(a.x2 + 9, b.x2) - greatest(a.x1 + 9, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 O60_IOU = f"({O60_IOU}) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {O60_IOU})"
 
@@ -101,6 +96,22 @@ def o66_nearest_centroid(t: Tables) -> DataFrame:
     return x.select("ref", "cluster_id", F.round("dist", 5).alias("dist"))
 
 
+def _rescue_sql(rounds: int) -> str:
+    """Each round: who overlaps nobody known and matches somebody known in another photo is known in the next."""
+    near = "a.image_id <> b.image_id and ((abs(a.t - b.t) <= 600 and list_dot_product(a.v, b.v) >= 0.3) or list_dot_product(a.v, b.v) >= 0.36)"
+    steps = ["""f as (select id, id % 170 as image_id, (id % 170) * 90.0 as t, (id * 7 % 300)::double as x1, (id * 11 % 300)::double as y1, (id * 7 % 300 + 40)::double as x2, (id * 11 % 300 + 40)::double as y2, (id % 10 + 90) / 100.0::double as prob, embedding::double[] as v from vectors)""",
+             "known0 as (select * from f where id % 3 = 0), left0 as (select * from f where id % 3 <> 0 and prob >= 0.95)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"pool{k} as (select * from left{k - 1} a where not exists (select 1 from known{k - 1} b where a.image_id = b.image_id and {IOU} >= 0.25))")
+        steps.append(f"hit{k} as (select * from pool{k} a where exists (select 1 from known{k - 1} b where {near})), known{k} as (select * from known{k - 1} union all select * from hit{k}), left{k} as (select * from pool{k} where id not in (select id from hit{k}))")
+    return f"with {', '.join(steps)} " + " union all ".join(f"select id, {k} as round from hit{k}" for k in range(1, rounds + 1))
+
+
+@query(_rescue_sql(3))
+def o59_rescue_faces(t: Tables) -> DataFrame:
+    return M.rescue_faces(*_rescue(t), near=0.3, anywhere=0.36)
+
+
 @query(f"""with far as (select distinct a.dup_group from photos a join photos b on a.dup_group = b.dup_group and a.id < b.id where {HAMMING} > 3),
     g as (select dup_group, max(coalesce(capture_time, 0)) - min(coalesce(capture_time, 0)) <= 2000 and min(coalesce(capture_time, 0)) > 0 as ok from photos where dup_group is not null group by 1)
     select p.id, g.ok and far.dup_group is null as dup_cull_safe from photos p join g on g.dup_group = p.dup_group left join far on far.dup_group = p.dup_group""")
@@ -578,12 +589,12 @@ def o132_rename_person(t: Tables) -> DataFrame:
 
 
 @query(f"""with o as {_ov_sql(5)}, k as (select content_hash as hash, min(orientation) as o from photos where content_hash is not null group by 1)
-    select ord, case k.o when 3 then (4000 - x2) || ',' || (3000.0 - y2) || ',' || (4000 - x1) || ',' || (3000.0 - y1) when 6 then (3000.0 - y2) || ',' || x1 || ',' || (3000.0 - y1) || ',' || x2 else x1 || ',' || y1 || ',' || x2 || ',' || y2 end as bbox from o join k on k.hash = o.hash where k.o in (1, 3, 6)""")
+    select ord, case k.o when 2 then (4000 - x2) || ',' || y1 || ',' || (4000 - x1) || ',' || y2 when 3 then (4000 - x2) || ',' || (3000.0 - y2) || ',' || (4000 - x1) || ',' || (3000.0 - y1)
+        when 4 then x1 || ',' || (3000.0 - y2) || ',' || x2 || ',' || (3000.0 - y1) when 5 then y1 || ',' || x1 || ',' || y2 || ',' || x2 when 6 then (3000.0 - y2) || ',' || x1 || ',' || (3000.0 - y1) || ',' || x2
+        when 7 then (3000.0 - y2) || ',' || (4000 - x2) || ',' || (3000.0 - y1) || ',' || (4000 - x1) when 8 then y1 || ',' || (4000 - x2) || ',' || y2 || ',' || (4000 - x1) else x1 || ',' || y1 || ',' || x2 || ',' || y2 end as bbox from o join k on k.hash = o.hash""")
 def o133_migrate_boxes(t: Tables) -> DataFrame:
     k = t.photos.filter("content_hash is not null").groupBy(F.col("content_hash").alias("hash")).agg(F.min("orientation").alias("orientation"))
-    k = k.filter("orientation in (1, 3, 6)").select("hash", F.lit(4000.0).alias("w"), F.lit(3000.0).alias("h"), "orientation")
-    o = _overrides(t, 5).join(k.select("hash"), "hash", "left_semi")
-    return E.migrate_boxes(o, k).select("ord", "bbox")
+    return E.migrate_boxes(_overrides(t, 5), k.select("hash", F.lit(4000.0).alias("w"), F.lit(3000.0).alias("h"), "orientation")).select("ord", "bbox")
 
 
 POOL = "pool as (select * from seen where scene_group = 12 and trash_state is null), k as (select content_hash as h, coalesce(round(combined + 0.05 * (portrait - 0.5), 6), combined) as s from pool where id = 241)"
