@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalume.functions.scores import dot, iou, l2_normalize
-from catalume.operators.nearest import matrix
+from catalume.operators.nearest import matrix, nearest_vectors
 from catalume.sources.scratch import stage_table
 
 
@@ -83,8 +84,11 @@ def hamming_join(df: DataFrame, id_: str = "id", hash_: str = "phash", t: int =
     return near.union(star)
 
 
-def _product(rows: pa.Table, sim: float, window: float | None) -> pa.Table:
-    """Pairs of a cell: of its two sides (0 and 1), or of the one that is both (2)."""
+_PAIR = "i long, j long, cos double"
+
+
+def _product(rows: pa.Table, alike: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
+    """Pairs of a cell, of its two sides (0 and 1), or of the one that is both (2), that ``alike`` (of cosines, and t of both) takes."""
     side = rows.column("side").to_numpy()
     ids, v, t = rows.column("id").to_numpy(), matrix(rows.column("v")), rows.column("t").to_numpy()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -92,10 +96,7 @@ def _product(rows: pa.Table, sim: float, window: float | None) -> pa.Table:
     for a in range(0, len(left), 512):
         one = left[a : a + 512]
         c = v[one] @ v[right].T
-        ok = c >= sim
-        if window is not None:
-            ok &= np.abs(t[one, None] - t[right][None]) <= window
-        r, k = np.nonzero(ok)
+        r, k = np.nonzero(alike(c, t[one], t[right]))
         i, j = one[r], right[k]
         if (side == 2).any():  # each pair once
             r, k, i, j = (x[i < j] for x in (r, k, i, j))
@@ -105,7 +106,16 @@ def _product(rows: pa.Table, sim: float, window: float | None) -> pa.Table:
 
 
 def _pairs_in_cells(x: DataFrame, sim: float, window: float | None, block: int) -> DataFrame:
-    """(i, j, cos), i < j, of rows of one group, and with ``window`` of neighbouring groups: x has id, v, t, grp.
+    """Pairs at least ``sim`` alike of rows of one group, and with ``window`` of neighbouring groups, at most so far apart in t."""
+
+    def alike(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return c >= sim if window is None else (c >= sim) & (np.abs(a[:, None] - b[None]) <= window)
+
+    return _in_cells(x, alike, window is not None, block)
+
+
+def _in_cells(x: DataFrame, alike: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], neighbours: bool, block: int) -> DataFrame:
+    """(i, j, cos), i < j, of rows of one group, or of neighbouring ones, that ``alike`` takes: x has id, v, t, grp.
 
     A group is cut into blocks, and a task multiplies two of them, each two once: a hot group is many
     tasks, and no pair becomes a row before it is known to be alike.
@@ -121,13 +131,13 @@ def _pairs_in_cells(x: DataFrame, sim: float, window: float | None, block: int)
     side = lambda k: F.when(k == F.col("b"), 2).when(k > F.col("b"), 0).otherwise(1)
     inner = F.transform(many("n"), lambda k: cell(F.col("grp"), F.least("b", k), F.greatest("b", k), 0, 0).withField("side", side(k)))
     cells = inner
-    if window is not None:
+    if neighbours:
         none = F.array().cast(x.select(inner.alias("c")).schema["c"].dataType)
         to = F.when(F.col("n_after").isNotNull(), F.transform(many("n_after"), lambda k: cell(F.col("grp"), F.col("b"), k, 0, 1))).otherwise(none)
         of = F.when(F.col("n_before").isNotNull(), F.transform(many("n_before"), lambda k: cell(F.col("grp") - 1, k, F.col("b"), 1, 1))).otherwise(none)
         cells = F.concat(inner, to, of)
     y = x.select("id", "v", "t", F.explode(cells).alias("c")).select("id", "v", "t", "c.*")
-    return y.groupBy("grp", "nxt", "l", "r").applyInArrow(lambda rows: _product(rows, sim, window), "i long, j long, cos double")
+    return y.groupBy("grp", "nxt", "l", "r").applyInArrow(lambda rows: _product(rows, alike), _PAIR)
 
 
 def cosine_window_join(df: DataFrame, id_: str = "id", vec: str = "embedding", time: str = "capture_time", sim: float = 0.92, window: float = 600.0, block: int = 2048) -> DataFrame:
@@ -165,13 +175,48 @@ def cosine_pairs(left: DataFrame, right: DataFrame, sim: float, block: int = 204
     return a.groupBy("cell").cogroup(b.groupBy("cell_of")).applyInPandas(product, "i long, j long, cos double")
 
 
+def near_blocks(x: DataFrame, sim: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, v, p) by their nearest pivot p, and the pairs (p, q), p <= q, of pivots whose rows may be ``sim`` alike.
+
+    One row in ``block`` is a pivot, drawn by a hash. A pivot's rows are within the angle of its farthest one,
+    so two pivots that are farther apart than their two angles and that of ``sim`` have no pair.
+    """
+    n = x.count()
+    pivots = stage_table(x.select("id", "v", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max(1, math.ceil(n / block))).select("id", "v"), "pivots")
+    of = nearest_vectors(x.select("id", "v"), pivots, 1).select("id", F.col("other").alias("p"), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "value"))).alias("angle"))
+    rows = stage_table(x.select("id", "v").join(of, "id"), "blocks")
+    wide = rows.groupBy("p").agg(F.max("angle").alias("wide"))
+    tops = pivots.join(wide, F.col("id") == F.col("p")).select("id", "v", "wide")
+    reach = math.acos(sim) + 1e-6
+
+    def meet(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(c, -1, 1)) <= a[:, None] + b[None] + reach
+
+    return rows.select("id", "v", "p"), _in_cells(tops.select("id", "v", F.col("wide").alias("t"), F.lit(0).cast("long").alias("grp")), meet, False, 2048).select(F.col("i").alias("p"), F.col("j").alias("q"))
+
+
 def cosine_all_pairs(df: DataFrame, id_: str = "id", vec: str = "embedding", sim: float = 0.5, block: int = 2048) -> DataFrame:
     """(i, j, cos), i < j, of all pairs of vectors at least ``sim`` alike.
 
-    The work is quadratic by definition; two blocks meet once, in one task, and only what is alike comes out.
+    Quadratic by definition, but blocks are made by nearness to pivots, and two blocks are
+    multiplied, once and in one task, only where the angles between them allow ``sim``; a block of many rows is
+    cut further. Only what is alike comes out. With ``sim`` of 0 or less, or few rows, blocks are made by hash.
     """
-    x = df.filter(F.col(vec).isNotNull()).select(F.col(id_).cast("long").alias("id"), l2_normalize(F.col(vec), 1e-8).alias("v"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("grp"))
-    return _pairs_in_cells(x, sim, None, block)
+    x = df.filter(F.col(vec).isNotNull()).select(F.col(id_).cast("long").alias("id"), l2_normalize(F.col(vec), 1e-8).alias("v"))
+    if sim <= 0 or x.count() <= 2 * block:
+        return _pairs_in_cells(x.select("id", "v", F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("grp")), sim, None, block)
+    x = x.filter(F.exists("v", lambda e: e != 0))  # a vector of zeros is like nothing
+    rows, pairs = near_blocks(x, sim, block)
+    own = _pairs_in_cells(rows.select("id", "v", F.lit(0.0).alias("t"), F.col("p").alias("grp")), sim, None, block)
+    n = rows.groupBy(F.col("p").alias("_p")).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("n"))
+    pairs = pairs.join(n.withColumnRenamed("n", "np"), F.col("p") == F.col("_p")).drop("_p").join(n.withColumnRenamed("n", "nq"), F.col("q") == F.col("_p")).drop("_p")
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("long")
+    many = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = rows.join(pairs, "p").select("id", "v", "p", "q", part("np").alias("l"), many("nq").alias("r"), F.lit(0).alias("side"))
+    right = rows.withColumnRenamed("p", "q").join(pairs, "q").select("id", "v", "p", "q", many("np").alias("l"), part("nq").alias("r"), F.lit(1).alias("side"))
+    cells = left.unionByName(right).withColumn("t", F.lit(0.0))
+    alike = lambda c, a, b: c >= sim
+    return own.union(cells.groupBy("p", "q", "l", "r").applyInArrow(lambda rows: _product(rows, alike), _PAIR))
 
 
 def duplicate_edges(df: DataFrame, t: int = 6, sim: float = 0.92, window: float = 600.0, id_: str = "id", hash_: str = "phash", vec: str = "embedding", time: str = "capture_time") -> DataFrame:

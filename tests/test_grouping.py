@@ -322,3 +322,19 @@ def test_many_files_of_one_name(spark):
     row = got.agg(F.count_distinct("dest").alias("n"), F.sum((k % 2).cast("long")).alias("odd"), F.max(k).alias("top"), F.min(k).alias("low")).first()
     # odd numbers below n are taken: even ones first, then all
     assert (row["n"], row["low"], row["odd"], row["top"]) == (n, 0, n // 4, n + n // 2 - 1)
+
+
+def test_blocks_by_nearness_lose_no_pair(spark):
+    """Rows in bunches: most pairs of blocks are left out, no pair of rows is."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    v = np.repeat(centres, 25, 0) + rng.normal(size=(300, 16)) * 0.15
+    v[7] = 0
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    want = sorted((i, j) for i, j in itertools.combinations(range(300), 2) if v[i] @ v[j] >= 0.9)
+    got = sorted((r["i"], r["j"]) for r in M.cosine_all_pairs(df, sim=0.9, block=12).collect())
+    assert got == want and len(want) > 1000
+    rows, pairs = M.near_blocks(df.filter("id != 7").select("id", F.col("embedding").alias("v")), 0.9, 12)
+    blocks = rows.select("p").distinct().count()
+    assert pairs.count() < 0.4 * blocks * (blocks - 1) / 2
