@@ -2,31 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalume.sources.scratch import stage_table
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that are few enough for one task.
+FEW_EDGES = 100_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of few edges (u, v), each with one node of its component."""
+    up: dict = {}
+
+    def top(x: object) -> object:
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = x = up[above]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            up[top(u)] = top(v)
+    if kind is not None:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], names=["u", "to"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", in_task: int = 0) -> DataFrame:
     """(node, component) for every node of an edge that isn't a loop; the component is the least node in it.
 
     In each round every node points to the least of its neighbours and itself, in a random but
     fixed order (a hash, so that no numbering of nodes makes long chains), and edges are drawn
     between what their ends point to. Nodes that are left fall by a constant factor on average,
     so there are O(log n) rounds; a star takes two or three. Each round is one aggregation and
-    two joins on nodes, written to the shared folder. Edges with a null end are left out.
+    two joins on nodes, written to the shared folder. When ``in_task`` edges or fewer are left, one task
+    joins them. Edges with a null end are left out.
     """
     place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     own = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
     e = stage_table(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    roots = None
-    while roots is None or not e.isEmpty():
-        both = e.select("u", place("v").alias("p")).union(e.select(F.col("v").alias("u"), place("u").alias("p")))
-        least = both.groupBy("u").agg(F.min("p").alias("p"))
-        to = stage_table(least.select("u", F.least(F.col("p"), place("u"))["n"].alias("to")), "hooks")
-        of_u, of_v = to.withColumnRenamed("to", "x"), to.select(F.col("u").alias("v"), F.col("to").alias("y"))
-        e = stage_table(e.join(of_u, "u").join(of_v, "v").filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+    roots, few = None, False
+    while roots is None or not (few or e.isEmpty()):
+        few = bool(in_task) and e.count() <= in_task
+        if few:
+            to = stage_table(e.coalesce(1).mapInArrow(_joined, T.StructType([T.StructField(c, e.schema["u"].dataType) for c in ("u", "to")])), "hooks")
+        else:
+            both = e.select("u", place("v").alias("p")).union(e.select(F.col("v").alias("u"), place("u").alias("p")))
+            least = both.groupBy("u").agg(F.min("p").alias("p"))
+            to = stage_table(least.select("u", F.least(F.col("p"), place("u"))["n"].alias("to")), "hooks")
+            of_u, of_v = to.withColumnRenamed("to", "x"), to.select(F.col("u").alias("v"), F.col("to").alias("y"))
+            e = stage_table(e.join(of_u, "u").join(of_v, "v").filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
         if roots is None:
             roots = to.select(F.col("u").alias("node"), F.col("to").alias("root"))
         else:
@@ -64,9 +96,9 @@ def minimum_forest(edges: DataFrame, order: list[str], a: str, b: str, root: str
         to = stage_table(to, "to")
         while True:  # to the end of the chain
             nxt = to.select(F.col("u").alias("to"), F.col("to").alias("on"), F.lit(True).alias("known"))
-            x = stage_table(to.join(nxt, "to", "left").select("u", F.when(F.col("known"), F.col("on")).otherwise(F.col("to")).alias("to"), (F.col("known") & ~F.col("on").eqNullSafe(F.col("to"))).alias("moved")), "to")
-            to = x.select("u", "to")
-            if x.filter("moved").isEmpty():
+            after = stage_table(to.join(nxt, "to", "left").select("u", F.when(F.col("known"), F.col("on")).otherwise(F.col("to")).alias("to"), (F.col("known") & ~F.col("on").eqNullSafe(F.col("to"))).alias("moved")), "to")
+            to = after.select("u", "to")
+            if after.filter("moved").isEmpty():
                 break
         named = lambda df, c: df.join(to.select(F.col("u").alias(c), F.col("to").alias(f"{c}_to")), c)
         moved = stage_table(named(named(inner, "u"), "v").select(F.col("u_to").alias("u"), F.col("v_to").alias("v"), "w").filter("not u <=> v"), "moved")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalume.functions.scores import hamming64
 from catalume.operators.facets import group_centrality
-from catalume.operators.graph import connected_components, minimum_forest
+from catalume.operators.graph import FEW_EDGES, connected_components, minimum_forest
 from catalume.operators.linkage import average_linkage, cohesion_split  # noqa: F401  also of this module's interface
 from catalume.operators.sequence import burst_runs, renumber
 from catalume.operators.similarity import cosine_all_pairs, duplicate_edges, hamming_join
@@ -31,7 +31,7 @@ def burst_merge(items: DataFrame, groups: DataFrame, runs: DataFrame) -> DataFra
     end = lambda c: F.when(F.col(c).startswith("g"), F.lit("")).otherwise(F.col(c))
     ties = on.join(first, "run").filter("atom != head").select("start", "t", "ord", "head", "atom", end("head").alias("a"), end("atom").alias("b"))
     forest = stage_table(minimum_forest(ties, ["start", "t", "ord", "head", "atom"], "a", "b", root="").select("head", "atom"), "forest")
-    comp = connected_components(forest, "head", "atom")
+    comp = connected_components(forest, "head", "atom", FEW_EDGES)
     x = atoms.join(comp, atoms["atom"] == comp["node"], "left").select("id", F.coalesce("component", "atom").alias("group"))
     size = x.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return x.join(size, "group").select("id", "group")
@@ -57,7 +57,7 @@ def assign_duplicates(df: DataFrame, t: int = 6, sim: float = 0.92, window: floa
 
     df: id, path, phash, embedding (unit vectors), capture_time.
     """
-    comp = connected_components(duplicate_edges(df, t, sim, window), "i", "j").withColumnRenamed("node", "id")
+    comp = connected_components(duplicate_edges(df, t, sim, window), "i", "j", FEW_EDGES).withColumnRenamed("node", "id")
     split = cohesion_split(df.join(comp, "id").withColumn("ord", F.col("id")).select("component", "id", "ord", "phash", "embedding"), floor, t)
     groups = stage_table(split.select("id", F.concat_ws(":", "component", "part").alias("group")), "groups")
     runs = stage_table(burst_runs(df, gap=burst_gap, span=burst_span, sim=burst_sim).join(df.select("id", F.col("capture_time").alias("t")), "id"), "runs")
@@ -66,10 +66,6 @@ def assign_duplicates(df: DataFrame, t: int = 6, sim: float = 0.92, window: floa
     return x.select("id", "dup_group").join(group_centrality(x, "dup_group", "id", "embedding"), "id", "left").join(cull_safe(x, "dup_group", t=t), "id")
 
 
-#: Edges that are left when leaders are found in one task instead of further rounds.
-FEW_EDGES = 100_000
-
-
 def _out_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of few edges (oa, a, ob, b) that are taken, in order."""
     edges = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
@@ -120,7 +116,7 @@ def coarsen(scene_of: DataFrame, extra: DataFrame) -> DataFrame:
     known = extra.join(scene_of.select("id"), "id", "left_semi")
     head2 = known.groupBy("group_id").agg(F.min("id").alias("a"))
     e2 = known.join(head2, "group_id").select("a", F.col("id").alias("b"))
-    comp = connected_components(e1.union(e2))
+    comp = connected_components(e1.union(e2), in_task=FEW_EDGES)
     x = scene_of.join(comp, scene_of["id"] == comp["node"], "left").drop("scene_group")
     n = renumber(x, "component", out="scene_group").select(F.col("id").alias("_i"), "scene_group")
     return x.join(n, x["id"] == n["_i"], "left").select("id", "scene_group")
@@ -128,7 +124,7 @@ def coarsen(scene_of: DataFrame, extra: DataFrame) -> DataFrame:
 
 def cluster_identities(df: DataFrame, vec: str = "embedding", id_: str = "id", eps: float = 0.5) -> DataFrame:
     """(id, cluster_id): components of cosine at least 1 - eps; every row has one, numbered by first row."""
-    comp = connected_components(cosine_all_pairs(df, id_, vec, 1 - eps), "i", "j")
+    comp = connected_components(cosine_all_pairs(df, id_, vec, 1 - eps), "i", "j", FEW_EDGES)
     x = df.select(F.col(id_).cast("long").alias("id")).join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c"))
     n = renumber(x.withColumn("capture_time", F.col("c").cast("double")).withColumn("path", F.col("c").cast("string")), "c", out="cluster_id")
     return n.select("id", "cluster_id")

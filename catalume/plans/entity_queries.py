@@ -13,7 +13,7 @@ from catalume.operators import groups as G
 from catalume.operators import nearest as N
 from catalume.operators import sequence as Q
 from catalume.operators import similarity as M
-from catalume.operators.graph import connected_components
+from catalume.operators.graph import FEW_EDGES, connected_components
 from catalume.plans.registry import Tables, query
 from catalume.streaming.sessions import stream_sessions
 
@@ -165,12 +165,12 @@ CLOSURE = """link as (select i, j from edges union all select j, i from edges un
 
 @query(f"with recursive {EDGES}, {CLOSURE} select node, component from comp")
 def o109_connected_components(t: Tables) -> DataFrame:
-    return connected_components(M.duplicate_edges(t.vectors, NEAR, SIM, 600.0), "i", "j").select("node", "component")
+    return connected_components(M.duplicate_edges(t.vectors, NEAR, SIM, 600.0), "i", "j", FEW_EDGES).select("node", "component")
 
 
 @query()
 def o110_cohesion_split(t: Tables) -> DataFrame:
-    comp = connected_components(M.duplicate_edges(t.vectors, NEAR, 0.3, 600.0), "i", "j").withColumnRenamed("node", "id")
+    comp = connected_components(M.duplicate_edges(t.vectors, NEAR, 0.3, 600.0), "i", "j", FEW_EDGES).withColumnRenamed("node", "id")
     return G.cohesion_split(t.vectors.join(comp, "id").withColumn("ord", F.col("id")).select("component", "id", "ord", "phash", "embedding"), 0.25, NEAR)
 
 

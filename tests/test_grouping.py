@@ -12,7 +12,7 @@ from catalume.operators import linkage as L
 from catalume.operators import nearest as N
 from catalume.operators import sequence as Q
 from catalume.operators import similarity as M
-from catalume.operators.graph import minimum_forest
+from catalume.operators.graph import connected_components, minimum_forest
 
 
 def plain_linkage(sim, floor):
@@ -338,3 +338,21 @@ def test_blocks_by_nearness_lose_no_pair(spark):
     rows, pairs = M.near_blocks(df.filter("id != 7").select("id", F.col("embedding").alias("v")), 0.9, 12)
     blocks = rows.select("p").distinct().count()
     assert pairs.count() < 0.4 * blocks * (blocks - 1) / 2
+
+
+@pytest.mark.parametrize("in_task", [0, 25, 10**6])
+def test_components_in_rounds_and_in_one_task(spark, in_task):
+    rng = random.Random(in_task)
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (None, 3)]
+    top = {}
+    for a, b in edges:
+        for x in (a, b):
+            top.setdefault(x, {x})
+        if a is not None and a != b and top[a] is not top[b]:
+            both = top[a] | top[b]
+            top.update(dict.fromkeys(both, both))
+    want = {x: min(s) for x, s in top.items() if x is not None and len(s) > 1}
+    assert {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), in_task=in_task).collect()} == want
+    named = spark.createDataFrame([(str(a), str(b)) for a, b in edges[:60]], "a string, b string")
+    assert {r["component"] for r in connected_components(named, in_task=in_task).collect()} == {"0"}
+    assert connected_components(spark.createDataFrame([], "a long, b long"), in_task=in_task).count() == 0
