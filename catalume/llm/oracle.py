@@ -132,11 +132,18 @@ def _op9() -> str:
             f"h{k} as (select gid, start, h, {again} from (select *, case when before + n > h then (h - before) / n end as share from e{k} where before < h) group by 1, 2, 3)",
             chain(f"p{k + 1}", f"(select gid, start, {', '.join(f'a_{i} as m_{i}' for i in p)}, {s} from h{k})", Q.cholesky(), keep + (f" qualify row_number() over (partition by gid order by {spread}, start) <= {Q.BEST}" if k == 1 else "")),
         ]
-    own = f"(select u.doc_id, g.*, {', '.join(f'greatest(-{Q.FAR}, least({Q.FAR}, u.x_{i} - c_{i})) as x_{i}' for i in p)} from u join good g on g.gid = case when u.g0 in (select gid from good) then u.g0 when u.g1 in (select gid from good) then u.g1 else u.g2 end)"
+    # a group leans on its language, that on all documents, these on a wide scatter
+    square = lambda i, j: " + ".join(f"l_{i}{c} * l_{j}{c}" for c in range(j + 1))
+    wide = [(3 * sd * Q.UNIT) ** 2 for sd in (0.06, 0.10, 0.20, 0.14)]
+    part = lambda k: f"(select gid, every::double / (every::double + 20) as w, {', '.join(f'c_{i} + m_{i} as m_{i}' for i in p)}, {', '.join(f'{square(i, j)} as s_{i}{j}' for i, j in Q.PAIRS)} from good)"
+    lean = lambda c, last: f"a.w * a.{c} + (1 - a.w) * (b.w * b.{c} + (1 - b.w) * {last}) as {c}"
+    rest = lambda i, j: f"(e.w * e.s_{i}{j} + (1 - e.w) * {wide[i] if i == j else 0.0}::double)"
+    both = f"select f.g0, {', '.join(lean(f'm_{i}', f'e.m_{i}') for i in p)}, {', '.join(lean(f's_{i}{j}', rest(i, j)) for i, j in Q.PAIRS)} from (select distinct g0, g1 from u) f join {part(0)} a on a.gid = f.g0 join {part(1)} b on b.gid = f.g1 join {part(2)} e on e.gid = ''"
     parts += [
         f"best as (select * from p{Q.STEPS} qualify row_number() over (partition by gid order by {spread}, start) = 1)",
-        f"good as (select * from best join med using (gid) where every >= {Q.ESTIMABLE})",
-        chain("v", own, Q.forward(), f"doc_id, {Q.DISTANCE} as distance2"),
+        "good as (select * from best join med using (gid))",
+        chain("judges", f"({both})", Q.cholesky(), f"g0, {', '.join(f'm_{i}' for i in p)}, {', '.join(f'l_{i}{j}' for i, j in Q.PAIRS)}"),
+        chain("v", "(select * from u join judges using (g0))", Q.forward(), f"doc_id, {Q.DISTANCE} as distance2"),
     ]
     return f"with {', '.join(parts)} select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(distance2, 6) as distance2, not base_failed and not coalesce(distance2 > {Q.chi2_quantile(Q.WITHIN)!r}::double, false) as kept from f left join v on v.doc_id = f.doc_id"
 

@@ -47,9 +47,9 @@ WITHIN = 0.9999
 #: Concentration steps at most; they end before when nothing moves.
 STEPS = 15
 P = 4
-#: Documents that an estimate takes, five for each statistic (fewer have halves in a plane by chance). Smaller
-#: groups are judged by their language, smaller languages by all documents.
-ESTIMABLE = 5 * P
+#: Documents of a group that weigh as much as what it leans on, five for each statistic: a group leans on its
+#: language, a language on all documents, and these on the least deviations, times ``WIDE``.
+SHARED, WIDE = 5 * P, 3.0
 #: Starts that are drawn, about how many vectors each has, and how many starts go on after two steps.
 DRAWS, DRAWN, BEST = 20, 6, 3
 
@@ -232,14 +232,32 @@ def minimum_covariance(points: DataFrame) -> DataFrame:
     return stage_table(best.select("gid", "p.*").join(med, "gid").join(size, "gid"), "groups")
 
 
+def lean(groups: DataFrame, of: DataFrame) -> DataFrame:
+    """of_0, m_i, l_ij: centre and scatter that documents of the groups in ``of`` (of_0, of_1) are judged by.
+
+    A group of n documents has the weight n / (n + ``SHARED``) in its own judgement, its language the
+    same of the rest, then all documents; the last rest goes to a wide scatter. So no size switches anything.
+    """
+
+    def part(k: int) -> DataFrame:
+        centre = [F.expr(f"c_{i} + m_{i}").alias(f"k{k}_{i}") for i in range(P)]
+        scatter = [F.expr(" + ".join(f"l_{i}{c} * l_{j}{c}" for c in range(j + 1))).alias(f"s{k}_{i}{j}") for i, j in PAIRS]
+        return groups.select(F.col("gid").alias(f"gid_{k}"), F.expr(f"n / (n + {float(SHARED)})").alias(f"w_{k}"), *centre, *scatter)
+
+    x = of.join(part(0), F.col("of_0") == F.col("gid_0")).join(part(1), F.col("of_1") == F.col("gid_1")).crossJoin(part(2).filter("gid_2 = ''"))  # one row
+    wide = lambda i, j: repr((WIDE * LEAST_SD[i] * UNIT) ** 2 if i == j else 0.0)
+    m = [(f"m_{i}", f"w_0 * k0_{i} + (1 - w_0) * (w_1 * k1_{i} + (1 - w_1) * k2_{i})") for i in range(P)]
+    s = [(f"s_{i}{j}", f"w_0 * s0_{i}{j} + (1 - w_0) * (w_1 * s1_{i}{j} + (1 - w_1) * (w_2 * s2_{i}{j} + (1 - w_2) * {wide(i, j)}))") for i, j in PAIRS]
+    return _with(x, [*m, *s, *cholesky()]).select("of_0", *[name for name, _ in m], *[f"l_{i}{j}" for i, j in PAIRS])
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (all by default) of each row, with its statistics, base_failed, distance2 and kept.
 
     A document fails the base rules, or is rejected if its squared robust distance from its group
-    (language and source) is beyond the cutoff of the chi-square distribution. An estimate takes
-    ``ESTIMABLE`` documents that pass the base rules: smaller groups are judged by their language,
-    smaller languages by all documents; if there are fewer in all, distance2 is null and documents
-    that pass the base rules are kept. Null languages and sources are values of their own. Null
+    (language and source) is beyond the cutoff of the chi-square distribution. The smaller a group, the
+    more it leans on its language and on all documents (:func:`lean`); even a single document has a
+    distance. Null languages and sources are values of their own. Null
     and empty texts fail the base rules. Repeated rows count, and are judged, each on its own.
     Very long texts are one row like others. Columns of ``docs`` may have any names. Empty in,
     empty out.
@@ -254,14 +272,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     point = stats.withColumns({f"x_{i}": F.when(F.col("n_words") > 0, u) for i, u in enumerate(units)})
     x = [f"x_{i}" for i in range(P)]
     points = point.filter(~F.col("base_failed")).select(F.explode(F.array(*group_ids())).alias("gid"), *x).groupBy("gid", *x).agg(F.count(F.lit(1)).alias("n"))
-    groups = minimum_covariance(stage_table(points, "vectors")).filter(F.col("n") >= ESTIMABLE).drop("n")
-    y = point
-    for k, g in enumerate(group_ids()):
-        own_names = [F.col(c).alias(f"g{k}_{c}") for c in groups.columns]
-        y = y.withColumn(f"of_{k}", g).join(groups.select(*own_names), F.col(f"of_{k}") == F.col(f"g{k}_gid"), "left")
-    first = lambda c: F.when(F.col("g0_gid").isNotNull(), F.col(f"g0_{c}")).when(F.col("g1_gid").isNotNull(), F.col(f"g1_{c}")).otherwise(F.col(f"g2_{c}"))
-    y = y.withColumns({c: first(c) for c in groups.columns if c != "gid"})
-    y = y.withColumns({f"x_{i}": F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col(f"x_{i}") - F.col(f"c_{i}"))) for i in range(P)})
+    groups = minimum_covariance(stage_table(points, "vectors"))
+    names = {f"of_{k}": g for k, g in enumerate(group_ids()[:2])}
+    of = point.filter(~F.col("base_failed")).select(*[g.alias(k) for k, g in names.items()]).distinct()
+    judges = stage_table(lean(groups, of), "judges")
+    y = point.withColumn("of_0", names["of_0"]).join(judges, "of_0", "left")
     y = _with(y, forward()).withColumn("distance2", F.when(~F.col("base_failed"), F.expr(DISTANCE)))
     beyond = F.coalesce(F.col("distance2") > chi2_quantile(WITHIN), F.lit(False))
     y = y.withColumn("kept", ~F.col("base_failed") & ~beyond)

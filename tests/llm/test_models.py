@@ -164,6 +164,16 @@ def scatter(x):
     return med, *min(starts, key=order)[1:]
 
 
+def leaning(*fits):
+    """Centre and scatter from those (number, medians, centre, scatter) of a group, its language and all."""
+    m, s = None, np.diag((3 * FLOOR) ** 2)
+    for n, med, centre, own in reversed(fits):
+        w, low = n / (n + 20), lower(own)
+        m = med + centre if m is None else w * (med + centre) + (1 - w) * m
+        s = w * low @ low.T + (1 - w) * s
+    return m, s
+
+
 def fitted(spark, x):
     rows = Counter(("g", *map(int, r)) for r in x)
     return quality.minimum_covariance(spark.createDataFrame([(*r, n) for r, n in rows.items()], "gid string, x_0 long, x_1 long, x_2 long, x_3 long, n long")).first()
@@ -213,7 +223,23 @@ def test_small_groups_are_judged_by_larger_ones(frame):
     got = {r["doc_id"]: r for r in quality.quality_report(frame(rows)).collect()}
     assert {i for i, r in got.items() if not r["kept"]} == {300, 301}
     few = quality.quality_report(frame(rows[:9])).collect()
-    assert all(r["kept"] and r["distance2"] is None for r in few)
+    assert all(r["kept"] and r["distance2"] is not None for r in few)
+    assert quality.quality_report(frame(rows[:1])).first()["kept"]
+
+
+def test_no_size_is_a_switch(frame):
+    """A document more changes the distances a little, at any size; a far text goes at any size."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 200), "en", "a") for i in range(40)]
+    far = (999, prose(rng, 100) + " " + "x" * 4000, "en", "a")
+
+    def report(n):
+        return {r["doc_id"]: r for r in quality.quality_report(frame([far, *rows[:n]])).collect()}
+
+    for n in (7, 18):  # 19 and 20 texts with the far one
+        got, more = report(n), report(n + 1)
+        assert [i for i, r in got.items() if not r["kept"]] == [999]
+        assert abs(math.log(more[999]["distance2"] / got[999]["distance2"])) < 0.35, n
 
 
 def test_chi_square():

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from test_minhash import brute as brute_groups
-from test_models import prose, scatter, squared, statistics
+from test_models import leaning, prose, scatter, squared, statistics
 from test_sampling import jump, water
 from test_text import brute as brute_hits
 
@@ -39,15 +39,13 @@ def plain_quality(rows):
         groups[rows[k][2], rows[k][3]].append(points[k])
         groups[rows[k][2]].append(points[k])
         groups[()].append(points[k])
-    fits = {g: scatter(np.array(v)) for g, v in groups.items() if len(v) >= 20}
+    fits = {g: (len(v), *scatter(np.array(v))) for g, v in groups.items()}
     cut = 23.512742  # 99.99 % of a chi-square distribution with 4 degrees of freedom
     out = []
     for k in fine:
-        fit = fits.get((rows[k][2], rows[k][3]), fits.get(rows[k][2], fits.get(())))
-        if fit:
-            if squared(np.clip(points[k] - fit[0], -8192, 8192)[None].astype(float), fit[1], fit[2])[0] > cut:
-                continue
-        out.append(rows[k])
+        m, spread = leaning(fits[rows[k][2], rows[k][3]], fits[rows[k][2]], fits[()])
+        if squared(np.array([points[k]], float), m, spread)[0] <= cut:
+            out.append(rows[k])
     return out
 
 
