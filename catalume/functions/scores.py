@@ -18,7 +18,7 @@ def aesthetic(para: Column, clip: Column) -> Column:
 
 def combined_score(sharp: Column, *aesthetics: Column, weights: tuple[float, float] = (0.4, 0.6), default: float = 0.5) -> Column:
     """Weighted sum of sharpness and the first aesthetic score there is, to 4 places."""
-    return F.round(weights[0] * sharp + weights[1] * F.coalesce(*aesthetics, F.lit(default)), 4)
+    return round_double(weights[0] * sharp + weights[1] * F.coalesce(*aesthetics, F.lit(default)), 4)
 
 
 def rescale_heads(columns: list[str], denom: float = 5.0, default: float = 2.5) -> list[Column]:
@@ -28,16 +28,21 @@ def rescale_heads(columns: list[str], denom: float = 5.0, default: float = 2.5)
 
 def keeper_score(combined: Column, portrait: Column) -> Column:
     """Combined, moved a little by the portrait score; combined alone if either is null."""
-    return F.coalesce(F.round(combined + 0.05 * (portrait - 0.5), 6), combined)
+    return F.coalesce(round_double(combined + 0.05 * (portrait - 0.5), 6), combined)
 
 
 def portrait_score(sharp: Column, expr: Column) -> Column:
-    return F.when(sharp.isNull(), None).when(expr.isNull(), F.round(sharp, 4)).otherwise(F.round(0.6 * sharp + 0.4 * expr, 4))
+    return F.when(sharp.isNull(), None).when(expr.isNull(), round_double(sharp, 4)).otherwise(round_double(0.6 * sharp + 0.4 * expr, 4))
 
 
 def face_quality(sharp: Column, expr: Column, rel: Column) -> Column:
     half = lambda c: F.coalesce(c, F.lit(0.5))
-    return F.round(0.55 * half(sharp) + 0.25 * F.least(F.lit(1.0), rel / 0.10) + 0.20 * half(expr), 4)
+    return round_double(0.55 * half(sharp) + 0.25 * F.least(F.lit(1.0), rel / 0.10) + 0.20 * half(expr), 4)
+
+
+def round_double(x: Column, digits: int) -> Column:
+    """Rounded as doubles are: the shifted value to the nearest whole number. Spark's own rounds the shortest decimal text, which differs at halves."""
+    return F.round(x * 10.0**digits) / 10.0**digits
 
 
 def dot(a: Column, b: Column) -> Column:
