@@ -122,9 +122,9 @@ def coarsen(scene_of: DataFrame, extra: DataFrame) -> DataFrame:
     return x.join(n, x["id"] == n["_i"], "left").select("id", "scene_group")
 
 
-def cluster_identities(df: DataFrame, vec: str = "embedding", id_: str = "id", eps: float = 0.5) -> DataFrame:
-    """(id, cluster_id): components of cosine at least 1 - eps; every row has one, numbered by first row."""
-    comp = connected_components(cosine_all_pairs(df, id_, vec, 1 - eps), "i", "j", FEW_EDGES)
+def cluster_identities(df: DataFrame, vec: str = "embedding", id_: str = "id", eps: float = 0.5, normalize: bool = True) -> DataFrame:
+    """(id, cluster_id): components of cosine at least 1 - eps; every row has one, numbered by first row. ``normalize`` False: vectors have length 1."""
+    comp = connected_components(cosine_all_pairs(df, id_, vec, 1 - eps, normalize=normalize), "i", "j", FEW_EDGES)
     x = df.select(F.col(id_).cast("long").alias("id")).join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c"))
     n = renumber(x.withColumn("capture_time", F.col("c").cast("double")).withColumn("path", F.col("c").cast("string")), "c", out="cluster_id")
     return n.select("id", "cluster_id")

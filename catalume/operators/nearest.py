@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalume.functions.scores import l2_normalize
@@ -14,9 +14,18 @@ from catalume.functions.scores import l2_normalize
 #: Rows of a block, and bytes of vectors of a side that is broadcast at most.
 BLOCK, BROADCAST = 2048, 32_000_000
 
+#: Blocks that a side is cut into, as long as a block has at most so many rows: what is shuffled grows with the rows then, not with their square.
+BLOCKS, LARGEST = 12, 65_536
+
 _FOUND = "grp long, id long, other long, kind string, value double"
 
 
+def blocks_of(n: Column, block: int) -> Column:
+    """Into how many blocks n rows are cut: of ``block`` rows while these are few, then into ``BLOCKS``."""
+    rows = F.greatest(F.lit(block), F.least(F.lit(LARGEST), F.ceil(n / BLOCKS)))
+    return F.ceil(n / rows).cast("long")
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of one length, none null, as rows."""
     x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -31,14 +40,15 @@ def _best(group: np.ndarray, ids: np.ndarray, v: np.ndarray, others: np.ndarray,
     first = np.append(True, kinds[1:] != kinds[:-1]) if len(kinds) else np.zeros(0, bool)
     starts = np.flatnonzero(first)
     out: list[tuple[np.ndarray, ...]] = []
-    for a in range(0, len(ids), 512):
-        s = v[a : a + 512] @ u.T
+    step = max(1, min(512, 4_000_000 // max(1, len(others))))
+    for a in range(0, len(ids), step):
+        s = v[a : a + step] @ u.T
         if digits is not None:
             s = np.round(s, digits)
         if clip is not None:
             s = np.maximum(s, clip)
         if apart:
-            s[ids[a : a + 512, None] == others[None]] = -np.inf
+            s[ids[a : a + step, None] == others[None]] = -np.inf
         if len(starts) == len(others):
             top, at = s, np.broadcast_to(np.arange(len(others)), s.shape)
         else:
@@ -72,8 +82,8 @@ def nearest_vectors(left: DataFrame, right: DataFrame, k: int = 1, by: str | Non
 
     Without groups, a right side of at most ``broadcast`` bytes, by its count, is sent to all tasks and
     the left one isn't shuffled. Otherwise both sides are cut into blocks; a task multiplies two and
-    keeps the k best of each row, and these are merged, so what is shuffled for a row is k
-    for each block of the other side.
+    keeps the k best of each row, and these are merged, so what is shuffled for a row is itself and k
+    for each block of the other side. Blocks grow with the rows: :func:`blocks_of`.
     """
     grp = lambda df: (df[group] if group else F.lit(0)).cast("long").alias("grp")
     a = left.filter("v is not null").select(grp(left), left["id"].cast("long").alias("id"), left["v"].cast("array<double>").alias("v"))
@@ -84,7 +94,7 @@ def nearest_vectors(left: DataFrame, right: DataFrame, k: int = 1, by: str | Non
         size = b.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("u")).alias("d")).first()
         if (size["n"] * (size["d"] or 0)) * 8 <= broadcast:
             return _ranked(_mapped(a, b, how), k, group, merge=False)
-    counts = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias(name))
+    counts = lambda df, name: df.groupBy("grp").agg(blocks_of(F.count(F.lit(1)), block).alias(name))
     blocks = counts(a, "l").join(counts(b, "r"), "grp")
     span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("long")

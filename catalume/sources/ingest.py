@@ -160,8 +160,10 @@ def resolve_paths(images: DataFrame, existing: DataFrame, ledger: DataFrame) ->
     row = F.struct("id", "trash_path", "state", "hash")
     newest = ledger.groupBy(F.col("from_path").alias("_f")).agg(F.max_by(row, "id").alias("_r"))
     holder = ledger.groupBy(F.col("trash_path").alias("_t")).agg(F.max("id").alias("_top"))
-    x = images.join(e, images["path"] == e["_e"], "left").join(newest, images["path"] == newest["_f"], "left").join(holder, F.col("_r.trash_path") == F.col("_t"), "left")
-    ok = F.col("_r.state").isin("trashed", "emptied", "missing") & (F.col("content_hash").isNull() | (F.col("content_hash") == F.col("_r.hash"))) & (F.col("_top") == F.col("_r.id"))
+    # the ledger's rows meet first: items without one would all have the same key, none
+    newest = newest.filter(F.col("_r.state").isin("trashed", "emptied", "missing")).join(holder, (F.col("_r.trash_path") == F.col("_t")) & (F.col("_top") == F.col("_r.id"))).select("_f", "_r")
+    x = images.filter("path is not null").join(e, F.col("path") == F.col("_e"), "left").join(newest, F.col("path") == F.col("_f"), "left")
+    ok = F.col("_r.id").isNotNull() & (F.col("content_hash").isNull() | (F.col("content_hash") == F.col("_r.hash")))
     path = F.when(F.col("_e").isNotNull(), F.col("path")).when(F.coalesce(ok, F.lit(False)), F.col("_r.trash_path"))
     known = F.when(F.col("_e").isNull(), F.col("_r.hash"))
     return x.withColumn("known_hash", known).withColumn("path", path).filter("path is not null").select(*images.columns, "known_hash")

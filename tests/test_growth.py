@@ -1,6 +1,12 @@
 """Steps whose work has to grow with the input, and results that only larger tables told apart."""
 
+import duckdb
+import numpy as np
+from pyspark.sql import functions as F
+
+from catalume.functions.scores import face_quality
 from catalume.operators import similarity as M
+from catalume.operators.nearest import BLOCKS, LARGEST, blocks_of
 
 
 def plan_of(df):
@@ -11,3 +17,43 @@ def test_keys_of_hashes_are_not_broadcast(spark):
     df = spark.range(300).selectExpr("id", "substr(md5(cast(id as string)), 1, 16) as phash")
     plan = plan_of(M.hamming_join(df, t=6).filter("d > 0"))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_quality_is_rounded_as_doubles_are(spark):
+    """0.55 * 0.1 + 0.25 * 0.455 + 0.2 * 0.41 and the like lie just below a half, or at it."""
+    rows = [(s / 10, e / 100, 0.1 * (50 + 4 * q) / w * 10) for s in range(9) for e in range(100) for q in range(1, 51, 7) for w in (4000, 5000, 6000)]
+    df = spark.createDataFrame(rows, "s double, e double, r double")
+    got = [(tuple(r)[:3], r["q"]) for r in df.select("s", "e", "r", face_quality(F.col("s"), F.col("e"), F.col("r")).alias("q")).collect()]
+    con = duckdb.connect()
+    want = [con.execute("select round(0.55 * ?::double + 0.25 * least(1.0, ?::double / 0.10) + 0.20 * ?::double, 4)", [s, r, e]).fetchall()[0][0] for (s, e, r), _ in got[::9]]
+    assert [q for _, q in got[::9]] == want
+
+
+def test_products_of_unit_vectors_are_taken_as_they_are(spark):
+    v = np.random.default_rng(1).normal(size=(60, 8))
+    v = (v / np.linalg.norm(v, axis=1)[:, None] * 1.0000004).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<float>")
+    for block in (4, 100):
+        got = {(r["i"], r["j"]): r["cos"] for r in M.cosine_all_pairs(df, sim=0.3, block=block, normalize=False).collect()}
+        c = v.astype(float) @ v.astype(float).T
+        assert set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60) if c[i, j] >= 0.3}
+        assert all(abs(got[p] - c[p]) < 1e-12 for p in got)
+
+
+def test_number_of_blocks_is_bounded(spark):
+    n = [r[0] for r in spark.createDataFrame([(1,), (4096,), (10**5,), (600_000,), (10**7,)], "n long").select(blocks_of(F.col("n"), 2048)).collect()]
+    assert n == [1, 2, BLOCKS, BLOCKS, -(-(10**7) // LARGEST)]
+
+
+def test_rescue_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, i % 9, float(i % 9) * 300, float(i * 37 % 900), 0.0, float(i * 37 % 900) + 5, 5.0, 0.99, [float(x) for x in v[i]]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, image_id long, capture_time double, x1 double, y1 double, x2 double, y2 double, prob double, v array<double>")
+    left, right = df.filter("id % 3 = 0").withColumn("t", F.col("capture_time")), df.filter("id % 3 != 0 and id < 40").withColumn("t", F.col("capture_time"))
+    for window, least in ((600.0, 0.7), (None, 0.9)):
+        c = v @ v.T >= least
+        want = {i for i in range(0, 400, 3) for j in range(40) if j % 3 and c[i, j] and i % 9 != j % 9 and (window is None or abs(i % 9 - j % 9) * 300 <= window)}
+        for block in (5, 1000):
+            assert {r["id"] for r in M._touching(left, right, least, window, block).collect()} == want
