@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from catalume.functions.scores import face_quality
 from catalume.operators import similarity as M
+from catalume.operators.edits import vote_names
 from catalume.operators.nearest import BLOCKS, LARGEST, blocks_of
+from catalume.sources.ingest import resolve_paths
 
 
 def plan_of(df):
@@ -57,3 +59,34 @@ def test_rescue_in_blocks(spark):
         want = {i for i in range(0, 400, 3) for j in range(40) if j % 3 and c[i, j] and i % 9 != j % 9 and (window is None or abs(i % 9 - j % 9) * 300 <= window)}
         for block in (5, 1000):
             assert {r["id"] for r in M._touching(left, right, least, window, block).collect()} == want
+
+
+def test_sources_are_chosen_in_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.integers(0, 60)), 3000 + 1000 * (i % 2), 3000, i % 3, [float(x) for x in rng.integers(0, 12, 2)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, capture_time double, w int, h int, orientation int, preview array<double>")
+    want = set()
+    for i, t, w, h, o, p in rows:
+        near = [(sum(abs(x - y) for x, y in zip(p, q)) / 2, abs(t - u), u, j) for j, u, w2, h2, o2, q in rows if i != j and j % 3 and o == o2 and abs(t - u) <= 8 and 0.95 <= (w * h2) / (h * w2) <= 1.05]
+        want |= {(i, s[3], s[0], r + 1) for r, s in enumerate(sorted(s for s in near if s[0] <= 5)[:2])}
+    for block in (7, 20_000):
+        x = M.burst_sources(df, df.filter("id % 3 != 0").select("id"), difference=5.0, block=block)
+        assert {tuple(r) for r in x.collect()} == want
+        assert "CoGroup" in plan_of(x)
+
+
+def test_items_without_a_row_in_the_ledger_do_not_share_a_key(spark):
+    """Only paths are keys of joins that keep items; rows of the ledger meet each other first."""
+    im = spark.createDataFrame([(1, "/a", "h"), (2, "/b", "h"), (3, "/c", None)], "id long, path string, content_hash string")
+    led = spark.createDataFrame([(5, "/b", "/t/b", "trashed", "h"), (6, "/c", "/t/b", "trashed", "h")], "id long, from_path string, trash_path string, state string, hash string")
+    x = resolve_paths(im, im.filter("id = 1").select("path"), led)
+    assert {tuple(r) for r in x.collect()} == {(1, "/a", "h", None), (3, "/t/b", None, "h")}
+    assert not [line for line in plan_of(x).splitlines() if "Join" in line and "LeftOuter" in line and "trash_path" in line]
+
+
+def test_equal_boxes_vote_once_and_count_all(spark):
+    m = spark.createDataFrame([(i, i % 2, "h", 0.0, 0.0, 10.0, 10.0) for i in range(50)], "id long, cluster_id long, hash string, x1 double, y1 double, x2 double, y2 double")
+    a = m.filter("id < 10").select("hash", "x1", "y1", "x2", "y2", F.lit("Ann").alias("name")).union(m.filter("id < 5").select("hash", "x1", "y1", "x2", F.lit(8.0), F.lit("Bob")))
+    x = vote_names(m, a)
+    assert [tuple(r) for r in x.collect()] == [(0, "Ann")]
+    assert "max(name" in plan_of(x)
