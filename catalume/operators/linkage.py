@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.functions.scores import dot
-from catalume.operators.nearest import nearest_vectors
+from catalume.operators.nearest import matrix, nearest_vectors
 from catalume.operators.similarity import hamming_join
 from catalume.sources.scratch import stage_table
 
 #: Points of a component that is split in one task (its matrix takes four bytes a pair); larger ones are split in rounds of joins, with the same result.
 IN_TASK = 10_000
+#: Clusters of a component that are left after some rounds, and that one task merges to the end (eight bytes a pair).
+FINISH = 3_000
 #: Averages that are equal in so many digits are ties, in rounds.
 DIGITS = 9
 
 
-def average_linkage(sim: np.ndarray, floor: float, weight: np.ndarray | None = None) -> list[list[int]]:
+def average_linkage(sim: np.ndarray, floor: float, weight: np.ndarray | None = None, digits: int | None = None) -> list[list[int]]:
     """Merge the most alike clusters (the first pair of equal ones) while their average similarity is ``floor`` or more.
 
     Each cluster keeps its best later partner, which a merger leaves as it is for most: quadratic
     time, and no copy but one of the matrix, whose sums stay exact as long as similarities of 1 and 0 are.
-    A row of ``weight`` w stands for w equal ones.
+    A row of ``weight`` w stands for w equal ones. ``digits``: averages are rounded before they are compared.
     """
     n = len(sim)
     total = np.array(sim)
@@ -34,12 +39,13 @@ def average_linkage(sim: np.ndarray, floor: float, weight: np.ndarray | None = N
     members = [[i] for i in range(n)]
     alive = np.ones(n, bool)
     best, mate = np.full(n, -np.inf), np.zeros(n, np.int64)
+    rounded = lambda x: x if digits is None else np.round(x, digits)
 
     def look(a: int) -> None:
         later = np.flatnonzero(alive[a + 1 :]) + a + 1
         best[a] = -np.inf
         if len(later):
-            mean = total[a, later] / (size[a] * size[later])
+            mean = rounded(total[a, later] / (size[a] * size[later]))
             k = int(mean.argmax())
             best[a], mate[a] = mean[k], later[k]
 
@@ -56,7 +62,7 @@ def average_linkage(sim: np.ndarray, floor: float, weight: np.ndarray | None = N
         alive[q], best[q] = False, -np.inf
         members[p] += members[q]
         e = np.flatnonzero(alive[:p])
-        mean = total[p, e] / (size[p] * size[e])
+        mean = rounded(total[p, e] / (size[p] * size[e]))
         stale = (mate[e] == p) | (mate[e] == q)
         better = np.where(stale, mean >= best[e], (mean > best[e]) | ((mean == best[e]) & (p < mate[e])))
         best[e[better]], mate[e[better]] = mean[better], p
@@ -128,7 +134,7 @@ def cohesion_split(members: DataFrame, floor: float = 0.90, t: int = 6, in_task:
     parts = small.groupBy("component").applyInPandas(split, "point long, component long, part long")
     large = points.filter(F.col("_points") > in_task).drop("_points")
     if not large.isEmpty():
-        parts = parts.unionByName(linkage_rounds(large, floor, t))
+        parts = parts.unionByName(linkage_rounds(large, floor, t, min(in_task, FINISH)))
     return two.union(of.join(parts.select("point", "part"), "point").select("id", "component", "part"))
 
 
@@ -141,15 +147,36 @@ def _near(rows: DataFrame, t: int) -> DataFrame:
     return near.filter("d > 0").select("i", "j").join(i, "i").join(j, ["j", "component"]).select("p", "q")
 
 
-def linkage_rounds(points: DataFrame, floor: float, t: int) -> DataFrame:
+def _finisher(floor: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Merges the clusters of a component, few by now, to the end: (component, id, into)."""
+
+    def finish(clusters: pa.Table, more: pa.Table) -> pa.Table:
+        clusters = clusters.sort_by("id")
+        ids, n, s = clusters.column("id").to_numpy(), clusters.column("n").to_numpy(), matrix(clusters.column("s"))
+        total = s @ s.T
+        a, b = (np.searchsorted(ids, more.column(c).to_numpy()) for c in "ab")
+        total[a, b] += more.column("more").to_numpy()
+        total[b, a] = total[a, b]
+        parts = average_linkage(total / n[:, None] / n, floor, n, DIGITS) if len(ids) else []
+        pairs = [(ids[i], ids[min(c)]) for c in parts for i in c if i != min(c)]
+        component = clusters.column("component")[0].as_py() if len(ids) else 0
+        return pa.table({"component": pa.array([component] * len(pairs), pa.int64()), "id": pa.array([i for i, _ in pairs], pa.int64()), "into": pa.array([j for _, j in pairs], pa.int64())})
+
+    return finish
+
+
+def linkage_rounds(points: DataFrame, floor: float, t: int, finish: int = FINISH) -> DataFrame:
     """(point, component, part) by average linkage in rounds: clusters that are each other's best partner merge, all at once.
 
     points: component, point, ord, n, phash, v. That gives what merging the best pair first
     gives, since a merger never comes closer to a third cluster than its parts were, and ties
     go to the least ord. The sum of its vectors says how alike a cluster is to another,
     all but for near hashes; what these add is kept for each pair of clusters that has some.
-    Best partners come from products of blocks, so a round is quadratic in the clusters
-    that are left, dealt to tasks, and no task holds a component.
+
+    For the same reason a cluster keeps its partner until one of the two merges, and one without a partner
+    is done, for itself and for all others. So a round looks for partners only of clusters that
+    merged or whose partner did, among those that aren't done, by products of blocks: quadratic, but dealt to
+    tasks, and no task holds a component before it has come down to ``finish`` clusters, which one task merges to the end.
     """
     dim = points.agg(F.max(F.size("v"))).first()[0] or 1
     none = F.array_repeat(F.lit(0.0), max(dim, 1))
@@ -161,26 +188,49 @@ def linkage_rounds(points: DataFrame, floor: float, t: int) -> DataFrame:
     more = stage_table(more, "more")
     clusters = stage_table(rows.select("component", F.col("ord").alias("id"), F.col("n").cast("double").alias("n"), F.transform("v", lambda x: x * F.col("n")).alias("s")), "clusters")
     of = rows.select("component", "point", "n", F.col("ord").alias("cluster"))
+    key = ["component", "id"]
+    move = lambda df, c, to: df.join(to.select("component", F.col("id").alias(c), F.col("into").alias("_to")), ["component", c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    kept = stale = None  # partners that are still the best, and clusters that look for one: at first, all
     while True:
-        mean = clusters.select("component", "id", F.transform("s", lambda x: x / F.col("n")).alias("v"))
-        plain = nearest_vectors(mean, mean, 1, group="component", floor=floor, apart=True, digits=DIGITS).select("component", "id", "other", "value")
+        mean = clusters.select(*key, F.transform("s", lambda x: x / F.col("n")).alias("v"))
+        looks = mean if stale is None else mean.join(stale, key, "left_semi")
+        plain = nearest_vectors(looks, mean, 1, group="component", floor=floor, apart=True, digits=DIGITS).select(*key, "other", "value")
         one = clusters.select("component", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
         two = clusters.select("component", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
         value = F.round((dot(F.col("sa"), F.col("sb")) + F.col("more")) / (F.col("na") * F.col("nb")), DIGITS)
         added = more.join(one, ["component", "a"]).join(two, ["component", "b"]).select("component", "a", "b", value.alias("value")).filter(F.col("value") >= floor)
-        every = plain.unionByName(added.select("component", F.col("a").alias("id"), F.col("b").alias("other"), "value")).unionByName(added.select("component", F.col("b").alias("id"), F.col("a").alias("other"), "value"))
-        best = every.groupBy("component", "id").agg(F.max(F.struct("value", (-F.col("other")).alias("o"))).alias("m")).select("component", "id", (-F.col("m.o")).alias("other"))
+        added = added.select("component", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "value").select("component", "e.*", "value")
+        every = plain.unionByName(added if stale is None else added.join(stale, key, "left_semi"))
+        best = every.groupBy(*key).agg(F.max(F.struct("value", (-F.col("other")).alias("o"))).alias("m")).select(*key, (-F.col("m.o")).alias("other"))
+        best = stage_table(best if kept is None else best.unionByName(kept), "best")
         back = best.select("component", F.col("id").alias("other"), F.col("other").alias("id"))
-        merged = stage_table(best.join(back, ["component", "id", "other"]).filter("id < other").select("component", F.col("id").alias("into"), F.col("other").alias("id")), "merged")
+        merged = stage_table(best.join(back, [*key, "other"]).filter("id < other").select("component", F.col("id").alias("into"), F.col("other").alias("id")), "merged")
         if merged.isEmpty():
             break
-        move = lambda df, c: df.join(merged.select("component", F.col("id").alias(c), F.col("into").alias("_to")), ["component", c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
-        gone = merged.join(clusters, ["component", "id"]).select("component", F.col("into").alias("id"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-        left = clusters.join(merged.select("component", "id"), ["component", "id"], "left_anti").join(gone, ["component", "id"], "left")
+        changed = merged.select(*key).union(merged.select("component", "into"))
+        whose = changed.withColumnRenamed("id", "other")
+        kept = best.join(changed, key, "left_anti").join(whose, ["component", "other"], "left_anti").select(*key, "other")
+        stale = best.join(merged.select(*key), key, "left_anti").join(kept, key, "left_anti").select(*key)
+        gone = merged.join(clusters, key).select("component", F.col("into").alias("id"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+        left = clusters.join(best, key, "left_semi").join(merged.select(*key), key, "left_anti").join(gone, key, "left")
         both = F.when(F.col("s2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda x, y: x + y))
-        clusters = stage_table(left.select("component", "id", (F.col("n") + F.coalesce("n2", F.lit(0.0))).alias("n"), both.alias("s")), "clusters")
-        moved = move(move(more, "a"), "b").filter("a != b").select("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
-        more = stage_table(moved.groupBy("component", "a", "b").agg(F.sum("more").alias("more")), "more")
-        of = stage_table(move(of, "cluster"), "of")
-    kept = of.groupBy("component", "cluster").agg(F.sum("n").alias("rows")).filter("rows > 1").select("component", "cluster")
-    return of.join(kept, ["component", "cluster"]).select("point", "component", F.col("cluster").alias("part"))
+        clusters = stage_table(left.select(*key, (F.col("n") + F.coalesce("n2", F.lit(0.0))).alias("n"), both.alias("s")), "clusters")
+        moved = move(move(more, "a", merged), "b", merged).filter("a != b").select("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
+        moved = moved.groupBy("component", "a", "b").agg(F.sum("more").alias("more"))
+        for c in "ab":  # pairs of clusters that are done say nothing any more
+            moved = moved.join(clusters.select("component", F.col("id").alias(c)), ["component", c], "left_semi")
+        more = stage_table(moved.select("component", "a", "b", "more"), "more")
+        of = move(of, "cluster", merged)
+        few = stage_table(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= finish).select("component"), "few")
+        if not few.isEmpty():
+            last = clusters.join(few, "component").groupBy("component").cogroup(more.join(few, "component").groupBy("component"))
+            ended = stage_table(last.applyInArrow(_finisher(floor), "component long, id long, into long"), "ended")
+            of = move(of, "cluster", ended)
+            clusters, more = (stage_table(x.join(few, "component", "left_anti"), name) for x, name in ((clusters, "clusters"), (more, "more")))
+            if clusters.isEmpty():
+                of = stage_table(of, "of")
+                break
+            kept, stale = kept.join(few, "component", "left_anti"), stale.join(few, "component", "left_anti")
+        kept, stale, of = (stage_table(x, name) for x, name in ((kept, "kept"), (stale, "stale"), (of, "of")))
+    several = of.groupBy("component", "cluster").agg(F.sum("n").alias("rows")).filter("rows > 1").select("component", "cluster")
+    return of.join(several, ["component", "cluster"]).select("point", "component", F.col("cluster").alias("part"))

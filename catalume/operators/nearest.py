@@ -32,6 +32,25 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(x), -1) if len(x) else np.zeros((0, 0))
 
 
+def _first_best(s: np.ndarray, ids: np.ndarray, others: np.ndarray, floor: float | None, apart: bool, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that have a best one among ``others`` (in the order of ids, all different), its value, and which it is. Only the greatest values are rounded."""
+    if apart:
+        at = np.minimum(np.searchsorted(others, ids), len(others) - 1)
+        own = np.flatnonzero(others[at] == ids)
+        s[own, at[own]] = -np.inf
+    at = s.argmax(1)
+    top = s[np.arange(len(s)), at]
+    value = top if digits is None else np.round(top, digits)
+    rows = np.flatnonzero(np.isfinite(top) if floor is None else value >= floor)
+    if digits is not None:  # values below the greatest may be equal to it when they are rounded
+        least = np.where(np.isfinite(top), top, np.inf) - 1.5 * 10.0**-digits
+        r, c = np.nonzero(s >= least[:, None])
+        tie = np.round(s[r, c], digits) == value[r]
+        r, first = np.unique(r[tie], return_index=True)
+        at[r] = c[tie][first]
+    return rows, value[rows], at[rows]
+
+
 def _best(group: np.ndarray, ids: np.ndarray, v: np.ndarray, others: np.ndarray, kinds: np.ndarray, u: np.ndarray, k: int, floor: float | None, clip: float | None, apart: bool, digits: int | None) -> pa.Table:
     """For each row of a block its k best kinds in another one, each by its best member: the first of equal ones.
 
@@ -41,8 +60,13 @@ def _best(group: np.ndarray, ids: np.ndarray, v: np.ndarray, others: np.ndarray,
     starts = np.flatnonzero(first)
     out: list[tuple[np.ndarray, ...]] = []
     step = max(1, min(512, 4_000_000 // max(1, len(others))))
+    one = k == 1 and clip is None and len(others) > 0 and bool((others[1:] > others[:-1]).all()) and len(starts) == len(others)
     for a in range(0, len(ids), step):
         s = v[a : a + step] @ u.T
+        if one:
+            mine, value, at = _first_best(s, ids[a : a + step], others, floor, apart, digits)
+            out.append((group[a + mine], ids[a + mine], at, value))
+            continue
         if digits is not None:
             s = np.round(s, digits)
         if clip is not None:

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from catalume.functions.scores import face_quality
+from catalume.operators import linkage as L
 from catalume.operators import similarity as M
 from catalume.operators.edits import vote_names
 from catalume.operators.nearest import BLOCKS, LARGEST, blocks_of
@@ -90,3 +91,33 @@ def test_equal_boxes_vote_once_and_count_all(spark):
     x = vote_names(m, a)
     assert [tuple(r) for r in x.collect()] == [(0, "Ann")]
     assert "max(name" in plan_of(x)
+
+
+def test_rounds_of_linkage_look_only_where_something_merged(spark, monkeypatch):
+    """A cluster keeps its partner until one of both merges; one without a partner is done; few clusters are merged to the end in a task."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(4, 16)), 9, axis=0) + 0.4 * rng.normal(size=(36, 16))
+    v = np.concatenate((v, rng.normal(size=(4, 16))))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(1, i, i, None, [float(x) for x in v[i]]) for i in range(40)], "component long, id long, ord long, phash string, embedding array<double>")
+    looked = []
+    nearest = L.nearest_vectors
+
+    def counted(left, right, *args, **kwargs):
+        looked.append((left.count(), right.count()))
+        return nearest(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(L, "nearest_vectors", counted)
+    got = {}
+    for r in L.cohesion_split(df, 0.8, 2, in_task=16).collect():
+        got.setdefault(r["part"], set()).add(r["id"])
+    want = {frozenset(p) for p in L.average_linkage(v @ v.T, 0.8) if len(p) > 1}
+    assert {frozenset(p) for p in got.values()} == want and len(want) >= 4
+    assert looked[0] == (40, 40) and 2 <= len(looked) <= 4 and looked[1][0] < looked[1][1] <= 36, looked
+
+
+def test_first_of_equal_rounded_values_is_the_best(spark):
+    v = [[1.0, 0.0], [0.6 + 2e-11, 0.8], [0.6, 0.8], [0.6 + 4e-11, -0.8]]
+    df = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>").withColumn("g", F.lit(0).cast("long"))
+    got = {r["id"]: (r["other"], r["value"]) for r in L.nearest_vectors(df, df, group="g", apart=True, digits=9, floor=0.5, block=2).collect()}
+    assert got == {0: (1, 0.6), 1: (2, 1.0), 2: (1, 1.0), 3: (0, 0.6)}
