@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalume.functions.scores import hamming64
 from catalume.operators.facets import group_centrality
 from catalume.operators.graph import FEW_EDGES, connected_components, minimum_forest
 from catalume.operators.linkage import average_linkage, cohesion_split  # noqa: F401  also of this module's interface
 from catalume.operators.sequence import burst_runs, renumber
-from catalume.operators.similarity import cosine_all_pairs, duplicate_edges, hamming_join
+from catalume.operators.similarity import cosine_all_pairs, duplicate_edges, hamming_join, hash_bits
 from catalume.sources.scratch import stage_table
 
 def burst_merge(items: DataFrame, groups: DataFrame, runs: DataFrame) -> DataFrame:
@@ -40,16 +39,24 @@ def burst_merge(items: DataFrame, groups: DataFrame, runs: DataFrame) -> DataFra
 def cull_safe(df: DataFrame, group: str, id_: str = "id", hash_: str = "phash", time: str = "capture_time", span: float = 8.0, t: int = 6) -> DataFrame:
     """(id, dup_cull_safe): all times known and within ``span`` seconds, all pairs of hashes within ``t`` bits.
 
-    Only groups that pass the test of times get to pairs, and only their different hashes do.
+    One pass over the rows sums a group up in six numbers: bits in which its hashes differ at all are those of
+    their OR that aren't in their AND. With ``t`` of them or fewer all pairs are near; the least and the greatest
+    hash are one pair, so more bits between these decide too. Only what is undecided then, and passes the
+    test of times, gets to pairs of different hashes.
     """
-    x = df.filter(F.col(group).isNotNull())
-    tm = F.coalesce(F.col(time).cast("double"), F.lit(0.0))
-    g = x.groupBy(group).agg((F.max(tm) - F.min(tm)).alias("_s"), F.min(tm).alias("_t0"))
-    ok = g.select(group, ((F.col("_s") <= span) & (F.col("_t0") > 0)).alias("_timed"))
-    h = x.join(ok.filter("_timed"), group, "left_semi").select(group, hash_).distinct()
-    pairs = h.join(h.select(F.col(group).alias("_g"), F.col(hash_).alias("_h")), (F.col(group) == F.col("_g")) & (F.col(hash_) < F.col("_h")))
-    far = pairs.filter(hamming64(F.col(hash_), F.col("_h")) > min(t, 6)).select(group).distinct().withColumn("_far", F.lit(True))
-    return x.join(ok, group).join(far, group, "left").select(id_, (F.col("_timed") & F.col("_far").isNull()).alias("dup_cull_safe"))
+    far_bits = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    t = min(t, 6)
+    x = df.filter(F.col(group).isNotNull()).select(F.col(id_), F.col(group), F.col(time).cast("double").alias("_t"), hash_bits(F.col(hash_)).alias("_h"))
+    tm = F.coalesce("_t", F.lit(0.0))
+    g = x.groupBy(group).agg(F.max(tm).alias("_t1"), F.min(tm).alias("_t0"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), F.bit_and("_h").alias("_and"), F.bit_or("_h").alias("_or"))
+    timed = ((F.col("_t1") - F.col("_t0")) <= span) & (F.col("_t0") > 0)
+    near = F.when(F.col("_lo").isNull() | (far_bits(F.col("_and"), F.col("_or")) <= t), True).when(far_bits(F.col("_lo"), F.col("_hi")) > t, False)
+    g = stage_table(g.select(group, F.when(~timed, False).otherwise(near).alias("_safe")), "safe")
+    h = x.join(g.filter("_safe is null"), group, "left_semi").filter("_h is not null").select(group, "_h").distinct()
+    pairs = h.join(h.select(F.col(group).alias("_g"), F.col("_h").alias("_k")).hint("merge"), (F.col(group) == F.col("_g")) & (F.col("_h") < F.col("_k")) & (far_bits(F.col("_h"), F.col("_k")) > t))
+    far = pairs.select(group).distinct().withColumn("_far", F.lit(True))
+    safe = g.filter("_safe is not null").union(g.filter("_safe is null").join(far, group, "left").select(group, F.col("_far").isNull()))
+    return x.select(id_, group).join(safe, group).select(id_, F.col("_safe").alias("dup_cull_safe"))
 
 
 def assign_duplicates(df: DataFrame, t: int = 6, sim: float = 0.92, window: float = 600.0, floor: float = 0.90, burst_gap: float = 8.0, burst_span: float = 30.0, burst_sim: float = 0.80) -> DataFrame:

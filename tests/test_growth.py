@@ -8,6 +8,7 @@ from catalume.functions.scores import face_quality
 from catalume.operators import linkage as L
 from catalume.operators import similarity as M
 from catalume.operators.edits import vote_names
+from catalume.operators.groups import cull_safe
 from catalume.operators.nearest import BLOCKS, LARGEST, blocks_of
 from catalume.sources.ingest import resolve_paths
 
@@ -121,3 +122,22 @@ def test_first_of_equal_rounded_values_is_the_best(spark):
     df = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>").withColumn("g", F.lit(0).cast("long"))
     got = {r["id"]: (r["other"], r["value"]) for r in L.nearest_vectors(df, df, group="g", apart=True, digits=9, floor=0.5, block=2).collect()}
     assert got == {0: (1, 0.6), 1: (2, 1.0), 2: (1, 1.0), 3: (0, 0.6)}
+
+
+def test_groups_are_summed_up_before_hashes_meet(spark):
+    """Against all pairs: groups decided by their bits, by their least and greatest hash, and only by pairs of others."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for g in range(200):
+        base, n = int(rng.integers(0, 2**63)) * 2, int(rng.integers(1, 7))
+        hashes = [base ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 4)), replace=False)) if rng.random() < 0.9 else None for _ in range(n)]
+        times = [float(rng.integers(1, 10)) if rng.random() < 0.98 else None for _ in range(n)]
+        ok = None not in times and max(times) - min(times) <= 7 and all((a ^ b).bit_count() <= 3 for a in hashes for b in hashes if a is not None and b is not None)
+        for h, t in zip(hashes, times, strict=True):
+            want[len(rows)] = ok
+            rows.append((len(rows), g, None if h is None else f"{h:016x}", t))
+    rows.append((len(rows), None, "0" * 16, 1.0))
+    df = spark.createDataFrame(rows, "id long, dup_group long, phash string, capture_time double")
+    x = cull_safe(df, "dup_group", span=7.0, t=3)
+    assert {r["id"]: r["dup_cull_safe"] for r in x.collect()} == want and 20 < sum(want.values()) < len(want) - 20
+    assert not [line for line in plan_of(x).splitlines() if "Join" in line and "phash" in line]
