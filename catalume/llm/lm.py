@@ -14,12 +14,15 @@ to buckets by their leading bits, a bucket adds up the chunks and answers each o
 m words are counted only where both runs of m - 1 words in them occurred ``least`` times, which
 loses none that does, and not where their count follows from that of a shorter run. Words, pairs or documents that are everywhere thus cost one hash a chunk and
 make no hot task. Messages are sorted, as differences and by planes of bytes, and compressed.
+A meeting is held in rounds, each with a part of the buckets, so that only a part of the messages
+is on disk at a time.
 
 Meeting m counts runs of m words and tests the contexts of m - 2 words.
 """
 
 from __future__ import annotations
 
+import functools
 import gc
 import uuid
 from collections import defaultdict
@@ -53,6 +56,9 @@ class Settings:
     #: Words of a chunk (one more text may end it), and bytes of text for each bucket of hashes and of chunks.
     chunk: int = 700_000
     bucket: int = 16_000_000
+    #: Rounds of a large meeting (the first and the last are small), and buckets that a round has at least.
+    rounds: int = 3
+    least_buckets: int = 12
 
 
 END = b"\n"  # no word holds white space
@@ -78,17 +84,36 @@ def _pack(x: np.ndarray) -> bytes:
     if x.dtype.kind in "iu" and x.dtype != np.uint8:
         top = int(x.max()) if len(x) else 0
         x = x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max), copy=False)
-    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+    bits = np.ascontiguousarray(x).view(f"u{x.itemsize}")
+    planes = np.empty((x.itemsize, len(x)), np.uint8)
+    for j in range(x.itemsize):
+        planes[j] = bits >> (8 * j)
     return x.dtype.str.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
     kind = np.dtype(data[:3].decode())
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[3:]), np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[3:]), np.uint8).reshape(kind.itemsize, -1)
+    bits = planes[0].astype(f"u{kind.itemsize}")
+    for j in range(1, kind.itemsize):
+        if planes[j].any():
+            bits |= planes[j].astype(bits.dtype) << (8 * j)
+    return bits.view(kind)
+
+
+def _by_frequency(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words numbered anew: frequent ones first, those of about the same frequency (ranks of as many
+    binary digits) by hash, so that both the numbers and the differences of hashes are small."""
+    digits = np.empty(len(hashes), np.int32)
+    digits[np.argsort(-np.bincount(ids, minlength=len(hashes)), kind="stable")] = np.frexp(np.arange(1, len(hashes) + 1))[1]
+    order = np.lexsort((hashes, digits))
+    number = np.empty(len(hashes), np.uint32)
+    number[order] = np.arange(len(hashes), dtype=np.uint32)
+    return number[ids], hashes[order]
 
 
 def _sorted_keys(data: bytes) -> np.ndarray:
+    """Sums of differences."""
     return np.cumsum(_unpack(data).astype(np.uint64), dtype=np.uint64)
 
 
@@ -113,10 +138,11 @@ def _chunks(docs: DataFrame, most: int) -> DataFrame:
         size = 0
 
         def give() -> Iterator[pa.RecordBatch]:
+            words, hashes = _by_frequency(np.concatenate(ids), np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number)))
             row = {
                 "chunk": made, "what": "words", "doc_ids": _pack(np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)), "no_id": _pack(np.array([d is None for d in doc_ids], np.uint8)),
                 "held": _pack(np.array(held, np.uint8)), "lengths": _pack(np.array(lengths)),
-                "hashes": _pack(np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))), "ids": _pack(np.concatenate(ids)),
+                "hashes": _pack(np.diff(hashes, prepend=np.uint64(0))), "ids": _pack(words),
             }
             yield from _table(_CHUNK_ROW, [row]).to_batches()
 
@@ -139,6 +165,31 @@ def _chunks(docs: DataFrame, most: int) -> DataFrame:
     return docs.mapInArrow(scan, _CHUNK_ROW)
 
 
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes, in their order."""
+    return (x >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+
+
+@dataclass(frozen=True)
+class _Round:
+    """A part of the buckets of a meeting: of ``buckets``, those from ``start`` to before ``stop``."""
+
+    buckets: int
+    start: int
+    stop: int
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        """Whether the hashes are in its buckets."""
+        number = _bucket(x, self.buckets)
+        return (number >= self.start) & (number < self.stop)
+
+
+def _rounds(meeting: int, how: Settings, buckets: int) -> list[_Round]:
+    """Each bucket is in one round."""
+    n = max(1, min(how.rounds, buckets // how.least_buckets)) if 1 < meeting < how.depth + 2 else 1
+    return [_Round(buckets, r * buckets // n, (r + 1) * buckets // n) for r in range(n)]
+
+
 def _stir(x: np.ndarray) -> None:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -165,8 +216,8 @@ class _Chunk:
     def __init__(self, row: dict, how: Settings):
         self.how = how
         self.chunk = row["chunk"]
-        self.word_hash, self.ids, self.lengths = (_unpack(row[c]) for c in ("hashes", "ids", "lengths"))
-        self.word_hash = self.word_hash.astype(np.uint64)
+        self.ids, self.lengths = (_unpack(row[c]) for c in ("ids", "lengths"))
+        self.word_hash = _sorted_keys(row["hashes"])  # differences below 0 have wrapped around, as the sums do
         self.lengths = self.lengths.astype(np.int64)
         self.held = _unpack(row["held"]).astype(bool)
         self.doc_ids, self.no_id = _unpack(row["doc_ids"]).astype(np.uint64).view(np.int64), _unpack(row["no_id"]).astype(bool)
@@ -212,19 +263,27 @@ class _Chunk:
         ask = self.inside(k) & (n >= self.how.least) & ~dead
         return np.flatnonzero(ask & (self.b[k - 1] != 0) & ~self.settled(k - 1) if k > 1 else ask)
 
-    def distinct(self, what: str, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct sorted hashes that the chunk asks for; places; and the hash of each place."""
+    def distinct(self, what: str, m: int, part: _Round | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct sorted hashes that the chunk asks for (in a round, or in all); places; and the hash of each place."""
+        some = part if part and part.stop - part.start < part.buckets else None
         if what == "count" and m == 1:
             places = np.arange(len(self.ids))
         else:
             places = self.counted(m) if what == "count" else self.tested(m)
         if m == 1:
             words = self.ids[places if what == "count" else places - 1]
+            if some:
+                here = some.has(self.word_hash)[words]
+                places, words = places[here], words[here]
             asked = np.zeros(len(self.word_hash), bool)
             asked[words] = True
             u, rank = np.unique(self.word_hash[asked], return_inverse=True)
             return u, places, rank[np.cumsum(asked)[words] - 1]
-        u, at = np.unique(self.runs(places if what == "count" else places - 1, m), return_inverse=True)
+        hashes = self.runs(places if what == "count" else places - 1, m)
+        if some:
+            here = some.has(hashes)
+            places, hashes = places[here], hashes[here]
+        u, at = np.unique(hashes, return_inverse=True)
         return u, places, at
 
     def take(self, what: str, m: int, answers: list[np.ndarray]) -> None:
@@ -253,20 +312,22 @@ class _Chunk:
             values = values[self.ids] if what == "c" else np.where(self.inside(1), _before(values[self.ids]), 0).astype(values.dtype)
         (self.c if what == "c" else self.b)[m] = values
 
-    def root(self, total: int, kinds: int) -> np.ndarray:
-        return ((self.of_word["c"].astype(np.float64) + 1) / (total + kinds + 1))[self.ids]
+    def root(self, total: int, kinds: int, places: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return ((self.of_word["c"].astype(np.float64) + 1) / (total + kinds + 1))[self.ids[places]]
 
-    def probability(self, total: int, kinds: int, upto: int) -> np.ndarray:
-        """Of each word in the longest retained suffix of up to ``upto`` words."""
-        p = self.root(total, kinds)
+    def probability(self, total: int, kinds: int, upto: int, places: np.ndarray | None = None) -> np.ndarray:
+        """Of the words at the places (all) in the longest retained suffix of up to ``upto`` words."""
+        places = np.arange(len(self.ids)) if places is None else places
+        p = self.root(total, kinds, places)
         for k in range(1, upto + 1):
-            some = np.flatnonzero(self.b[k] > 1)
-            b, n, own = (x[at].astype(np.float64) for x, at in ((self.b[k], some), (self.c[k], some - 1), (self.c[k + 1], some)))
+            some = np.flatnonzero(self.b[k][places] > 1)
+            end = places[some]
+            b, n, own = (x[at].astype(np.float64) for x, at in ((self.b[k], end), (self.c[k], end - 1), (self.c[k + 1], end)))
             p[some] = (np.where(own >= self.how.least, own - self.how.discount, 0.0) + (n - b / 4) * p[some]) / n
         return p
 
-    def messages(self, what: str, m: int, buckets: int, total: int, kinds: int) -> Iterator[dict]:
-        keys, places, at = self.distinct(what, m)
+    def messages(self, what: str, m: int, part: _Round, total: int, kinds: int) -> Iterator[dict]:
+        keys, places, at = self.distinct(what, m, part)
         if not len(keys):
             return
         train = self.train[places]
@@ -279,9 +340,9 @@ class _Chunk:
             has = np.flatnonzero(train & (c >= self.how.least))
             at, places, c = at[has], places[has], c[has].astype(np.float64)
             own = c - self.how.discount
-            gain = np.log(own / (every[at] * self.probability(total, kinds, m - 1)[places]))
+            gain = np.log(own / (every[at] * self.probability(total, kinds, m - 1, places)))
             columns = [np.bincount(at, x, len(keys)).astype(np.float32) for x in (own / c * gain, own / c)] + [every]
-        number = (keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+        number = _bucket(keys, part.buckets)
         start = np.append(0, np.flatnonzero(np.diff(number)) + 1)
         for a, b in zip(start, np.append(start[1:], len(keys)), strict=True):
             sent = {name: _pack(x[a:b]) for name, x in zip("xyz", columns, strict=False)}
@@ -344,12 +405,12 @@ def _answerer(how: Settings) -> Callable[[pa.Table], pa.Table]:
     return answer
 
 
-def _asker(meeting: int, how: Settings, buckets: int, total: int, kinds: int) -> Callable[[pa.Table], pa.Table]:
-    """What a chunk sends to a meeting."""
+def _asker(meeting: int, how: Settings, part: _Round, total: int, kinds: int) -> Callable[[pa.Table], pa.Table]:
+    """What a chunk sends to a round of a meeting."""
 
     def ask(rows: pa.Table) -> pa.Table:
         x = _load(rows, how)
-        return _table(_MESSAGE, [r for what, m in _due(meeting, how.depth) for r in x.messages(what, m, buckets, total, kinds)])
+        return _table(_MESSAGE, [r for what, m in _due(meeting, how.depth) for r in x.messages(what, m, part, total, kinds)])
 
     return ask
 
@@ -415,14 +476,17 @@ def learn_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = kinds = 0
     states = []
     for meeting in range(1, how.depth + 3):
-        asked = spark.table(name).groupBy("chunk").applyInArrow(_asker(meeting, how, buckets, total, kinds), _MESSAGE)
-        came = stage_table(asked.groupBy("what", "level", "bucket").applyInArrow(_answerer(how), _ANSWER), "answers")
+        heard = []
+        for part in _rounds(meeting, how, buckets):
+            asked = spark.table(name).groupBy("chunk").applyInArrow(_asker(meeting, how, part, total, kinds), _MESSAGE)
+            heard.append(stage_table(asked.groupBy("what", "level", "bucket").applyInArrow(_answerer(how), _ANSWER), "answers"))
+            del asked
+            _free(spark)  # the messages of a round go before the next
+        came = functools.reduce(DataFrame.unionByName, heard)
         if meeting == 1:
             total, kinds = came.filter("what = 'total'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
         if meeting > 2:
             states.append(stage_table(came.filter("what = 'states' and kinds > 0").select("level", "data"), "states"))
-        del asked
-        _free(spark)
         if meeting < how.depth + 2:
             save(by_chunk(came).applyInArrow(_hearer(meeting, how), _CHUNK_ROW))
             _free(spark, came)

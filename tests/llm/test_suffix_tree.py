@@ -5,7 +5,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from test_models import corpus, toks
 
@@ -99,3 +102,70 @@ def test_other_columns_and_hard_rows(frame):
     plain = Plain(rows, lm.Settings())
     got = sorted(((r["doc_id"] or 0, round(r["score"], 6)) for r in lm.score_texts(docs).collect()))
     assert got == sorted((i or 0, round(plain.score(toks(t)), 6)) for i, t in rows)
+
+
+def a_chunk(frame, rows):
+    """The rows as one chunk."""
+    docs = frame(rows).coalesce(1)
+    return lm._chunks(docs.select("doc_id", lm.held_out(docs["doc_id"]).alias("held"), "text"), 10**6).first().asDict()
+
+
+def test_a_round_sends_a_part_and_all_rounds_send_everything(frame):
+    """Messages of one round at a time are on disk."""
+    how, buckets, total, kinds = lm.Settings(rounds=4, least_buckets=3), 12, 0, 0
+    every = [a_chunk(frame, passages(200, 9))]
+    for meeting in range(1, how.depth + 3):
+        rows = lm._table(lm._CHUNK_ROW, every)
+        parts = lm._rounds(meeting, how, buckets)
+        sent = [lm._asker(meeting, how, part, total, kinds)(rows).to_pylist() for part in parts]
+        whole = lm._asker(meeting, how, lm._Round(buckets, 0, buckets), total, kinds)(rows).to_pylist()
+        by_bucket = {(m["what"], m["level"], m["bucket"]): m for r in sent for m in r}
+        assert len(by_bucket) == sum(map(len, sent)) and by_bucket == {(m["what"], m["level"], m["bucket"]): m for m in whole}
+        if 1 < meeting < how.depth + 2:
+            sizes = [sum(len(m["keys"]) for m in r) for r in sent]
+            assert len(parts) == 4 and max(sizes) < 0.4 * sum(sizes)
+        answers = pa.concat_tables([lm._answerer(how)(lm._table(lm._MESSAGE, [m])) for m in whole])
+        if meeting == 1:
+            total, kinds = (sum(x or 0 for x in answers[c].to_pylist()) for c in ("total", "kinds"))
+        if meeting < how.depth + 2:
+            every += lm._hearer(meeting, how)(rows, answers.filter(pa.compute.greater_equal(answers["chunk"], 0))).to_pylist()
+    assert len(every) == 1 + 2 * how.depth  # c of 1 to 5 and b of 1 to 3
+
+
+@pytest.mark.parametrize("rounds", [2, 7])
+def test_rounds_change_no_score(frame, rounds):
+    rows = passages(150, 5)
+    how = lm.Settings(rounds=rounds, least_buckets=1, bucket=3_000, chunk=900)
+    plain = Plain(rows, how)
+    got = sorted((r["doc_id"], r["score"]) for r in lm.learn_and_score(frame(rows), how=how)[0].collect())
+    want = sorted((i, plain.score(toks(t))) for i, t in rows)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert all(abs(x[1] - y[1]) < 1e-9 * max(1, len(rows)) for x, y in zip(got, want, strict=True))
+
+
+def test_small_meetings_have_one_round():
+    how = lm.Settings()
+    for buckets in (1, 11, 23, 24, 54, 3000):
+        for meeting in range(1, how.depth + 3):
+            parts = lm._rounds(meeting, how, buckets)
+            assert [p.start for p in parts] == [0, *(p.stop for p in parts[:-1])] and parts[-1].stop == buckets
+            assert len(parts) == (1 if buckets < 24 or meeting in (1, how.depth + 2) else 2 if buckets < 36 else 3)
+
+
+def test_a_chunk_keeps_its_words_in_less_room(frame):
+    """Frequent words have small numbers; hashes of words of about the same frequency are differences."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(4000))) for i in range(60)]
+    row = a_chunk(frame, rows)
+    x = lm._Chunk(row, lm.Settings())
+    texts = dict(rows)
+    words = [w for d in x.doc_ids.tolist() for w in lm.tokens(texts[d].encode())]
+    assert x.word_hash[x.ids].tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
+    often = np.bincount(x.ids)
+    assert often[0] == often.max() and often[:100].min() >= often[200:].max()
+    assert len(row["hashes"]) < 7.5 * len(x.word_hash)
+
+
+@pytest.mark.parametrize("x", [np.zeros(0, np.int64), np.array([0, 255, 256, 2**40 + 7, 2**64 - 1], np.uint64), np.array([1, 70000]), np.array([0.1, -3e9, np.inf], np.float32)])
+def test_packed_numbers_come_back(x):
+    assert lm._unpack(lm._pack(x)).tolist() == x.tolist()
