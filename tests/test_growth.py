@@ -1,7 +1,11 @@
 """Steps whose work has to grow with the input, and results that only larger tables told apart."""
 
+import itertools
+import random
+
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from catalume.functions.scores import face_quality
@@ -23,6 +27,72 @@ def test_keys_of_hashes_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def rows_shuffled(node):
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_shuffled(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return rows_shuffled(node.plan())
+    own, below = node.metrics().get("shuffleRecordsWritten"), node.children()
+    return (own.get().value() if own.isDefined() and kind == "ShuffleExchangeExec" else 0) + sum(rows_shuffled(below.apply(k)) for k in range(below.size()))
+
+
+def test_a_hash_is_not_sent_for_each_key(spark, monkeypatch):
+    """With ten blocks a hash has 210 keys; it is sent to seven cells, and for its id."""
+    monkeypatch.setattr(M, "PAIRS_FOR_A_KEY", 1e-9)
+    n = 2000
+    df = M.hamming_join(spark.range(n).selectExpr("id", "substr(md5(cast(id - id % 3 as string)), 1, 15) || id % 3 as phash"), t=6).filter("d > 0")
+    assert len(M._code(n, 6)[1]) == 210 and len(df.collect()) >= n - 2
+    assert rows_shuffled(df._jdf.queryExecution().executedPlan()) <= 12 * n
+
+
+def all_pairs(hashes, t):
+    reps = sorted({h: i for i, h in reversed(list(enumerate(hashes)))}.values())
+    near = [(i, j, (hashes[i] ^ hashes[j]).bit_count()) for i, j in itertools.combinations(reps, 2)]
+    first = {hashes[i]: i for i in reps}
+    return sorted([x for x in near if x[2] <= t] + [(first[h], i, 0) for i, h in enumerate(hashes) if first[h] < i])
+
+
+def hashes_of(n, bits, seed):
+    """Half of them near another one, in some of the bits alone."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        h = rng.choice(out) if out and rng.random() < 0.5 else rng.getrandbits(64) & bits
+        for bit in rng.sample([k for k in range(64) if bits >> k & 1], rng.randrange(8)):
+            h ^= 1 << bit
+        out.append(h)
+    return out
+
+
+@pytest.mark.parametrize("bits", [(1 << 64) - 1, ((1 << 39) - 1) << 25, (1 << 20) - 1, 0x0F0F0F0F0F0F0F0F])
+@pytest.mark.parametrize("t", [3, 6])
+def test_hot_cells_of_hashes_are_cut(spark, t, bits, monkeypatch):
+    """Cells of more hashes than a task takes are cut into parts, long runs of a key get keys of their own: every pair once."""
+    for name, value in (("CELL", 20), ("LARGEST_CELL", 60), ("LONG", 16), ("HANDED", 50)):
+        monkeypatch.setattr(M, name, value)
+    hashes = hashes_of(250, bits, t)
+    hashes += hashes[:20]
+    df = spark.createDataFrame([(i, f"{h:016x}") for i, h in enumerate(hashes)], "id long, phash string")
+    assert sorted(map(tuple, M.hamming_join(df, t=t).collect())) == all_pairs(hashes, t)
+
+
+@pytest.mark.parametrize("bits", [(1 << 64) - 1, ((1 << 39) - 1) << 25])
+def test_long_runs_of_a_key(bits, monkeypatch):
+    monkeypatch.setattr(M, "LONG", 16)
+    x = np.unique(np.array(hashes_of(600, bits, 4), np.uint64))
+    b, keys = M._code(10**8, 6)  # as in a large table, of which these are a part
+    got = sorted((min(p, q), max(p, q)) for ps, qs in M._near_by_keys(x, 6, M._blocks_of_bits(b), keys) for p, q in zip(ps.tolist(), qs.tolist(), strict=True))
+    assert got == sorted((p, q) for p, q in itertools.combinations(x.tolist(), 2) if (p ^ q).bit_count() <= 6)
+
+
+def test_hamming_join_of_odd_rows(spark):
+    """Ids that are no numbers, come twice or are missing; hashes that differ behind their 64 bits, in case, or are too short."""
+    zero, one, far = "0" * 16, "0" * 15 + "1", "f" * 16
+    df = spark.createDataFrame([("b", zero), ("a", one), ("b", far), ("c", far.upper()), ("b", "f" * 15 + "e"), (None, "f" * 15 + "7"), ("d", zero + "0"), ("e", "00"), ("f", "00"), ("g", None)], "id string, phash string")
+    got = sorted(map(tuple, M.hamming_join(df, t=6).collect()))
+    assert got == [("a", "b", 1), ("a", "d", 1), ("b", "c", 0), ("b", "d", 0), ("e", "f", 0)]
+
+
 def test_quality_is_rounded_as_doubles_are(spark):
     """0.55 * 0.1 + 0.25 * 0.455 + 0.2 * 0.41 and the like lie just below a half, or at it."""
     rows = [(s / 10, e / 100, 0.1 * (50 + 4 * q) / w * 10) for s in range(9) for e in range(100) for q in range(1, 51, 7) for w in (4000, 5000, 6000)]
